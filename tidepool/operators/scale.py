@@ -304,22 +304,25 @@ def series_normalize(
     return joined.select(*out), {}
 
 
-def instance_normalize(c: str | Column) -> tuple[Column, Column, Column]:
+def instance_normalize(df: DataFrame, c: str, out: str = "normed", means: str = "means", stds: str = "stds") -> DataFrame:
     """Per-window, per-channel normalisation of ``array<array<double>>`` (time × channel).
 
-    Returns (normalised window, channel means, channel stds) where std = sqrt(pop var + 1e-5).
+    Adds ``means`` and ``stds`` (sqrt(population variance + 1e-5)) and the normalised window. The
+    statistics are projected as columns before they are used inside the element lambdas, so they
+    are computed once per window, not once per element.
     """
-    x = F.col(c) if isinstance(c, str) else c
+    x = F.col(c)
     n = F.size(x).cast("double")
-    width = F.size(F.element_at(x, 1))
-    chans = F.sequence(F.lit(1), width)
-    means = F.transform(chans, lambda j: F.aggregate(x, F.lit(0.0), lambda acc, r: acc + F.element_at(r, j)) / n)
-    var = F.transform(chans, lambda j: F.aggregate(
-        x, F.lit(0.0), lambda acc, r: acc + (F.element_at(r, j) - F.element_at(means, j)) ** 2) / n)
-    stds = F.transform(var, lambda v: F.sqrt(v + F.lit(INSTANCE_NORM_EPS)))
-    normed = F.transform(x, lambda r: F.transform(
-        r, lambda v, j: (v - F.element_at(means, j + 1)) / F.element_at(stds, j + 1)))
-    return normed, means, stds
+    chans = F.sequence(F.lit(1), F.size(F.element_at(x, 1)))
+    step1 = df.withColumn(means, F.transform(
+        chans, lambda j: F.aggregate(x, F.lit(0.0), lambda acc, r: acc + F.element_at(r, j)) / n))
+    m = F.col(means)
+    step2 = step1.withColumn(stds, F.transform(
+        m, lambda mu, j: F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, r: acc + (F.element_at(r, j + 1) - mu) ** 2) / n
+                                + F.lit(INSTANCE_NORM_EPS))))
+    s = F.col(stds)
+    return step2.withColumn(out, F.transform(x, lambda r: F.transform(
+        r, lambda v, j: (v - F.element_at(m, j + 1)) / F.element_at(s, j + 1))))
 
 
 def instance_denormalize(c: str | Column, means: str | Column, stds: str | Column) -> Column:

@@ -227,3 +227,33 @@ def halo_frames(
     for k in pb:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_tp_end_{k}"))
     return framed.where(cond).drop("_tp_b", "_tp_n", *[f"_tp_end_{k}" for k in pb])
+
+
+def with_prefix_sums(
+    df: DataFrame,
+    order_by: Sequence[str | Column],
+    columns: Sequence[str],
+    num_partitions: int | None = None,
+    suffix: str = "_cum",
+) -> DataFrame:
+    """Running sums of ``columns`` along a total order, without a single-partition window.
+
+    Range-partition on the order, total each partition (one row per partition reaches the driver),
+    run the window inside each range partition only, and add the partition's offset.
+    """
+    keys = _cols(order_by)
+    n_parts = num_partitions or default_partitions(df.sparkSession)
+    ranged = df.repartitionByRange(n_parts, *keys).withColumn(_PID, F.spark_partition_id())
+    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+    totals = {r[_PID]: r for r in ranged.groupBy(_PID).agg(*[F.sum(c).alias(c) for c in columns]).collect()}
+    out = ranged
+    w = Window.partitionBy(_PID).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    for c in columns:
+        offsets, running = [], 0
+        for p in range(n_parts):
+            offsets.append(running)
+            t = totals.get(p)
+            running += (t[c] or 0) if t is not None else 0
+        off = F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col(_PID) + 1)
+        out = out.withColumn(f"{c}{suffix}", F.sum(c).over(w) + off)
+    return out.drop(_PID)

@@ -24,11 +24,16 @@ def query(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql.strip()
+            ORACLE[name] = oracle_text(sql)
         return fn
     return deco
 
 
+def oracle_text(sql: str) -> str:
+    """DuckDB keeps a negative zero after rounding (Spark's decimal rounding does not): add +0.0."""
+    return sql.strip().replace("round(", "0.0 + round(")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

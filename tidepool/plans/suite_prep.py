@@ -108,9 +108,9 @@ select s.col as "column", s.bin as bin, round({edge('s.bin', 's.')}, 6) as lo,
 from spine s left join counts c on s.col = c.col and s.bin = c.bin"""
 
 
-from tidepool.plans.suite import ORACLE  # noqa: E402
+from tidepool.plans.suite import ORACLE, oracle_text  # noqa: E402
 
-ORACLE["histogram"] = _hist_sql().strip()
+ORACLE["histogram"] = oracle_text(_hist_sql())
 
 
 def _corr_sql() -> str:
