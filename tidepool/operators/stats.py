@@ -19,8 +19,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark import StorageLevel
+
 from tidepool.functions.columns import stack_columns
-from tidepool.plans.order import row_index_parts
+from tidepool.session import default_partitions
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -38,7 +40,23 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in columns}
 
     long = stack_columns(df.select(*columns), columns, "column", "value").where(F.col("value").isNotNull())
-    counts = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # one range sort serves all columns; the per-(partition, column) counts give both the column
+    # sizes and the partition offsets in a single job over the cached sorted data
+    n_parts = default_partitions(df.sparkSession)
+    keys = [F.col("column"), F.col("value")]
+    ranged = (long.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+              .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    cells = ranged.groupBy("_pid", "column").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts: dict[str, int] = {}
+    per_part: dict[int, int] = {}
+    for r in cells:
+        counts[r["column"]] = counts.get(r["column"], 0) + r["n"]
+        per_part[r["_pid"]] = per_part.get(r["_pid"], 0) + r["n"]
+    offsets, running = [], 0
+    for p in range(n_parts):
+        offsets.append(running)
+        running += per_part.get(p, 0)
     # positions needed, per column, inside the (column, value) order
     starts, running = {}, 0
     for c in sorted(counts):
@@ -58,9 +76,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             wanted[starts[c] + lo] = (c, lo)
             wanted[starts[c] + hi] = (c, hi)
     if not wanted:
+        ranged.unpersist()
         return {c: [None] * len(probs) for c in columns}
-    indexed, _, ranged = row_index_parts(long, ["column", "value"])
-    picked = indexed.where(F.col("row_idx").isin(list(wanted))).select("row_idx", "value").collect()
+    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_pid") + 1)
+    gidx = offset + F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    picked = (ranged.select(gidx.alias("row_idx"), "value").where(F.col("row_idx").isin(list(wanted)))
+              .collect())
     ranged.unpersist()
     values = {}
     for r in picked:

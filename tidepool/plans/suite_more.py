@@ -21,10 +21,10 @@ def _long(df: DataFrame, key: str, parts: dict[str, Column], two_d: set[str] = f
     out = None
     for name, c in parts.items():
         if name in two_d:
-            a = df.select(key, F.posexplode(c).alias("step", "_r")).select(
-                key, "step", F.posexplode("_r").alias("feat", "val"))
+            a = df.select(key, F.posexplode_outer(c).alias("step", "_r")).select(
+                key, "step", F.posexplode_outer("_r").alias("feat", "val"))
         else:
-            a = df.select(key, F.posexplode(c).alias("step", "val")).withColumn("feat", F.lit(0))
+            a = df.select(key, F.posexplode_outer(c).alias("step", "val")).withColumn("feat", F.lit(0))
         a = a.select(key, F.lit(name).alias("part"), "step", "feat", F.round(F.col("val").cast("double"), 6).alias("val"))
         out = a if out is None else out.unionByName(a)
     return out
@@ -141,7 +141,7 @@ from u cross join range(0, 80) p(k) left join e on e.user_id = u.user_id and e.p
 def q_pad_series(spark, sf):
     ev = table(spark, sf, "events")
     w = windows.pad_series(ev, ["user_id"], ["ts", "event_id"], ["value"], max_len=80)
-    z = w.select("user_id", "length", F.posexplode(F.arrays_zip(F.col("x").alias("r"), F.col("mask").alias("m")))
+    z = w.select("user_id", "length", F.posexplode_outer(F.arrays_zip(F.col("x").alias("r"), F.col("mask").alias("m")))
                  .alias("pos", "z"))
     return z.select("user_id", "length", "pos", F.round(F.element_at("z.r", 1), 6).alias("val"), F.col("z.m").alias("mask"))
 
@@ -155,7 +155,7 @@ from u cross join range(0, 30) p(k) left join e on e.user_id = u.user_id and e.b
 def q_last_window(spark, sf):
     ev = table(spark, sf, "events")
     w = windows.last_window(ev, ["user_id"], ["ts", "event_id"], "value", 30)
-    z = w.select("user_id", F.posexplode(F.arrays_zip(F.col("insample").alias("v"), F.col("mask").alias("m")))
+    z = w.select("user_id", F.posexplode_outer(F.arrays_zip(F.col("insample").alias("v"), F.col("mask").alias("m")))
                  .alias("pos", "z"))
     return z.select("user_id", "pos", F.round("z.v", 6).alias("val"), F.col("z.m").alias("mask"))
 
@@ -172,8 +172,8 @@ def q_patch(spark, sf):
     emb = table(spark, sf, "embeddings")
     pad = windows.segment_padding(64, 16) + 8
     p = emb.select("vec_id", windows.patch(F.transform("embedding", lambda v: v.cast("double")), 16, 8, pad).alias("p"))
-    z = p.select("vec_id", F.posexplode("p").alias("patch", "_r")).select(
-        "vec_id", "patch", F.posexplode("_r").alias("pos", "val"))
+    z = p.select("vec_id", F.posexplode_outer("p").alias("patch", "_r")).select(
+        "vec_id", "patch", F.posexplode_outer("_r").alias("pos", "val"))
     return z.select("vec_id", "patch", "pos", F.round("val", 6).alias("val"))
 
 
@@ -184,8 +184,8 @@ union all select vec_id, 2, t - 48, round(v, 6) from e where t >= 48""")
 def q_multiscale_tails(spark, sf):
     emb = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     m = emb.select("vec_id", windows.multiscale_tails("x", [1, 2], 8).alias("m"))
-    z = m.select("vec_id", F.posexplode("m").alias("s", "_r")).select(
-        "vec_id", (F.col("s") + 1).alias("scale"), F.posexplode("_r").alias("pos", "val"))
+    z = m.select("vec_id", F.posexplode_outer("m").alias("s", "_r")).select(
+        "vec_id", (F.col("s") + 1).alias("scale"), F.posexplode_outer("_r").alias("pos", "val"))
     return z.select("vec_id", "scale", "pos", F.round("val", 6).alias("val"))
 
 
@@ -197,7 +197,7 @@ def _emb(spark, sf) -> DataFrame:
 
 
 def _explode1(df: DataFrame, key: str, c: Column, name: str = "val") -> DataFrame:
-    return df.select(key, F.posexplode(c).alias("t", name)).select(key, "t", F.round(name, 6).alias(name))
+    return df.select(key, F.posexplode_outer(c).alias("t", name)).select(key, "t", F.round(name, 6).alias(name))
 
 
 def _ma_sql(k: int, alias: str) -> str:
@@ -219,7 +219,7 @@ select e.vec_id, e.t, round(e.v - ma.trend, 6) as seasonal, round(ma.trend, 6) a
 from e join ma on e.vec_id = ma.vec_id and e.t = ma.t""")
 def q_decompose(spark, sf):
     d = _emb(spark, sf).select("vec_id", series.decompose("x", 5).alias("d"))
-    z = d.select("vec_id", F.posexplode(F.arrays_zip("d.seasonal", "d.trend")).alias("t", "z"))
+    z = d.select("vec_id", F.posexplode_outer(F.arrays_zip("d.seasonal", "d.trend")).alias("t", "z"))
     return z.select("vec_id", "t", F.round("z.seasonal", 6).alias("seasonal"), F.round("z.trend", 6).alias("trend"))
 
 
@@ -229,7 +229,7 @@ select e.vec_id, e.t, round(e.v - (m3.trend + m7.trend) / 2, 6) as seasonal, rou
 from e join m3 on e.vec_id = m3.vec_id and e.t = m3.t join m7 on e.vec_id = m7.vec_id and e.t = m7.t""")
 def q_decompose_multi(spark, sf):
     d = _emb(spark, sf).select("vec_id", series.decompose_multi("x", [3, 7]).alias("d"))
-    z = d.select("vec_id", F.posexplode(F.arrays_zip("d.seasonal", "d.trend")).alias("t", "z"))
+    z = d.select("vec_id", F.posexplode_outer(F.arrays_zip("d.seasonal", "d.trend")).alias("t", "z"))
     return z.select("vec_id", "t", F.round("z.seasonal", 6).alias("seasonal"), F.round("z.trend", 6).alias("trend"))
 
 
@@ -291,7 +291,7 @@ select vec_id, rk - 1 as rank, round(f / 64.0, 6) as freq, round(amp, 6) as ampl
 from top where rk <= 3""")
 def q_top_frequencies(spark, sf):
     t = _emb(spark, sf).select("vec_id", series.top_frequencies("x", 3).alias("c"))
-    z = t.select("vec_id", F.posexplode("c").alias("rank", "c"))
+    z = t.select("vec_id", F.posexplode_outer("c").alias("rank", "c"))
     return z.select("vec_id", "rank", F.round("c.freq", 6).alias("freq"), F.round("c.amplitude", 6).alias("amplitude"),
                     F.round("c.phase", 6).alias("phase"))
 
@@ -332,7 +332,7 @@ def q_top_lags(spark, sf):
     ac = _emb(spark, sf).select("vec_id", series.autocorrelation("x").alias("ac"))
     ac = ac.select("vec_id", F.transform("ac", lambda v: F.round(v, 9)).alias("ac"))
     e = ac.select("vec_id", series.top_lags("ac", 1.0, 64).alias("l"))
-    z = e.select("vec_id", F.posexplode("l").alias("rank", "l"))
+    z = e.select("vec_id", F.posexplode_outer("l").alias("rank", "l"))
     return z.select("vec_id", "rank", F.col("l.lag").cast("long").alias("lag"), F.round("l.weight", 6).alias("weight"))
 
 
@@ -356,8 +356,8 @@ def q_instance_normalize(spark, sf):
     e = _emb(spark, sf)
     w = e.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("x", i * 4 + 1, 4)).alias("w"))
     n = scale.instance_normalize(w, "w", "n", "m", "s")
-    z = n.select("vec_id", "m", "s", F.posexplode("n").alias("step", "_r")).select(
-        "vec_id", "m", "s", "step", F.posexplode("_r").alias("ch", "val"))
+    z = n.select("vec_id", "m", "s", F.posexplode_outer("n").alias("step", "_r")).select(
+        "vec_id", "m", "s", "step", F.posexplode_outer("_r").alias("ch", "val"))
     return z.select("vec_id", "step", "ch", F.round("val", 6).alias("val"),
                     F.round(F.element_at("m", F.col("ch") + 1), 6).alias("mean"),
                     F.round(F.element_at("s", F.col("ch") + 1), 6).alias("std"))
