@@ -74,7 +74,10 @@ def _gbt_clf(p, n_classes: int = 2):
 
 def _mlp_clf(p, n_features: int, n_classes: int):
     hidden = p.get("hidden_layers", "64,32")
-    layers = [int(x) for x in str(hidden).replace(" ", "").split(",") if x] if isinstance(hidden, str) else list(hidden)
+    if isinstance(hidden, (list, tuple)):
+        layers = [int(x) for x in hidden]
+    else:  # "64,32", "64" or a bare int after coercion
+        layers = [int(x) for x in str(hidden).replace(" ", "").split(",") if x]
     return MultilayerPerceptronClassifier(layers=[n_features, *layers, n_classes], maxIter=int(p.get("epochs", 100)),
                                           seed=SEED)
 

@@ -30,8 +30,38 @@ def query(name: str, sql: str | None = None):
 
 
 def oracle_text(sql: str) -> str:
-    """DuckDB keeps a negative zero after rounding (Spark's decimal rounding does not): add +0.0."""
-    return sql.strip().replace("round(", "0.0 + round(")
+    """Make DuckDB's ``round(x, d)`` round like Spark's: Spark rounds the shortest decimal form of
+    the double half-up (so 5.3326465 → 5.332647 and never a negative zero); DuckDB rounds the
+    binary value. Each ``round(x, d)`` becomes a rounding of ``x`` printed and read as a decimal."""
+    return _spark_round(sql.strip())
+
+
+def _spark_round(sql: str) -> str:
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, comma, k = 0, None, j + 5
+        for k in range(j + 5, len(sql)):
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            elif ch == "," and depth == 1:
+                comma = k
+        arg, digits = _spark_round(sql[j + 6:comma]), sql[comma + 1:k].strip()
+        out.append(sql[i:j])
+        out.append(f"cast(round(cast(cast({arg} as varchar) as decimal(38, 18)), {digits}) as double)")
+        i = k + 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,3 +112,4 @@ HOURLY_SQL = """
 # importing the query modules registers them
 from tidepool.plans import suite_prep  # noqa: E402,F401
 from tidepool.plans import suite_more  # noqa: E402,F401
+from tidepool.plans import suite_models  # noqa: E402,F401

@@ -405,13 +405,13 @@ def q_scale_target(spark, sf):
 # ------------------------------------------------------------------------------------ evaluation
 
 _REG = ("(select l_orderkey * 10 + l_linenumber as row_id, l_quantity as y, "
-        "round(l_quantity * 0.9 + l_tax * 20, 2) as yhat from lineitem)")
+        "l_quantity * 0.9 + sqrt(l_tax + 1) * 3 as yhat from lineitem)")
 
 
 def _reg(spark, sf) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.col("l_quantity").alias("y"),
-                     F.round(F.col("l_quantity") * 0.9 + F.col("l_tax") * 20, 2).alias("yhat"))
+                     (F.col("l_quantity") * 0.9 + F.sqrt(F.col("l_tax") + 1) * 3).alias("yhat"))
 
 
 @query("regression_metrics", f"""
@@ -606,15 +606,15 @@ def q_cv_summary(spark, sf):
     li = table(spark, sf, "lineitem")
     folded = kfold(li, ["l_orderkey", "l_linenumber"], 5, 42)
     scored = folded.select("fold", F.col("l_quantity").alias("y"),
-                           F.round(F.col("l_quantity") * 0.9 + F.col("l_tax") * 20, 2).alias("yhat"))
+                           (F.col("l_quantity") * 0.9 + F.sqrt(F.col("l_tax") + 1) * 3).alias("yhat"))
     e = F.col("y") - F.col("yhat")
     scores = scored.groupBy("fold").agg((1 - F.sum(e * e) / (F.var_pop("y") * F.count(F.lit(1)))).alias("score"))
     return evaluate.cv_summary(scores)
 
 
-@query("prediction_rows", f"select row_id, yhat, y from {_REG} order by row_id limit 100")
+@query("prediction_rows", f"select row_id, round(yhat, 6) as yhat, y from {_REG} order by row_id limit 100")
 def q_prediction_rows(spark, sf):
-    return evaluate.prediction_rows(_reg(spark, sf))
+    return rounded(evaluate.prediction_rows(_reg(spark, sf)))
 
 
 @query("prediction_export", """
