@@ -11,7 +11,23 @@ from pyspark.sql import functions as F
 
 def latest_runs(runs: DataFrame, project: str = "project", created_at: str = "created_at",
                 run_id: str = "run_id") -> DataFrame:
-    """Runs newest first per project with their rank; rank 1 is the active model."""
+    """Runs newest first per project with their rank; rank 1 is the active model.
+
+    The rank is the position in a global (project, newest-first) index, so a project holding a
+    large share of all runs is spread over several range partitions instead of one window task.
+    """
+    from tidepool.plans.order import with_row_index, with_series_position
+
+    idx, _ = with_row_index(runs, [F.col(project), F.col(created_at).desc(), F.col(run_id).desc()],
+                            index_col="_tp_runs_idx")
+    ranked = with_series_position(idx, [project], "_tp_runs_idx", "_tp_pos")
+    return ranked.select(*runs.columns, (F.col("_tp_pos") + 1).cast("int").alias("rank")).withColumn(
+        "is_active", F.col("rank") == 1)
+
+
+def latest_runs_window(runs: DataFrame, project: str = "project", created_at: str = "created_at",
+                       run_id: str = "run_id") -> DataFrame:
+    """Same ranking with a per-project window (fine when projects are small and many)."""
     w = Window.partitionBy(project).orderBy(F.col(created_at).desc(), F.col(run_id).desc())
     return runs.withColumn("rank", F.row_number().over(w)).withColumn("is_active", F.col("rank") == 1)
 

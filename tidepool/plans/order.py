@@ -107,7 +107,9 @@ def with_series_position(
     if not partition_by:
         out = indexed.withColumn(position_col, F.col(index_col))
         if length_col:
-            out = out.withColumn(length_col, F.max(index_col).over(Window.partitionBy()) + 1)
+            # one number for the whole table: an aggregate, not an unpartitioned window
+            n = indexed.agg(F.max(index_col)).first()[0]
+            out = out.withColumn(length_col, F.lit((n if n is not None else -1) + 1).cast("long"))
         return out
     aggs = [F.min(index_col).alias("_tp_start")]
     if length_col:

@@ -113,3 +113,4 @@ HOURLY_SQL = """
 from tidepool.plans import suite_prep  # noqa: E402,F401
 from tidepool.plans import suite_more  # noqa: E402,F401
 from tidepool.plans import suite_models  # noqa: E402,F401
+from tidepool.plans import suite_io  # noqa: E402,F401

@@ -51,12 +51,15 @@ def detect_csv_encoding(spark: SparkSession, path: str, encodings: Sequence[str]
     raise ValueError(f"Cannot decode {path}")
 
 
-def read_table(spark: SparkSession, path: str, encodings: Sequence[str] | None = None, schema=None) -> DataFrame:
-    """Read by extension (csv, parquet, json, orc); CSV infers header and schema and detects charset."""
-    ext = extension(path)
-    if ext not in READERS:
-        raise ValueError(f"Unsupported file format: {ext}")
-    fmt = READERS[ext]
+def read_table(spark: SparkSession, path: str, encodings: Sequence[str] | None = None, schema=None,
+               fmt: str | None = None) -> DataFrame:
+    """Read by extension (csv, parquet, json, orc) or an explicit ``fmt`` (e.g. a directory of parts);
+    CSV infers header and schema and detects the charset."""
+    if fmt is None:
+        ext = extension(path)
+        if ext not in READERS:
+            raise ValueError(f"Unsupported file format: {ext}")
+        fmt = READERS[ext]
     if fmt == "csv":
         enc = detect_csv_encoding(spark, path, encodings or FALLBACK_ENCODINGS)
         charset = _SPARK_CHARSET.get(enc, enc)
