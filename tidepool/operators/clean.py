@@ -73,8 +73,8 @@ def iqr_filter(
     current = df
     applied = 0
     removed_any = False
+    n = current.count()  # afterwards tracked from the removal counts: one count per applied filter
     for c in cols:
-        n = current.count()
         if n <= 3:
             report.append(f"Too few rows ({n}) to detect outliers in '{c}'")
             continue
@@ -89,6 +89,7 @@ def iqr_filter(
         n_removed = current.where(~F.coalesce(keep, F.lit(False))).count()
         if 0 < n_removed < n:
             current = current.where(keep)
+            n -= n_removed
             removed_any = True
             applied += 1
             report.append(f"Removed {n_removed} outliers from '{c}'")
