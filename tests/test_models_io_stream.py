@@ -118,3 +118,35 @@ def test_fit_on_batch_apply_on_stream(spark):
     got = spark.sql("select * from tp_stream_check")
     assert got.count() == batch.count()
     assert got.exceptAll(batch).count() == 0
+
+
+def test_history_and_model_files(spark):
+    d = tempfile.mkdtemp(prefix="tp-hist-")
+    h = spark.createDataFrame([(1, 0.5, 0.6, 0.1, 0.2, 1.0), (2, 0.25, 0.3, 0.2, 0.3, 3.0)],
+                              "epoch int, train_loss double, val_loss double, train_metric double, val_metric double, "
+                              "seconds double")
+    io.write_history(h, os.path.join(d, "history"))
+    assert spark.read.option("header", True).csv(os.path.join(d, "history")).count() == 2
+    from tidepool.operators.evaluate import training_history
+
+    s = training_history(h).first()
+    assert s["final_train_loss"] == 0.25 and s["avg_epoch_seconds"] == 2.0 and s["epochs"] == 2
+    df = _regression(spark, 40)
+    m = models.fit_model(df, "decision_tree_regressor", {"max_depth": 3}, "regression")
+    models.save_model(m, os.path.join(d, "model"))
+    back = models.load_model(os.path.join(d, "model"))
+    a = [r["yhat"] for r in models.predict(m, df).orderBy("row_id").collect()]
+    b = [r["yhat"] for r in models.predict(back, df).orderBy("row_id").collect()]
+    assert a == b
+
+
+def test_ragged_trigger_and_series_lengths(spark):
+    from tidepool.operators.clean import ragged_dimensions
+
+    df = spark.createDataFrame([(0, [1.0, 2.0], [1.0]), (1, [1.0], [2.0])], "sample_id int, d0 array<double>, d1 array<double>")
+    lens = io.series_lengths(df, "sample_id", ["d0", "d1"]).orderBy("sample_id").collect()
+    assert [r["ragged"] for r in lens] == [True, False] and lens[0]["length"] == 2
+    long = io.series_arrays_to_long(df, "sample_id", ["d0"])
+    assert long.count() == 3
+    per_dim = spark.createDataFrame([(0, "d0", 2), (0, "d1", 1)], "sample_id int, dim string, length int")
+    assert ragged_dimensions(per_dim)
