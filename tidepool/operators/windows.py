@@ -197,6 +197,8 @@ def pad_series(
 
     Rows past ``max_len`` are dropped before grouping, so a group never exceeds ``max_len`` rows.
     """
+    # only the columns used are indexed (the indexed frame is cached, which stops column pruning)
+    df = df.select(*series, *[c for c in order_by if c not in series], *value_cols)
     indexed, _ = with_row_index(df, [*series, *order_by])
     pos = with_series_position(indexed, series, ROW_INDEX, "_pos")
     if max_len is None:
@@ -224,6 +226,7 @@ def last_window(
     seq_len: int,
 ) -> DataFrame:
     """Last ``seq_len`` values per series, left-padded with zeros, with a 0/1 mask."""
+    df = df.select(*series, *[c for c in order_by if c not in series], value_col)
     indexed, _ = with_row_index(df, [*series, *order_by])
     pos = with_series_position(indexed, series, ROW_INDEX, "_pos", length_col="_len")
     tail = pos.where(F.col("_pos") >= F.col("_len") - seq_len)

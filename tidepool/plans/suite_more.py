@@ -115,7 +115,7 @@ select s.w // 10 as window_id, 'x' as part, e.i - s.w as step, 0 as feat, round(
 union all
 select s.w // 10, 'labels', e.i - s.w, 0, round(cast(e.user_id % 2 as double), 6) from s join e on e.i between s.w and s.w + 49""")
 def q_strided_windows(spark, sf):
-    ev = table(spark, sf, "events")
+    ev = table(spark, sf, "events").select("event_id", "ts", "value", "user_id")
     idx, _ = with_row_index(ev, ["ts", "event_id"])
     w = windows.strided_windows_indexed(idx, 50, 10, ["value"], F.col("user_id") % 2)
     return _long(w, "window_id", {"x": F.col("x"), "labels": F.col("labels")}, {"x"})
@@ -126,7 +126,7 @@ with e as {_EV_IDX}
 select i // 100 as window_id, 'x' as part, i % 100 as step, 0 as feat, round(value, 6) as val
 from e where i // 100 < cnt // 100""")
 def q_tiling_windows(spark, sf):
-    ev = table(spark, sf, "events")
+    ev = table(spark, sf, "events").select("event_id", "ts", "value", "user_id")
     idx, _ = with_row_index(ev, ["ts", "event_id"])
     w = windows.tiling_windows_indexed(idx, 100, ["value"])
     return _long(w, "window_id", {"x": F.col("x")}, {"x"})

@@ -284,7 +284,7 @@ with e as (select event_id, row_number() over (partition by user_id order by ts,
                   count(*) over (partition by user_id) as len from events)
 select event_id from e where len <= 64 or pos % 2 = 0""")
 def q_subsample(spark, sf):
-    return clean.subsample(table(spark, sf, "events"), ["ts", "event_id"], ["user_id"], limit=64, factor=2).select(
+    return clean.subsample(table(spark, sf, "events").select("event_id", "ts", "user_id"), ["ts", "event_id"], ["user_id"], limit=64, factor=2).select(
         "event_id")
 
 
@@ -294,7 +294,7 @@ _CHRONO_SQL = """(select *, row_number() over (order by ts, event_id) - 1 as i,
 
 
 def _chrono_train_scaler(spark, sf, method):
-    ev = table(spark, sf, "events")
+    ev = table(spark, sf, "events").select("event_id", "ts", "value")
     indexed, n = with_row_index(ev, ["ts", "event_id"])
     train, _, _ = split.chronological_split(indexed, n, 0.2)
     params = scale.fit_scaler(train, ["value"], method)
@@ -452,7 +452,7 @@ def q_calendar_marks(spark, sf):
 
 @query("sort_chronologically", "select event_id, row_number() over (order by ts, event_id) - 1 as row_idx from events")
 def q_sort_chronologically(spark, sf):
-    out, _ = timefeat.sort_chronologically(table(spark, sf, "events"), "ts", ["event_id"])
+    out, _ = timefeat.sort_chronologically(table(spark, sf, "events").select("event_id", "ts"), "ts", ["event_id"])
     return out.select("event_id", "row_idx")
 
 
@@ -529,7 +529,7 @@ with e as {_CHRONO_SQL}
 select event_id, case when i < cast(floor(n * (1 - 0.2::double)) as bigint) then 'train' else 'test' end as side,
        case when i < cast(floor(n * (1 - 0.2::double)) as bigint) then i else i - cast(floor(n * (1 - 0.2::double)) as bigint) end as side_idx from e""")
 def q_chronological_split(spark, sf):
-    indexed, n = with_row_index(table(spark, sf, "events"), ["ts", "event_id"])
+    indexed, n = with_row_index(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"])
     train, test, _ = split.chronological_split(indexed, n, 0.2)
     a = train.select("event_id", F.lit("train").alias("side"), F.col("row_idx").alias("side_idx"))
     b = test.select("event_id", F.lit("test").alias("side"), F.col("row_idx").alias("side_idx"))
@@ -554,7 +554,7 @@ select event_id, 'train' as side, i as side_idx from e where i < 8640
 union all select event_id, 'val', i - (8640 - 24) from e where i >= 8640 - 24 and i < 8640 + 2880
 union all select event_id, 'test', i - (11520 - 24) from e where i >= 11520 - 24 and i < 14400""")
 def q_fixed_border_split(spark, sf):
-    indexed, _ = with_row_index(table(spark, sf, "events"), ["ts", "event_id"])
+    indexed, _ = with_row_index(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"])
     return split.fixed_border_split(indexed, "hourly", 24).select("event_id", "side", "side_idx")
 
 
@@ -562,7 +562,7 @@ def q_fixed_border_split(spark, sf):
 with e as {_CHRONO_SQL}
 select event_id, i - cast(floor(n * 0.8::double) as bigint) as row_idx from e where i >= cast(floor(n * 0.8::double) as bigint)""")
 def q_tail_holdout(spark, sf):
-    indexed, n = with_row_index(table(spark, sf, "events"), ["ts", "event_id"])
+    indexed, n = with_row_index(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"])
     return split.tail_holdout(indexed, n, 0.8).select("event_id", "row_idx")
 
 
