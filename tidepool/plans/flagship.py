@@ -92,7 +92,7 @@ def ridge_forecast(train_w: DataFrame, test_w: DataFrame, pred_len: int, reg: fl
 def forecast_pipeline(spark: SparkSession, sf_dir: str, seq_len: int = 24, pred_len: int = 1) -> DataFrame:
     """events → hourly series → calendar encodings → split → scale → windows → ridge → metrics row."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    hourly = ev.groupBy(F.date_trunc("hour", "ts").alias("t")).agg(
+    hourly = ev.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t")).agg(
         F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
     train_w, test_w, meta = prepare_time_series(hourly, "t", "value", seq_len=seq_len, pred_len=pred_len)
     scored = ridge_forecast(train_w, test_w, pred_len)

@@ -22,13 +22,62 @@ DIGITS = 6
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return normalized_types(fn(spark, sf_dir))
+
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = oracle_text(sql)
         return fn
     return deco
 
 
+def normalized_types(df: DataFrame) -> DataFrame:
+    """All integer columns as bigint and session-zone timestamps as wall-clock timestamp_ntz, so
+    the result types line up with the oracle's (BIGINT, TIMESTAMP) whatever the session zone."""
+    out, changed = [], False
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
+            out.append(F.col(f.name).cast("bigint").alias(f.name))
+            changed = True
+        elif isinstance(f.dataType, T.TimestampType):
+            out.append(F.col(f.name).cast("timestamp_ntz").alias(f.name))
+            changed = True
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out) if changed else df
+
+
+# Oracle output columns that DuckDB types as INTEGER or HUGEINT; they are cast to BIGINT so that
+# both sides agree (Spark results have every integer column as bigint).
+NARROW_INT_OUTPUTS = {
+    "assemble_features": ["pos"], "assemble_value_and_mark": ["pos"], "columns_with_nulls": ["columns_with_nulls"],
+    "describe_categorical": ["count"], "drop_columns": ["l_linenumber"], "fold_holdout": ["l_linenumber"],
+    "iqr_filter": ["l_linenumber"], "kfold": ["l_linenumber", "fold"], "label_decode": ["code"],
+    "label_dictionary": ["code"], "label_encode": ["l_linenumber", "l_returnflag"], "load_anomaly_triplet": ["label"],
+    "m4_lookup": ["horizon", "frequency"], "multiscale_tails": ["scale"], "overlap_windows": ["feat"],
+    "prediction_export": ["true_value", "prediction"], "preview": ["l_linenumber"], "profile_schema": ["position"],
+    "profile_shape": ["n_cols"], "random_split": ["l_linenumber"], "read_first_supported": ["l_linenumber"],
+    "read_matching": ["l_linenumber"], "read_table_csv": ["l_linenumber"], "save_load_split": ["l_linenumber"],
+    "scale_decoder_input": ["feat"], "scale_windows": ["feat"], "sliding_windows": ["feat"],
+    "strided_windows": ["feat"], "tiling_windows": ["feat"], "write_dataset": ["l_linenumber"],
+    "seq2seq_windows": ["feat"],
+}
+
+
+def oracle_sql_typed() -> dict[str, str]:
+    out = {}
+    for name, sql in ORACLE.items():
+        cols = NARROW_INT_OUTPUTS.get(name)
+        if cols:
+            casts = ", ".join(f'cast("{c}" as bigint) as "{c}"' for c in cols)
+            sql = f"select * replace ({casts}) from ({sql}) as q"
+        out[name] = sql
+    return out
+
+
 def oracle_text(sql: str) -> str:
     """Make DuckDB's ``round(x, d)`` round like Spark's: Spark rounds the shortest decimal form of
     the double half-up (so 5.3326465 → 5.332647 and never a negative zero); DuckDB rounds the
@@ -101,7 +150,8 @@ EVENTS_NULLS_SQL = """
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events aggregated to an hourly series: (hour, value = avg value, n = count)."""
     ev = table(spark, sf_dir, "events")
-    return ev.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(
+    # date_trunc returns a session-zone timestamp: cast back to wall-clock time
+    return ev.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(
         F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
 
 
