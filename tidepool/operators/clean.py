@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tidepool.functions.columns import FLOAT64_MAX, is_numeric_type, is_string_type
 from tidepool.operators.stats import exact_quantiles, mode_table
 from tidepool.plans.order import (
-    DEFAULT_BUCKET_ROWS,
     ROW_INDEX,
+    auto_bucket_rows,
     fill_ordered,
     with_row_index,
     with_series_position,
@@ -138,7 +138,7 @@ def fill_missing(
     order_by: Sequence[str | Column] | None = None,
     partition_by: Sequence[str] = (),
     quantile_method: str = "sort",
-    bucket_rows: int = DEFAULT_BUCKET_ROWS,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Dispatcher with the reference's fall-throughs.
 
@@ -236,19 +236,20 @@ def fill_forward(
     order_by: Sequence[str | Column],
     partition_by: Sequence[str] = (),
     backward: bool = False,
-    bucket_rows: int = DEFAULT_BUCKET_ROWS,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Last (next) non-null value along ``order_by`` within optional series.
 
     Leading nulls stay for a forward fill, trailing nulls for a backward fill.
     """
-    indexed, _ = with_row_index(df, [*partition_by, *order_by], index_col="_tp_fill_idx")
+    indexed, n = with_row_index(df, [*partition_by, *order_by], index_col="_tp_fill_idx")
+    bucket_rows = bucket_rows or auto_bucket_rows(df.sparkSession, n)
     filled = fill_ordered(indexed, columns, "_tp_fill_idx", partition_by, backward, bucket_rows)
     return filled.drop("_tp_fill_idx")
 
 
 def fill_backward(df: DataFrame, columns: Sequence[str], order_by: Sequence[str | Column],
-                  partition_by: Sequence[str] = (), bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+                  partition_by: Sequence[str] = (), bucket_rows: int | None = None) -> DataFrame:
     return fill_forward(df, columns, order_by, partition_by, True, bucket_rows)
 
 
@@ -293,7 +294,7 @@ def interpolate_linear(
     columns: Sequence[str],
     order_by: Sequence[str | Column],
     partition_by: Sequence[str] = (),
-    bucket_rows: int = DEFAULT_BUCKET_ROWS,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Linear interpolation by position inside each series, both directions.
 
@@ -301,7 +302,8 @@ def interpolate_linear(
     nulls take the first value, trailing nulls the last one. All-null series stay null.
     """
     idx = "_tp_interp_idx"
-    indexed, _ = with_row_index(df, [*partition_by, *order_by], index_col=idx)
+    indexed, n = with_row_index(df, [*partition_by, *order_by], index_col=idx)
+    bucket_rows = bucket_rows or auto_bucket_rows(df.sparkSession, n)
     prev_cols, next_cols = [], []
     staged = indexed
     for c in columns:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.operators.stats import exact_quantiles
-from tidepool.plans.order import ROW_INDEX, halo_frames, with_row_index
+from tidepool.plans.order import ROW_INDEX, auto_bucket_rows, halo_frames, with_row_index
 
 # Formats tried in order when parsing a time column (ISO first, then day-first).
 DEFAULT_FORMATS = [
@@ -70,7 +70,7 @@ def median_gap_seconds(df: DataFrame, time_col: str, quantile_method: str = "sor
     indexed, n = with_row_index(t, ["_t"], index_col=ROW_INDEX)
     if n < 2:
         return None
-    pairs = halo_frames(indexed, 2, {"ts": F.col("_t")})
+    pairs = halo_frames(indexed, 2, {"ts": F.col("_t")}, bucket_rows=auto_bucket_rows(df.sparkSession, n, 2))
     gaps = pairs.select((F.element_at("ts", 2) - F.element_at("ts", 1)).alias("gap"))
     return exact_quantiles(gaps, ["gap"], [0.5], method=quantile_method)["gap"][0]
 

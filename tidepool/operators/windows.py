@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.plans.order import DEFAULT_BUCKET_ROWS, ROW_INDEX, halo_frames, with_row_index, with_series_position
+from tidepool.plans.order import ROW_INDEX, auto_bucket_rows, halo_frames, with_row_index, with_series_position
 
 
 def _row_array(cols: Sequence[str | Column]) -> Column:
@@ -48,7 +48,7 @@ def sliding_windows_indexed(
     index_col: str = ROW_INDEX,
     partition_by: Sequence[str] = (),
     n: int | None = None,
-    bucket_rows: int = DEFAULT_BUCKET_ROWS,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Stride-1 windows over an indexed frame: ``x = rows [i, i+L)``, ``y = target [i+L, i+L+P)``.
 
@@ -57,6 +57,7 @@ def sliding_windows_indexed(
     """
     span = seq_len + pred_len
     _require_windows(n, span)
+    bucket_rows = bucket_rows or (auto_bucket_rows(indexed.sparkSession, n, span) if n else None)
     t = (F.col(target_col) if isinstance(target_col, str) else target_col).cast("double")
     frames = halo_frames(indexed, span, {"_rows": _row_array(feature_cols), "_t": t}, index_col, partition_by,
                          bucket_rows=bucket_rows)
@@ -75,7 +76,7 @@ def sliding_windows(
     feature_cols: Sequence[str | Column],
     target_col: str | Column,
     partition_by: Sequence[str] = (),
-    bucket_rows: int = DEFAULT_BUCKET_ROWS,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     indexed, n = with_row_index(df, [*partition_by, *order_by])
     return sliding_windows_indexed(indexed, seq_len, pred_len, feature_cols, target_col, ROW_INDEX, partition_by,
@@ -93,7 +94,7 @@ def seq2seq_windows_indexed(
     index_col: str = ROW_INDEX,
     partition_by: Sequence[str] = (),
     n: int | None = None,
-    bucket_rows: int = DEFAULT_BUCKET_ROWS,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Encoder–decoder bundle per window: ``x, x_mark, dec_inp, y_mark, y``.
 
@@ -103,6 +104,7 @@ def seq2seq_windows_indexed(
     check_window_params(seq_len, pred_len, label_len)
     span = seq_len + pred_len
     _require_windows(n, span)
+    bucket_rows = bucket_rows or (auto_bucket_rows(indexed.sparkSession, n, span) if n else None)
     width = len(value_cols)
     t = (F.col(target_col) if isinstance(target_col, str) else target_col).cast("double")
     frames = halo_frames(indexed, span, {"_v": _row_array(value_cols), "_m": _row_array(mark_cols), "_t": t},
@@ -128,7 +130,7 @@ def overlap_windows_indexed(
     mark_cols: Sequence[str | Column],
     index_col: str = ROW_INDEX,
     partition_by: Sequence[str] = (),
-    bucket_rows: int = DEFAULT_BUCKET_ROWS,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Loader windows: ``seq_x = rows [s, s+L)``, ``seq_y = rows [s+L-label_len, s+L+P)`` with their marks."""
     span = seq_len + pred_len
@@ -150,7 +152,7 @@ def strided_windows_indexed(
     value_cols: Sequence[str | Column],
     label_col: str | Column | None = None,
     index_col: str = ROW_INDEX,
-    bucket_rows: int = DEFAULT_BUCKET_ROWS,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Windows of ``win`` rows starting at 0, step, 2·step, …: ``(n - win) // step + 1`` of them.
 

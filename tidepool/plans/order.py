@@ -125,6 +125,22 @@ def with_series_position(
     return out
 
 
+def auto_bucket_rows(spark, n: int | None, span: int = 1) -> int:
+    """Rows per bucket: enough buckets to use every shuffle partition, at most DEFAULT_BUCKET_ROWS
+    (bounded task memory), at least ``span`` (the halo covers one neighbouring bucket)."""
+    if n is None:
+        return max(DEFAULT_BUCKET_ROWS, span)
+    per_part = -(-int(n) // default_partitions(spark))
+    return max(span, min(DEFAULT_BUCKET_ROWS, per_part), 1)
+
+
+def _resolve_bucket(indexed: DataFrame, index_col: str, bucket_rows: int | None, span: int = 1) -> int:
+    if bucket_rows:
+        return max(int(bucket_rows), span)
+    top = indexed.agg(F.max(index_col)).first()[0]  # one pass over the (cached) indexed frame
+    return auto_bucket_rows(indexed.sparkSession, (top + 1) if top is not None else 0, span)
+
+
 def _bucket(index_col: str, bucket_rows: int) -> Column:
     return F.floor(F.col(index_col) / F.lit(bucket_rows)).cast("long")
 
@@ -135,7 +151,7 @@ def fill_ordered(
     index_col: str = ROW_INDEX,
     partition_by: Sequence[str] = (),
     backward: bool = False,
-    bucket_rows: int = DEFAULT_BUCKET_ROWS,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Forward (or backward) fill ``columns`` along ``index_col`` within optional series.
 
@@ -145,6 +161,7 @@ def fill_ordered(
         return indexed
     pb = list(partition_by)
     b = "_tp_bucket"
+    bucket_rows = _resolve_bucket(indexed, index_col, bucket_rows)
     data = indexed.withColumn(b, _bucket(index_col, bucket_rows))
     grp = pb + [b]
     if backward:
@@ -193,7 +210,7 @@ def halo_frames(
     index_col: str = ROW_INDEX,
     partition_by: Sequence[str] = (),
     keep: Sequence[str] = (),
-    bucket_rows: int = DEFAULT_BUCKET_ROWS,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """All complete frames of ``span`` consecutive rows (stride 1), one row per frame start.
 
@@ -203,7 +220,7 @@ def halo_frames(
     """
     if span < 1:
         raise ValueError("span must be >= 1")
-    B = max(int(bucket_rows), span)
+    B = _resolve_bucket(indexed, index_col, bucket_rows, span)
     i = F.col(index_col)
     lo = F.greatest(F.lit(0).cast("long"), F.floor((i - F.lit(span - 1)) / F.lit(B)).cast("long"))
     hi = F.floor(i / F.lit(B)).cast("long")
