@@ -14,9 +14,14 @@ pandas ``quantile``, Spark ``percentile`` and DuckDB ``quantile_cont``). Two str
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pyspark import StorageLevel
@@ -24,6 +29,9 @@ from pyspark import StorageLevel
 from tidepool.functions.columns import stack_columns
 from tidepool.session import default_partitions
 
+# the per-partition rank search below runs in Python workers: ship this module's code by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                     method: str = "sort") -> dict[str, list[float | None]]:
@@ -40,14 +48,17 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in columns}
 
     long = stack_columns(df.select(*columns), columns, "column", "value").where(F.col("value").isNotNull())
-    # one range sort serves all columns; the per-(partition, column) counts give both the column
-    # sizes and the partition offsets in a single job over the cached sorted data
+    # Pre-aggregate to distinct (column, value, count) with map-side combine: a value repeated in a
+    # third of all rows becomes one row, so the range sort below is never skewed by hot values.
+    dist = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    # one range sort serves all columns; the per-(partition, column) sums give both the column
+    # sizes and the partition offsets (in rank units) in a single job over the cached data
     n_parts = default_partitions(df.sparkSession)
     keys = [F.col("column"), F.col("value")]
-    ranged = (long.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    ranged = (dist.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+              .withColumn("_pid", F.spark_partition_id())
               .persist(StorageLevel.MEMORY_AND_DISK))
-    cells = ranged.groupBy("_pid", "column").agg(F.count(F.lit(1)).alias("n")).collect()
+    cells = ranged.groupBy("_pid", "column").agg(F.sum("cnt").alias("n")).collect()
     counts: dict[str, int] = {}
     per_part: dict[int, int] = {}
     for r in cells:
@@ -78,15 +89,19 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     if not wanted:
         ranged.unpersist()
         return {c: [None] * len(probs) for c in columns}
-    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_pid") + 1)
-    gidx = offset + F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    picked = (ranged.select(gidx.alias("row_idx"), "value").where(F.col("row_idx").isin(list(wanted)))
-              .collect())
+    # each distinct value covers the global ranks [end - cnt, end). The running count is taken inside
+    # each sorted range partition (no further shuffle) and shifted by the partition's offset; only
+    # rows holding a wanted rank leave the task.
+    ranks = sorted(wanted)
+    picked = ranged.mapInPandas(_rank_hits(offsets, ranks), "value double, cnt long, _end long").collect()
     ranged.unpersist()
     values = {}
-    for r in picked:
-        c, local = wanted[r["row_idx"]]
-        values[(c, local)] = r["value"]
+    for row in picked:
+        start = row["_end"] - row["cnt"]
+        for r in ranks:
+            if start <= r < row["_end"]:
+                c, local = wanted[r]
+                values[(c, local)] = row["value"]
     out = {}
     for c in columns:
         if not plan[c]:
@@ -100,6 +115,34 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return out
 
 
+def _rank_hits(offsets: list[int], ranks: list[int]):
+    """Per-partition running counts over the sorted distinct values; yields the rows whose rank
+    span [end - cnt, end) contains one of ``ranks``."""
+    wanted = np.asarray(ranks, dtype=np.int64)
+
+    def fn(batches):
+        running = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            if running is None:
+                running = int(offsets[int(pdf["_pid"].iloc[0])])
+            ends = running + np.cumsum(pdf["cnt"].to_numpy(dtype=np.int64))
+            running = int(ends[-1])
+            starts = ends - pdf["cnt"].to_numpy(dtype=np.int64)
+            # the row holding rank r is the first whose end exceeds r
+            pos = np.searchsorted(ends, wanted, side="right")
+            ok = (pos < len(ends))
+            pos = pos[ok]
+            pos = pos[(starts[pos] <= wanted[ok])]
+            if len(pos):
+                sel = np.unique(pos)
+                yield pd.DataFrame({"value": pdf["value"].to_numpy()[sel], "cnt": pdf["cnt"].to_numpy()[sel],
+                                    "_end": ends[sel]})
+
+    return fn
+
+
 def mode_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: most frequent non-null value, ties broken by the smallest value.
 
