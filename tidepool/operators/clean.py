@@ -344,8 +344,9 @@ def subsample(
     if not apply:
         return df
     idx = "_tp_sub_idx"
-    indexed, _ = with_row_index(df, [*partition_by, *order_by], index_col=idx)
-    pos = with_series_position(indexed, partition_by, idx, "_tp_pos", length_col="_tp_len")
+    indexed, n = with_row_index(df, [*partition_by, *order_by], index_col=idx)
+    pos = with_series_position(indexed, partition_by, idx, "_tp_pos", length_col="_tp_len",
+                               bucket_rows=auto_bucket_rows(df.sparkSession, n))
     keep = (F.col("_tp_len") <= limit) | (F.col("_tp_pos") % factor == 0)
     return pos.where(keep).select(*df.columns)
 

@@ -18,9 +18,12 @@ def latest_runs(runs: DataFrame, project: str = "project", created_at: str = "cr
     """
     from tidepool.plans.order import with_row_index, with_series_position
 
-    idx, _ = with_row_index(runs, [F.col(project), F.col(created_at).desc(), F.col(run_id).desc()],
+    from tidepool.plans.order import auto_bucket_rows
+
+    idx, n = with_row_index(runs, [F.col(project), F.col(created_at).desc(), F.col(run_id).desc()],
                             index_col="_tp_runs_idx")
-    ranked = with_series_position(idx, [project], "_tp_runs_idx", "_tp_pos")
+    ranked = with_series_position(idx, [project], "_tp_runs_idx", "_tp_pos",
+                                  bucket_rows=auto_bucket_rows(runs.sparkSession, n))
     return ranked.select(*runs.columns, (F.col("_tp_pos") + 1).cast("int").alias("rank")).withColumn(
         "is_active", F.col("rank") == 1)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.columns import FLOAT64_EPS, nonzero_denominator
-from tidepool.plans.order import ROW_INDEX
+from tidepool.plans.order import ROW_INDEX, join_group_stats
 
 # Variance guard of the per-window instance normaliser.
 INSTANCE_NORM_EPS = 1e-5
@@ -286,21 +286,21 @@ def series_normalize(
     else:
         aggs = [F.min(x[c]).alias(f"_a{i}") for i, c in enumerate(cols)] + \
                [F.max(x[c]).alias(f"_b{i}") for i, c in enumerate(cols)]
+    # per-series statistics (map-side combined) attached with a salted join: skew-safe
     st = df.groupBy(*keys).agg(*aggs)
-    st = st.select(*[F.col(k).alias(f"_tp_k{i}") for i, k in enumerate(keys)],
-                   *[c for c in st.columns if c not in keys])
-    joined = df.join(st, [df[k].eqNullSafe(st[f"_tp_k{i}"]) for i, k in enumerate(keys)], "inner")
+    joined = join_group_stats(df, st, keys)
     out = []
     for c in df.columns:
         if c in cols:
             i = cols.index(c)
-            a, b = st[f"_a{i}"], st[f"_b{i}"]
+            a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+            v = F.col(c).cast("double")
             if method == "per_sample_std":
-                out.append(((df[c].cast("double") - a) / b).alias(c))
+                out.append(((v - a) / b).alias(c))
             else:
-                out.append(((df[c].cast("double") - a) / (b - a + F.lit(FLOAT64_EPS))).alias(c))
+                out.append(((v - a) / (b - a + F.lit(FLOAT64_EPS))).alias(c))
         else:
-            out.append(df[c])
+            out.append(F.col(c))
     return joined.select(*out), {}
 
 

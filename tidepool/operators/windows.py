@@ -201,8 +201,8 @@ def pad_series(
     """
     # only the columns used are indexed (the indexed frame is cached, which stops column pruning)
     df = df.select(*series, *[c for c in order_by if c not in series], *value_cols)
-    indexed, _ = with_row_index(df, [*series, *order_by])
-    pos = with_series_position(indexed, series, ROW_INDEX, "_pos")
+    indexed, n = with_row_index(df, [*series, *order_by])
+    pos = with_series_position(indexed, series, ROW_INDEX, "_pos", bucket_rows=auto_bucket_rows(df.sparkSession, n))
     if max_len is None:
         max_len = pos.groupBy(*series).count().agg(F.max("count")).first()[0] or 0
     width = len(value_cols)
@@ -229,8 +229,9 @@ def last_window(
 ) -> DataFrame:
     """Last ``seq_len`` values per series, left-padded with zeros, with a 0/1 mask."""
     df = df.select(*series, *[c for c in order_by if c not in series], value_col)
-    indexed, _ = with_row_index(df, [*series, *order_by])
-    pos = with_series_position(indexed, series, ROW_INDEX, "_pos", length_col="_len")
+    indexed, n = with_row_index(df, [*series, *order_by])
+    pos = with_series_position(indexed, series, ROW_INDEX, "_pos", length_col="_len",
+                               bucket_rows=auto_bucket_rows(df.sparkSession, n))
     tail = pos.where(F.col("_pos") >= F.col("_len") - seq_len)
     v = (F.col(value_col) if isinstance(value_col, str) else value_col).cast("double")
     g = tail.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("p"), v.alias("v"))))

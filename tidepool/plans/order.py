@@ -98,11 +98,17 @@ def with_series_position(
     index_col: str = ROW_INDEX,
     position_col: str = "series_pos",
     length_col: str | None = None,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Position inside the series = global index − first global index of the series.
 
     ``indexed`` must be indexed over ``partition_by + order_by`` so series are contiguous.
     Without series keys the position is the global index itself.
+
+    The series start (and length) come from (series, bucket) segments: one row per segment,
+    combined per series by a window over the small segment table, and joined back on
+    (series, bucket). Every join key covers at most one bucket of rows, so a series holding a
+    third of the table is still spread over many tasks.
     """
     if not partition_by:
         out = indexed.withColumn(position_col, F.col(index_col))
@@ -111,18 +117,42 @@ def with_series_position(
             n = indexed.agg(F.max(index_col)).first()[0]
             out = out.withColumn(length_col, F.lit((n if n is not None else -1) + 1).cast("long"))
         return out
-    aggs = [F.min(index_col).alias("_tp_start")]
-    if length_col:
-        aggs.append(F.count(F.lit(1)).alias(length_col))
-    starts = indexed.groupBy(*partition_by).agg(*aggs)
-    cond = [indexed[k].eqNullSafe(starts[k]) for k in partition_by]
-    joined = indexed.join(starts, cond, "inner")
-    out = joined.select(
-        indexed["*"],
+    pb = list(partition_by)
+    B = _resolve_bucket(indexed, index_col, bucket_rows)
+    data = indexed.withColumn("_tp_sb", _bucket(index_col, B))
+    seg = data.groupBy(*pb, "_tp_sb").agg(F.min(index_col).alias("_tp_seg_start"),
+                                          F.count(F.lit(1)).alias("_tp_seg_n"))
+    w = Window.partitionBy(*pb)
+    seg = seg.select(*[F.col(k).alias(f"_tp_k_{k}") for k in pb], F.col("_tp_sb").alias("_tp_sb_r"),
+                     F.min("_tp_seg_start").over(w).alias("_tp_start"),
+                     *([F.sum("_tp_seg_n").over(w).alias(length_col)] if length_col else []))
+    cond = [data[k].eqNullSafe(seg[f"_tp_k_{k}"]) for k in pb] + [data["_tp_sb"] == seg["_tp_sb_r"]]
+    joined = data.join(seg, cond, "inner")
+    return joined.select(
+        *[data[c] for c in indexed.columns],
         (F.col(index_col) - F.col("_tp_start")).alias(position_col),
-        *([starts[length_col]] if length_col else []),
+        *([F.col(length_col)] if length_col else []),
     )
-    return out
+
+
+SALT_BUCKETS = 32
+
+
+def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], salt: int = SALT_BUCKETS) -> DataFrame:
+    """Attach one-row-per-group statistics to every row of ``df`` with a salted join.
+
+    Rows get a salt from a hash of their content (deterministic on recomputation), the statistics
+    are replicated once per salt, and the join runs on (keys, salt): a group holding a third of
+    all rows is spread over ``salt`` tasks instead of one. Null keys match (null-safe).
+    """
+    keys = list(keys)
+    salted = df.withColumn("_tp_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt)))
+    rep = stats.select(*[F.col(k).alias(f"_tp_g_{k}") for k in keys],
+                       *[F.col(c) for c in stats.columns if c not in keys],
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))).alias("_tp_salt_r"))
+    cond = [salted[k].eqNullSafe(rep[f"_tp_g_{k}"]) for k in keys] + [salted["_tp_salt"] == rep["_tp_salt_r"]]
+    out = salted.join(rep, cond, "inner")
+    return out.drop("_tp_salt", "_tp_salt_r", *[f"_tp_g_{k}" for k in keys])
 
 
 def auto_bucket_rows(spark, n: int | None, span: int = 1) -> int:
