@@ -39,3 +39,19 @@ def test_hot_series_windows_are_exact_and_bucketed(spark):
     b = F.floor(F.col("row_idx") / 256)
     per_bucket = idx.groupBy(b.alias("b")).count().agg(F.max("count")).first()[0]
     assert per_bucket <= 256
+
+
+def test_salted_dictionary_join_keeps_unseen_labels(spark, monkeypatch):
+    from tidepool.operators import features
+    from tidepool.plans.order import join_group_stats
+
+    ev = spark.read.parquet(f"{SF_CHECK}/events.parquet").select("event_id", "event_type")
+    d = features.fit_label_encoder(ev, "event_type")
+    expected = features.label_encode(ev, d, out_col="code")
+    monkeypatch.setattr(features, "MAX_BROADCAST_LABELS", 0)  # force the salted path
+    extra = ev.limit(1).withColumn("event_type", F.lit("unseen"))
+    got = features.label_encode(ev.unionByName(extra), d, out_col="code")
+    assert got.count() == ev.count() + 1 and got.where(F.col("code").isNull()).count() == 1
+    assert expected.exceptAll(got.where(F.col("event_type") != "unseen")).count() == 0
+    stats = ev.groupBy("event_type").count()
+    assert join_group_stats(ev, stats, ["event_type"]).count() == ev.count()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.columns import is_numeric_type, is_string_type
-from tidepool.plans.order import with_row_index
+from tidepool.plans.order import join_group_stats, with_row_index
 
 # The class name a null label takes (text of a missing value after str()).
 NULL_LABEL = "nan"
@@ -48,8 +48,13 @@ def label_encode(df: DataFrame, dictionary: LabelDictionary, out_col: str | None
     c = dictionary.column
     out = out_col or c
     keyed = df.withColumn("_tp_label", label_text(c))
-    d = dictionary.joinable().withColumnRenamed("label", "_tp_label").withColumnRenamed("code", "_tp_code")
-    joined = keyed.join(d, "_tp_label", "left")
+    d = dictionary.table.withColumnRenamed("label", "_tp_label").withColumnRenamed("code", "_tp_code")
+    if dictionary.size <= MAX_BROADCAST_LABELS:
+        joined = keyed.join(F.broadcast(d), "_tp_label", "left")
+    else:
+        # large dictionary: salted left join, so a label carried by a third of the rows is split
+        # over many tasks; labels unseen at fit time keep their row with a null code
+        joined = join_group_stats(keyed, d, ["_tp_label"], how="left")
     cols = [F.col("_tp_code").alias(out) if x == out else F.col(x) for x in df.columns]
     if out not in df.columns:
         cols.append(F.col("_tp_code").alias(out))
@@ -57,8 +62,13 @@ def label_encode(df: DataFrame, dictionary: LabelDictionary, out_col: str | None
 
 
 def label_decode(df: DataFrame, dictionary: LabelDictionary, code_col: str, out_col: str) -> DataFrame:
-    d = dictionary.joinable().withColumnRenamed("label", out_col).withColumnRenamed("code", "_tp_code")
-    return df.join(d, df[code_col].cast("int") == d["_tp_code"], "left").drop("_tp_code")
+    d = dictionary.table.withColumnRenamed("label", out_col).withColumnRenamed("code", "_tp_code")
+    keyed = df.withColumn("_tp_code", F.col(code_col).cast("int"))
+    if dictionary.size <= MAX_BROADCAST_LABELS:
+        joined = keyed.join(F.broadcast(d), "_tp_code", "left")
+    else:  # salted left join: a frequent code does not land on one task
+        joined = join_group_stats(keyed, d, ["_tp_code"], how="left")
+    return joined.drop("_tp_code")
 
 
 def infer_task(df: DataFrame, target: str) -> tuple[str, int]:

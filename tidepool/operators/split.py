@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.plans.order import ROW_INDEX, with_row_index
+from tidepool.plans.order import ROW_INDEX, join_group_stats, with_row_index
 
 # Month and day counts of the fixed benchmark borders (12/4/4 months of 30 days).
 FIXED_BORDER_MONTHS = (12, 4, 4)
@@ -154,6 +154,8 @@ def limit_series(df: DataFrame, series_col: str, limit: float) -> DataFrame:
     limit = int(limit)
     idx, _ = with_row_index(ids, [series_col], index_col="_tp_sid")
     chosen = idx.where(F.col("_tp_sid") < limit).select(series_col)
-    # at most ``limit`` ids: broadcast only when that bound is small
-    chosen = F.broadcast(chosen) if limit <= 2_000_000 else chosen
-    return df.join(chosen, series_col, "left_semi")
+    # at most ``limit`` ids: broadcast only when that bound is small; otherwise a salted join
+    # (ids are unique, so the inner join is the semi join) keeps a hot series off a single task
+    if limit <= 2_000_000:
+        return df.join(F.broadcast(chosen), series_col, "left_semi")
+    return join_group_stats(df, chosen, [series_col])

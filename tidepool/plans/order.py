@@ -138,7 +138,8 @@ def with_series_position(
 SALT_BUCKETS = 32
 
 
-def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], salt: int = SALT_BUCKETS) -> DataFrame:
+def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], salt: int = SALT_BUCKETS,
+                     how: str = "inner") -> DataFrame:
     """Attach one-row-per-group statistics to every row of ``df`` with a salted join.
 
     Rows get a salt from a hash of their content (deterministic on recomputation), the statistics
@@ -151,7 +152,7 @@ def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], salt:
                        *[F.col(c) for c in stats.columns if c not in keys],
                        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))).alias("_tp_salt_r"))
     cond = [salted[k].eqNullSafe(rep[f"_tp_g_{k}"]) for k in keys] + [salted["_tp_salt"] == rep["_tp_salt_r"]]
-    out = salted.join(rep, cond, "inner")
+    out = salted.join(rep, cond, how)  # "left" keeps rows whose group has no statistics row
     return out.drop("_tp_salt", "_tp_salt_r", *[f"_tp_g_{k}" for k in keys])
 
 
