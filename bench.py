@@ -17,7 +17,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "forecast_pipeline",
+    "flagship_forecast",
     "describe_numeric", "histogram", "correlation_matrix", "iqr_filter",
     "fill_missing", "fill_forward_series", "interpolate_linear",
     "scaler_windowed_mean", "time_encoding", "label_encode",
@@ -34,14 +34,14 @@ def main() -> None:
     repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     names = [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q]
 
-    from tidepool.plans.flagship import forecast_pipeline
+    from tidepool.plans.flagship import flagship_forecast
     from tidepool.plans.suite import QUERIES
     from tidepool.session import local_session
 
     parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2))
     spark = local_session(cores=cpus, shuffle_partitions=parts, app="tidepool-bench")
     runners = dict(QUERIES)
-    runners["forecast_pipeline"] = forecast_pipeline
+    runners["flagship_forecast"] = flagship_forecast
 
     def run(name: str) -> float:
         t0 = time.perf_counter()

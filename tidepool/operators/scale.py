@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions.columns import FLOAT64_EPS, nonzero_denominator
+from tidepool.functions.columns import FLOAT64_EPS
 from tidepool.plans.order import ROW_INDEX, join_group_stats
 
 # Variance guard of the per-window instance normaliser.

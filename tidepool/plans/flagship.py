@@ -89,7 +89,7 @@ def ridge_forecast(train_w: DataFrame, test_w: DataFrame, pred_len: int, reg: fl
     return out.select("window_id", "y", F.array(*[F.col(f"h{h}") for h in range(pred_len)]).alias("yhat"))
 
 
-def forecast_pipeline(spark: SparkSession, sf_dir: str, seq_len: int = 24, pred_len: int = 1) -> DataFrame:
+def flagship_forecast(spark: SparkSession, sf_dir: str, seq_len: int = 24, pred_len: int = 1) -> DataFrame:
     """events → hourly series → calendar encodings → split → scale → windows → ridge → metrics row."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     hourly = ev.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t")).agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import models, split
 from tidepool.operators.features import assemble_features, fit_label_encoder, label_encode
-from tidepool.plans.flagship import forecast_pipeline
+from tidepool.plans.flagship import flagship_forecast
 from tidepool.plans.suite import query, rounded, table
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
@@ -75,7 +75,7 @@ def q_mlp(spark, sf):
 
 @query("linear_forecast")
 def q_linear_forecast(spark, sf):
-    return forecast_pipeline(spark, sf)
+    return flagship_forecast(spark, sf)
 
 
 @query("feature_importance")
