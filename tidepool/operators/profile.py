@@ -104,6 +104,37 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, quanti
     )
 
 
+def describe_time(df: DataFrame, columns: Sequence[str] | None = None, quantile_method: str = "sort") -> DataFrame:
+    """(column, count, mean_epoch_s, min, p25, p50, p75, max) per timestamp column (no std).
+
+    Quantiles interpolate linearly on microseconds since the epoch; the mean is given in epoch
+    seconds."""
+    ts_types = (T.TimestampType, T.TimestampNTZType, T.DateType)
+    cols = list(columns) if columns is not None else [f.name for f in df.schema.fields if isinstance(f.dataType, ts_types)]
+    if not cols:
+        raise ValueError("no time columns")
+    # wall-clock microseconds since the epoch (independent of the session time zone)
+    micros = {c: F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
+                        f"cast(`{c}` as timestamp_ntz))") for c in cols}
+    spark = df.sparkSession
+    staged = df.select(*[micros[c].alias(c) for c in cols])
+    q = exact_quantiles(staged, cols, [0.0, 0.25, 0.5, 0.75, 1.0], method=quantile_method)
+    qdf = spark.createDataFrame([(c, *[None if v is None else int(round(v)) for v in q[c]]) for c in cols],
+                                "column string, q0 long, q1 long, q2 long, q3 long, q4 long")
+    moments = staged.agg(*[F.struct(F.count(c).alias("count"), (F.avg(c) / 1e6).alias("mean")).alias(f"m{i}")
+                           for i, c in enumerate(cols)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}.count").alias("count"),
+                              F.col(f"m{i}.mean").alias("mean_epoch_s")) for i, c in enumerate(cols)])
+    long = moments.select(F.inline(rows))
+
+    def ts(c: str):
+        return F.expr(f"timestampadd(MICROSECOND, `{c}`, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+
+    return long.join(F.broadcast(qdf), "column").select(
+        "column", "count", "mean_epoch_s", ts("q0").alias("min"), ts("q1").alias("p25"), ts("q2").alias("p50"),
+        ts("q3").alias("p75"), ts("q4").alias("max"))
+
+
 def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, count, unique, top, freq) per string column; ``top`` ties → smallest value."""
     cols = list(columns) if columns is not None else string_columns(df)

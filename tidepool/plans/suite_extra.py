@@ -82,6 +82,19 @@ def q_instance_denormalize(spark, sf):
     return z.select("vec_id", "step", "ch", F.round("val", 6).alias("val"))
 
 
+_TIME_COLS = [("orders", "o_orderdate"), ("lineitem", "l_shipdate")]
+
+
+@query("describe_time", "\nunion all\n".join(
+    f"select '{c}' as \"column\", count({c}) as count, round(avg(epoch({c})), 3) as mean_epoch_s, min({c}) as min, "
+    f"quantile_cont({c}, 0.25) as p25, quantile_cont({c}, 0.5) as p50, quantile_cont({c}, 0.75) as p75, "
+    f"max({c}) as max from {t}" for t, c in _TIME_COLS))
+def q_describe_time(spark, sf):
+    parts = [profile.describe_time(table(spark, sf, t).select(c)) for t, c in _TIME_COLS]
+    out = parts[0].unionByName(parts[1])
+    return out.withColumn("mean_epoch_s", F.round("mean_epoch_s", 3))
+
+
 @query("columns_with_nulls", f"""
 select sum(case when c > 0 then 1 else 0 end) as columns_with_nulls from (
   select count(*) - count(event_id) as c from {EVENTS_NULLS_SQL} union all
