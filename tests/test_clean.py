@@ -63,6 +63,26 @@ def test_iqr(spark):
     assert clean.iqr_filter(withnull)[0].where(F.col("val").isNull()).count() == 0
 
 
+def test_iqr_is_sequential(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a = np.concatenate([rng.normal(size=60), [15.0, -12.0]])
+    b = np.concatenate([rng.normal(size=60) * 3, [0.0, 40.0]])
+    rows = list(zip(a.tolist(), b.tolist()))
+    keep = np.ones(len(rows), bool)
+    for col in (a, b):  # expected: each column's quartiles over the rows kept so far
+        v = col[keep]
+        q1, q3 = np.quantile(v, [0.25, 0.75])
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        mask = keep & (col >= lo) & (col <= hi)
+        if 0 < keep.sum() - mask.sum() < keep.sum():
+            keep = mask
+    df = spark.createDataFrame(rows, "a double, b double")
+    out, report = clean.iqr_filter(df, 1.5, ["a", "b"])
+    assert out.count() == int(keep.sum()) and len(report) == 2
+
+
 def test_interpolate_and_nonfinite(spark):
     df = spark.createDataFrame([(0, None), (1, 1.0), (2, None), (3, None), (4, 4.0), (5, None)], "i int, a double")
     got = [r["a"] for r in clean.interpolate_linear(df, ["a"], ["i"]).orderBy("i").collect()]

@@ -74,11 +74,15 @@ def iqr_filter(
     applied = 0
     removed_any = False
     n = current.count()  # afterwards tracked from the removal counts: one count per applied filter
-    for c in cols:
+    # quartiles of all remaining columns in one pass; they stay valid until a filter removes rows
+    quartiles: dict[str, list] = {}
+    for k, c in enumerate(cols):
         if n <= 3:
             report.append(f"Too few rows ({n}) to detect outliers in '{c}'")
             continue
-        q1, q3 = exact_quantiles(current, [c], [0.25, 0.75], method=quantile_method)[c]
+        if c not in quartiles:
+            quartiles = exact_quantiles(current, cols[k:], [0.25, 0.75], method=quantile_method)
+        q1, q3 = quartiles[c]
         if q1 is None:
             continue
         iqr = q3 - q1
@@ -90,6 +94,7 @@ def iqr_filter(
         if 0 < n_removed < n:
             current = current.where(keep)
             n -= n_removed
+            quartiles = {}  # the rows changed: later columns need fresh quartiles
             removed_any = True
             applied += 1
             report.append(f"Removed {n_removed} outliers from '{c}'")
@@ -311,8 +316,8 @@ def interpolate_linear(
         staged = staged.withColumn(f"_tp_p_{c}", tag).withColumn(f"_tp_n_{c}", tag)
         prev_cols.append(f"_tp_p_{c}")
         next_cols.append(f"_tp_n_{c}")
-    staged = fill_ordered(staged, prev_cols, idx, partition_by, False, bucket_rows)
-    staged = fill_ordered(staged, next_cols, idx, partition_by, True, bucket_rows)
+    # previous and next non-null (index, value) in one bucketed pass
+    staged = fill_ordered(staged, prev_cols, idx, partition_by, False, bucket_rows, backward_columns=next_cols)
     out = []
     for c in indexed.columns:
         if c == idx:

@@ -183,54 +183,66 @@ def fill_ordered(
     partition_by: Sequence[str] = (),
     backward: bool = False,
     bucket_rows: int | None = None,
+    backward_columns: Sequence[str] = (),
 ) -> DataFrame:
     """Forward (or backward) fill ``columns`` along ``index_col`` within optional series.
 
-    Leading nulls stay null for a forward fill, trailing nulls for a backward fill.
+    Leading nulls stay null for a forward fill, trailing nulls for a backward fill. With
+    ``backward=False``, ``backward_columns`` are filled backward in the same pass.
     """
-    if not columns:
+    if not columns and not backward_columns:
         return indexed
     pb = list(partition_by)
     b = "_tp_bucket"
     bucket_rows = _resolve_bucket(indexed, index_col, bucket_rows)
     data = indexed.withColumn(b, _bucket(index_col, bucket_rows))
+    fwd = [] if backward else list(columns)
+    bwd = list(columns) if backward else list(backward_columns)
+    return _fill_pass(data, indexed.columns, fwd, bwd, index_col, pb, b)
+
+
+def _fill_pass(data: DataFrame, out_columns: Sequence[str], fwd: Sequence[str], bwd: Sequence[str],
+               index_col: str, pb: list[str], b: str) -> DataFrame:
+    """One bucketed pass filling ``fwd`` columns forward and ``bwd`` columns backward.
+
+    Both directions share the per-bucket window (one Window operator, two frames), one carry
+    aggregate, one window over the carry table and one join.
+    """
     grp = pb + [b]
-    if backward:
-        w_local = Window.partitionBy(*grp).orderBy(index_col).rowsBetween(0, Window.unboundedFollowing)
-    else:
-        w_local = Window.partitionBy(*grp).orderBy(index_col).rowsBetween(Window.unboundedPreceding, 0)
+    w_sorted = Window.partitionBy(*grp).orderBy(index_col)
+    w_fwd = w_sorted.rowsBetween(Window.unboundedPreceding, 0)
+    w_bwd = w_sorted.rowsBetween(0, Window.unboundedFollowing)
 
-    # carry table: per (series, bucket) the last (first) non-null value of each column
-    carry_aggs = []
-    for c in columns:
-        tagged = F.when(F.col(c).isNotNull(), F.struct(F.col(index_col).alias("i"), F.col(c).alias("v")))
-        agg = F.min(tagged) if backward else F.max(tagged)
-        carry_aggs.append(agg.getField("v").alias(f"_tp_last_{c}"))
-    carry = data.groupBy(*grp).agg(*carry_aggs)
-    if backward:
-        w_carry = Window.partitionBy(*pb).orderBy(F.col(b)).rowsBetween(1, Window.unboundedFollowing)
-        carry = carry.select(
-            *grp, *[F.first(f"_tp_last_{c}", True).over(w_carry).alias(f"_tp_in_{c}") for c in columns]
-        )
-    else:
-        w_carry = Window.partitionBy(*pb).orderBy(F.col(b)).rowsBetween(Window.unboundedPreceding, -1)
-        carry = carry.select(
-            *grp, *[F.last(f"_tp_last_{c}", True).over(w_carry).alias(f"_tp_in_{c}") for c in columns]
-        )
-
-    local_fn = F.first if backward else F.last
+    # carry table: per (series, bucket) the last non-null value (forward) and the first (backward)
+    def tagged(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(F.col(index_col).alias("i"), F.col(c).alias("v")))
+
+    carry = data.groupBy(*grp).agg(
+        *[F.max(tagged(c)).getField("v").alias(f"_tp_lf_{c}") for c in fwd],
+        *[F.min(tagged(c)).getField("v").alias(f"_tp_lb_{c}") for c in bwd],
+    )
+    w_cf = Window.partitionBy(*pb).orderBy(F.col(b)).rowsBetween(Window.unboundedPreceding, -1)
+    w_cb = Window.partitionBy(*pb).orderBy(F.col(b)).rowsBetween(1, Window.unboundedFollowing)
+    carry = carry.select(
+        *[F.col(k).alias(f"_tp_ck_{k}") for k in grp],
+        *[F.last(f"_tp_lf_{c}", True).over(w_cf).alias(f"_tp_if_{c}") for c in fwd],
+        *[F.first(f"_tp_lb_{c}", True).over(w_cb).alias(f"_tp_ib_{c}") for c in bwd],
+    )
     local = data.select(
-        *[F.col(c) for c in data.columns if c not in columns],
-        *[local_fn(c, True).over(w_local).alias(c) for c in columns],
+        *[F.col(c) for c in data.columns],
+        *[F.last(c, True).over(w_fwd).alias(f"_tp_f_{c}") for c in fwd],
+        *[F.first(c, True).over(w_bwd).alias(f"_tp_b_{c}") for c in bwd],
     )
-    cond = [local[k].eqNullSafe(carry[k]) for k in grp]
+    cond = [local[k].eqNullSafe(carry[f"_tp_ck_{k}"]) for k in grp]
     joined = local.join(carry, cond, "left")
     out_cols = []
-    for c in indexed.columns:
-        if c in columns:
-            out_cols.append(F.coalesce(local[c], carry[f"_tp_in_{c}"]).alias(c))
+    for c in out_columns:
+        if c in fwd:
+            out_cols.append(F.coalesce(F.col(f"_tp_f_{c}"), F.col(f"_tp_if_{c}")).alias(c))
+        elif c in bwd:
+            out_cols.append(F.coalesce(F.col(f"_tp_b_{c}"), F.col(f"_tp_ib_{c}")).alias(c))
         else:
-            out_cols.append(local[c])
+            out_cols.append(F.col(c))
     return joined.select(*out_cols)
 
 
