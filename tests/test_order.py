@@ -20,6 +20,16 @@ def test_row_index_equals_row_number(spark):
     assert sorted(r[0] for r in idx.select("row_idx").collect()) == list(range(n))
 
 
+def test_many_partitions_use_an_offset_table(spark, monkeypatch):
+    from tidepool.plans import order
+
+    monkeypatch.setattr(order, "MAX_LITERAL_OFFSETS", 2)
+    ev = _events(spark)
+    idx, n = with_row_index(ev, ["ts", "event_id"], num_partitions=6)
+    assert sorted(r[0] for r in idx.select("row_idx").collect()) == list(range(n))
+    assert order.target_partitions(ev) >= 1
+
+
 def test_bucketed_fill_equals_global_window(spark):
     ev = _events(spark)
     idx, _ = with_row_index(ev, ["user_id", "ts", "event_id"])

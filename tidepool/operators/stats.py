@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
 from tidepool.functions.columns import stack_columns
-from tidepool.session import default_partitions
+from tidepool.plans.order import target_partitions
 
 # the per-partition rank search below runs in Python workers: ship this module's code by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -53,7 +53,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     dist = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
     # one range sort serves all columns; the per-(partition, column) sums give both the column
     # sizes and the partition offsets (in rank units) in a single job over the cached data
-    n_parts = default_partitions(df.sparkSession)
+    n_parts = target_partitions(dist)
     keys = [F.col("column"), F.col("value")]
     ranged = (dist.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())

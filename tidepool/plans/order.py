@@ -70,7 +70,7 @@ def row_index_parts(
     checkpoint into ``spark.checkpoint.dir``) or ``"none"`` (recompute the range shuffle).
     """
     keys = _cols(order_by)
-    n_parts = num_partitions or default_partitions(df.sparkSession)
+    n_parts = num_partitions or target_partitions(df)
     ranged = (
         df.repartitionByRange(n_parts, *keys)
         .sortWithinPartitions(*keys)
@@ -86,12 +86,45 @@ def row_index_parts(
     for p in range(n_parts):
         offsets.append(running)
         running += counts.get(p, 0)
-    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col(_PID) + 1)
+    with_off = attach_partition_offsets(ranged, offsets, _PID, "_tp_off")
     local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), _LOCAL_BITS)
-    indexed = ranged.withColumn(index_col, offset + local).drop(_PID, _MID)
+    indexed = with_off.withColumn(index_col, F.col("_tp_off") + local).drop(_PID, _MID, "_tp_off")
     return indexed, running, ranged
 
 
+# Target bytes per range partition when the partition count is derived from the data size.
+TARGET_PARTITION_BYTES = 256 << 20
+# Up to this many partitions the offsets travel as a literal array in the plan; above it, as a
+# (partition, offset) table joined by broadcast (one row per partition: a bounded size).
+MAX_LITERAL_OFFSETS = 4096
+
+
+def target_partitions(df: DataFrame) -> int:
+    """Range-partition count: at least ``spark.sql.shuffle.partitions``, and enough partitions for
+    about ``TARGET_PARTITION_BYTES`` each according to the optimizer's size estimate (no job)."""
+    base = default_partitions(df.sparkSession)
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:
+        return base
+    if size <= 0 or size >= (1 << 62):  # unknown estimate
+        return base
+    return max(base, -(-size // TARGET_PARTITION_BYTES))
+
+
+def attach_partition_offsets(df: DataFrame, offsets: Sequence[int | float], pid_col: str, out_col: str) -> DataFrame:
+    """Add ``offsets[pid]`` as ``out_col``: a literal array for few partitions, a broadcast
+    (partition, offset) table for many."""
+    dtype = "double" if any(isinstance(o, float) for o in offsets) else "long"
+    if len(offsets) <= MAX_LITERAL_OFFSETS:
+        arr = F.array(*[F.lit(o).cast(dtype) for o in offsets])
+        return df.withColumn(out_col, F.element_at(arr, F.col(pid_col) + 1))
+    conv = float if dtype == "double" else int
+    table = df.sparkSession.createDataFrame(list(enumerate(conv(o) for o in offsets)),
+                                            f"_tp_opid int, {out_col} {dtype}")
+    return df.join(F.broadcast(table), df[pid_col] == table["_tp_opid"], "left").drop("_tp_opid")
+
+
 def with_series_position(
     indexed: DataFrame,
     partition_by: Sequence[str],
@@ -304,7 +337,7 @@ def with_prefix_sums(
     run the window inside each range partition only, and add the partition's offset.
     """
     keys = _cols(order_by)
-    n_parts = num_partitions or default_partitions(df.sparkSession)
+    n_parts = num_partitions or target_partitions(df)
     ranged = df.repartitionByRange(n_parts, *keys).withColumn(_PID, F.spark_partition_id())
     ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
     totals = {r[_PID]: r for r in ranged.groupBy(_PID).agg(*[F.sum(c).alias(c) for c in columns]).collect()}
@@ -316,6 +349,6 @@ def with_prefix_sums(
             offsets.append(running)
             t = totals.get(p)
             running += (t[c] or 0) if t is not None else 0
-        off = F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col(_PID) + 1)
-        out = out.withColumn(f"{c}{suffix}", F.sum(c).over(w) + off)
+        out = attach_partition_offsets(out, offsets, _PID, f"_tp_off_{c}")
+        out = out.withColumn(f"{c}{suffix}", F.sum(c).over(w) + F.col(f"_tp_off_{c}")).drop(f"_tp_off_{c}")
     return out.drop(_PID)
