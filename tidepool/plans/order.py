@@ -229,6 +229,8 @@ def fill_ordered(
     b = "_tp_bucket"
     bucket_rows = _resolve_bucket(indexed, index_col, bucket_rows)
     data = indexed.withColumn(b, _bucket(index_col, bucket_rows))
+    # size-derived task count; the per-bucket window and the carry aggregate reuse it
+    data = data.repartition(target_partitions(indexed), *pb, b)
     fwd = [] if backward else list(columns)
     bwd = list(columns) if backward else list(backward_columns)
     return _fill_pass(data, indexed.columns, fwd, bwd, index_col, pb, b)
@@ -308,6 +310,8 @@ def halo_frames(
         *[expr.alias(f"_tp_c_{name}") for name, expr in collect.items()],
         F.explode(F.sequence(lo, hi)).alias("_tp_b"),
     )
+    # as many tasks as the data size asks for (the window reuses this partitioning)
+    staged = staged.repartition(target_partitions(indexed), "_tp_b")
     w = Window.partitionBy("_tp_b").orderBy(index_col).rowsBetween(0, span - 1)
     framed = staged.select(
         F.col(index_col),
