@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.columns import FLOAT64_MAX, is_numeric_type, is_string_type
@@ -368,7 +368,7 @@ def with_null_every(df: DataFrame, column: str, key: str, every: int, out: str |
 
 
 __all__ = [
-    "ROW_INDEX", "Window", "drop_columns", "drop_duplicates", "duplicate_report", "fill_backward",
-    "fill_constant", "fill_forward", "fill_mean", "fill_median", "fill_missing", "fill_mode", "fill_zero",
-    "interpolate_linear", "iqr_filter", "nan_to_zero", "nonfinite_to_null_all", "subsample",
+    "drop_columns", "drop_duplicates", "duplicate_report", "fill_backward", "fill_constant", "fill_forward",
+    "fill_mean", "fill_median", "fill_missing", "fill_mode", "fill_zero", "interpolate_linear", "iqr_filter",
+    "nan_to_zero", "nonfinite_to_null_all", "ragged_dimensions", "subsample", "with_null_every",
 ]
