@@ -68,9 +68,16 @@ def median_gap_seconds(df: DataFrame, time_col: str, quantile_method: str = "sor
     """Median gap between consecutive sorted timestamps (None when fewer than 2 rows)."""
     t = df.select(epoch_seconds(time_col).alias("_t")).where(F.col("_t").isNotNull())
     indexed, n = with_row_index(t, ["_t"], index_col=ROW_INDEX)
+    return median_gap_indexed(indexed, F.col("_t"), n, ROW_INDEX, quantile_method)
+
+
+def median_gap_indexed(indexed: DataFrame, seconds: Column, n: int, index_col: str = ROW_INDEX,
+                       quantile_method: str = "sort") -> float | None:
+    """Median gap over a frame already indexed in time order (no second sort)."""
     if n < 2:
         return None
-    pairs = halo_frames(indexed, 2, {"ts": F.col("_t")}, bucket_rows=auto_bucket_rows(df.sparkSession, n, 2))
+    pairs = halo_frames(indexed, 2, {"ts": seconds}, index_col,
+                        bucket_rows=auto_bucket_rows(indexed.sparkSession, n, 2))
     gaps = pairs.select((F.element_at("ts", 2) - F.element_at("ts", 1)).alias("gap"))
     return exact_quantiles(gaps, ["gap"], [0.5], method=quantile_method)["gap"][0]
 

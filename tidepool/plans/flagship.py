@@ -46,9 +46,13 @@ def prepare_time_series(
 ) -> tuple[DataFrame, DataFrame, SplitMeta]:
     """Windows ``(window_id, x, y)`` for train and test plus the fitted metadata."""
     windows.check_window_params(seq_len, pred_len)
-    enc_df, enc_names, gran = timefeat.time_encoding(df, time_col, granularity)
-    staged = enc_df.withColumn("_tp_t", timefeat.time_column(enc_df, time_col))
+    staged = df.withColumn("_tp_t", timefeat.time_column(df, time_col))
     indexed, n = with_row_index(staged, ["_tp_t", *(tie_breaker or [])])
+    if granularity == "auto":
+        # the median gap comes from the chronological index built for the split (no second sort)
+        gap = timefeat.median_gap_indexed(indexed, timefeat.epoch_seconds("_tp_t"), n)
+        granularity = timefeat.granularity_from_gap(gap)
+    indexed, enc_names, gran = timefeat.time_encoding(indexed, time_col, granularity)
     num, _ = feature_columns(indexed, target, exclude=[time_col, "_tp_t", ROW_INDEX])
     train, test, cut = split.chronological_split(indexed, n, test_size, min_train=seq_len + pred_len)
     n_test = n - cut
