@@ -92,6 +92,13 @@ def test_spectral_against_numpy(spark):
     spec = np.fft.rfft(x)
     spec[16:] = 0
     assert np.allclose(lp, np.fft.irfft(spec, n=32))
+    keep = series.mode_indices(32, 4, "random", seed=3)
+    assert len(keep) == 4 and keep == sorted(keep) and max(keep) < 16
+    rl = df.select(series.lowpass("x", 4, "random", 3).alias("l")).first()["l"]
+    spec = np.fft.rfft(x)
+    kept = np.zeros_like(spec)
+    kept[keep] = spec[keep]
+    assert np.allclose(rl, np.fft.irfft(kept, n=32))
     fx = df.select(series.fourier_extrapolate("x", 3, 4).alias("f")).first()["f"]
     assert len(fx) == 36
     short = _arr(spark, [1.0, 2.0]).select(series.fourier_extrapolate("x", 3, 2).alias("f")).first()["f"]

@@ -193,14 +193,28 @@ def top_frequencies(x: str | Column, k: int) -> Column:
     return _tf(_c(x))
 
 
-def lowpass(x: str | Column, modes: int) -> Column:
-    """Keep the first ``min(modes, L // 2)`` Fourier modes (DC included), zero the rest, invert."""
+def mode_indices(length: int, modes: int, mode_select: str = "lowest", seed: int = 0) -> list[int]:
+    """Fourier modes kept: the lowest ``min(modes, L // 2)``, or that many drawn at random (seeded)
+    from ``0 .. L//2 - 1`` and sorted."""
+    m = min(modes, length // 2)
+    if mode_select == "random":
+        idx = list(range(length // 2))
+        np.random.RandomState(seed).shuffle(idx)
+        return sorted(idx[:m])
+    return list(range(m))
+
+
+def lowpass(x: str | Column, modes: int, mode_select: str = "lowest", seed: int = 0) -> Column:
+    """Keep ``min(modes, L // 2)`` Fourier modes (the lowest, DC included, or a seeded random
+    choice), zero the rest, invert."""
 
     def _lp(a: np.ndarray) -> np.ndarray:
         t = a.shape[1]
-        m = min(modes, t // 2)
+        keep = mode_indices(t, modes, mode_select, seed)
         spec = np.fft.rfft(a, axis=1)
-        spec[:, m:] = 0
+        mask = np.zeros(spec.shape[1], dtype=bool)
+        mask[keep] = True
+        spec[:, ~mask] = 0
         return np.fft.irfft(spec, n=t, axis=1)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.operators import evaluate, scale, split, timefeat, windows
+from tidepool.operators import evaluate, scale, series, split, timefeat, windows
 from tidepool.operators.features import feature_columns
 from tidepool.operators.models import fit_model, predict
 from tidepool.plans.order import ROW_INDEX, with_row_index
@@ -76,9 +76,29 @@ def prepare_time_series(
     return side(train, cut), side(test, n_test), meta
 
 
-def ridge_forecast(train_w: DataFrame, test_w: DataFrame, pred_len: int, reg: float = 1e-3) -> DataFrame:
-    """One ridge regression per horizon step on the flattened window; returns (window_id, y, yhat)."""
+def decomposed_features(w: DataFrame, n_channels: int, kernel: int = 25) -> DataFrame:
+    """Seasonal and trend parts of every channel of the ``x`` window, concatenated: the inputs of
+    the decomposition-linear forecaster. (Seasonal + trend is linear in x, hence the ridge term.)"""
+    k = kernel if kernel % 2 == 1 else kernel + 1
+
+    def channel(j: int):
+        return F.transform("x", lambda r: F.element_at(r, j + 1))
+
+    chans = w.select("window_id", "y", *[channel(j).alias(f"_c{j}") for j in range(n_channels)])
+    parts = chans.select("window_id", "y", *[series.decompose(f"_c{j}", k).alias(f"_d{j}") for j in range(n_channels)])
+    feats = [F.concat(F.col(f"_d{j}.seasonal"), F.col(f"_d{j}.trend")) for j in range(n_channels)]
+    return parts.select("window_id", F.concat(*feats).alias("features"), "y")
+
+
+def ridge_forecast(train_w: DataFrame, test_w: DataFrame, pred_len: int, reg: float = 1e-3,
+                   n_channels: int | None = None, kernel: int = 25) -> DataFrame:
+    """One ridge regression per horizon step; returns (window_id, y, yhat).
+
+    With ``n_channels`` the features are the per-channel seasonal/trend decomposition of the window
+    (the reference's decomposition-linear model); without, the flattened window."""
     def flat(w: DataFrame) -> DataFrame:
+        if n_channels:
+            return decomposed_features(w, n_channels, kernel)
         return w.select("window_id", F.flatten("x").alias("features"), "y")
 
     tr, te = flat(train_w).cache(), flat(test_w)
@@ -99,7 +119,7 @@ def flagship_forecast(spark: SparkSession, sf_dir: str, seq_len: int = 24, pred_
     hourly = ev.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t")).agg(
         F.avg("value").alias("value"), F.count(F.lit(1)).alias("n"))
     train_w, test_w, meta = prepare_time_series(hourly, "t", "value", seq_len=seq_len, pred_len=pred_len)
-    scored = ridge_forecast(train_w, test_w, pred_len)
+    scored = ridge_forecast(train_w, test_w, pred_len, n_channels=len(meta.feature_names))
     m = evaluate.regression_metrics_multi(scored)
     return m.select(
         F.round("mse", 6).alias("mse"), F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"),
