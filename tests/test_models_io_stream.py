@@ -120,6 +120,21 @@ def test_fit_on_batch_apply_on_stream(spark):
     assert got.exceptAll(batch).count() == 0
 
 
+def test_model_scoring_on_a_stream(spark):
+    """Fit on batch, score a file-source stream: the streamed predictions equal batch scoring."""
+    full = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    feats = full.select("event_id", F.array(F.col("value"), F.col("user_id").cast("double")).alias("features"),
+                        (F.col("value") * 2).alias("label"))
+    m = models.fit_model(feats, "decision_tree_regressor", {"max_depth": 3}, "regression")
+    batch = models.predict(m, feats).select("event_id", "yhat")
+    src = spark.readStream.schema(full.schema).option("pathGlobFilter", "events.parquet").parquet(SF_SMALL)
+    sfeats = src.select("event_id", F.array(F.col("value"), F.col("user_id").cast("double")).alias("features"))
+    q = stream_to_table(models.predict(m, sfeats).select("event_id", "yhat"), "tp_stream_scores")
+    q.awaitTermination()
+    got = spark.sql("select * from tp_stream_scores")
+    assert got.count() == batch.count() and got.exceptAll(batch).count() == 0
+
+
 def test_history_and_model_files(spark):
     d = tempfile.mkdtemp(prefix="tp-hist-")
     h = spark.createDataFrame([(1, 0.5, 0.6, 0.1, 0.2, 1.0), (2, 0.25, 0.3, 0.2, 0.3, 3.0)],
