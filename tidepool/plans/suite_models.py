@@ -93,6 +93,43 @@ def q_train_test_scores(spark, sf):
     return rounded(spark.createDataFrame([(s["train_r2"], s["test_r2"])], "train_r2 double, test_r2 double"))
 
 
+@query("save_load_model")
+def q_save_load_model(spark, sf):
+    """Fit, save into the checkpoint folder, load back and score with the loaded model."""
+    import os
+    import uuid
+
+    from tidepool.session import ensure_checkpoint_dir
+
+    train, test, _ = _regression_sides(spark, sf)
+    m = models.fit_model(train, "decision_tree_regressor", SMALL_FOREST, "regression")
+    path = os.path.join(ensure_checkpoint_dir(spark), "tidepool-models", f"dt-{uuid.uuid4().hex}")
+    models.save_model(m, path)
+    return _scored(models.predict(models.load_model(path), test))
+
+
+@query("write_history")
+def q_write_history(spark, sf):
+    """Per-iteration objective history of a linear model on lineitem, written as CSV and read back."""
+    import os
+    import uuid
+
+    from pyspark.ml.regression import LinearRegression
+
+    from tidepool.session import ensure_checkpoint_dir
+    from tidepool.sources import io
+
+    li = table(spark, sf, "lineitem").select(
+        F.array(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")).alias("features"),
+        F.col("l_extendedprice").alias("label"))
+    fit = LinearRegression(featuresCol="fvec", solver="l-bfgs", maxIter=10, regParam=0.01).fit(models.with_vector(li))
+    hist = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(fit.summary.objectiveHistory)],
+                                 "epoch int, train_loss double")
+    path = os.path.join(ensure_checkpoint_dir(spark), "tidepool-history", f"h-{uuid.uuid4().hex}")
+    io.write_history(hist, path)
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
 @query("cross_validate")
 def q_cross_validate(spark, sf):
     df = _lineitem(spark, sf, "l_extendedprice")
