@@ -159,7 +159,20 @@ def fit_model(train: DataFrame, name: str, params: dict | None = None, task_type
     n_features = len(train.select(features).first()[0]) if name == "mlp_classifier" else 0
     est = build_estimator(name, params, task_type, n_features, n_classes, label)
     data = with_vector(train, features).withColumn(label, F.col(label).cast("double"))
-    return Pipeline(stages=[est]).fit(data)
+    return Pipeline(stages=[est]).fit(_training_partitions(data))
+
+
+def _training_partitions(df: DataFrame) -> DataFrame:
+    """Iterative learners run one job per iteration over every input partition: merge tiny
+    partitions (coalesce, no shuffle) down to what the data size and the cores ask for."""
+    from tidepool.plans.order import TARGET_PARTITION_BYTES, estimated_bytes
+
+    spark = df.sparkSession
+    size = estimated_bytes(df)
+    if size is None or size <= 0 or size >= (1 << 62):
+        return df
+    want = max(spark.sparkContext.defaultParallelism, -(-size // TARGET_PARTITION_BYTES))
+    return df.coalesce(want)
 
 
 def predict(model: PipelineModel, df: DataFrame, features: str = "features") -> DataFrame:

@@ -99,13 +99,21 @@ TARGET_PARTITION_BYTES = 256 << 20
 MAX_LITERAL_OFFSETS = 4096
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of ``df`` (no job runs); None when unavailable."""
+    try:
+        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(v) if isinstance(v, int) else int(str(v.toString()))
+    except Exception:
+        return None
+
+
 def target_partitions(df: DataFrame) -> int:
     """Range-partition count: at least ``spark.sql.shuffle.partitions``, and enough partitions for
     about ``TARGET_PARTITION_BYTES`` each according to the optimizer's size estimate (no job)."""
     base = default_partitions(df.sparkSession)
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:
+    size = estimated_bytes(df)
+    if size is None:
         return base
     if size <= 0 or size >= (1 << 62):  # unknown estimate
         return base
