@@ -30,6 +30,18 @@ def test_many_partitions_use_an_offset_table(spark, monkeypatch):
     assert order.target_partitions(ev) >= 1
 
 
+def test_partition_count_follows_the_size_estimate(spark, monkeypatch):
+    from tidepool.plans import order
+
+    li = spark.read.parquet(f"{SF_CHECK}/lineitem.parquet")
+    size = order.estimated_bytes(li)
+    assert size and size > 100_000
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert order.target_partitions(li) == base
+    monkeypatch.setattr(order, "TARGET_PARTITION_BYTES", 1 << 14)
+    assert order.target_partitions(li) == -(-size // (1 << 14)) > base
+
+
 def test_bucketed_fill_equals_global_window(spark):
     ev = _events(spark)
     idx, _ = with_row_index(ev, ["user_id", "ts", "event_id"])
