@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
             # a machine-local folder is not reachable from other executors
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's file system)")
         configured = tempfile.mkdtemp(prefix="tidepool-ckpt-")
