@@ -58,7 +58,7 @@ class Features:
     def __call__(self, text: str, declared: int | None) -> tuple[np.ndarray, list[float]]:
         words = text.split()
         counts, cache = Counter(words), self.cache
-        for word in counts.keys() - cache.keys():
+        for word in set(counts).difference(cache):
             cache[word] = zlib.crc32(word.encode()) % self.buckets
         at = np.fromiter(map(cache.__getitem__, counts), dtype=np.int64, count=len(counts))
         tf = np.log1p(np.fromiter(counts.values(), dtype=np.float64, count=len(counts)))
