@@ -1,24 +1,58 @@
-"""Corpus pipeline: quality, exact copies, near copies, benchmark leaks, tokens."""
+"""Corpus pipeline: quality, exact copies, near copies, benchmark leaks, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every result to the
+shared scratch folder and hands the stored table to the next stage. All but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import bpe
-from tidepool.llm.common import scratch_folder, written
+from tidepool.llm import bpe, decontaminate, exact_dedup, quality, simhash
+from tidepool.llm.common import scratch_folder, table, written
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(docs, bpe.public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine, fitted on the labelled ones, does not reject."""
+    return quality.keep_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: that with the largest id."""
+    return exact_dedup.keep_one(docs)
+
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: that with the smallest id."""
+    return simhash.keep_representatives(docs)
 
-STAGES = [("tokens", tokens)]
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token count and the digests of its ids and of their decoding."""
+    return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality_classifier", good_quality),
+    ("exact_dedup", without_copies),
+    ("simhash_near_dedup", without_near_copies),
+    ("benchmark_decontamination", without_benchmark),
+    ("byte_level_bpe", tokens),
+]
+#: SQL has no factorisation machine, SimHash components or BPE; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = scratch_folder(spark)
-    for name, stage in STAGES[:-1]:
+    """All stages over ``documents``; the last one's rows."""
+    docs, folder = table(spark, sf_dir, "documents"), scratch_folder(spark)
+    for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), folder, name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs

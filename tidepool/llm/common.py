@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -62,5 +63,30 @@ def partitions_for(spark: SparkSession, n_bytes: int, target: int) -> int:
     return max(default_partitions(spark), -(-int(n_bytes) // target))
 
 
+def filter_rows(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Sequence[bool]]]) -> DataFrame:
+    """The rows whose mask is true, with all their columns, in one pass without a shuffle. ``make``
+    is called once a task and gives the function that marks a batch's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = None
+        for batch in batches:
+            mark = mark or make()
+            yield batch.filter(pa.array(mark(batch), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
+    return ["" if t is None else t for t in batch.column(column).to_pylist()]
+
+
+def fresh_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

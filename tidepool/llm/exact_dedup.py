@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import ddl, scratch_folder, table, text_of, written
+from tidepool.llm.common import ddl, fresh_name, scratch_folder, table, text_of, written
 from tidepool.session import default_partitions
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -199,6 +199,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     (F.col("top") & (F.col("record") == F.col("keep_record"))).alias("kept"), "text_sha256"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`exact_groups` keeps."""
+    by_id, by_text = fresh_name(docs, "by_id"), fresh_name(docs, "by_text")
+    kept = exact_groups(docs, id_col, text_col).filter("kept")
+    keys = kept.select(F.coalesce("doc_id", F.lit(LOWEST)).alias(by_id), F.col("text_sha256").alias(by_text))
+    marked = docs.withColumns({by_id: F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST)), by_text: F.sha2(text_of(text_col).cast("binary"), 256)})
+    # the id and digest also tell rows apart that repeat an id with another text; repeated rows go
+    return marked.join(keys, [by_id, by_text], "left_semi").dropDuplicates([by_id, by_text]).drop(by_id, by_text)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of equal texts; the largest doc_id stays."""
     return exact_groups(table(spark, sf_dir, "documents"))

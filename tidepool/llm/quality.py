@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import ddl, table, text_of
+from tidepool.llm.common import ddl, filter_rows, table, text_of, texts_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -132,16 +132,19 @@ def _sampled(buckets: int):
     return run
 
 
+def _scores(features: Features, machine: Machine, texts: list[str], declared: list[int | None]) -> np.ndarray:
+    scores = [np.zeros(0)]
+    for at in range(0, len(texts), 256):
+        rows = [features(t, n) for t, n in zip(texts[at:at + 256], declared[at:at + 256])]
+        scores.append(machine.score(machine.rows(np.array([r for r, _ in rows]), np.array([s for _, s in rows]))))
+    return np.concatenate(scores)
+
+
 def _scored(machine: Machine, buckets: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(buckets)
         for batch in batches:
-            scores = []
-            texts, declared = batch.column("text").to_pylist(), batch.column("declared").to_pylist()
-            for at in range(0, len(texts), 256):
-                rows = [features(t, n) for t, n in zip(texts[at:at + 256], declared[at:at + 256])]
-                scores.append(machine.score(machine.rows(np.array([r for r, _ in rows]), np.array([s for _, s in rows]))))
-            scores = np.concatenate(scores) if scores else np.zeros(0)
+            scores = _scores(features, machine, batch.column("text").to_pylist(), batch.column("declared").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()),
                                    pa.array((scores >= threshold).astype(np.int32), pa.int32())], schema=SCORES)
 
@@ -188,6 +191,23 @@ def score_quality(docs: DataFrame, machine: Machine, id_col: str = "doc_id", tex
     return rows.mapInArrow(_scored(machine, buckets, threshold), ddl(SCORES))
 
 
+def keep_quality(docs: DataFrame, machine: Machine, text_col: str = "text", length_col: str | None = "n_chars",
+                 threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least ``threshold``."""
+    buckets = len(machine.w) - len(STATS)
+
+    def make():
+        features = Features(buckets)
+
+        def mark(batch: pa.RecordBatch) -> np.ndarray:
+            declared = batch.column(length_col).to_pylist() if length_col else [None] * batch.num_rows
+            return _scores(features, machine, texts_of(batch, text_col), declared) >= threshold
+
+        return mark
+
+    return filter_rows(docs, make)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = table(spark, sf_dir, "documents")

@@ -292,6 +292,15 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHIN
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_representatives(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id names their component. Rows that have
+    no id stay where no row of their component has one, as nothing tells them apart."""
+    groups = near_groups(docs, radius, shingle_words, id_col, text_col)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col(id_col).cast("bigint").eqNullSafe(kept["kept_id"]), "left_semi")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_groups(table(spark, sf_dir, "documents"))

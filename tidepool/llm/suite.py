@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tidepool.llm import bpe, exact_dedup, html_extract, quality, secrets, simhash, warc
+from tidepool.llm import bpe, chat, decontaminate, exact_dedup, html_extract, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op3_quality": quality.op3_quality,
+    "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLE = {"op10_exact_dedup": exact_dedup.SQL}
+ORACLE = {"op4_chat_formatting": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}
