@@ -7,6 +7,7 @@ the empty text; an empty table gives an empty result with the same schema.
 
 from __future__ import annotations
 
+import gc
 import sys
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -58,6 +59,13 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[str(f.type)]}" for f in schema)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps, whose results are stored: it acts
+    when the driver collects its garbage, which a driver with little to do does too seldom."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions_for(spark: SparkSession, n_bytes: int, target: int) -> int:
     """Tasks for ``n_bytes`` of data at ``target`` bytes each, never fewer than the session's."""
     return max(default_partitions(spark), -(-int(n_bytes) // target))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidepool.llm import bpe, chat, decontaminate, exact_dedup, html_extract, quality, secrets, simhash, warc
+from tidepool.llm import bpe, chat, decontaminate, exact_dedup, html_extract, quality, secrets, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_quality": quality.op3_quality,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op5_decontamination": decontaminate.op5_decontamination,
