@@ -156,7 +156,7 @@ def plan(fps: DataFrame, radius: int) -> list[tuple[list[int], int]]:
     projected = fps.select(F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key"))
                                                for j, (_, _, mask) in enumerate(masks)))).alias("p")).select("p.*")
     counts = projected.groupBy("j", "key").count().groupBy("j").agg(F.sum("count"), F.sum(F.pow("count", F.lit(2.0)))).collect()
-    n = max((c[1] for c in counts), default=0)
+    n = max((c[1] for c in counts), default=1)
     squares = {c[0]: (c[2] - c[1]) / 2 for c in counts}
     found = []
     for o, parts in enumerate(options):
