@@ -74,3 +74,36 @@ def test_series_position_and_prefix_sums(spark):
     assert pos.join(naive, "event_id").where(F.col("p") != F.col("rn")).count() == 0
     cum = with_prefix_sums(ev.select("event_id", F.lit(1).alias("one")), ["event_id"], ["one"], num_partitions=5)
     assert cum.where(F.col("one_cum") != F.col("event_id") + 1).count() == 0
+
+
+def test_row_index_needs_no_cache(spark):
+    """600,000 rows: the index is dense with nothing cached, in every execution, and leaves nothing cached."""
+    li = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    idx, n = with_row_index(li, ["l_orderkey", "l_linenumber"])
+    for _ in range(2):
+        spark.catalog.clearCache()
+        got = idx.agg(F.count("*"), F.countDistinct("row_idx"), F.min("row_idx"), F.max("row_idx")).first()
+        assert tuple(got) == (n, n, 0, n - 1)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+def test_range_ids_of_nulls_nan_and_descending_keys(spark, monkeypatch):
+    from tidepool.plans import order
+
+    rows = [(i, None if i % 7 == 0 else float("nan") if i % 11 == 0 else (i * 37 % 50) / 3, None if i % 5 == 0 else "é" * (i % 4) + "a") for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, x double, s string").repartition(3)
+    keys = [order.Desc("x"), "s", order.Desc("id")]
+    exact = df.withColumn("rn", F.row_number().over(Window.orderBy(F.col("x").desc(), "s", F.col("id").desc())) - 1)
+    for limit in (64, 2):  # a tree of comparisons, and binary search in an array
+        monkeypatch.setattr(order, "MAX_TREE_SPLITTERS", limit)
+        idx, n = with_row_index(df, keys, num_partitions=5)
+        assert n == 300 and idx.join(exact, "id").where("rn <> row_idx").count() == 0
+    assert with_row_index(df.limit(0), keys)[1] == 0 and with_row_index(df.limit(0), keys)[0].collect() == []
+
+
+def test_index_over_times_and_dates(spark):
+    ev = _events(spark).select("event_id", F.col("ts").cast("timestamp").alias("t"), F.col("ts").cast("timestamp_ntz").alias("u"), F.col("ts").cast("date").alias("d"))
+    for key in ("t", "u", "d"):
+        idx, n = with_row_index(ev, [key, "event_id"], num_partitions=3)
+        naive = ev.withColumn("rn", F.row_number().over(Window.orderBy(key, "event_id")) - 1)
+        assert idx.join(naive, "event_id").where("rn <> row_idx").count() == 0

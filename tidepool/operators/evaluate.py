@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.operators.profile import histogram
-from tidepool.plans.order import with_prefix_sums
+from tidepool.plans.order import Desc, with_prefix_sums
 
 
 def _c(x: str | Column) -> Column:
@@ -114,7 +114,7 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     by_score = df.groupBy(_c(score).cast("double").alias("threshold")).agg(
         F.sum(F.when(_c(y) == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(_c(y) == 1, 0).otherwise(1)).cast("long").alias("neg"))
-    cum = with_prefix_sums(by_score, [F.col("threshold").desc()], ["pos", "neg"])
+    cum = with_prefix_sums(by_score, [Desc("threshold")], ["pos", "neg"])
     totals = by_score.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     curve = cum.select(
         "threshold",
@@ -131,7 +131,7 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     by_score = df.groupBy(_c(score).cast("double").alias("threshold")).agg(
         F.sum(F.when(_c(y) == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(_c(y) == 1, 0).otherwise(1)).cast("long").alias("neg"))
-    cum = with_prefix_sums(by_score, [F.col("threshold").desc()], ["pos", "neg"])
+    cum = with_prefix_sums(by_score, [Desc("threshold")], ["pos", "neg"])
     # area of each step: width neg/N, mean height (2·tps − pos)/(2P)
     g = cum.agg(F.sum(F.col("neg") * (2 * F.col("pos_cum") - F.col("pos"))).alias("num"),
                 F.sum("pos").alias("P"), F.sum("neg").alias("N"))

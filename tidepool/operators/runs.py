@@ -5,9 +5,11 @@ Schema: project, run_id, model_type, task_type, is_time_series (nullable), targe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.plans.order import Desc, auto_bucket_rows, with_row_index, with_series_position
+
 
 def latest_runs(runs: DataFrame, project: str = "project", created_at: str = "created_at",
                 run_id: str = "run_id") -> DataFrame:
@@ -16,11 +18,7 @@ def latest_runs(runs: DataFrame, project: str = "project", created_at: str = "cr
     The rank is the position in a global (project, newest-first) index, so a project holding a
     large share of all runs is spread over several range partitions instead of one window task.
     """
-    from tidepool.plans.order import with_row_index, with_series_position
-
-    from tidepool.plans.order import auto_bucket_rows
-
-    idx, n = with_row_index(runs, [F.col(project), F.col(created_at).desc(), F.col(run_id).desc()],
+    idx, n = with_row_index(runs, [project, Desc(created_at), Desc(run_id)],
                             index_col="_tp_runs_idx")
     ranked = with_series_position(idx, [project], "_tp_runs_idx", "_tp_pos",
                                   bucket_rows=auto_bucket_rows(runs.sparkSession, n))
@@ -28,13 +26,6 @@ def latest_runs(runs: DataFrame, project: str = "project", created_at: str = "cr
         "is_active", F.col("rank") == 1)
 
 
-def latest_runs_window(runs: DataFrame, project: str = "project", created_at: str = "created_at",
-                       run_id: str = "run_id") -> DataFrame:
-    """Same ranking with a per-project window (fine when projects are small and many)."""
-    w = Window.partitionBy(project).orderBy(F.col(created_at).desc(), F.col(run_id).desc())
-    return runs.withColumn("rank", F.row_number().over(w)).withColumn("is_active", F.col("rank") == 1)
-
-
 def active_runs(runs: DataFrame, project: str = "project", created_at: str = "created_at",
                 run_id: str = "run_id") -> DataFrame:
     """The newest run per project as a grouped max (no per-project sort): skew-safe."""

@@ -3,10 +3,9 @@
 Row order is semantic for fills, splits and windows, but Spark rows have none. Everything here
 works from an explicit total order and never moves the whole table into one task:
 
-* ``with_row_index`` — a dense 0-based global index. Range-partition on the order keys, sort inside
-  each partition, count rows per partition (one number per partition reaches the driver), then
-  ``offset[partition] + position in partition``. Same idea as ``RDD.zipWithIndex``, kept in the
-  DataFrame API so the rest of the plan stays in whole-stage codegen.
+* ``with_row_index`` — a dense 0-based global index. Splitters of the order are chosen once and
+  become literals of the plan; a row's range follows from them, rows are counted per range (one
+  number per range reaches the driver), and the index is ``offset[range] + position in range``.
 * ``fill_ordered`` — forward/backward fill over the global (or per-series) order. A row index is
   cut into buckets of ``bucket_rows``; the window runs per bucket, and a small per-bucket "carry"
   table (last non-null value of each bucket, prefix-filled over buckets) supplies values that come
@@ -22,13 +21,16 @@ works from an explicit total order and never moves the whole table into one task
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidepool.session import cut_lineage, default_partitions
+from tidepool.session import default_partitions
 
 ROW_INDEX = "row_idx"
 # Rows per bucket for bucketed windows. Large enough that the halo (span-1 rows) is negligible,
@@ -36,60 +38,141 @@ ROW_INDEX = "row_idx"
 DEFAULT_BUCKET_ROWS = 1 << 20
 
 _PID = "_tp_pid"
-_MID = "_tp_mid"
-_LOCAL_BITS = 33  # monotonically_increasing_id(): partition id in the upper 31 bits
 
 
-def _cols(cols: Sequence[str | Column]) -> list[Column]:
-    return [F.col(c) if isinstance(c, str) else c for c in cols]
+@dataclass(frozen=True)
+class Desc:
+    """A key in descending order, nulls last."""
+
+    column: str
+
+
+def _key(k: str | Column | Desc) -> tuple[Column, bool]:
+    if isinstance(k, Desc):
+        return F.col(k.column), True
+    return (F.col(k) if isinstance(k, str) else k), False
+
+
+def _sort_columns(order_by: Sequence[str | Column | Desc]) -> list[Column]:
+    return [c.desc() if desc else c.asc() for c, desc in map(_key, order_by)]
+
+
+def _comparable(df: DataFrame, order_by: Sequence[str | Column | Desc]) -> list[tuple[Column, bool, str]]:
+    """The keys as values that a literal can hold and that keep their order, with their types."""
+    out = []
+    for column, desc in map(_key, order_by):
+        kind = df.select(column).schema[0].dataType
+        if isinstance(kind, T.TimestampType):
+            column = F.unix_micros(column)
+        elif isinstance(kind, T.TimestampNTZType):
+            column = column.cast("string")
+        elif isinstance(kind, T.DateType):
+            column = F.unix_date(column)
+        out.append((column, desc, df.select(column).schema[0].dataType.simpleString()))
+    return out
+
+
+def _in_order(keys: list[tuple[Column, bool, str]]):
+    """Python comparison of key tuples that agrees with Spark's: nulls first (last if descending),
+    NaN above all numbers, text by code point."""
+
+    def one(x, y, desc: bool) -> int:
+        if x is None or y is None:
+            return ((y is None) - (x is None)) * (-1 if desc else 1)
+        if isinstance(x, float) and (math.isnan(x) or math.isnan(y)):
+            r = math.isnan(x) - math.isnan(y)
+        else:
+            r = (x > y) - (x < y)
+        return -r if desc else r
+
+    def compare(a: tuple, b: tuple) -> int:
+        return next((r for x, y, (_, desc, _) in zip(a, b, keys) if (r := one(x, y, desc))), 0)
+
+    return functools.cmp_to_key(compare)
+
+
+def _before(keys: list[tuple[Column, bool, str]], split: Sequence[Column]) -> Column:
+    """Whether a row comes before a splitter."""
+    out = F.lit(False)
+    for (k, desc, _), s in reversed(list(zip(keys, split))):
+        less = F.coalesce(k > s, k.isNotNull() & s.isNull()) if desc else F.coalesce(k < s, k.isNull() & s.isNotNull())
+        out = less | (k.eqNullSafe(s) & out)
+    return out
+
+
+# Up to this many splitters the range id is a tree of comparisons in one expression; above it, a
+# chain of binary-search steps over one literal array.
+MAX_TREE_SPLITTERS = 64
+RANGES_PER_PARTITION = 4
+SAMPLES_PER_RANGE = 16
+
+
+def _splitters(df: DataFrame, keys: list[tuple[Column, bool, str]], n_ranges: int) -> list[tuple]:
+    """At most ``n_ranges - 1`` key tuples in order, from a sample of bounded size: the rows whose
+    keys have the least hashes. Any splitters give the right result; these balance the ranges."""
+    named = [c.alias(f"k{i}") for i, (c, _, _) in enumerate(keys)]
+    at = df.select(*named)
+    rows = at.orderBy(F.xxhash64(*at.columns)).limit(SAMPLES_PER_RANGE * n_ranges).collect()
+    values = sorted({tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in rows}, key=_in_order(keys))
+    picked = [values[len(values) * i // n_ranges] for i in range(1, n_ranges)] if values else []
+    return list(dict.fromkeys(picked))
+
+
+def with_range_id(df: DataFrame, order_by: Sequence[str | Column | Desc], n_ranges: int, id_col: str = _PID) -> tuple[DataFrame, int]:
+    """Add the number of the row's range of the order, and return the number of ranges.
+
+    The splitters are chosen once and are literals of the plan, so a row's range depends on its keys
+    alone: not on the partitioning, on a cache, or on when the plan runs.
+    """
+    keys = _comparable(df, order_by)
+    split = _splitters(df, keys, n_ranges)
+
+    def literal(v, kind: str) -> Column:
+        return F.lit(v).cast(kind)
+
+    if len(split) <= MAX_TREE_SPLITTERS:
+        def tree(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(_before(keys, [literal(v, kind) for v, (_, _, kind) in zip(split[mid], keys)]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+        return df.withColumn(id_col, tree(0, len(split))), len(split) + 1
+    at = F.array(*(F.struct(*(literal(v, kind).alias(f"k{i}") for i, (v, (_, _, kind)) in enumerate(zip(s, keys)))) for s in split))
+    out = df.withColumn(id_col, F.lit(0))
+    step = 1 << (len(split).bit_length() - 1)
+    while step:
+        place = F.col(id_col) + F.lit(step)
+        found = F.get(at, place - 1)
+        here = [found.getField(f"k{i}") for i in range(len(keys))]
+        out = out.withColumn(id_col, F.when((place <= len(split)) & ~_before(keys, here), place).otherwise(F.col(id_col)))
+        step //= 2
+    return out, len(split) + 1
 
 
 def with_row_index(
     df: DataFrame,
-    order_by: Sequence[str | Column],
+    order_by: Sequence[str | Column | Desc],
     index_col: str = ROW_INDEX,
     num_partitions: int | None = None,
-    materialize: str = "cache",
 ) -> tuple[DataFrame, int]:
-    indexed, n, _ = row_index_parts(df, order_by, index_col, num_partitions, materialize)
-    return indexed, n
+    """Attach a dense 0-based index following ``order_by`` (must be a total order), and count the rows.
 
-
-def row_index_parts(
-    df: DataFrame,
-    order_by: Sequence[str | Column],
-    index_col: str = ROW_INDEX,
-    num_partitions: int | None = None,
-    materialize: str = "cache",
-) -> tuple[DataFrame, int, DataFrame]:
-    """Attach a dense 0-based index following ``order_by`` (must be a total order).
-
-    Returns ``(indexed_df, row_count)``; ``row_index_parts`` also returns the materialised frame
-    so a caller that is done with it can ``unpersist()`` it. ``materialize`` is ``"cache"`` (persist memory+disk; a lost
-    block is recomputed deterministically because the order is total), ``"checkpoint"`` (reliable
-    checkpoint into ``spark.checkpoint.dir``) or ``"none"`` (recompute the range shuffle).
+    Rows are counted per range of the order (no shuffle of rows), then numbered within their range
+    and moved up by the rows of the ranges before. Nothing is cached: every execution of the result
+    derives the same index. Descending keys are given as ``Desc``.
     """
-    keys = _cols(order_by)
     n_parts = num_partitions or target_partitions(df)
-    ranged = (
-        df.repartitionByRange(n_parts, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn(_PID, F.spark_partition_id())
-        .withColumn(_MID, F.monotonically_increasing_id())
-    )
-    if materialize == "cache":
-        ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-    elif materialize == "checkpoint":
-        ranged = cut_lineage(ranged)
+    ranged, n_ranges = with_range_id(df, order_by, RANGES_PER_PARTITION * n_parts)
     counts = {r[0]: r[1] for r in ranged.groupBy(_PID).count().collect()}
     offsets, running = [], 0
-    for p in range(n_parts):
+    for p in range(n_ranges):
         offsets.append(running)
         running += counts.get(p, 0)
-    with_off = attach_partition_offsets(ranged, offsets, _PID, "_tp_off")
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), _LOCAL_BITS)
-    indexed = with_off.withColumn(index_col, F.col("_tp_off") + local).drop(_PID, _MID, "_tp_off")
-    return indexed, running, ranged
+    w = Window.partitionBy(_PID).orderBy(*_sort_columns(order_by))
+    numbered = ranged.repartition(n_parts, _PID).withColumn(index_col, F.row_number().over(w) - 1)
+    placed = attach_partition_offsets(numbered, offsets, _PID, "_tp_off")
+    return placed.withColumn(index_col, F.col("_tp_off") + F.col(index_col)).drop(_PID, "_tp_off"), running
 
 
 # Target bytes per range partition when the partition count is derived from the data size.
@@ -101,11 +184,10 @@ MAX_LITERAL_OFFSETS = 4096
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate of ``df`` (no job runs); None when unavailable."""
-    try:
-        v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(v) if isinstance(v, int) else int(str(v.toString()))
-    except Exception:
+    if not hasattr(df, "_jdf"):  # a Connect session has no plan object
         return None
+    v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(v) if isinstance(v, int) else int(str(v.toString()))
 
 
 def target_partitions(df: DataFrame) -> int:
@@ -209,7 +291,7 @@ def auto_bucket_rows(spark, n: int | None, span: int = 1) -> int:
 def _resolve_bucket(indexed: DataFrame, index_col: str, bucket_rows: int | None, span: int = 1) -> int:
     if bucket_rows:
         return max(int(bucket_rows), span)
-    top = indexed.agg(F.max(index_col)).first()[0]  # one pass over the (cached) indexed frame
+    top = indexed.agg(F.max(index_col)).first()[0]
     return auto_bucket_rows(indexed.sparkSession, (top + 1) if top is not None else 0, span)
 
 
@@ -338,29 +420,27 @@ def halo_frames(
 
 def with_prefix_sums(
     df: DataFrame,
-    order_by: Sequence[str | Column],
+    order_by: Sequence[str | Column | Desc],
     columns: Sequence[str],
     num_partitions: int | None = None,
     suffix: str = "_cum",
 ) -> DataFrame:
     """Running sums of ``columns`` along a total order, without a single-partition window.
 
-    Range-partition on the order, total each partition (one row per partition reaches the driver),
-    run the window inside each range partition only, and add the partition's offset.
+    Total each range of the order (one row per range reaches the driver), run the window inside
+    each range only, and add the totals of the ranges before.
     """
-    keys = _cols(order_by)
     n_parts = num_partitions or target_partitions(df)
-    ranged = df.repartitionByRange(n_parts, *keys).withColumn(_PID, F.spark_partition_id())
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged, n_ranges = with_range_id(df, order_by, RANGES_PER_PARTITION * n_parts)
     totals = {r[_PID]: r for r in ranged.groupBy(_PID).agg(*[F.sum(c).alias(c) for c in columns]).collect()}
-    out = ranged
-    w = Window.partitionBy(_PID).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(_PID).orderBy(*_sort_columns(order_by)).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.repartition(n_parts, _PID).select("*", *(F.sum(c).over(w).alias(f"{c}{suffix}") for c in columns))
     for c in columns:
         offsets, running = [], 0
-        for p in range(n_parts):
+        for p in range(n_ranges):
             offsets.append(running)
             t = totals.get(p)
             running += (t[c] or 0) if t is not None else 0
         out = attach_partition_offsets(out, offsets, _PID, f"_tp_off_{c}")
-        out = out.withColumn(f"{c}{suffix}", F.sum(c).over(w) + F.col(f"_tp_off_{c}")).drop(f"_tp_off_{c}")
+        out = out.withColumn(f"{c}{suffix}", F.col(f"{c}{suffix}") + F.col(f"_tp_off_{c}")).drop(f"_tp_off_{c}")
     return out.drop(_PID)
