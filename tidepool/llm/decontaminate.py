@@ -66,6 +66,11 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted known ones."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _signs(hashes: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return 2 * bits.astype(np.int32) - 1
@@ -140,11 +145,11 @@ class BenchmarkIndex:
             hashes = shingles(words, k)
             known, table = self.filters[k]
             at = np.flatnonzero(table[hashes >> np.uint64(64 - FILTER_BITS)])
-            at = at[np.isin(hashes[at], known)] if len(at) else at
+            at = at[is_in(hashes[at], known)]
             if not len(at):
                 continue
             for index in indexes:
-                own = at[np.isin(hashes[at], index.known)]
+                own = at[is_in(hashes[at], index.known)]
                 if len(own) and len(hashes) >= index.size:
                     out += self._of_size(index, hashes, own, similarity)
         return out
