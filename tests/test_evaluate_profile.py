@@ -44,7 +44,7 @@ def test_profile_fixtures(spark):
     assert profile.histogram(f21).count() == 0
     f22 = spark.createDataFrame([tuple(float(i + j) for j in range(10)) for i in range(20)],
                                 ", ".join(f"col_{j} double" for j in range(10)))
-    assert profile.histogram(f22).select("column").distinct().count() == 6
+    assert profile.histogram(f22).select("column").distinct().count() == 10  # every numeric column
     h = profile.histogram(spark.createDataFrame([(5.0,)] * 3, "v double"), ["v"], bins=2).orderBy("bin").collect()
     assert (h[0]["lo"], h[1]["hi"], h[1]["count"]) == (4.5, 5.5, 3)
     d = {r["column"]: r for r in profile.describe_numeric(f20).collect()}

@@ -48,7 +48,7 @@ def test_salted_dictionary_join_keeps_unseen_labels(spark, monkeypatch):
     ev = spark.read.parquet(f"{SF_CHECK}/events.parquet").select("event_id", "event_type")
     d = features.fit_label_encoder(ev, "event_type")
     expected = features.label_encode(ev, d, out_col="code")
-    monkeypatch.setattr(features, "MAX_BROADCAST_LABELS", 0)  # force the salted path
+    monkeypatch.setattr(features, "MAX_BROADCAST_BYTES", -1)  # force the salted path
     extra = ev.limit(1).withColumn("event_type", F.lit("unseen"))
     got = features.label_encode(ev.unionByName(extra), d, out_col="code")
     assert got.count() == ev.count() + 1 and got.where(F.col("code").isNull()).count() == 1

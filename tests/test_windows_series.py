@@ -43,7 +43,7 @@ def test_strided_tiling_pad_last(spark):
     assert windows.strided_windows_indexed(idx, 5, 3, ["feat"]).count() == (23 - 5) // 3 + 1
     assert windows.tiling_windows_indexed(idx, 5, ["feat"]).count() == 4
     two = df.select((F.col("i") % 2).alias("s"), "i", "feat")
-    p = windows.pad_series(two, ["s"], ["i"], ["feat"]).orderBy("s").collect()
+    p = windows.pad_series(two, ["s"], ["i"], ["feat"], max_len=12).orderBy("s").collect()
     assert [r["length"] for r in p] == [12, 11] and p[1]["mask"][-1] is False
     lw = windows.last_window(two, ["s"], ["i"], "feat", 15).orderBy("s").collect()
     assert lw[0]["mask"][:3] == [0.0, 0.0, 0.0] and lw[0]["insample"][-1] == 22.0
@@ -92,7 +92,7 @@ def test_spectral_against_numpy(spark):
     spec = np.fft.rfft(x)
     spec[16:] = 0
     assert np.allclose(lp, np.fft.irfft(spec, n=32))
-    keep = series.mode_indices(32, 4, "random", seed=3)
+    keep = series.kept_modes(32, 4, "random", seed=3).tolist()
     assert len(keep) == 4 and keep == sorted(keep) and max(keep) < 16
     rl = df.select(series.lowpass("x", 4, "random", 3).alias("l")).first()["l"]
     spec = np.fft.rfft(x)

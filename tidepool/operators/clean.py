@@ -8,6 +8,7 @@ literals; order-dependent fills (ffill/bfill/interpolate) use the bucketed carry
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,17 +41,22 @@ def duplicate_report(df: DataFrame) -> DataFrame:
     )
 
 
-def drop_columns(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Drop known columns; unknown names are ignored; if all would go, the last listed one stays."""
-    to_drop = [c for c in columns if c in df.columns]
-    report: list[str] = []
-    if not to_drop:
-        return df, report
-    if len([c for c in df.columns if c not in to_drop]) == 0:
-        keep = to_drop.pop()
-        report.append(f"Cannot drop all columns; kept '{keep}'")
-    report.append(f"Dropped columns: {', '.join(to_drop)}")
-    return df.drop(*to_drop), report
+class CleanNote(NamedTuple):
+    """One thing a cleaning step did or left undone: which column, by which rule, how many rows or nulls."""
+
+    column: str | None
+    rule: str
+    count: int
+
+
+def drop_columns(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[CleanNote]]:
+    """Without the named columns. Names that the table lacks are ignored, and a request for all
+    columns leaves the last one named, as a table needs one."""
+    asked = list(dict.fromkeys(c for c in columns if c in df.columns))
+    spared = asked[-1:] if asked and set(asked) == set(df.columns) else []
+    gone = [c for c in asked if c not in spared]
+    notes = [CleanNote(c, "dropped", 1) for c in gone] + [CleanNote(c, "kept_last_column", 1) for c in spared]
+    return df.drop(*gone), notes
 
 
 def iqr_filter(
@@ -59,50 +65,35 @@ def iqr_filter(
     columns: Sequence[str] | None = None,
     quantile_method: str = "sort",
     checkpoint_every: int = 4,
-) -> tuple[DataFrame, list[str]]:
-    """Sequential IQR filter: each column's quartiles come from rows surviving earlier columns.
+) -> tuple[DataFrame, list[CleanNote]]:
+    """Tukey's fences column by column, each with the quartiles of the rows that are still there.
 
-    A column is skipped when <= 3 rows remain or its IQR is 0; a filter that would remove nothing
-    or everything is not applied. Rows whose value is null fail the range test and are removed.
-    Lineage is cut every ``checkpoint_every`` applied filters.
+    A column does not filter if three rows or fewer are left, if its quartiles coincide, or if its
+    fences would remove nothing or everything. A null lies outside any fence. The table's lineage is
+    cut after every ``checkpoint_every`` columns that filtered. The notes count the rows removed by
+    column (rule ``outside_fences``) and name the columns that met too few rows (``too_few_rows``).
     """
-    cols = list(columns) if columns is not None else [
-        f.name for f in df.schema.fields if is_numeric_type(f.dataType)
-    ]
-    report: list[str] = []
-    current = df
-    applied = 0
-    removed_any = False
-    n = current.count()  # afterwards tracked from the removal counts: one count per applied filter
-    # quartiles of all remaining columns in one pass; they stay valid until a filter removes rows
-    quartiles: dict[str, list] = {}
-    for k, c in enumerate(cols):
+    names = list(columns) if columns is not None else [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
+    notes: list[CleanNote] = []
+    left, n = df, df.count()
+    for c in names:
         if n <= 3:
-            report.append(f"Too few rows ({n}) to detect outliers in '{c}'")
+            notes.append(CleanNote(c, "too_few_rows", n))
             continue
-        if c not in quartiles:
-            quartiles = exact_quantiles(current, cols[k:], [0.25, 0.75], method=quantile_method)
-        q1, q3 = quartiles[c]
-        if q1 is None:
+        low, high = exact_quantiles(left, [c], [0.25, 0.75], method=quantile_method)[c]
+        if low is None or low == high:
             continue
-        iqr = q3 - q1
-        if iqr == 0:
+        reach = factor * (high - low)
+        inside = F.coalesce(F.col(c).between(F.lit(low - reach), F.lit(high + reach)), F.lit(False))
+        outside = left.where(~inside).count()
+        if outside in (0, n):
             continue
-        lower, upper = q1 - factor * iqr, q3 + factor * iqr
-        keep = (F.col(c) >= F.lit(lower)) & (F.col(c) <= F.lit(upper))
-        n_removed = current.where(~F.coalesce(keep, F.lit(False))).count()
-        if 0 < n_removed < n:
-            current = current.where(keep)
-            n -= n_removed
-            quartiles = {}  # the rows changed: later columns need fresh quartiles
-            removed_any = True
-            applied += 1
-            report.append(f"Removed {n_removed} outliers from '{c}'")
-            if checkpoint_every and applied % checkpoint_every == 0:
-                current = cut_lineage(current)
-    if not removed_any:
-        report.append("No outliers detected")
-    return current, report
+        left, n = left.where(inside), n - outside
+        notes.append(CleanNote(c, "outside_fences", outside))
+        filtered = sum(x.rule == "outside_fences" for x in notes)
+        if checkpoint_every and filtered % checkpoint_every == 0:
+            left = cut_lineage(left)
+    return left, notes
 
 
 # ---------------------------------------------------------------- imputation by statistic
@@ -192,6 +183,16 @@ def fill_missing(
     return out
 
 
+def fill_report(before: DataFrame, after: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, nulls_before, nulls_after, filled) of a fill, from one pass over either table."""
+    names = list(columns) if columns is not None else list(before.columns)
+    count = lambda df, tag: df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{tag}{i}") for i, c in enumerate(names)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b{i}").alias("nulls_before"), F.col(f"a{i}").alias("nulls_after"),
+                              (F.col(f"b{i}") - F.col(f"a{i}")).alias("filled")) for i, c in enumerate(names)])
+    one = F.lit(1).alias("one")  # two tables of one row each
+    return count(before, "b").select("*", one).join(count(after, "a").select("*", one), "one").select(F.inline(rows))
+
+
 def fill_mean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return fill_missing(df, "mean", columns)
 

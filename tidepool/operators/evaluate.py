@@ -7,8 +7,11 @@ single-partition window even with millions of distinct scores.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +24,19 @@ def _c(x: str | Column) -> Column:
 
 
 def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
-    """(mse, rmse, mae, r2); R² = 1 − SSE/SST with SST = 0 → 1 if SSE = 0 else 0."""
+    """(mse, rmse, mae, r2); R² = 1 − SSE/SST with SST = 0 → 1 if SSE = 0 else 0.
+
+    A pair with a null on either side counts nowhere; without pairs every metric is null."""
     e = _c(y).cast("double") - _c(yhat).cast("double")
-    agg = df.agg(
+    agg = df.where(_c(y).isNotNull() & _c(yhat).isNotNull()).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(e * e).alias("sse"),
         F.avg(F.abs(e)).alias("mae"),
         (F.var_pop(_c(y).cast("double")) * F.count(F.lit(1))).alias("sst"),
     )
     return agg.select(
-        (F.col("sse") / F.col("n")).alias("mse"),
-        F.sqrt(F.col("sse") / F.col("n")).alias("rmse"),
+        F.try_divide("sse", "n").alias("mse"),
+        F.sqrt(F.try_divide("sse", "n")).alias("rmse"),
         "mae",
         F.when(F.col("sst") == 0, F.when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
         .otherwise(1 - F.col("sse") / F.col("sst")).alias("r2"),
@@ -41,6 +46,7 @@ def regression_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataF
 def per_horizon_metrics(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     """Per horizon step of array columns: (h, n, mse, mae, r2)."""
     z = df.select(F.posexplode(F.arrays_zip(_c(y).alias("a"), _c(yhat).alias("b"))).alias("h", "p"))
+    z = z.where(F.col("p.a").isNotNull() & F.col("p.b").isNotNull())
     e = F.col("p.a").cast("double") - F.col("p.b").cast("double")
     g = z.groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse"), F.avg(F.abs(e)).alias("mae"),
@@ -55,9 +61,9 @@ def regression_metrics_multi(df: DataFrame, y: str = "y", yhat: str = "yhat") ->
     """Multi-horizon: MSE/MAE pooled (= mean over horizons), R² = unweighted mean of per-horizon R²."""
     h = per_horizon_metrics(df, y, yhat)
     return h.agg(
-        (F.sum(F.col("mse") * F.col("n")) / F.sum("n")).alias("mse"),
-        F.sqrt(F.sum(F.col("mse") * F.col("n")) / F.sum("n")).alias("rmse"),
-        (F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("mae"),
+        F.try_divide(F.sum(F.col("mse") * F.col("n")), F.sum("n")).alias("mse"),
+        F.sqrt(F.try_divide(F.sum(F.col("mse") * F.col("n")), F.sum("n"))).alias("rmse"),
+        F.try_divide(F.sum(F.col("mae") * F.col("n")), F.sum("n")).alias("mae"),
         F.avg("r2").alias("r2"),
     )
 
@@ -66,22 +72,31 @@ def accuracy(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     return df.agg(F.avg(F.when(_c(y) == _c(yhat), 1.0).otherwise(0.0)).alias("accuracy"))
 
 
-def confusion_matrix(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
+def confusion_counts(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     """Sparse long form (truth, pred, count) of the non-zero cells; totals n."""
     return df.groupBy(_c(y).alias("truth"), _c(yhat).alias("pred")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def confusion_matrix_wide(df: DataFrame, labels: Sequence, y: str = "y", yhat: str = "yhat") -> DataFrame:
-    """Dense matrix: one row per truth label, one column per predicted label (zeros filled)."""
-    return (df.groupBy(_c(y).alias("truth")).pivot(yhat if isinstance(yhat, str) else "yhat", list(labels))
-            .agg(F.count(F.lit(1))).na.fill(0))
+def confusion_matrix(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
+    """(truth, pred, count) for every pair of labels that occur as truth or as prediction, zeros
+    included. Each row of the sparse form is spread over its label's row of the matrix, so the work
+    is the number of cells."""
+    counts = confusion_counts(df, y, yhat)
+    labels = counts.select(F.col("truth").alias("l")).union(counts.select("pred")).distinct()
+    row = labels.agg(F.sort_array(F.collect_list("l")).alias("labels"), F.count_if(F.col("l").isNull()).alias("nulls"))
+    # a list leaves nulls out: a null label, if there is one, is put back
+    every = F.when(F.col("nulls") > 0, F.concat("labels", F.array(F.lit(None)))).otherwise(F.col("labels"))
+    cells = row.select(every.alias("labels")).select(F.explode("labels").alias("truth"), "labels").select("truth", F.explode("labels").alias("pred"))
+    found = counts.select(F.col("truth").alias("t"), F.col("pred").alias("p"), "count")
+    return (cells.join(found, cells["truth"].eqNullSafe(found["t"]) & cells["pred"].eqNullSafe(found["p"]), "left")
+            .select("truth", "pred", F.coalesce("count", F.lit(0)).alias("count")))
 
 
 def precision_recall_f1(df: DataFrame, y: str = "y", yhat: str = "yhat", n_truth_classes: int | None = None,
                         positive=1) -> DataFrame:
     """Binary (class ``positive``) when the truth has exactly 2 classes, else support-weighted;
     zero division gives 0."""
-    cm = confusion_matrix(df, y, yhat)
+    cm = confusion_counts(df, y, yhat)
     if n_truth_classes is None:
         n_truth_classes = df.select(y).distinct().count()
     per_class = cm.select(F.explode(F.array(
@@ -110,7 +125,9 @@ def precision_recall_f1(df: DataFrame, y: str = "y", yhat: str = "yhat", n_truth
 
 
 def roc_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score (descending), plus the (inf, 0, 0) start."""
+    """(threshold, fpr, tpr) at every distinct score (descending), plus the (inf, 0, 0) start.
+
+    A rate without rows of its class is null."""
     by_score = df.groupBy(_c(score).cast("double").alias("threshold")).agg(
         F.sum(F.when(_c(y) == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(_c(y) == 1, 0).otherwise(1)).cast("long").alias("neg"))
@@ -118,8 +135,8 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     totals = by_score.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     curve = cum.select(
         "threshold",
-        (F.col("neg_cum") / F.lit(float(totals["N"] or 0))).alias("fpr"),
-        (F.col("pos_cum") / F.lit(float(totals["P"] or 0))).alias("tpr"),
+        F.try_divide("neg_cum", F.lit(float(totals["N"] or 0))).alias("fpr"),
+        F.try_divide("pos_cum", F.lit(float(totals["P"] or 0))).alias("tpr"),
     )
     start = df.sparkSession.range(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
                                             F.lit(0.0).alias("tpr"))
@@ -127,15 +144,15 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    """Trapezoid area under the full ROC curve (ties handled as one step)."""
+    """Trapezoid area under the full ROC curve (ties handled as one step); null with one class only."""
     by_score = df.groupBy(_c(score).cast("double").alias("threshold")).agg(
         F.sum(F.when(_c(y) == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(_c(y) == 1, 0).otherwise(1)).cast("long").alias("neg"))
     cum = with_prefix_sums(by_score, [Desc("threshold")], ["pos", "neg"])
     # area of each step: width neg/N, mean height (2·tps − pos)/(2P)
-    g = cum.agg(F.sum(F.col("neg") * (2 * F.col("pos_cum") - F.col("pos"))).alias("num"),
+    g = cum.agg(F.sum(F.col("neg").cast("double") * (F.col("pos_cum") * 2.0 - F.col("pos"))).alias("num"),
                 F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return g.select((F.col("num") / (2.0 * F.col("P") * F.col("N"))).alias("auc"))
+    return g.select(F.try_divide("num", F.lit(2.0) * F.col("P") * F.col("N")).alias("auc"))
 
 
 def flatten_pairs(df: DataFrame, y: str = "y", yhat: str = "yhat", key: str = "row_id") -> DataFrame:
@@ -167,19 +184,30 @@ def pred_vs_true_line(df: DataFrame, y: str = "y", yhat: str = "yhat", key: str
 
 
 def compare_models(scored: dict[str, DataFrame], key: str = "row_id", y: str = "y", yhat: str = "yhat") -> DataFrame:
-    """Truth and each model's prediction per row (last horizon step): one column per model."""
+    """Truth and each model's prediction per row (last horizon step): one column per model, in one
+    grouped pass over all of them."""
     parts = []
     for name, df in scored.items():
         types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
         last = (lambda c: F.element_at(c, -1)) if types.get(y, "").startswith("array") else (lambda c: c)
         parts.append(df.select(key, F.lit(name).alias("model"), last(F.col(y)).cast("double").alias("y"),
                                last(F.col(yhat)).cast("double").alias("yhat")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    truth = u.groupBy(key).agg(F.first("y").alias("truth"))
-    wide = u.groupBy(key).pivot("model", list(scored)).agg(F.first("yhat"))
-    return truth.join(wide, key)
+    u = functools.reduce(DataFrame.unionByName, parts)
+    return u.groupBy(key).agg(F.first("y", ignorenulls=True).alias("truth"),
+                              *(F.first(F.when(F.col("model") == name, F.col("yhat")), ignorenulls=True).alias(name) for name in scored))
+
+
+def compare_saved(loaders: dict[str, Callable[[], DataFrame]], key: str = "row_id", y: str = "y",
+                  yhat: str = "yhat") -> tuple[DataFrame | None, dict[str, str]]:
+    """(comparison of the models that load, name and reason of those that do not). ``loaders`` gives
+    each model's scored rows; a missing file or an unreadable model is reported, not raised."""
+    scored, failed = {}, {}
+    for name, load in loaders.items():
+        try:
+            scored[name] = load()
+        except (OSError, ValueError, LookupError, PySparkException, Py4JJavaError) as e:
+            failed[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+    return (compare_models(scored, key, y, yhat) if scored else None), failed
 
 
 def cv_summary(scores: DataFrame, score_col: str = "score") -> DataFrame:

@@ -2,7 +2,7 @@
 
 A label dictionary is the sorted distinct set of a column's values (null becomes the class
 ``nan``), coded 0..k-1 in code-point order. The dictionary is built distributed (distinct +
-global index) and joined back; it is broadcast only when its row count is below a checked bound.
+global index) and joined back; it is broadcast only when its bytes are below a checked bound.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from tidepool.plans.order import join_group_stats, with_row_index
 
 # The class name a null label takes (text of a missing value after str()).
 NULL_LABEL = "nan"
-# Largest dictionary we broadcast; larger ones are shuffle-joined.
-MAX_BROADCAST_LABELS = 2_000_000
+# Largest dictionary we broadcast, in bytes of its labels and codes; larger ones get a salted join.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -27,9 +27,7 @@ class LabelDictionary:
     column: str
     table: DataFrame  # (label string, code int)
     size: int
-
-    def joinable(self) -> DataFrame:
-        return F.broadcast(self.table) if self.size <= MAX_BROADCAST_LABELS else self.table
+    n_bytes: int
 
 
 def label_text(c: str | Column) -> Column:
@@ -40,7 +38,8 @@ def label_text(c: str | Column) -> Column:
 def fit_label_encoder(df: DataFrame, column: str) -> LabelDictionary:
     labels = df.select(label_text(column).alias("label")).distinct()
     indexed, n = with_row_index(labels, ["label"], index_col="code")
-    return LabelDictionary(column, indexed.select("label", F.col("code").cast("int").alias("code")), n)
+    held = labels.agg(F.coalesce(F.sum(F.octet_length("label") + 16), F.lit(0))).first()[0]
+    return LabelDictionary(column, indexed.select("label", F.col("code").cast("int").alias("code")), n, int(held))
 
 
 def label_encode(df: DataFrame, dictionary: LabelDictionary, out_col: str | None = None) -> DataFrame:
@@ -49,7 +48,7 @@ def label_encode(df: DataFrame, dictionary: LabelDictionary, out_col: str | None
     out = out_col or c
     keyed = df.withColumn("_tp_label", label_text(c))
     d = dictionary.table.withColumnRenamed("label", "_tp_label").withColumnRenamed("code", "_tp_code")
-    if dictionary.size <= MAX_BROADCAST_LABELS:
+    if dictionary.n_bytes <= MAX_BROADCAST_BYTES:
         joined = keyed.join(F.broadcast(d), "_tp_label", "left")
     else:
         # large dictionary: salted left join, so a label carried by a third of the rows is split
@@ -64,7 +63,7 @@ def label_encode(df: DataFrame, dictionary: LabelDictionary, out_col: str | None
 def label_decode(df: DataFrame, dictionary: LabelDictionary, code_col: str, out_col: str) -> DataFrame:
     d = dictionary.table.withColumnRenamed("label", out_col).withColumnRenamed("code", "_tp_code")
     keyed = df.withColumn("_tp_code", F.col(code_col).cast("int"))
-    if dictionary.size <= MAX_BROADCAST_LABELS:
+    if dictionary.n_bytes <= MAX_BROADCAST_BYTES:
         joined = keyed.join(F.broadcast(d), "_tp_code", "left")
     else:  # salted left join: a frequent code does not land on one task
         joined = join_group_stats(keyed, d, ["_tp_code"], how="left")
@@ -139,13 +138,3 @@ def assemble_value_and_mark(
     ).drop(*[f"_tp_enc_{c}" for c in cat])
     names = value_num + cat + [target]
     return out, names, len(names) - 1, encoders
-
-
-def one_hot_size(df: DataFrame, column: str) -> int:
-    return df.select(column).distinct().count()
-
-
-__all__ = [
-    "LabelDictionary", "NULL_LABEL", "assemble_features", "assemble_value_and_mark", "feature_columns",
-    "fit_label_encoder", "infer_task", "is_numeric_type", "label_decode", "label_encode", "label_text",
-]

@@ -1,7 +1,7 @@
 """Model fitting and scoring with MLlib (#91-#100, #113) and the model registry.
 
-Registry names follow the reference; the boosted-tree entries (``xgboost_*``, ``lightgbm_*``) are
-served by MLlib's GBT (multi-class through one-vs-rest). Feature vectors come from the
+Boosted trees are MLlib's GBT (multi-class through one-vs-rest), under ``gbt_*`` and as aliases
+under the names of the boosting libraries that have no Spark learner here. Feature vectors come from the
 ``features array<double>`` column built by ``operators.features``.
 """
 
@@ -22,18 +22,22 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.operators.split import kfold
 
-# Spark's deepest tree; ``max_depth=None`` maps here.
-MAX_TREE_DEPTH = 30
+# The deepest tree that MLlib can hold. Depth None, unbounded elsewhere, is DEFAULT_DEPTH:
+# MLlib keeps all trees on the driver, so the depth of a forest is bounded unless the caller asks for more.
+MAX_TREE_DEPTH, DEFAULT_DEPTH = 30, 10
 SEED = 42
 
 
 def _depth(v) -> int:
-    return MAX_TREE_DEPTH if v is None else min(int(v), MAX_TREE_DEPTH)
+    depth = DEFAULT_DEPTH if v is None else int(v)
+    if not 0 <= depth <= MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth must lie in 0..{MAX_TREE_DEPTH}, not {depth}")
+    return depth
 
 
 def _leaf(params: dict) -> int:
@@ -96,19 +100,23 @@ REGISTRY: dict[str, ModelSpec] = {
     "random_forest_classifier": ModelSpec("random_forest_classifier", "classification", _rf_clf, {"n_estimators": 100}),
     "decision_tree_regressor": ModelSpec("decision_tree_regressor", "regression", _dt_reg),
     "decision_tree_classifier": ModelSpec("decision_tree_classifier", "classification", _dt_clf),
-    "xgboost_regressor": ModelSpec("xgboost_regressor", "regression", _gbt_reg, {"n_estimators": 100, "max_depth": 6}),
-    "xgboost_classifier": ModelSpec("xgboost_classifier", "classification", _gbt_clf, {"n_estimators": 100, "max_depth": 6}),
-    "lightgbm_regressor": ModelSpec("lightgbm_regressor", "regression", _gbt_reg, {"n_estimators": 100, "max_depth": 6}),
-    "lightgbm_classifier": ModelSpec("lightgbm_classifier", "classification", _gbt_clf, {"n_estimators": 100, "max_depth": 6}),
+    "gbt_regressor": ModelSpec("gbt_regressor", "regression", _gbt_reg, {"n_estimators": 100, "max_depth": 6}),
+    "gbt_classifier": ModelSpec("gbt_classifier", "classification", _gbt_clf, {"n_estimators": 100, "max_depth": 6}),
     "linear_forecast": ModelSpec("linear_forecast", "regression",
                                  lambda p: LinearRegression(regParam=float(p.get("reg", 1e-3)), elasticNetParam=0.0)),
     "mlp_classifier": ModelSpec("mlp_classifier", "classification", _mlp_clf),
 }
 
 
+# Names of other boosting libraries' models; here all are MLlib's gradient-boosted trees.
+ALIASES = {"xgboost_regressor": "gbt_regressor", "lightgbm_regressor": "gbt_regressor",
+           "xgboost_classifier": "gbt_classifier", "lightgbm_classifier": "gbt_classifier"}
+
+
 def get_spec(name: str) -> ModelSpec:
+    name = ALIASES.get(name, name)
     if name not in REGISTRY:
-        raise ValueError(f"Unknown model type: {name}")
+        raise ValueError(f"no model is called {name!r}; there are {', '.join(sorted(REGISTRY | ALIASES))}")
     return REGISTRY[name]
 
 
@@ -142,7 +150,7 @@ def build_estimator(name: str, params: dict | None, task_type: str, n_features:
                     label: str = "label"):
     spec = get_spec(name)
     if spec.task != task_type:
-        raise ValueError(f"Model '{name}' is a {spec.task} model but the task is {task_type}")
+        raise ValueError(f"{name} solves {spec.task}, not {task_type}")
     p = {**spec.defaults, **coerce_params(params or {})}
     if name == "mlp_classifier":
         est = spec.build(p, n_features, n_classes)
@@ -154,25 +162,16 @@ def build_estimator(name: str, params: dict | None, task_type: str, n_features:
 
 
 def fit_model(train: DataFrame, name: str, params: dict | None = None, task_type: str = "regression",
-              n_classes: int = 2, features: str = "features", label: str = "label") -> PipelineModel:
-    """Fit ``name`` on ``features array<double>`` → ``label`` (the task must match the model kind)."""
+              n_classes: int = 2, features: str = "features", label: str = "label", partitions: int | None = None) -> PipelineModel:
+    """Fit ``name`` on ``features array<double>`` → ``label`` (the task must match the model kind).
+
+    Iterative learners run a job per iteration over every partition; ``partitions`` deals the training
+    rows anew to so many, by default they stay as they are.
+    """
     n_features = len(train.select(features).first()[0]) if name == "mlp_classifier" else 0
     est = build_estimator(name, params, task_type, n_features, n_classes, label)
     data = with_vector(train, features).withColumn(label, F.col(label).cast("double"))
-    return Pipeline(stages=[est]).fit(_training_partitions(data))
-
-
-def _training_partitions(df: DataFrame) -> DataFrame:
-    """Iterative learners run one job per iteration over every input partition: merge tiny
-    partitions (coalesce, no shuffle) down to what the data size and the cores ask for."""
-    from tidepool.plans.order import TARGET_PARTITION_BYTES, estimated_bytes
-
-    spark = df.sparkSession
-    size = estimated_bytes(df)
-    if size is None or size <= 0 or size >= (1 << 62):
-        return df
-    want = max(spark.sparkContext.defaultParallelism, -(-size // TARGET_PARTITION_BYTES))
-    return df.coalesce(want)
+    return Pipeline(stages=[est]).fit(data.repartition(partitions) if partitions else data)
 
 
 def predict(model: PipelineModel, df: DataFrame, features: str = "features") -> DataFrame:
@@ -207,25 +206,30 @@ def train_test_scores(train_scored: DataFrame, test_scored: DataFrame, task_type
 
 def cross_validate(df: DataFrame, keys: list[str], name: str, params: dict | None, task_type: str, k: int = 5,
                    n_classes: int = 2, label: str = "label", parallelism: int = 2) -> DataFrame:
-    """Per-fold score (R² or accuracy) for shuffled k folds; folds run from a small thread pool over a
-    cached featurised frame. Returns (fold, score)."""
+    """Score (R² or accuracy) of each of k shuffled folds: (fold, score). A fold is a filter on the
+    rows' hash, so nothing is shuffled to make one; folds run from a small thread pool."""
     from tidepool.operators.evaluate import accuracy, regression_metrics
 
-    folded = kfold(df, keys, k).cache()
+    folded = kfold(df, keys, k)
 
     def run(f: int) -> tuple[int, float]:
-        train = folded.where(F.col("fold") != f)
-        test = folded.where(F.col("fold") == f)
-        m = fit_model(train, name, params, task_type, n_classes, label=label)
-        scored = predict(m, test)
+        m = fit_model(folded.where(F.col("fold") != f), name, params, task_type, n_classes, label=label)
+        scored = predict(m, folded.where(F.col("fold") == f))
         if task_type == "classification":
             return f, float(accuracy(scored, label, "yhat").first()[0])
         return f, float(regression_metrics(scored, label, "yhat").first()["r2"])
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         results = list(pool.map(run, range(k)))
-    folded.unpersist()
-    return df.sparkSession.createDataFrame([(f, s) for f, s in results], "fold int, score double")
+    return df.sparkSession.createDataFrame(results, "fold int, score double")
+
+
+def cv_report(scores: DataFrame) -> dict:
+    """Fold scores, their mean and population standard deviation, rounded to 4, and the number of folds."""
+    folds = [r["score"] for r in scores.orderBy("fold").collect()]
+    mean = sum(folds) / len(folds)
+    std = math.sqrt(sum((s - mean) ** 2 for s in folds) / len(folds))
+    return {"cv_scores": [round(s, 4) for s in folds], "mean_score": round(mean, 4), "std_score": round(std, 4), "n_splits": len(folds)}
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -233,7 +237,9 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel | None:
-    try:
-        return PipelineModel.load(path)
-    except Exception:
+    """The model stored at ``path``; None where nothing is. Any other failure is raised."""
+    spark = SparkSession.active()
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return None
+    return PipelineModel.load(path)

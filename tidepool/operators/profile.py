@@ -55,7 +55,7 @@ def profile_schema(df: DataFrame) -> DataFrame:
 
 
 def profile_nulls(df: DataFrame) -> DataFrame:
-    """(column, null_count, null_pct) with the percentage rounded to 2 places."""
+    """(column, null_count, null_pct) with the percentage rounded to 2 places (0 for an empty table)."""
     cols = df.columns
     agg = df.agg(
         F.count(F.lit(1)).alias("_n"),
@@ -66,7 +66,7 @@ def profile_nulls(df: DataFrame) -> DataFrame:
     ])
     return agg.select("_n", F.inline(rows)).select(
         "column", "null_count",
-        F.round(F.col("null_count") / F.col("_n") * 100, 2).alias("null_pct"),
+        F.coalesce(F.round(F.try_divide("null_count", "_n") * 100, 2), F.lit(0.0)).alias("null_pct"),
     )
 
 
@@ -151,16 +151,16 @@ def preview(df: DataFrame, n: int = 50, order_by: Sequence[str | Column] | None
     return df.limit(n)
 
 
-def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 30, max_columns: int = 6) -> DataFrame:
+def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 30) -> DataFrame:
     """Equal-width histogram per numeric column: (column, bin, lo, hi, count).
 
-    Default columns: the first ``max_columns`` numeric ones; non-numeric requests are ignored.
+    Default columns: all numeric ones; non-numeric requests are ignored.
     Bins follow numpy: ``[e_k, e_{k+1})`` with the last bin closed; a constant column spans
     ``value ± 0.5``. All ``bins`` rows are present, zero counts included.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     if columns is None:
-        cols = numeric_columns(df)[:max_columns]
+        cols = numeric_columns(df)
     else:
         cols = [c for c in columns if c in types and is_numeric_type(types[c])]
     if not cols:

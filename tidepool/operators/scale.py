@@ -50,9 +50,10 @@ class ScalerParams:
 
     def offsets_and_denominators(self) -> tuple[list[float], list[float]]:
         if self.method == "minmax":
-            return list(self.min), [(hi - lo) or 1.0 for lo, hi in zip(self.min, self.max)]
+            # a column without values has no statistics: whatever it holds later is left as it is
+            return [lo or 0.0 for lo in self.min], [1.0 if lo is None else (hi - lo) or 1.0 for lo, hi in zip(self.min, self.max)]
         if self.method == "mean":
-            return list(self.mean), [s or 1.0 for s in self.std]
+            return [m or 0.0 for m in self.mean], [s or 1.0 for s in self.std]
         return [0.0] * len(self.columns), [1.0] * len(self.columns)
 
 
@@ -139,10 +140,12 @@ def fit_scaler_windowed(
         raise ValueError(f"Unknown normalization method: {method}")
     m = data.agg(F.sum("_w").alias("sw"), *[F.sum(F.col("_w") * F.col(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     sw = m["sw"]
-    means = [m[f"m{i}"] / sw for i in range(len(cols))]
+    if not sw:
+        return ScalerParams("mean", tuple(cols), mean=(None,) * len(cols), std=(None,) * len(cols))
+    means = [(m[f"m{i}"] or 0.0) / sw for i in range(len(cols))]
     v = data.agg(*[F.sum(F.col("_w") * (F.col(c) - F.lit(means[i])) ** 2).alias(f"v{i}")
                    for i, c in enumerate(cols)]).first()
-    stds = [(v[f"v{i}"] / sw) ** 0.5 for i in range(len(cols))]
+    stds = [((v[f"v{i}"] or 0.0) / sw) ** 0.5 for i in range(len(cols))]
     return ScalerParams("mean", tuple(cols), mean=tuple(means), std=tuple(stds))
 
 
@@ -278,7 +281,7 @@ def series_normalize(
                 exprs[c] = (x[c] - F.lit(a)) / (F.lit(b - a) + F.lit(FLOAT64_EPS))
         return df.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns]), stats
     if method not in ("per_sample_std", "per_sample_minmax"):
-        raise NameError(f'Normalize method "{method}" not implemented')
+        raise ValueError(f"no normaliser is called {method!r}")
     keys = list(series)
     if method == "per_sample_std":
         aggs = [F.avg(x[c]).alias(f"_a{i}") for i, c in enumerate(cols)] + \
@@ -296,7 +299,7 @@ def series_normalize(
             a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
             v = F.col(c).cast("double")
             if method == "per_sample_std":
-                out.append(((v - a) / b).alias(c))
+                out.append(F.try_divide(v - a, b).alias(c))  # a constant series: null
             else:
                 out.append(((v - a) / (b - a + F.lit(FLOAT64_EPS))).alias(c))
         else:

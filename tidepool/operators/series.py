@@ -1,8 +1,8 @@
 """Series formulas on window arrays (#77-#90), lifted from inside the forecasting networks with
 fixed parameters. Each takes a 1-D ``array<double>`` window column and returns a column.
 
-Everything is a higher-order array expression (JVM side) except the spectral operators, which
-are Arrow-batched pandas UDFs running numpy's FFT on a whole batch of windows at once.
+Formulas that look at a whole window per element (averages, recurrences, spectra) are Arrow-batched
+pandas UDFs that run numpy on all windows of a batch at once; the others are array expressions.
 """
 
 from __future__ import annotations
@@ -28,9 +28,43 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _d(x: str | Column) -> Column:
-    """Window arrays are expected as ``array<double>`` columns (cast once upstream, not per access)."""
-    return _c(x)
+_DOUBLES = T.ArrayType(T.DoubleType())
+
+
+def _batches(columns: Sequence[pd.Series]):
+    """The rows of a batch that have values, by length: (places in the batch, one matrix per column).
+    A null row, or a null in one of its columns, gives no result."""
+    places: dict[tuple[int, ...], list[int]] = {}
+    for i, row in enumerate(zip(*columns)):
+        if all(v is not None for v in row):
+            places.setdefault(tuple(len(v) for v in row), []).append(i)
+    for at in places.values():
+        yield at, [np.array([c.iloc[i] for i in at], dtype=np.float64).reshape(len(at), -1) for c in columns]
+
+
+def _by_matrix(kernel, *columns: str | Column) -> Column:
+    """``kernel`` applied to all windows of a batch at once: matrices (window × time) in, matrix out."""
+    n = len(columns)
+
+    def run(parts: Sequence[pd.Series]) -> pd.Series:
+        out = [None] * len(parts[0])
+        for at, matrices in _batches(parts):
+            for i, row in zip(at, kernel(*matrices)):
+                out[i] = row
+        return pd.Series(out, dtype=object)
+
+    if n == 1:
+        @F.pandas_udf(_DOUBLES)
+        def one(x: pd.Series) -> pd.Series:
+            return run([x])
+
+        return one(_c(columns[0]))
+
+    @F.pandas_udf(_DOUBLES)
+    def three(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        return run([x, y, z])
+
+    return three(*map(_c, columns))
 
 
 # ----------------------------------------------------------------------- decomposition
@@ -39,25 +73,26 @@ def moving_average(x: str | Column, k: int) -> Column:
     """Centred moving average of odd size ``k``; the ends replicate the first/last value."""
     if k < 1 or k % 2 == 0:
         raise ValueError("moving average needs an odd kernel size")
-    a = _d(x)
-    h = (k - 1) // 2
-    n = F.size(a)
-    offsets = F.sequence(F.lit(-h), F.lit(h))
-    return F.transform(a, lambda v, j: F.aggregate(
-        offsets, F.lit(0.0),
-        lambda acc, t: acc + F.element_at(a, F.least(F.greatest(j + t, F.lit(0)), n - 1) + 1)) / F.lit(float(k)))
+
+    def kernel(m: np.ndarray) -> np.ndarray:
+        if not m.shape[1]:
+            return m
+        padded = np.pad(m, ((0, 0), (k // 2, k // 2)), mode="edge")
+        return np.lib.stride_tricks.sliding_window_view(padded, k, axis=1).mean(axis=2)
+
+    return _by_matrix(kernel, x)
 
 
 def decompose(x: str | Column, k: int) -> Column:
     """``struct(seasonal, trend)`` with trend = moving average and seasonal = x − trend."""
-    a = _d(x)
+    a = _c(x)
     trend = moving_average(a, k)
     return F.struct(F.zip_with(a, trend, lambda u, v: u - v).alias("seasonal"), trend.alias("trend"))
 
 
 def decompose_multi(x: str | Column, kernels: Sequence[int]) -> Column:
     """Average of the decompositions over several kernel sizes."""
-    a = _d(x)
+    a = _c(x)
     trends = [moving_average(a, k) for k in kernels]
     total = trends[0]
     for t in trends[1:]:
@@ -68,39 +103,34 @@ def decompose_multi(x: str | Column, kernels: Sequence[int]) -> Column:
 
 def difference(x: str | Column, start: float | Column = 0.0) -> Column:
     """First difference with a given start value: ``[x0 - start, x1 - x0, ...]``."""
-    a = _d(x)
+    a = _c(x)
     s = start if isinstance(start, Column) else F.lit(float(start))
     return F.transform(a, lambda v, j: v - F.when(j == 0, s).otherwise(F.element_at(a, j)))
 
 
 # ----------------------------------------------------------------------- smoothing
 
+def _recurrence(w: float, v0: float, gain: np.ndarray) -> np.ndarray:
+    """``s_t = w·s_{t-1} + gain_t`` along each row, all rows at once."""
+    out, s = np.empty_like(gain), np.full(len(gain), float(v0))
+    for t in range(gain.shape[1]):
+        s = w * s + gain[:, t]
+        out[:, t] = s
+    return out
+
+
 def exp_smooth(x: str | Column, alpha: float, v0: float = 0.0) -> Column:
     """``s_t = w^(t+1)·v0 + Σ_{j<=t} (1-w)·w^(t-j)·x_j`` with ``w = 1 - alpha``
     (the recurrence ``s_t = w·s_{t-1} + (1-w)·x_t``, ``s_{-1} = v0``)."""
     w = 1.0 - alpha
-    a = _d(x)
-    init = F.struct(F.lit(float(v0)).alias("s"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, v):
-        s = F.lit(w) * acc["s"] + F.lit(1.0 - w) * v
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))
-
-    return F.aggregate(a, init, step, lambda acc: acc["out"])
+    return _by_matrix(lambda m: _recurrence(w, v0, (1.0 - w) * m), x)
 
 
 def level_smooth(x: str | Column, season: str | Column, growth: str | Column, alpha: float, v0: float = 0.0) -> Column:
     """Level recurrence ``s_t = w·s_{t-1} + (1-w)·(x_t - season_t) + w·growth_t`` (``w = 1 - alpha``):
     exponential smoothing of x − season with growth added at weight ``w``."""
     w = 1.0 - alpha
-    z = F.arrays_zip(_d(x).alias("x"), _d(season).alias("s"), _d(growth).alias("g"))
-    init = F.struct(F.lit(float(v0)).alias("s"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, r):
-        s = F.lit(w) * acc["s"] + F.lit(1.0 - w) * (r["x"] - r["s"]) + F.lit(w) * r["g"]
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))
-
-    return F.aggregate(z, init, step, lambda acc: acc["out"])
+    return _by_matrix(lambda m, season, growth: _recurrence(w, v0, (1.0 - w) * (m - season) + w * growth), x, season, growth)
 
 
 def damped_trend(growth_last: str | Column, phi: float, horizon: int) -> Column:
@@ -114,134 +144,84 @@ def damped_trend(growth_last: str | Column, phi: float, horizon: int) -> Column:
     return F.transform(F.array(*[F.lit(c) for c in cum]), lambda c: g * c)
 
 
-# ----------------------------------------------------------------------- spectral (pandas UDFs)
-
-def _stack(s: pd.Series) -> tuple[np.ndarray | None, list]:
-    arrs = [np.asarray(v, dtype=np.float64) if v is not None else None for v in s]
-    lens = {len(a) for a in arrs if a is not None}
-    if len(lens) == 1 and all(a is not None for a in arrs):
-        return np.vstack(arrs), arrs
-    return None, arrs
-
-
-def _fourier_rows(x: np.ndarray, k: int, low_freq: int = 1):
-    """Top-k spectral components of each row of ``x`` (DC dropped, Nyquist dropped for even length)."""
-    t = x.shape[1]
-    spec = np.fft.rfft(x, axis=1)
-    freqs = np.fft.rfftfreq(t)
-    hi = spec.shape[1] - 1 if t % 2 == 0 else spec.shape[1]
-    spec, freqs = spec[:, low_freq:hi], freqs[low_freq:hi]
-    if spec.shape[1] < 1:
-        return None, None, None
-    kk = max(1, min(k, spec.shape[1]))
-    amp = np.abs(spec)
-    order = np.argsort(-amp, axis=1, kind="stable")[:, :kk]
-    rows = np.arange(x.shape[0])[:, None]
-    return spec[rows, order], freqs[order], amp[rows, order]
-
-
-def _extrapolate(x: np.ndarray, k: int, pred_len: int) -> np.ndarray:
-    t = x.shape[1]
-    comp, f, amp = _fourier_rows(x, k)
-    if comp is None:
-        return np.zeros((x.shape[0], t + pred_len))
-    steps = np.arange(t + pred_len)
-    phase = np.angle(comp)
-    # a component and its conjugate sum to twice the cosine term
-    return np.einsum("bf,bft->bt", 2.0 * amp / t, np.cos(2 * math.pi * f[:, :, None] * steps[None, None, :]
-                                                        + phase[:, :, None]))
+# ----------------------------------------------------------------------- spectral
+
+def _strongest(m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin numbers, coefficients) of each row's ``k`` strongest harmonics, strongest first.
+
+    X_f = Σ_t x_t e^{-2πi f t / T}; a harmonic has a conjugate of its own, so 0 < f < T/2. Of equal
+    magnitudes the lower frequency comes first.
+    """
+    harmonics = np.arange(1, (m.shape[1] + 1) // 2)
+    coefficients = np.fft.rfft(m, axis=1)[:, harmonics]
+    order = np.argsort(-np.abs(coefficients), axis=1, kind="stable")[:, :max(1, k)]
+    return harmonics[order], np.take_along_axis(coefficients, order, axis=1)
 
 
 def fourier_extrapolate(x: str | Column, k: int, pred_len: int) -> Column:
-    """Seasonal extrapolation: the ``k`` strongest non-DC frequencies extended ``pred_len`` steps."""
+    """Seasonal extrapolation: the ``k`` strongest non-DC frequencies extended ``pred_len`` steps,
+    ``y_s = (2/T) Σ_f Re(X_f e^{2πi f s / T})`` for s = 0 .. T + pred_len - 1."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _fx(s: pd.Series) -> pd.Series:
-        m, arrs = _stack(s)
-        if m is not None:
-            return pd.Series(list(_extrapolate(m, k, pred_len)))
-        return pd.Series([None if a is None else _extrapolate(a[None, :], k, pred_len)[0] for a in arrs])
+    def kernel(m: np.ndarray) -> np.ndarray:
+        length = m.shape[1]
+        y = np.zeros((len(m), length + pred_len))
+        turn = 2j * np.pi * np.arange(length + pred_len) / max(1, length)
+        bins, coefficients = _strongest(m, k)
+        for f, c in zip(bins.T, coefficients.T):  # one harmonic of every window at a time
+            y += (c[:, None] * np.exp(f[:, None] * turn)).real
+        return 2.0 / max(1, length) * y
 
-    return _fx(_c(x))
+    return _by_matrix(kernel, x)
 
 
-_COMP = T.ArrayType(T.StructType([
-    T.StructField("freq", T.DoubleType()), T.StructField("amplitude", T.DoubleType()),
-    T.StructField("phase", T.DoubleType()),
-]))
+_HARMONICS = T.StructType([T.StructField(n, _DOUBLES) for n in ("freq", "amplitude", "phase")])
 
 
 def top_frequencies(x: str | Column, k: int) -> Column:
     """``array<struct<freq, amplitude, phase>>`` of the ``k`` strongest non-DC components
     (amplitude = |X_f|, the FFT magnitude; phase = angle of X_f)."""
 
-    @F.pandas_udf(_COMP)
-    def _tf(s: pd.Series) -> pd.Series:
-        out = []
-        for a in s:
-            if a is None:
-                out.append(None)
-                continue
-            comp, f, amp = _fourier_rows(np.asarray(a, dtype=np.float64)[None, :], k)
-            if comp is None:
-                out.append([])
-                continue
-            out.append([{"freq": float(f[0, i]), "amplitude": float(amp[0, i]), "phase": float(np.angle(comp[0, i]))}
-                        for i in range(comp.shape[1])])
-        return pd.Series(out)
-
-    return _tf(_c(x))
-
-
-def mode_indices(length: int, modes: int, mode_select: str = "lowest", seed: int = 0) -> list[int]:
-    """Fourier modes kept: the lowest ``min(modes, L // 2)``, or that many drawn at random (seeded)
-    from ``0 .. L//2 - 1`` and sorted."""
-    m = min(modes, length // 2)
+    @F.pandas_udf(_HARMONICS)
+    def harmonics(s: pd.Series) -> pd.DataFrame:
+        out = {n: [None] * len(s) for n in _HARMONICS.names}
+        for at, (m,) in _batches([s]):
+            bins, coefficients = _strongest(m, k)
+            for name, values in zip(_HARMONICS.names, (bins / max(1, m.shape[1]), np.abs(coefficients), np.angle(coefficients))):
+                for i, row in zip(at, values):
+                    out[name][i] = row
+        return pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in out.items()})
+
+    h = harmonics(_c(x))
+    return F.transform(F.arrays_zip(*(h[n].alias(n) for n in _HARMONICS.names)),
+                       lambda z: F.struct(z["0"].alias("freq"), z["1"].alias("amplitude"), z["2"].alias("phase")))
+
+
+def kept_modes(length: int, modes: int, mode_select: str = "lowest", seed: int = 0) -> np.ndarray:
+    """Numbers of the Fourier modes to keep, of the ``length // 2`` below the Nyquist frequency: the
+    lowest ``modes``, or as many drawn without replacement by a seeded generator."""
+    below = length // 2
     if mode_select == "random":
-        idx = list(range(length // 2))
-        np.random.RandomState(seed).shuffle(idx)
-        return sorted(idx[:m])
-    return list(range(m))
+        return np.sort(np.random.default_rng(seed).permutation(below)[:modes])
+    return np.arange(min(modes, below))
 
 
 def lowpass(x: str | Column, modes: int, mode_select: str = "lowest", seed: int = 0) -> Column:
     """Keep ``min(modes, L // 2)`` Fourier modes (the lowest, DC included, or a seeded random
     choice), zero the rest, invert."""
 
-    def _lp(a: np.ndarray) -> np.ndarray:
-        t = a.shape[1]
-        keep = mode_indices(t, modes, mode_select, seed)
-        spec = np.fft.rfft(a, axis=1)
-        mask = np.zeros(spec.shape[1], dtype=bool)
-        mask[keep] = True
-        spec[:, ~mask] = 0
-        return np.fft.irfft(spec, n=t, axis=1)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _lowpass(s: pd.Series) -> pd.Series:
-        m, arrs = _stack(s)
-        if m is not None:
-            return pd.Series(list(_lp(m)))
-        return pd.Series([None if a is None else _lp(a[None, :])[0] for a in arrs])
+    def kernel(m: np.ndarray) -> np.ndarray:
+        length = m.shape[1]
+        spectrum, keep = np.fft.rfft(m, axis=1), kept_modes(length, modes, mode_select, seed)
+        kept = np.zeros_like(spectrum)
+        kept[:, keep] = spectrum[:, keep]
+        return np.fft.irfft(kept, n=length, axis=1)
 
-    return _lowpass(_c(x))
+    return _by_matrix(kernel, x)
 
 
 def autocorrelation(x: str | Column) -> Column:
-    """Circular autocorrelation ``R(τ) = Σ_t x_t · x_{(t+τ) mod L}`` (FFT, batch-vectorised)."""
-
-    def _ac(a: np.ndarray) -> np.ndarray:
-        f = np.fft.rfft(a, axis=1)
-        return np.fft.irfft(f * np.conj(f), n=a.shape[1], axis=1)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _autocorr(s: pd.Series) -> pd.Series:
-        m, arrs = _stack(s)
-        if m is not None:
-            return pd.Series(list(_ac(m)))
-        return pd.Series([None if a is None else _ac(a[None, :])[0] for a in arrs])
-
-    return _autocorr(_c(x))
+    """Circular autocorrelation ``R(τ) = Σ_t x_t · x_{(t+τ) mod L}``, by the power spectrum."""
+    return _by_matrix(lambda m: np.fft.irfft(np.abs(np.fft.rfft(m, axis=1)) ** 2, n=m.shape[1], axis=1), x)
 
 
 def top_lags(corr: str | Column, factor: float, length: int) -> Column:
@@ -265,7 +245,7 @@ def roll(x: str | Column, lag: Column) -> Column:
 
 def time_delay_aggregate(x: str | Column, lags: str | Column) -> Column:
     """Σ_i weight_i · roll(x, -lag_i) over the ``top_lags`` structs."""
-    a = _d(x)
+    a = _c(x)
     ls = _c(lags)
     n = F.size(a)
     return F.transform(a, lambda v, j: F.aggregate(
@@ -275,17 +255,16 @@ def time_delay_aggregate(x: str | Column, lags: str | Column) -> Column:
 def augment(x: str | Column, sigma: float, seed: int, key: str | Column) -> Column:
     """jitter(shift(scale(x))) with Gaussian noise; deterministic per (seed, key, position).
 
-    Noise comes from a hash-seeded Box–Muller transform so a recomputed task gives the same values.
+    Noise is the Box–Muller transform of two uniform numbers, the first 13 hex digits of an MD5 each,
+    so a recomputed task (and any other engine) gives the same values.
     """
-    a = _d(x)
+    a = _c(x)
     k = _c(key).cast("string")
 
     def gauss(tag: str, pos: Column | None = None) -> Column:
         parts = [F.lit(str(seed)), F.lit(tag), k] + ([pos.cast("string")] if pos is not None else [])
-        h1 = F.xxhash64(*parts, F.lit("u1"))
-        h2 = F.xxhash64(*parts, F.lit("u2"))
-        u1 = (F.pmod(h1, F.lit(1 << 52)).cast("double") + 1.0) / float((1 << 52) + 1)
-        u2 = F.pmod(h2, F.lit(1 << 52)).cast("double") / float(1 << 52)
+        uniform = [F.conv(F.substring(F.md5(F.concat_ws(":", *parts, F.lit(u))), 1, 13), 16, 10).cast("double") for u in ("u1", "u2")]
+        u1, u2 = (uniform[0] + 1.0) / float((1 << 52) + 1), uniform[1] / float(1 << 52)
         return F.sqrt(-2.0 * F.log(u1)) * F.cos(2 * math.pi * u2)
 
     scale = gauss("scale") * sigma + 1.0

@@ -8,12 +8,12 @@ across partitionings.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.plans.order import ROW_INDEX, join_group_stats, with_row_index
+from tidepool.plans.order import ROW_INDEX, with_row_index
 
 # Month and day counts of the fixed benchmark borders (12/4/4 months of 30 days).
 FIXED_BORDER_MONTHS = (12, 4, 4)
@@ -25,10 +25,62 @@ def md5_order(keys: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
 
 
-def shuffled_index(df: DataFrame, keys: Sequence[str], seed: int = 42, index_col: str = "rand_idx") -> tuple[DataFrame, int]:
-    staged = df.withColumn("_tp_h", md5_order(keys, seed))
-    indexed, n = with_row_index(staged, ["_tp_h", *keys], index_col=index_col)
-    return indexed.drop("_tp_h"), n
+FIRST_DIGITS, MORE_DIGITS, LAST_ROWS = 3, 4, 4096
+
+
+def random_cuts(df: DataFrame, keys: Sequence[str], seed: int, ranks_of: Callable[[int], Sequence[int]]) -> tuple[int, list[tuple | None]]:
+    """The row count n and, for each rank in ``ranks_of(n)``, the (md5, keys) of the row with that rank
+    in the random order; None for a rank of n or more.
+
+    Rows are counted by a prefix of their hash, the prefix that holds a rank is refined, and the few
+    rows that are left are sorted on the driver. Nothing but counts is shuffled. The keys must
+    identify a row.
+    """
+    named = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    rows = df.select(md5_order(keys, seed).alias("h"), *named)
+    prefix = F.substring("h", 1, FIRST_DIGITS)
+    counts = {r["p"]: r["n"] for r in rows.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
+    n = sum(counts.values())
+    ranks = list(ranks_of(n))
+    cuts: dict[int, tuple] = {}
+    groups = {"": (0, counts)}  # prefix → rank of its first row, counts of the longer prefixes
+    while groups:
+        open_, last = {}, {}
+        for before, held in groups.values():
+            for p in sorted(held):
+                if any(before <= r < before + held[p] for r in ranks if r not in cuts):
+                    (last if held[p] <= LAST_ROWS or len(p) >= 32 else open_)[p] = before
+                before += held[p]
+        if last:
+            size = {len(p) for p in last}
+            here = F.lit(False)
+            for k in size:
+                here = here | F.substring("h", 1, k).isin([p for p in last if len(p) == k])
+            found = sorted(tuple(r) for r in rows.where(here).collect())
+            for p, before in last.items():
+                own = [r for r in found if r[0].startswith(p)]
+                cuts.update({r: own[r - before] for r in ranks if before <= r < before + len(own)})
+        groups = {}
+        if open_:
+            k = len(next(iter(open_)))
+            longer = rows.where(F.substring("h", 1, k).isin(list(open_))).groupBy(F.substring("h", 1, k + MORE_DIGITS).alias("p")).agg(F.count("*").alias("n"))
+            for r in longer.collect():
+                p = r["p"][:k]
+                groups.setdefault(p, (open_[p], {}))[1][r["p"]] = r["n"]
+    return n, [cuts.get(r) for r in ranks]
+
+
+def before_cut(df: DataFrame, keys: Sequence[str], seed: int, cut: tuple | None) -> Column:
+    """Whether a row comes before the cut in the random order; without a cut, every row does."""
+    if cut is None:
+        return F.lit(True)
+    out = F.lit(False)
+    types = [df.schema[k].dataType for k in keys]
+    for k, v, t in reversed(list(zip(keys, cut[1:], types))):
+        v = F.lit(v).cast(t)
+        out = (F.col(k) < v) | (F.col(k).eqNullSafe(v) & out)
+    h = md5_order(keys, seed)
+    return (h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & F.coalesce(out, F.lit(False)))
 
 
 def test_count(n: int, test_size: float) -> int:
@@ -39,18 +91,16 @@ def test_count(n: int, test_size: float) -> int:
 
 
 def random_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    indexed, n = shuffled_index(df, keys, seed)
-    n_test = test_count(n, test_size)
-    test = indexed.where(F.col("rand_idx") < n_test).drop("rand_idx")
-    train = indexed.where(F.col("rand_idx") >= n_test).drop("rand_idx")
-    return train, test
+    """(train, test): filters on the rows' hash, without a shuffle."""
+    _, (cut,) = random_cuts(df, keys, seed, lambda n: [test_count(n, test_size)])
+    in_test = before_cut(df, keys, seed, cut)
+    return df.where(~in_test), df.where(in_test)
 
 
 def random_split_labels(df: DataFrame, keys: Sequence[str], test_size: float = 0.2, seed: int = 42,
                         out_col: str = "side") -> DataFrame:
-    indexed, n = shuffled_index(df, keys, seed)
-    n_test = test_count(n, test_size)
-    return indexed.withColumn(out_col, F.when(F.col("rand_idx") < n_test, "test").otherwise("train"))
+    _, (cut,) = random_cuts(df, keys, seed, lambda n: [test_count(n, test_size)])
+    return df.withColumn(out_col, F.when(before_cut(df, keys, seed, cut), "test").otherwise("train"))
 
 
 def chronological_cut(n: int, test_size: float) -> int:
@@ -68,7 +118,7 @@ def chronological_split(
     """Prefix/suffix split of an indexed frame; raises when the train side is below ``min_train``."""
     cut = chronological_cut(n, test_size)
     if cut < min_train:
-        raise ValueError(f"Training set too small ({cut} rows) for a window of {min_train} rows")
+        raise ValueError(f"{cut} training rows are fewer than the {min_train} that one window needs")
     train = indexed.where(F.col(index_col) < cut)
     test = indexed.where(F.col(index_col) >= cut).withColumn(index_col, F.col(index_col) - cut)
     return train, test, cut
@@ -119,21 +169,23 @@ def tail_holdout(indexed: DataFrame, n: int, keep: float = 0.8, index_col: str =
     return indexed.where(F.col(index_col) >= start).withColumn(index_col, F.col(index_col) - start)
 
 
-def fold_of(rank: Column, n: int, k: int) -> Column:
-    """Shuffled k-fold assignment: the first ``n % k`` folds hold one row more."""
+def fold_starts(n: int, k: int) -> list[int]:
+    """Rank of the first row of folds 1..k-1: the first ``n % k`` folds hold one row more."""
     q, r = divmod(n, k)
-    big = r * (q + 1)
-    return F.when(rank < F.lit(big), F.floor(rank / F.lit(q + 1))).otherwise(
-        F.lit(r) + F.floor((rank - F.lit(big)) / F.lit(max(q, 1)))).cast("int")
+    return [f * q + min(f, r) for f in range(1, k)]
 
 
 def kfold(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42, fold_col: str = "fold") -> DataFrame:
+    """Shuffled k-fold assignment by k - 1 cuts of the random order."""
     if k < 2:
         raise ValueError("k must be >= 2")
-    indexed, n = shuffled_index(df, keys, seed)
+    n, cuts = random_cuts(df, keys, seed, lambda n: fold_starts(n, k))
     if n < k:
-        raise ValueError(f"Cannot have number of splits n_splits={k} greater than the number of samples: n_samples={n}")
-    return indexed.withColumn(fold_col, fold_of(F.col("rand_idx"), n, k)).drop("rand_idx")
+        raise ValueError(f"{k} folds need at least as many rows, the table has {n}")
+    fold = F.lit(k - 1)
+    for f in range(k - 2, -1, -1):
+        fold = F.when(before_cut(df, keys, seed, cuts[f]), f).otherwise(fold)
+    return df.withColumn(fold_col, fold.cast("int"))
 
 
 def fold_holdout(folded: DataFrame, fold: int, keys: Sequence[str], test_size: float = 0.2, seed: int = 42,
@@ -146,16 +198,17 @@ def fold_holdout(folded: DataFrame, fold: int, keys: Sequence[str], test_size: f
 
 
 def limit_series(df: DataFrame, series_col: str, limit: float) -> DataFrame:
-    """First ``limit`` series by id, or that fraction of them when ``limit <= 1``."""
-    ids = df.select(series_col).distinct()
+    """First ``limit`` series by id, or that fraction of them when ``limit <= 1``; a null id is no series.
+
+    The ids are in order, so the choice is a comparison with the last chosen id: no join.
+    """
+    ids = df.select(series_col).where(F.col(series_col).isNotNull()).distinct()
     if limit <= 1:
-        n_ids = ids.count()
-        limit = int(limit * n_ids)
-    limit = int(limit)
-    idx, _ = with_row_index(ids, [series_col], index_col="_tp_sid")
-    chosen = idx.where(F.col("_tp_sid") < limit).select(series_col)
-    # at most ``limit`` ids: broadcast only when that bound is small; otherwise a salted join
-    # (ids are unique, so the inner join is the semi join) keeps a hot series off a single task
-    if limit <= 2_000_000:
-        return df.join(F.broadcast(chosen), series_col, "left_semi")
-    return join_group_stats(df, chosen, [series_col])
+        limit = limit * ids.count()
+    if int(limit) < 1:
+        return df.where(F.lit(False))
+    idx, n = with_row_index(ids, [series_col], index_col="_tp_sid")
+    if int(limit) >= n:
+        return df.where(F.col(series_col).isNotNull())
+    last = idx.where(F.col("_tp_sid") == int(limit) - 1).first()[series_col]
+    return df.where(F.col(series_col) <= F.lit(last).cast(df.schema[series_col].dataType))

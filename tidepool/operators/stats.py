@@ -3,9 +3,9 @@
 Exact quantiles use linear interpolation between order statistics (the same definition as
 pandas ``quantile``, Spark ``percentile`` and DuckDB ``quantile_cont``). Two strategies:
 
-* ``"sort"`` (default) — unpivot the columns, range-sort by (column, value), index the rows and pick
-  the handful of order statistics needed. Memory per task is bounded by the partition size, so it
-  works for a single global group of any size. One sort serves all columns.
+* ``"sort"`` (default) — the order statistics needed, found by counting values in ever finer
+  intervals. Nothing is sorted and no value is shuffled, so it works for a single global group of any
+  size and any skew. Each pass serves all columns.
 * ``"agg"`` — Spark's ``percentile`` aggregate. Keeps a value→count map per group; fine for small or
   low-cardinality inputs, not for a 10^12-row global group.
 * ``"approx"`` — ``percentile_approx`` (opt-in, not equal to the exact definition).
@@ -14,23 +14,12 @@ pandas ``quantile``, Spark ``percentile`` and DuckDB ``quantile_cont``). Two str
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark import StorageLevel
-
 from tidepool.functions.columns import stack_columns
-from tidepool.plans.order import target_partitions
-
-# the per-partition rank search below runs in Python workers: ship this module's code by value
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
@@ -48,101 +37,87 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in columns}
 
     long = stack_columns(df.select(*columns), columns, "column", "value").where(F.col("value").isNotNull())
-    # Pre-aggregate to distinct (column, value, count) with map-side combine: a value repeated in a
-    # third of all rows becomes one row, so the range sort below is never skewed by hot values.
-    dist = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    # one range sort serves all columns; the per-(partition, column) sums give both the column
-    # sizes and the partition offsets (in rank units) in a single job over the cached data
-    n_parts = target_partitions(dist)
-    keys = [F.col("column"), F.col("value")]
-    ranged = (dist.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    cells = ranged.groupBy("_pid", "column").agg(F.sum("cnt").alias("n")).collect()
-    counts: dict[str, int] = {}
-    per_part: dict[int, int] = {}
-    for r in cells:
-        counts[r["column"]] = counts.get(r["column"], 0) + r["n"]
-        per_part[r["_pid"]] = per_part.get(r["_pid"], 0) + r["n"]
-    offsets, running = [], 0
-    for p in range(n_parts):
-        offsets.append(running)
-        running += per_part.get(p, 0)
-    # positions needed, per column, inside the (column, value) order
-    starts, running = {}, 0
-    for c in sorted(counts):
-        starts[c] = running
-        running += counts[c]
-    wanted: dict[int, tuple[str, int]] = {}
-    plan: dict[str, list[tuple[int, int, float]]] = {}
-    for c in columns:
-        n = counts.get(c, 0)
-        plan[c] = []
-        if n == 0:
-            continue
+    return _order_statistics(long, columns, probs)
+
+
+GRID_CELLS, LAST_VALUES = 512, 4096
+
+
+def _cell(v: Column, lo: Column, hi: Column) -> Column:
+    """The value's cell of an equal grid over lo..hi; never decreasing in the value, which is all that
+    the search needs. Halved first, so that the widest range does not overflow."""
+    step = (hi / 2 - lo / 2) / GRID_CELLS
+    inside = F.floor(F.least((v / 2 - lo / 2) / step, F.lit(GRID_CELLS - 1.0))).cast("int")
+    return (F.when(F.isnan(v), GRID_CELLS + 1).when(v == float("inf"), GRID_CELLS).when(v == float("-inf"), -1)
+            .when(step > 0, inside).otherwise(0))
+
+
+def _order_statistics(long: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of (column, value) rows by counting.
+
+    Each pass counts the values that are still in question per cell of a grid, keeps the cells that
+    hold a wanted rank and goes on with those, until one value or few values are left in a cell. No
+    value is shuffled or sorted, only counts are; the driver sees at most GRID_CELLS rows for each
+    open interval and LAST_VALUES values.
+    """
+    finite = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
+    spans = {r["column"]: r for r in long.groupBy("column").agg(F.count("*").alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi")).collect()}
+    ranks: dict[str, set[int]] = {}
+    for c, r in spans.items():
         for p in probs:
-            pos = p * (n - 1)
-            lo, hi = math.floor(pos), math.ceil(pos)
-            plan[c].append((lo, hi, pos - lo))
-            wanted[starts[c] + lo] = (c, lo)
-            wanted[starts[c] + hi] = (c, hi)
-    if not wanted:
-        ranged.unpersist()
-        return {c: [None] * len(probs) for c in columns}
-    # each distinct value covers the global ranks [end - cnt, end). The running count is taken inside
-    # each sorted range partition (no further shuffle) and shifted by the partition's offset; only
-    # rows holding a wanted rank leave the task.
-    ranks = sorted(wanted)
-    picked = ranged.mapInPandas(_rank_hits(offsets, ranks), "value double, cnt long, _end long").collect()
-    ranged.unpersist()
-    values = {}
-    for row in picked:
-        start = row["_end"] - row["cnt"]
-        for r in ranks:
-            if start <= r < row["_end"]:
-                c, local = wanted[r]
-                values[(c, local)] = row["value"]
+            at = p * (r["n"] - 1)
+            ranks.setdefault(c, set()).update((math.floor(at), math.ceil(at)))
+    found: dict[tuple[str, int], float] = {}
+    # open intervals: (column, lo, hi, rank of the first value in it)
+    opened = [(c, r["lo"], r["hi"], 0) for c, r in spans.items()]
+    first = True
+    while opened:
+        table = long.sparkSession.createDataFrame(
+            [(c, i, 0.0 if lo is None else lo, 0.0 if hi is None else hi) for i, (c, lo, hi, _) in enumerate(opened)],
+            "o_column string, o_id int, o_lo double, o_hi double")
+        here = F.col("column") == F.col("o_column")
+        if not first:  # the first pass is over all values, also those that are not finite
+            here = here & (F.col("value") >= F.col("o_lo")) & (F.col("value") <= F.col("o_hi")) & ~F.isnan("value")
+        inside = long.join(F.broadcast(table), here)
+        cells = (inside.groupBy("o_id", _cell(F.col("value"), F.col("o_lo"), F.col("o_hi")).alias("cell"))
+                 .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).orderBy("o_id", "cell").collect())
+        following, last = [], []
+        at = {i: o[3] for i, o in enumerate(opened)}
+        for r in cells:
+            c, before = opened[r["o_id"]][0], at[r["o_id"]]
+            at[r["o_id"]] = before + r["n"]
+            wanted = [k for k in ranks[c] if before <= k < before + r["n"] and (c, k) not in found]
+            if not wanted:
+                continue
+            if r["lo"] == r["hi"] or math.isnan(r["lo"]):
+                found.update({(c, k): r["lo"] for k in wanted})
+            elif r["n"] <= LAST_VALUES // max(1, len(opened) * len(probs)):
+                last.append((c, r["lo"], r["hi"], before))
+            else:
+                following.append((c, r["lo"], r["hi"], before))
+        if last:
+            table = long.sparkSession.createDataFrame([(i, *x[:3]) for i, x in enumerate(last)], "o_id int, o_column string, o_lo double, o_hi double")
+            here = (F.col("column") == F.col("o_column")) & F.col("value").between(F.col("o_lo"), F.col("o_hi")) & ~F.isnan("value")
+            values: dict[int, list[float]] = {}
+            for r in long.join(F.broadcast(table), here).select("o_id", "value").collect():
+                values.setdefault(r["o_id"], []).append(r["value"])
+            for i, (c, _, _, before) in enumerate(last):
+                ordered = sorted(values[i])
+                found.update({(c, k): ordered[k - before] for k in ranks[c] if before <= k < before + len(ordered) and (c, k) not in found})
+        opened, first = following, False
     out = {}
     for c in columns:
-        if not plan[c]:
+        if c not in spans:
             out[c] = [None] * len(probs)
             continue
-        res = []
-        for lo, hi, frac in plan[c]:
-            a, b = values[(c, lo)], values[(c, hi)]
-            res.append(a + (b - a) * frac if frac else a)
-        out[c] = res
+        out[c] = []
+        for p in probs:
+            at = p * (spans[c]["n"] - 1)
+            lo, hi = found[c, math.floor(at)], found[c, math.ceil(at)]
+            out[c].append(lo + (hi - lo) * (at - math.floor(at)) if at != math.floor(at) else lo)
     return out
 
 
-def _rank_hits(offsets: list[int], ranks: list[int]):
-    """Per-partition running counts over the sorted distinct values; yields the rows whose rank
-    span [end - cnt, end) contains one of ``ranks``."""
-    wanted = np.asarray(ranks, dtype=np.int64)
-
-    def fn(batches):
-        running = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            if running is None:
-                running = int(offsets[int(pdf["_pid"].iloc[0])])
-            ends = running + np.cumsum(pdf["cnt"].to_numpy(dtype=np.int64))
-            running = int(ends[-1])
-            starts = ends - pdf["cnt"].to_numpy(dtype=np.int64)
-            # the row holding rank r is the first whose end exceeds r
-            pos = np.searchsorted(ends, wanted, side="right")
-            ok = (pos < len(ends))
-            pos = pos[ok]
-            pos = pos[(starts[pos] <= wanted[ok])]
-            if len(pos):
-                sel = np.unique(pos)
-                yield pd.DataFrame({"value": pdf["value"].to_numpy()[sel], "cnt": pdf["cnt"].to_numpy()[sel],
-                                    "_end": ends[sel]})
-
-    return fn
-
-
 def mode_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: most frequent non-null value, ties broken by the smallest value.
 

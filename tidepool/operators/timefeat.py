@@ -7,23 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.functions.columns import is_string_type
 from tidepool.operators.stats import exact_quantiles
 from tidepool.plans.order import ROW_INDEX, auto_bucket_rows, halo_frames, with_row_index
 
-# Formats tried in order when parsing a time column (ISO first, then day-first).
-DEFAULT_FORMATS = [
+# Unambiguous formats, tried first, and those in which day and month can change places.
+ISO_FORMATS = [
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd",
     "yyyy/MM/dd HH:mm:ss",
     "yyyy/MM/dd",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy HH:mm",
-    "dd/MM/yyyy",
-    "dd-MM-yyyy HH:mm:ss",
-    "dd-MM-yyyy",
 ]
+MONTH_FIRST_FORMATS = [f"MM{s}dd{s}yyyy{t}" for s in "/-" for t in (" HH:mm:ss", " HH:mm", "")]
+DAY_FIRST_FORMATS = [f"dd{s}MM{s}yyyy{t}" for s in "/-" for t in (" HH:mm:ss", " HH:mm", "")]
 # Granularity → encodings it selects.
 GRANULARITY_FEATURES = {
     "year": ["year"],
@@ -39,11 +37,14 @@ HOUR_GAP_S = 3600
 
 
 def parse_time(c: str | Column, formats: Sequence[str] | None = None, day_first: bool = False) -> Column:
-    """Timestamp from a string or timestamp column; unparsable → null (safe under ANSI mode)."""
+    """Timestamp from a string or timestamp column; unparsable → null (safe under ANSI mode).
+
+    01/02/2020 is 2 January, or 1 February with ``day_first``; a date that only the other order allows
+    is read in that order.
+    """
     x = F.col(c) if isinstance(c, str) else c
-    fmts = list(formats) if formats else list(DEFAULT_FORMATS)
-    if day_first:
-        fmts = [f for f in fmts if f.startswith("dd")] + [f for f in fmts if not f.startswith("dd")]
+    swapped = [DAY_FIRST_FORMATS, MONTH_FIRST_FORMATS] if day_first else [MONTH_FIRST_FORMATS, DAY_FIRST_FORMATS]
+    fmts = list(formats) if formats else [*ISO_FORMATS, *swapped[0], *swapped[1]]
     s = x.cast("string")
     attempts = [F.try_to_timestamp(s, F.lit(f)) for f in fmts]
     return F.coalesce(*attempts, F.try_to_timestamp(s)).cast("timestamp_ntz")
@@ -100,6 +101,7 @@ def infer_granularity(df: DataFrame, time_col: str) -> str:
 
 def encoding_columns(ts: Column) -> dict[str, Column]:
     """Scaled calendar encodings (weekday Monday = 0)."""
+    # Origin and divisors of the scaled encodings.
     return {
         "year": (F.year(ts) - 2000) / F.lit(100.0),
         "month": F.month(ts) / F.lit(12.0),
@@ -113,12 +115,14 @@ def encoding_columns(ts: Column) -> dict[str, Column]:
 def time_encoding(df: DataFrame, time_col: str, granularity: str = "auto") -> tuple[DataFrame, list[str], str]:
     """Add the encodings chosen by ``granularity`` (``auto`` = inferred from the median gap).
 
-    A column already named like an encoding suppresses it. Missing time column → no encoding
-    and granularity ``auto``.
+    A column already named like an encoding suppresses it. A missing time column, or text that is not
+    a time in any row, gives no encoding and granularity ``auto``.
     """
     if time_col not in df.columns:
         return df, [], "auto"
     ts = time_column(df, time_col)
+    if is_string_type(df.schema[time_col].dataType) and not df.where(F.col(time_col).isNotNull() & ts.isNull()).isEmpty():
+        return df, [], "auto"
     if granularity == "auto":
         granularity = infer_granularity(df.select(ts.alias("_ts")), "_ts")
     selected = GRANULARITY_FEATURES.get(granularity, GRANULARITY_FEATURES["hour"])

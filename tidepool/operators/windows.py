@@ -1,6 +1,6 @@
 """Windowing (#68-#76).
 
-All frames come from ``plans.order.halo_frames``: a bucketed window over a dense row index, so a
+Frames at every row come from ``plans.order.halo_frames``: a bucketed window over a dense row index, so a
 window never needs the whole (or a whole hot) series in one task. A window is one row; a
 multi-feature window is ``array<array<double>>`` (time × feature), built from one per-row array so
 the frame collects a single column.
@@ -36,7 +36,7 @@ def check_window_params(seq_len: int, pred_len: int, label_len: int = 0) -> None
 
 def _require_windows(n: int | None, span: int, what: str = "windows") -> None:
     if n is not None and n - span + 1 <= 0:
-        raise ValueError(f"Not enough samples ({n}) for a span of {span}. Need at least {span} rows for {what}.")
+        raise ValueError(f"{n} rows hold no {what} of {span} rows")
 
 
 def sliding_windows_indexed(
@@ -152,19 +152,22 @@ def strided_windows_indexed(
     value_cols: Sequence[str | Column],
     label_col: str | Column | None = None,
     index_col: str = ROW_INDEX,
-    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Windows of ``win`` rows starting at 0, step, 2·step, …: ``(n - win) // step + 1`` of them.
 
+    A row goes to the windows that hold it, numbers ``ceil((i - win + 1) / step) .. floor(i / step)``,
+    so the work is ``win / step`` copies of the rows, and no group has more than ``win`` rows.
     ``label_col`` carries per-row labels (test side); without it ``labels`` is null (train/val).
     """
-    collect = {"x": _row_array(value_cols)}
-    if label_col is not None:
-        collect["labels"] = (F.col(label_col) if isinstance(label_col, str) else label_col).cast("double")
-    frames = halo_frames(indexed, win, collect, index_col, bucket_rows=bucket_rows)
-    frames = frames.where(F.col(index_col) % step == 0)
-    labels = F.col("labels") if label_col is not None else F.lit(None).cast("array<double>")
-    return frames.select((F.col(index_col) / step).cast("long").alias("window_id"), "x", labels.alias("labels"))
+    i = F.col(index_col)
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((i - (win - 1)) / step).cast("long"))
+    last = F.floor(i / step).cast("long")
+    item = F.struct(i.alias("i"), _row_array(value_cols).alias("r"),
+                    *([(F.col(label_col) if isinstance(label_col, str) else label_col).cast("double").alias("l")] if label_col is not None else []))
+    held = indexed.where(first <= last).select(F.explode(F.sequence(first, last)).alias("window_id"), item.alias("item"))
+    g = held.groupBy("window_id").agg(F.array_sort(F.collect_list("item")).alias("_items")).where(F.size("_items") == win)
+    labels = F.transform("_items", lambda s: s["l"]) if label_col is not None else F.lit(None).cast("array<double>")
+    return g.select("window_id", F.transform("_items", lambda s: s["r"]).alias("x"), labels.alias("labels"))
 
 
 def tiling_windows_indexed(
@@ -188,36 +191,41 @@ def tiling_windows_indexed(
     return g.select("window_id", F.transform("_items", lambda s: s["r"]).alias("x"), labels.alias("labels"))
 
 
-def pad_series(
+def pad_series_long(
     df: DataFrame,
     series: Sequence[str],
     order_by: Sequence[str | Column],
-    value_cols: Sequence[str | Column],
+    value_cols: Sequence[str],
     max_len: int | None = None,
 ) -> DataFrame:
-    """Each series clipped or zero-padded to ``max_len`` rows (default: the longest), with a mask.
-
-    Rows past ``max_len`` are dropped before grouping, so a group never exceeds ``max_len`` rows.
-    """
-    # only the columns used are indexed (the indexed frame is cached, which stops column pruning)
-    df = df.select(*series, *[c for c in order_by if c not in series], *value_cols)
+    """Each series clipped or zero-padded to ``max_len`` rows (default: the longest): one row per
+    position, (series, length, pos, values, mask). No series is collected, so any length will do."""
+    df = df.select(*series, *[c for c in order_by if c not in series], *[c for c in value_cols if c not in series])
     indexed, n = with_row_index(df, [*series, *order_by])
-    pos = with_series_position(indexed, series, ROW_INDEX, "_pos", bucket_rows=auto_bucket_rows(df.sparkSession, n))
+    pos = with_series_position(indexed, series, ROW_INDEX, "pos", "_len", bucket_rows=auto_bucket_rows(df.sparkSession, n))
     if max_len is None:
-        max_len = pos.groupBy(*series).count().agg(F.max("count")).first()[0] or 0
-    width = len(value_cols)
-    clipped = pos.where(F.col("_pos") < max_len)
-    g = clipped.groupBy(*series).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_pos").alias("p"), _row_array(value_cols).alias("r")))).alias("_it"),
-    )
-    rows = F.transform("_it", lambda s: s["r"])
-    pad = F.array_repeat(F.array_repeat(F.lit(0.0), width), F.lit(max_len) - F.size("_it"))
-    return g.select(
-        *series,
-        F.size("_it").alias("length"),
-        F.concat(rows, pad).alias("x"),
-        F.transform(F.sequence(F.lit(0), F.lit(max_len - 1)), lambda p: p < F.size("_it")).alias("mask"),
-    )
+        max_len = df.groupBy(*series).count().agg(F.max("count")).first()[0] or 0
+    kept = pos.where(F.col("pos") < max_len).select(*series, F.least("_len", F.lit(max_len)).alias("length"), "pos",
+                                                    *[F.col(c).cast("double").alias(c) for c in value_cols], F.lit(True).alias("mask"))
+    lengths = df.groupBy(*series).agg(F.least(F.count(F.lit(1)), F.lit(max_len)).alias("length")).where(F.col("length") < max_len)
+    padding = lengths.select(*series, "length", F.explode(F.sequence(F.col("length"), F.lit(max_len - 1).cast("long"))).alias("pos"),
+                             *[F.lit(0.0).alias(c) for c in value_cols], F.lit(False).alias("mask"))
+    return kept.unionByName(padding)
+
+
+def pad_series(
+    df: DataFrame,
+    series: Sequence[str],
+    order_by: Sequence[str | Column],
+    value_cols: Sequence[str],
+    max_len: int,
+) -> DataFrame:
+    """The rows of ``pad_series_long`` as one array per series, with a mask: ``max_len`` bounds what a
+    group collects, so it must be given. For series of any length use the long form."""
+    long = pad_series_long(df, series, order_by, value_cols, max_len)
+    g = long.groupBy(*series, "length").agg(
+        F.array_sort(F.collect_list(F.struct("pos", _row_array(value_cols).alias("r"), "mask"))).alias("_it"))
+    return g.select(*series, "length", F.transform("_it", lambda s: s["r"]).alias("x"), F.transform("_it", lambda s: s["mask"]).alias("mask"))
 
 
 def last_window(

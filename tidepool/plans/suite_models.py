@@ -60,9 +60,9 @@ def _fit_predict_classification(name: str):
     return run
 
 
-for _name in ("decision_tree_regressor", "random_forest_regressor", "xgboost_regressor"):
+for _name in ("decision_tree_regressor", "random_forest_regressor", "gbt_regressor", "xgboost_regressor", "lightgbm_regressor"):
     query(f"model_{_name}")(_fit_predict_regression(_name))
-for _name in ("decision_tree_classifier", "random_forest_classifier", "lightgbm_classifier"):
+for _name in ("decision_tree_classifier", "random_forest_classifier", "gbt_classifier", "xgboost_classifier", "lightgbm_classifier"):
     query(f"model_{_name}")(_fit_predict_classification(_name))
 
 

@@ -91,17 +91,24 @@ def q_seq2seq_windows(spark, sf):
 
 @query("overlap_windows", f"""
 with {_E_HOURLY},
+m as (select *, {_MARK_SQL} from e),
 s as (select i as w from e where i <= cnt - {L + P}),
-xx as (select s.w, e.i - s.w as step, e.* from s join e on e.i between s.w and s.w + {L - 1}),
-yy as (select s.w, e.i - (s.w + {L - LABEL}) as step, e.* from s join e on e.i between s.w + {L - LABEL} and s.w + {L + P - 1})
+xx as (select s.w, m.i - s.w as step, m.* from s join m on m.i between s.w and s.w + {L - 1}),
+yy as (select s.w, m.i - (s.w + {L - LABEL}) as step, m.* from s join m on m.i between s.w + {L - LABEL} and s.w + {L + P - 1})
 select w as window_id, 'seq_x' as part, step, 0 as feat, round(value, 6) as val from xx
 union all select w, 'seq_x', step, 1, round(n, 6) from xx
 union all select w, 'seq_y', step, 0, round(value, 6) from yy
-union all select w, 'seq_y', step, 1, round(n, 6) from yy""")
+union all select w, 'seq_y', step, 1, round(n, 6) from yy
+union all select w, 'seq_x_mark', step, f.k, round([m0, m1, m2, m3][f.k + 1], 6) from xx, range(0, 4) f(k)
+union all select w, 'seq_y_mark', step, f.k, round([m0, m1, m2, m3][f.k + 1], 6) from yy, range(0, 4) f(k)""")
 def q_overlap_windows(spark, sf):
-    idx, _ = _indexed_hourly(spark, sf)
-    w = windows.overlap_windows_indexed(idx, L, LABEL, P, ["value", "n"], [])
-    return _long(w, "window_id", {"seq_x": F.col("seq_x"), "seq_y": F.col("seq_y")}, {"seq_x", "seq_y"})
+    h = hourly_events(spark, sf)
+    h = h.select("hour", "value", "n", (F.month("hour") / 12.0).alias("month"), (F.dayofmonth("hour") / 31.0).alias("day"),
+                 (F.weekday("hour") / 7.0).alias("weekday"), (F.hour("hour") / 23.0).alias("hour_of_day"))
+    idx, _ = with_row_index(h, ["hour"])
+    w = windows.overlap_windows_indexed(idx, L, LABEL, P, ["value", "n"], _MARKS)
+    parts = ["seq_x", "seq_y", "seq_x_mark", "seq_y_mark"]
+    return _long(w, "window_id", {c: F.col(c) for c in parts}, set(parts))
 
 
 _EV_IDX = "(select event_id, value, user_id, row_number() over (order by ts, event_id) - 1 as i, count(*) over () as cnt from events)"
@@ -146,6 +153,16 @@ def q_pad_series(spark, sf):
     return z.select("user_id", "length", "pos", F.round(F.element_at("z.r", 1), 6).alias("val"), F.col("z.m").alias("mask"))
 
 
+@query("pad_series_long", """
+with e as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as pos,
+                  count(*) over (partition by user_id) as len from events),
+u as (select distinct user_id, len from e), m as (select max(len) as top from e)
+select u.user_id, u.len as length, p.k as pos, coalesce(round(e.value, 6), 0.0) as value, p.k < u.len as mask
+from u, m, lateral (select unnest(range(0, m.top)) as k) p left join e on e.user_id = u.user_id and e.pos = p.k""")
+def q_pad_series_long(spark, sf):
+    return rounded(windows.pad_series_long(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], ["value"]))
+
+
 @query("last_window", """
 with e as (select user_id, value, row_number() over (partition by user_id order by ts desc, event_id desc) - 1 as back,
                   count(*) over (partition by user_id) as len from events),
@@ -460,7 +477,10 @@ def q_accuracy(spark, sf):
     return rounded(evaluate.accuracy(_cls(spark, sf)))
 
 
-@query("confusion_matrix", f"select y as truth, yhat as pred, count(*) as count from {_CLS} group by 1, 2")
+@query("confusion_matrix", f"""
+with d as {_CLS}, l as (select y as label from d union select yhat from d)
+select a.label as truth, b.label as pred, count(d.row_id) as count
+from l a cross join l b left join d on d.y = a.label and d.yhat = b.label group by 1, 2""")
 def q_confusion_matrix(spark, sf):
     return evaluate.confusion_matrix(_cls(spark, sf))
 

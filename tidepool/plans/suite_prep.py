@@ -22,10 +22,9 @@ LINEITEM_DTYPES = [
     ("l_quantity", "float64"), ("l_extendedprice", "float64"), ("l_discount", "float64"), ("l_tax", "float64"),
     ("l_returnflag", "object"), ("l_linestatus", "object"), ("l_shipdate", "datetime64[ns]"),
 ]
-LINEITEM_MEASURES = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-IQR_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-CORR_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-HIST_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+# all numeric columns of lineitem, in table order
+LINEITEM_MEASURES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+IQR_COLUMNS = CORR_COLUMNS = HIST_COLUMNS = LINEITEM_MEASURES
 
 
 def _union(parts: list[str]) -> str:
@@ -132,18 +131,25 @@ def q_correlation_matrix(spark, sf):
 
 # ------------------------------------------------------------------------------------ cleaning
 
-@query("drop_duplicates", "select distinct l_returnflag, l_linestatus, l_quantity from lineitem")
+_REPEATED = "(select * from lineitem union all select * from lineitem where l_linenumber % 3 = 0)"
+
+
+def _with_repeats(spark, sf) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return li.unionAll(li.where("l_linenumber % 3 = 0"))
+
+
+@query("drop_duplicates", f"select distinct * from {_REPEATED}")
 def q_drop_duplicates(spark, sf):
-    return clean.drop_duplicates(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"))
+    return clean.drop_duplicates(_with_repeats(spark, sf))
 
 
-@query("duplicate_report", """
-select count(*) as rows_before,
-       (select count(*) from (select distinct l_returnflag, l_linestatus, l_quantity from lineitem)) as rows_after,
-       count(*) - (select count(*) from (select distinct l_returnflag, l_linestatus, l_quantity from lineitem)) as removed
-from lineitem""")
+@query("duplicate_report", f"""
+with u as {_REPEATED}, d as (select distinct * from u)
+select (select count(*) from u) as rows_before, (select count(*) from d) as rows_after,
+       (select count(*) from u) - (select count(*) from d) as removed""")
 def q_duplicate_report(spark, sf):
-    return clean.duplicate_report(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"))
+    return clean.duplicate_report(_with_repeats(spark, sf))
 
 
 @query("drop_columns", "select * exclude (l_partkey, l_suppkey) from lineitem")
@@ -152,7 +158,7 @@ def q_drop_columns(spark, sf):
 
 
 def _iqr_sql() -> str:
-    ctes = ["s0 as (select l_orderkey, l_linenumber, " + ", ".join(IQR_COLUMNS) + " from lineitem)"]
+    ctes = ["s0 as (select " + ", ".join(IQR_COLUMNS) + " from lineitem)"]
     for k, c in enumerate(IQR_COLUMNS, start=1):
         prev = f"s{k - 1}"
         lo = f"(a{k} - 1.5::double * (b{k} - a{k}))"
@@ -211,6 +217,15 @@ def q_fill_missing(spark, sf):
     return rounded(out.select("event_id", "event_type", "value"))
 
 
+@query("fill_report", f"""
+select 'event_type' as "column", count(*) filter (event_type is null) as nulls_before, 0 as nulls_after,
+       count(*) filter (event_type is null) as filled from {EVENTS_NULLS_SQL}
+union all select 'value', count(*) filter (value is null), 0, count(*) filter (value is null) from {EVENTS_NULLS_SQL}""")
+def q_fill_report(spark, sf):
+    before = events_with_nulls(spark, sf)
+    return clean.fill_report(before, clean.fill_missing(before, "auto", ["event_type", "value"]), ["event_type", "value"])
+
+
 @query("fill_forward", f"""
 select event_id, last_value(value ignore nulls) over (order by ts, event_id
        rows between unbounded preceding and current row) as value from {EVENTS_NULLS_SQL}""")
@@ -401,15 +416,30 @@ def q_series_norm_ps_minmax(spark, sf):
 
 # ------------------------------------------------------------------------------------ time
 
-@query("parse_time", """
-with s as (select event_id, case when event_id % 2 = 0 then strftime(ts, '%Y-%m-%d %H:%M:%S')
-                                 else strftime(ts, '%d/%m/%Y %H:%M:%S') end as s from events)
-select event_id, coalesce(try_strptime(s, '%Y-%m-%d %H:%M:%S'), try_strptime(s, '%d/%m/%Y %H:%M:%S')) as ts from s""")
-def q_parse_time(spark, sf):
+def _parse_time_sql(first: str, second: str) -> str:
+    return f"""
+with s as (select event_id, case event_id % 3 when 0 then strftime(ts, '%Y-%m-%d %H:%M:%S')
+                                 when 1 then strftime(ts, '%m/%d/%Y %H:%M:%S') else strftime(ts, '%d-%m-%Y %H:%M') end as s from events)
+select event_id, coalesce(try_strptime(s, '%Y-%m-%d %H:%M:%S'), try_strptime(s, '{first}/%Y %H:%M:%S'), try_strptime(s, '{second}/%Y %H:%M:%S'),
+                          try_strptime(s, '{first.replace('/', '-')}-%Y %H:%M'), try_strptime(s, '{second.replace('/', '-')}-%Y %H:%M')) as ts from s"""
+
+
+def _parsed(spark, sf, day_first: bool) -> DataFrame:
+    """ISO, slashed and dashed texts: those with a day up to 12 can be read in two ways."""
     ev = table(spark, sf, "events")
-    s = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(
-        F.date_format("ts", "dd/MM/yyyy HH:mm:ss"))
-    return ev.select("event_id", timefeat.parse_time(s).alias("ts"))
+    s = (F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+         .when(F.col("event_id") % 3 == 1, F.date_format("ts", "MM/dd/yyyy HH:mm:ss")).otherwise(F.date_format("ts", "dd-MM-yyyy HH:mm")))
+    return ev.select("event_id", timefeat.parse_time(s, day_first=day_first).alias("ts"))
+
+
+@query("parse_time", _parse_time_sql("%m/%d", "%d/%m"))
+def q_parse_time(spark, sf):
+    return _parsed(spark, sf, False)
+
+
+@query("parse_time_day_first", _parse_time_sql("%d/%m", "%m/%d"))
+def q_parse_time_day_first(spark, sf):
+    return _parsed(spark, sf, True)
 
 
 @query("infer_granularity", f"""

@@ -1,7 +1,7 @@
 """Sources and sinks (#1-#15).
 
-Readers dispatch on the extension; CSV charset detection scans the file's raw lines with
-``is_valid_utf8`` (a distributed aggregate) before choosing the decoder. Writers are plain
+Readers dispatch on the extension; CSV charset detection decodes all raw lines strictly with each
+candidate, in a distributed pass, before choosing the decoder. Writers are plain
 DataFrame writes; split records are parquet tables plus a one-row JSON parameter table.
 """
 
@@ -10,12 +10,22 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import uuid
 from collections.abc import Sequence
 
+from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.functions.columns import nan_to_null
+from tidepool.session import ensure_checkpoint_dir
+
+# the decoders run in Python workers: ship this module's code by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Charsets tried in order when a CSV is not valid UTF-8.
 FALLBACK_ENCODINGS = ["utf-8", "utf-8-sig", "gbk", "gb2312", "gb18030", "latin-1"]
 # Extensions accepted by the reader (case-insensitive) and their Spark formats.
@@ -30,57 +40,116 @@ M4_INFO = [
     ("Hourly", 48, 24, 10.0),
 ]
 
-_SPARK_CHARSET = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "gbk": "GBK", "gb2312": "GB2312", "gb18030": "GB18030",
-                  "latin-1": "ISO-8859-1"}
+# Charsets that Spark's own reader decodes.
+_SPARK_CHARSET = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1"}
 
 
 def extension(path: str) -> str:
     return os.path.splitext(path)[1].lower()
 
 
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The file's lines as raw bytes; no charset of the list has a line end inside a character."""
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("line"))
+
+
+def _decodes(encodings: Sequence[str]):
+    def run(batches):
+        import pyarrow as pa
+
+        failed, odd = set(), 0
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
+                odd += line.count(b'"') % 2
+                for e in encodings:
+                    if e not in failed:
+                        try:
+                            line.decode(e)
+                        except UnicodeDecodeError:
+                            failed.add(e)
+        rows = [(e, e in failed, odd) for e in encodings]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int64()))], names=["encoding", "failed", "odd"])
+
+    return run
+
+
+def inspect_csv(spark: SparkSession, path: str, encodings: Sequence[str] = FALLBACK_ENCODINGS) -> tuple[str, bool]:
+    """(the first charset that decodes every line strictly, whether a quoted field holds a line end).
+
+    One distributed pass over the raw lines; an odd number of quotes in a line means that a quoted
+    field goes on in the next one.
+    """
+    found = {r["encoding"]: r for r in _raw_lines(spark, path).mapInArrow(_decodes(list(encodings)), "encoding string, failed boolean, odd bigint")
+             .groupBy("encoding").agg(F.max("failed").alias("failed"), F.sum("odd").alias("odd")).collect()}
+    if not found:  # an empty file
+        return encodings[0], False
+    for e in encodings:
+        if not found[e]["failed"]:
+            return e, bool(found[e]["odd"])
+    raise ValueError(f"none of {', '.join(encodings)} decodes {path}")
+
+
 def detect_csv_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = FALLBACK_ENCODINGS) -> str:
-    """UTF-8 when every raw line is valid UTF-8, else the first non-UTF-8 candidate."""
-    raw = spark.read.text(path)
-    bad = raw.agg(F.count_if(~F.is_valid_utf8(F.col("value").cast("binary"))).alias("bad")).first()["bad"]
-    if not bad:
-        return "utf-8"
-    for enc in encodings:
-        if enc.startswith("utf-8"):
-            continue
-        return enc
-    raise ValueError(f"Cannot decode {path}")
+    return inspect_csv(spark, path, encodings)[0]
+
+
+def _as_utf8(spark: SparkSession, path: str, encoding: str, whole_files: bool) -> str:
+    """A UTF-8 copy of a text in the shared scratch folder, for charsets that Spark's reader lacks.
+    Files with line ends inside fields are copied whole, others line by line in all tasks."""
+    target = os.path.join(ensure_checkpoint_dir(spark), "tidepool-utf8", uuid.uuid4().hex)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.decode(encoding) for b in batch.column(0).to_pylist()], pa.string())], names=["value"])
+
+    raw = spark.read.format("binaryFile").load(path).select("content") if whole_files else _raw_lines(spark, path)
+    raw.mapInArrow(run, "value string").write.text(target)
+    return target
+
+
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """NaN → null in every float column: a table's missing numbers are nulls from the start."""
+    return df.select(*[nan_to_null(f.name).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
+                       for f in df.schema.fields])
 
 
 def read_table(spark: SparkSession, path: str, encodings: Sequence[str] | None = None, schema=None,
                fmt: str | None = None) -> DataFrame:
-    """Read by extension (csv, parquet, json, orc) or an explicit ``fmt`` (e.g. a directory of parts);
-    CSV infers header and schema and detects the charset."""
+    """Read by extension (csv, parquet, json, orc) or an explicit ``fmt`` (e.g. a directory of parts).
+
+    CSV infers header and schema and finds the charset; quoted fields may hold line ends, which cost
+    the splitting of files only where they occur. NaN is read as null.
+    """
     if fmt is None:
         ext = extension(path)
         if ext not in READERS:
             raise ValueError(f"Unsupported file format: {ext}")
         fmt = READERS[ext]
     if fmt == "csv":
-        enc = detect_csv_encoding(spark, path, encodings or FALLBACK_ENCODINGS)
-        charset = _SPARK_CHARSET.get(enc, enc)
-        if charset in ("GBK", "GB2312", "GB18030"):
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        reader = spark.read.option("header", True).option("encoding", charset).option("multiLine", False)
+        enc, multi_line = inspect_csv(spark, path, encodings or FALLBACK_ENCODINGS)
+        charset = _SPARK_CHARSET.get(enc)
+        if charset is None:
+            path, charset = _as_utf8(spark, path, enc, multi_line), "UTF-8"
+        reader = spark.read.option("header", True).option("encoding", charset).option("multiLine", multi_line).option("escape", '"')
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-        return reader.csv(path)
+        return nan_as_null(reader.csv(path))
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.format(fmt).load(path)
+    return nan_as_null(reader.format(fmt).load(path))
 
 
 def list_files(spark: SparkSession, directory: str) -> list[str]:
-    """File names in ``directory`` through the Hadoop file system (works for any cluster store)."""
+    """Files in ``directory``, and folders of parts named like a file of a known format, through the
+    Hadoop file system (works for any cluster store)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(directory)
     fs = p.getFileSystem(conf)
     if not fs.exists(p):
         return []
-    return sorted(str(s.getPath().toString()) for s in fs.listStatus(p) if s.isFile())
+    return sorted(str(s.getPath().toString()) for s in fs.listStatus(p)
+                  if s.isFile() or extension(str(s.getPath().getName())) in READERS)
 
 
 def read_first_supported(spark: SparkSession, directory: str) -> DataFrame | None:
@@ -89,10 +158,8 @@ def read_first_supported(spark: SparkSession, directory: str) -> DataFrame | Non
         if extension(f) not in READERS:
             continue
         try:
-            df = read_table(spark, f)
-            df.schema  # force analysis
-            return df
-        except Exception:
+            return read_table(spark, f)
+        except (AnalysisException, ValueError):  # not in the format that its name says
             continue
     return None
 
@@ -102,7 +169,7 @@ def read_matching(spark: SparkSession, directory: str, pattern: str, suffix: str
     """Files in ``directory`` ending in ``suffix`` whose path matches ``pattern``; error when none."""
     names = [f for f in list_files(spark, directory) if f.endswith(suffix) and re.search(pattern, f)]
     if not names:
-        raise FileNotFoundError(f"No files found using: {os.path.join(directory, '*' + suffix)} matching {pattern}")
+        raise FileNotFoundError(f"{directory} has no *{suffix} file that matches {pattern!r}")
     fmt = fmt or READERS.get(suffix.lower(), "csv")
     reader = spark.read.format(fmt).option("pathGlobFilter", f"*{suffix}")
     for k, v in options.items():
@@ -149,9 +216,9 @@ def m4_lookup(df: DataFrame, pattern_col: str = "SP") -> DataFrame:
 
 
 def m4_select_group(df: DataFrame, pattern: str, pattern_col: str = "SP", values_col: str = "values") -> DataFrame:
-    """Rows of one seasonal group with NaN removed from each value array."""
+    """Rows of one seasonal group with nulls and NaN removed from each value array."""
     return df.where(F.col(pattern_col) == pattern).withColumn(
-        values_col, F.filter(values_col, lambda x: ~F.isnan(x)))
+        values_col, F.filter(values_col, lambda x: x.isNotNull() & ~F.isnan(x)))
 
 
 def load_anomaly_triplet(train: DataFrame, test: DataFrame, labels: DataFrame | None, order_by: str,
@@ -191,7 +258,7 @@ def write_dataset(df: DataFrame, root: str, name: str, fmt: str = "parquet") ->
     path = os.path.join(root, name)
     w = df.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)
     else:
         w.format(fmt).save(path)
     return path
@@ -208,13 +275,13 @@ def prediction_export(scored: DataFrame, key: str = "row_id") -> DataFrame:
 def write_predictions(scored: DataFrame, path: str, fmt: str = "csv", key: str = "row_id") -> None:
     out = prediction_export(scored, key)
     w = out.write.mode("overwrite")
-    (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
+    (w.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else w.format(fmt).save(path))
 
 
 def write_history(history: DataFrame, path: str, fmt: str = "csv") -> None:
     cols = [c for c in ("epoch", "train_loss", "val_loss", "train_metric", "val_metric") if c in history.columns]
     w = history.select(*cols).write.mode("overwrite")
-    (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
+    (w.option("header", True).option("escape", '"').csv(path) if fmt == "csv" else w.format(fmt).save(path))
 
 
 SPLIT_KEYS = ("task_type", "n_classes", "feature_names", "target_name", "classes", "input_dim", "is_time_series",
@@ -232,13 +299,14 @@ def save_split(train: DataFrame, test: DataFrame, meta: dict, root: str) -> None
 
 
 def load_split(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, dict] | None:
+    """What ``save_split`` stored; None where nothing is. Any other failure is raised."""
     try:
         train = spark.read.parquet(os.path.join(root, "train"))
-        test = spark.read.parquet(os.path.join(root, "test"))
-        meta = json.loads(spark.read.json(os.path.join(root, "meta")).first()["meta"])
-    except Exception:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    test = spark.read.parquet(os.path.join(root, "test"))
+    meta = json.loads(spark.read.json(os.path.join(root, "meta")).first()["meta"])
     return train, test, {k: v for k, v in meta.items() if k in SPLIT_KEYS}
 
-
-__all__ = ["T"]
