@@ -52,3 +52,52 @@ def test_profile_fixtures(spark):
     cat = profile.describe_categorical(f20).first()
     assert (cat["top"], cat["freq"], cat["unique"]) == ("a", 3, 2)
     assert profile.profile_shape(f20.limit(0)).first().asDict() == {"n_rows": 0, "n_cols": 0}
+
+
+def test_null_pairs_one_class_and_empty_tables(spark):
+    from tidepool.operators import evaluate, profile
+
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, None), (3.0, 5.0)], "y double, yhat double")
+    m = evaluate.regression_metrics(df).first()
+    assert (m["mse"], m["mae"]) == (2.5, 1.5) and m["r2"] == 1 - 5 / 2
+    assert evaluate.regression_metrics(df.limit(0)).first()["mse"] is None
+    one = spark.createDataFrame([(1, 0.2), (1, 0.7)], "y int, score double")
+    assert evaluate.roc_auc(one).first()["auc"] is None
+    assert all(r["fpr"] is None for r in evaluate.roc_curve(one).where("threshold < 1").collect())
+    assert {r["null_pct"] for r in profile.profile_nulls(df.limit(0)).collect()} == {0.0}
+    big = spark.createDataFrame([(1, 0.5), (0, 0.4)], "y int, score double")
+    assert evaluate.roc_auc(big).first()["auc"] == 1.0
+
+
+def test_dense_confusion_matrix_and_models_that_do_not_load(spark):
+    from tidepool.operators import evaluate
+
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "a")], "y string, yhat string")
+    cells = {(r.truth, r.pred): r["count"] for r in evaluate.confusion_matrix(df).collect()}
+    assert len(cells) == 9 and sum(cells.values()) == 3 and cells["c", "c"] == 0
+    scored = spark.createDataFrame([(1, 2.0, 3.0)], "row_id int, y double, yhat double")
+
+    def missing():
+        return spark.read.parquet("/tmp/no-such-model-here")
+
+    table, failed = evaluate.compare_saved({"good": lambda: scored, "gone": missing})
+    assert table.first().asDict() == {"row_id": 1, "truth": 2.0, "good": 3.0} and list(failed) == ["gone"]
+
+
+def test_quantiles_by_counting_match_numpy(spark, monkeypatch):
+    import numpy as np
+
+    from tidepool.operators import stats
+
+    rng = np.random.default_rng(4)
+    a = np.r_[rng.normal(size=3000), rng.normal(size=500) * 1e12, np.full(1500, 0.25), [-1e300, 1e300]]
+    b = np.r_[rng.integers(0, 5, size=5001).astype(float), [7.0]][:len(a)]
+    b = np.r_[b, np.full(len(a) - len(b), 3.0)]
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a double, b double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    monkeypatch.setattr(stats, "LAST_VALUES", 64)
+    got = stats.exact_quantiles(df, ["a", "b"], probs)
+    assert np.allclose(got["a"], np.quantile(a, probs)) and np.allclose(got["b"], np.quantile(b, probs))
+    odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1.0,), (None,)], "a double")
+    assert stats.exact_quantiles(odd, ["a"], [0.0, 0.5, 1.0])["a"] == [float("-inf"), 1.0, float("inf")]
+    assert stats.exact_quantiles(df.limit(0), ["a"], [0.5])["a"] == [None]

@@ -88,3 +88,37 @@ def test_limit_series(spark):
     df = spark.range(100).select((F.col("id") % 10).alias("s"), "id")
     assert split.limit_series(df, "s", 3).select("s").distinct().count() == 3
     assert split.limit_series(df, "s", 0.5).select("s").distinct().count() == 5
+
+
+def test_random_cuts_with_repeated_keys_need_no_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from tidepool.operators import split
+
+    hot = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    folds = split.kfold(hot, ["k"], 7, 1)
+    sizes = sorted(r["count"] for r in folds.groupBy("fold").count().collect())
+    assert sizes == [128, 128, 128, 129, 129, 129, 129] and folds.select("v").distinct().count() == 900
+    train, test = split.random_split(hot, ["k"], 0.25, 3)
+    assert (train.count(), test.count()) == (675, 225)
+    unique = split.random_split_labels(spark.range(1000), ["id"], 0.2)
+    assert "Exchange" not in unique._jdf.queryExecution().executedPlan().toString()
+    assert unique.where("side = 'test'").count() == 200
+
+
+def test_series_limit_ignores_null_ids_and_agrees_on_any_limit(spark):
+    from tidepool.operators import split
+
+    df = spark.createDataFrame([(None, 1), ("b", 2), ("a", 3), ("a", 4), ("c", 5)], "s string, v int")
+    values = lambda limit: sorted(r.v for r in split.limit_series(df, "s", limit).collect())
+    assert values(2) == [2, 3, 4] and values(3) == values(5_000_000) == [2, 3, 4, 5] and values(0.4) == [3, 4]
+
+
+def test_constant_series_and_empty_columns(spark):
+    from tidepool.operators import scale
+
+    df = spark.createDataFrame([("a", 1.0, None), ("a", 1.0, None), ("b", 1.0, None), ("b", 3.0, None)], "s string, v double, n double")
+    out, _ = scale.series_normalize(df, ["v"], "per_sample_std", ["s"])
+    assert sorted(str(r.v) for r in out.collect() if r.s == "a") == ["None", "None"]
+    for method in ("minmax", "mean"):
+        assert scale.apply_scaler(df, scale.fit_scaler(df, ["v", "n"], method)).where("n is not null").count() == 0

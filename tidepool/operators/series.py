@@ -193,7 +193,7 @@ def top_frequencies(x: str | Column, k: int) -> Column:
 
     h = harmonics(_c(x))
     return F.transform(F.arrays_zip(*(h[n].alias(n) for n in _HARMONICS.names)),
-                       lambda z: F.struct(z["0"].alias("freq"), z["1"].alias("amplitude"), z["2"].alias("phase")))
+                       lambda z: F.struct(*(z[n].alias(n) for n in _HARMONICS.names)))
 
 
 def kept_modes(length: int, modes: int, mode_select: str = "lowest", seed: int = 0) -> np.ndarray:

@@ -7,8 +7,10 @@ across partitionings.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +30,20 @@ def md5_order(keys: Sequence[str], seed: int) -> Column:
 FIRST_DIGITS, MORE_DIGITS, LAST_ROWS = 3, 4, 4096
 
 
-def random_cuts(df: DataFrame, keys: Sequence[str], seed: int, ranks_of: Callable[[int], Sequence[int]]) -> tuple[int, list[tuple | None]]:
-    """The row count n and, for each rank in ``ranks_of(n)``, the (md5, keys) of the row with that rank
-    in the random order; None for a rank of n or more.
+class Cut(NamedTuple):
+    """A place in the random order: after ``skip`` of the rows with this hash and these keys."""
+
+    hash: str
+    keys: tuple
+    skip: int
+
+
+def random_cuts(df: DataFrame, keys: Sequence[str], seed: int, ranks_of: Callable[[int], Sequence[int]]) -> tuple[int, list[Cut | None]]:
+    """The row count n and, for each rank in ``ranks_of(n)``, the cut before the row with that rank in
+    the random order; None for a rank of n or more.
 
     Rows are counted by a prefix of their hash, the prefix that holds a rank is refined, and the few
-    rows that are left are sorted on the driver. Nothing but counts is shuffled. The keys must
-    identify a row.
+    keys that are left are sorted on the driver. Nothing but counts is shuffled.
     """
     named = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
     rows = df.select(md5_order(keys, seed).alias("h"), *named)
@@ -42,7 +51,7 @@ def random_cuts(df: DataFrame, keys: Sequence[str], seed: int, ranks_of: Callabl
     counts = {r["p"]: r["n"] for r in rows.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
     n = sum(counts.values())
     ranks = list(ranks_of(n))
-    cuts: dict[int, tuple] = {}
+    cuts: dict[int, Cut] = {}
     groups = {"": (0, counts)}  # prefix → rank of its first row, counts of the longer prefixes
     while groups:
         open_, last = {}, {}
@@ -56,10 +65,11 @@ def random_cuts(df: DataFrame, keys: Sequence[str], seed: int, ranks_of: Callabl
             here = F.lit(False)
             for k in size:
                 here = here | F.substring("h", 1, k).isin([p for p in last if len(p) == k])
-            found = sorted(tuple(r) for r in rows.where(here).collect())
-            for p, before in last.items():
-                own = [r for r in found if r[0].startswith(p)]
-                cuts.update({r: own[r - before] for r in ranks if before <= r < before + len(own)})
+            found = sorted(tuple(r) for r in rows.where(here).groupBy(*rows.columns).agg(F.count("*").alias("n")).collect())
+            for p, at in last.items():
+                for r in (r for r in found if r[0].startswith(p)):
+                    cuts.update({k: Cut(r[0], r[1:-1], k - at) for k in ranks if at <= k < at + r[-1]})
+                    at += r[-1]
         groups = {}
         if open_:
             k = len(next(iter(open_)))
@@ -70,17 +80,46 @@ def random_cuts(df: DataFrame, keys: Sequence[str], seed: int, ranks_of: Callabl
     return n, [cuts.get(r) for r in ranks]
 
 
-def before_cut(df: DataFrame, keys: Sequence[str], seed: int, cut: tuple | None) -> Column:
-    """Whether a row comes before the cut in the random order; without a cut, every row does."""
-    if cut is None:
-        return F.lit(True)
-    out = F.lit(False)
-    types = [df.schema[k].dataType for k in keys]
-    for k, v, t in reversed(list(zip(keys, cut[1:], types))):
-        v = F.lit(v).cast(t)
-        out = (F.col(k) < v) | (F.col(k).eqNullSafe(v) & out)
+def _key_is(df: DataFrame, keys: Sequence[str], seed: int, cut: Cut) -> Column:
+    out = md5_order(keys, seed) == cut.hash
+    for k, v in zip(keys, cut.keys):
+        out = out & F.col(k).eqNullSafe(F.lit(v).cast(df.schema[k].dataType))
+    return out
+
+
+def _not_before(df: DataFrame, keys: Sequence[str], seed: int, cut: Cut) -> Column:
+    """Whether a row's (hash, keys) is that of the cut or comes after it."""
+    out = F.lit(True)
+    for k, v in reversed(list(zip(keys, cut.keys))):
+        v = F.lit(v).cast(df.schema[k].dataType)
+        out = F.coalesce(F.col(k) > v, F.col(k).isNotNull() & v.isNull()) | (F.col(k).eqNullSafe(v) & out)
     h = md5_order(keys, seed)
-    return (h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & F.coalesce(out, F.lit(False)))
+    return (h > cut.hash) | ((h == cut.hash) & out)
+
+
+def with_part(df: DataFrame, keys: Sequence[str], seed: int, cuts: Sequence[Cut | None], out_col: str) -> DataFrame:
+    """Add the number of cuts at or before each row: a comparison with literals, without a shuffle.
+
+    Only rows that share their keys with a cut inside their tie (keys that do not identify a row) are
+    told apart by an index over themselves; equal ones among them can stand for each other.
+    """
+    real = [c for c in cuts if c is not None]
+    part = sum((_not_before(df, keys, seed, c).cast("int") for c in real), F.lit(0))
+    ties = {(c.hash, c.keys): c for c in real if c.skip}
+    if not ties:
+        return df.withColumn(out_col, part)
+    tied = functools.reduce(lambda a, b: a | b, (_key_is(df, keys, seed, c) for c in ties.values()))
+    rest = df.where(~tied).withColumn(out_col, part)
+    own = df.where(tied).withColumns({"_tp_h": md5_order(keys, seed), "_tp_row": F.xxhash64(*df.columns)})
+    indexed, _ = with_row_index(own, ["_tp_h", *keys, "_tp_row"], index_col="_tp_at")
+    counts = {(r[0], tuple(r[1:-1])): r[-1] for r in own.groupBy("_tp_h", *keys).count().collect()}
+    start, less = 0, F.lit(0)
+    for key in sorted(counts):
+        for c in real:
+            if c.skip and (c.hash, c.keys) == key:
+                less = less + F.when(_key_is(df, keys, seed, c) & (F.col("_tp_at") < start + c.skip), 1).otherwise(0)
+        start += counts[key]
+    return rest.unionByName(indexed.withColumn(out_col, part - less).drop("_tp_h", "_tp_row", "_tp_at"))
 
 
 def test_count(n: int, test_size: float) -> int:
@@ -92,15 +131,15 @@ def test_count(n: int, test_size: float) -> int:
 
 def random_split(df: DataFrame, keys: Sequence[str], test_size: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(train, test): filters on the rows' hash, without a shuffle."""
-    _, (cut,) = random_cuts(df, keys, seed, lambda n: [test_count(n, test_size)])
-    in_test = before_cut(df, keys, seed, cut)
-    return df.where(~in_test), df.where(in_test)
+    sides = random_split_labels(df, keys, test_size, seed, "_tp_side")
+    return sides.where("_tp_side = 'train'").drop("_tp_side"), sides.where("_tp_side = 'test'").drop("_tp_side")
 
 
 def random_split_labels(df: DataFrame, keys: Sequence[str], test_size: float = 0.2, seed: int = 42,
                         out_col: str = "side") -> DataFrame:
-    _, (cut,) = random_cuts(df, keys, seed, lambda n: [test_count(n, test_size)])
-    return df.withColumn(out_col, F.when(before_cut(df, keys, seed, cut), "test").otherwise("train"))
+    _, cuts = random_cuts(df, keys, seed, lambda n: [test_count(n, test_size)])
+    part = with_part(df, keys, seed, cuts, "_tp_part")
+    return part.withColumn(out_col, F.when(F.col("_tp_part") == 0, "test").otherwise("train")).drop("_tp_part")
 
 
 def chronological_cut(n: int, test_size: float) -> int:
@@ -182,10 +221,7 @@ def kfold(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42, fold_c
     n, cuts = random_cuts(df, keys, seed, lambda n: fold_starts(n, k))
     if n < k:
         raise ValueError(f"{k} folds need at least as many rows, the table has {n}")
-    fold = F.lit(k - 1)
-    for f in range(k - 2, -1, -1):
-        fold = F.when(before_cut(df, keys, seed, cuts[f]), f).otherwise(fold)
-    return df.withColumn(fold_col, fold.cast("int"))
+    return with_part(df, keys, seed, cuts, fold_col).withColumn(fold_col, F.col(fold_col).cast("int"))
 
 
 def fold_holdout(folded: DataFrame, fold: int, keys: Sequence[str], test_size: float = 0.2, seed: int = 42,

@@ -551,7 +551,7 @@ with r as (select l_orderkey, l_linenumber, {_MD5_LINEITEM} as ri, count(*) over
 select l_orderkey, l_linenumber, case when ri < ceil(n * 0.2::double) then 'test' else 'train' end as side from r""")
 def q_random_split(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
-    return split.random_split_labels(li, ["l_orderkey", "l_linenumber"], 0.2, 42).drop("rand_idx")
+    return split.random_split_labels(li, ["l_orderkey", "l_linenumber"], 0.2, 42)
 
 
 @query("chronological_split", f"""
