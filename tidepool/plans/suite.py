@@ -63,7 +63,8 @@ NARROW_INT_OUTPUTS = {
     "read_matching": ["l_linenumber"], "read_table_csv": ["l_linenumber"], "save_load_split": ["l_linenumber"],
     "scale_decoder_input": ["feat"], "scale_windows": ["feat"], "sliding_windows": ["feat"],
     "strided_windows": ["feat"], "tiling_windows": ["feat"], "write_dataset": ["l_linenumber"],
-    "seq2seq_windows": ["feat"],
+    "seq2seq_windows": ["feat"], "drop_duplicates": ["l_linenumber"], "fill_report": ["nulls_after"],
+    "read_csv_latin1": ["l_linenumber"], "read_csv_gb18030": ["l_linenumber"], "read_csv_multiline": ["l_linenumber"],
 }
 
 

@@ -3,15 +3,12 @@ driver's tables into the session's checkpoint folder (a shared folder on a clust
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.operators import series, split
+from tidepool.operators import evaluate, series, split
 from tidepool.plans.suite import query, rounded, table
-from tidepool.session import ensure_checkpoint_dir
+from tidepool.session import scratch_folder
 from tidepool.sources import io
 
 _LI_COLS = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
@@ -19,7 +16,7 @@ _LI_SQL = "select l_orderkey, l_linenumber, l_quantity, l_returnflag from lineit
 
 
 def _scratch(spark, name: str) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), "tidepool-io", f"{name}-{uuid.uuid4().hex}")
+    return f"{scratch_folder(spark, 'io')}/{name}"
 
 
 @query("read_table_csv", _LI_SQL)
@@ -166,27 +163,46 @@ def q_m4_lookup(spark, sf):
     return io.m4_lookup(_m4_like(spark, sf))
 
 
-@query("training_history")
+_EPOCHS_SQL = ("(select user_id % 20 as epoch, avg(value) as train_loss, min(value) as val_loss, max(value) as train_metric, "
+               "stddev_pop(value) as val_metric, count(*) / 8.0 as seconds from events group by 1)")
+
+
+def _epochs(spark, sf) -> DataFrame:
+    """A per-epoch table: the statistics of twenty groups of users."""
+    return (table(spark, sf, "events").groupBy((F.col("user_id") % 20).alias("epoch"))
+            .agg(F.avg("value").alias("train_loss"), F.min("value").alias("val_loss"), F.max("value").alias("train_metric"),
+                 F.stddev_pop("value").alias("val_metric"), (F.count("*") / 8.0).alias("seconds")))
+
+
+@query("training_history", f"""
+select count(*) as epochs, round(max_by(train_loss, epoch), 6) as final_train_loss, round(max_by(val_loss, epoch), 6) as final_val_loss,
+       round(max_by(train_metric, epoch), 6) as final_train_metric, round(max_by(val_metric, epoch), 6) as final_val_metric,
+       round(avg(seconds), 2) as avg_epoch_seconds from {_EPOCHS_SQL}""")
 def q_training_history(spark, sf):
-    """Per-iteration objective of an L-BFGS linear model on lineitem, summarised like an epoch history."""
-    from pyspark.ml.regression import LinearRegression
+    return evaluate.training_history(_epochs(spark, sf))
+
+
+@query("write_history", f"""
+select epoch, round(train_loss, 6) as train_loss, round(val_loss, 6) as val_loss, round(train_metric, 6) as train_metric,
+       round(val_metric, 6) as val_metric from {_EPOCHS_SQL}""")
+def q_write_history(spark, sf):
+    path = _scratch(spark, "history")
+    io.write_history(_epochs(spark, sf), path)
+    schema = "epoch bigint, train_loss double, val_loss double, train_metric double, val_metric double"
+    return rounded(spark.read.option("header", True).schema(schema).csv(path))
 
-    from tidepool.operators.evaluate import training_history
-    from tidepool.operators.models import with_vector
 
-    li = table(spark, sf, "lineitem").select(
-        F.array(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")).alias("features"),
-        F.col("l_extendedprice").alias("label"))
-    model = LinearRegression(featuresCol="fvec", solver="l-bfgs", maxIter=10, regParam=0.01).fit(with_vector(li))
-    hist = model.summary.objectiveHistory
-    rows = [(i + 1, float(v), None, None, None, 0.0) for i, v in enumerate(hist)]
-    h = spark.createDataFrame(rows, "epoch int, train_loss double, val_loss double, train_metric double, "
-                                    "val_metric double, seconds double")
-    return training_history(h)
+def _gauss_sql(tag: str, pos: str = "") -> str:
+    def uniform(u: str) -> str:
+        return f"cast(('0x' || substr(md5(concat_ws(':', '42', '{tag}', cast(vec_id as varchar), {pos}'{u}')), 1, 13))::bigint as double)"
+    return f"sqrt(-2.0 * ln(({uniform('u1')} + 1.0) / 4503599627370497.0)) * cos(2 * pi() * ({uniform('u2')} / 4503599627370496.0))"
 
 
-@query("augment")
+@query("augment", f"""
+with e as (select vec_id, t - 1 as t, cast(v as double) as v from embeddings, unnest(embedding) with ordinality as u(v, t))
+select vec_id, t, round(v * ({_gauss_sql('scale')} * 0.1 + 1.0) + {_gauss_sql('shift')} * 0.1
+                        + {_gauss_sql('jitter', 'cast(t as varchar), ')} * 0.1, 6) as val from e""")
 def q_augment(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     a = e.select("vec_id", series.augment("x", 0.1, 42, F.col("vec_id")).alias("a"))
-    return a.select("vec_id", F.posexplode_outer("a").alias("t", "val"))
+    return rounded(a.select("vec_id", F.posexplode_outer("a").alias("t", "val")))

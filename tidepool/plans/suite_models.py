@@ -1,5 +1,6 @@
-"""Model queries (MLlib): fitted on the driver's tables, checked by row count and schema only
-(tree binning and random seeds make exact values engine-specific)."""
+"""Model queries (MLlib), fitted on the driver's tables. Trees with one split or none, scores and
+round trips are checked against SQL; of the large learners, whose binning and random draws are the
+engine's own, row counts and schemas."""
 
 from __future__ import annotations
 
@@ -10,9 +11,10 @@ from tidepool.operators import models, split
 from tidepool.operators.features import assemble_features, fit_label_encoder, label_encode
 from tidepool.plans.flagship import flagship_forecast
 from tidepool.plans.suite import query, rounded, table
+from tidepool.session import scratch_folder
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
-SMALL_FOREST = {"n_estimators": 10, "max_depth": 5}
+SMALL_FOREST = {"n_estimators": 10, "max_depth": 5}  # a bound on the queries' driver memory, not on their rows
 
 
 def _lineitem(spark, sf, target: str) -> DataFrame:
@@ -78,61 +80,80 @@ def q_linear_forecast(spark, sf):
     return flagship_forecast(spark, sf)
 
 
-@query("feature_importance")
-def q_feature_importance(spark, sf):
-    train, _, names = _regression_sides(spark, sf)
-    m = models.fit_model(train, "random_forest_regressor", SMALL_FOREST, "regression")
-    return rounded(spark.createDataFrame(models.feature_importance(m, names), "feature string, importance double"))
+# ------------------------------------------------------- trees that SQL can grow: one split, or none
 
+STUMP_FEATURES = ["l_linenumber", "l_discount", "l_tax"]  # few values each, so every threshold is tried
 
-@query("train_test_scores")
-def q_train_test_scores(spark, sf):
-    train, test, _ = _regression_sides(spark, sf)
-    m = models.fit_model(train, "decision_tree_regressor", SMALL_FOREST, "regression")
-    s = models.train_test_scores(models.predict(m, train), models.predict(m, test), "regression")
-    return rounded(spark.createDataFrame([(s["train_r2"], s["test_r2"])], "train_r2 double, test_r2 double"))
 
+def _stump_sql(select: str) -> str:
+    """The split of the few-valued features that lowers the squared error of the price most."""
+    long = " union all ".join(f"select '{c}' as f, cast({c} as double) as v, l_extendedprice as y from lineitem" for c in STUMP_FEATURES)
+    value = "case best.f " + " ".join(f"when '{c}' then {c}" for c in STUMP_FEATURES) + " end"
+    return f"""
+with g as (select f, v, count(*) as n, sum(y) as s from ({long}) group by 1, 2),
+c as (select f, v, sum(n) over w as nl, sum(s) over w as sl, sum(n) over (partition by f) as nt, sum(s) over (partition by f) as st
+      from g window w as (partition by f order by v)),
+gain as (select f, v, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) as score, sl / nl as low, (st - sl) / (nt - nl) as high from c where nl < nt),
+best as (select * from gain order by score desc limit 1)
+{select.format(value=value)}"""
 
-@query("save_load_model")
-def q_save_load_model(spark, sf):
-    """Fit, save into the checkpoint folder, load back and score with the loaded model."""
-    import os
-    import uuid
 
-    from tidepool.session import ensure_checkpoint_dir
+def _stump(spark, sf) -> tuple[DataFrame, models.PipelineModel]:
+    li = table(spark, sf, "lineitem")
+    data = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+                     F.array(*[F.col(c).cast("double") for c in STUMP_FEATURES]).alias("features"), F.col("l_extendedprice").alias("label"))
+    return data, models.fit_model(data, "decision_tree_regressor", {"max_depth": 1}, "regression")
 
-    train, test, _ = _regression_sides(spark, sf)
-    m = models.fit_model(train, "decision_tree_regressor", SMALL_FOREST, "regression")
-    path = os.path.join(ensure_checkpoint_dir(spark), "tidepool-models", f"dt-{uuid.uuid4().hex}")
-    models.save_model(m, path)
-    return _scored(models.predict(models.load_model(path), test))
 
+@query("tree_stump", _stump_sql("""
+select l_orderkey * 10 + l_linenumber as row_id, round(case when {value} <= best.v then best.low else best.high end, 6) as yhat
+from lineitem, best"""))
+def q_tree_stump(spark, sf):
+    data, model = _stump(spark, sf)
+    return rounded(models.predict(model, data).select("row_id", "yhat"))
 
-@query("write_history")
-def q_write_history(spark, sf):
-    """Per-iteration objective history of a linear model on lineitem, written as CSV and read back."""
-    import os
-    import uuid
 
-    from pyspark.ml.regression import LinearRegression
+@query("feature_importance", _stump_sql("select f.k as feature, case when f.k = best.f then 1.0::double else 0.0 end as importance "
+                                        f"from best, unnest({STUMP_FEATURES}) f(k)"))
+def q_feature_importance(spark, sf):
+    _, model = _stump(spark, sf)
+    return rounded(spark.createDataFrame(models.feature_importance(model, STUMP_FEATURES), "feature string, importance double"))
 
-    from tidepool.session import ensure_checkpoint_dir
-    from tidepool.sources import io
 
-    li = table(spark, sf, "lineitem").select(
-        F.array(F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")).alias("features"),
-        F.col("l_extendedprice").alias("label"))
-    fit = LinearRegression(featuresCol="fvec", solver="l-bfgs", maxIter=10, regParam=0.01).fit(models.with_vector(li))
-    hist = spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(fit.summary.objectiveHistory)],
-                                 "epoch int, train_loss double")
-    path = os.path.join(ensure_checkpoint_dir(spark), "tidepool-history", f"h-{uuid.uuid4().hex}")
-    io.write_history(hist, path)
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+_FORMULA = "(c_acctbal * 0.9 + c_nationkey * 3)"
+_ORDER_MD5 = "row_number() over (order by md5(concat_ws(':', cast({k} as varchar), '42')), {k}) - 1"
 
 
-@query("cross_validate")
+@query("train_test_scores", f"""
+with r as (select c_acctbal as y, {_FORMULA} as yhat, {_ORDER_MD5.format(k='c_custkey')} as ri, count(*) over () as n from customer),
+s as (select ri < ceil(n * 0.2::double) as test, 1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)) as r2 from r group by 1)
+select round(max(r2) filter (not test), 6) as train_r2, round(max(r2) filter (test), 6) as test_r2 from s""")
+def q_train_test_scores(spark, sf):
+    scored = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("label"),
+                                                 (F.col("c_acctbal") * 0.9 + F.col("c_nationkey") * 3).alias("yhat"))
+    train, test = split.random_split(scored, ["c_custkey"], 0.2, 42)
+    s = models.train_test_scores(train, test, "regression")
+    return rounded(spark.createDataFrame([(s["train_r2"], s["test_r2"])], "train_r2 double, test_r2 double"))
+
+
+@query("save_load_model", "select cast(ceil(count(*) * 0.2::double) as bigint) as rows, cast(0 as bigint) as differing from lineitem")
+def q_save_load_model(spark, sf):
+    """Fit, save into the shared scratch folder, load back: both models must predict the same."""
+    train, test, _ = _regression_sides(spark, sf)
+    m = models.fit_model(train, "decision_tree_regressor", SMALL_FOREST, "regression")
+    path = f"{scratch_folder(spark, 'models')}/tree"
+    models.save_model(m, path)
+    both = models.predict(models.load_model(path), models.predict(m, test).withColumnRenamed("yhat", "before").drop("prediction"))
+    return both.agg(F.count("*").alias("rows"), F.count_if(~F.col("yhat").eqNullSafe(F.col("before"))).alias("differing"))
+
+
+@query("cross_validate", f"""
+with r as (select o_totalprice as y, {_ORDER_MD5.format(k='o_orderkey')} as ri, count(*) over () as n from orders),
+f as (select y, case when ri < (n % 5) * (n // 5 + 1) then ri // (n // 5 + 1) else n % 5 + (ri - (n % 5) * (n // 5 + 1)) // (n // 5) end as fold from r),
+t as (select fold, sum(y) as s, count(*) as c from f group by 1),
+m as (select a.fold, ((select sum(s) from t) - a.s) / ((select sum(c) from t) - a.c) as mean from t a)
+select f.fold, round(1 - sum((y - mean) * (y - mean)) / (var_pop(y) * count(*)), 6) as score from f join m on m.fold = f.fold group by 1""")
 def q_cross_validate(spark, sf):
-    df = _lineitem(spark, sf, "l_extendedprice")
-    data, _, _ = assemble_features(df, "l_extendedprice", exclude=["row_id"])
-    data = data.withColumnRenamed("l_extendedprice", "label")
-    return rounded(models.cross_validate(data, ["row_id"], "decision_tree_regressor", SMALL_FOREST, "regression", k=3))
+    """A tree without a split predicts the training mean, so SQL can score each of the five folds."""
+    data = table(spark, sf, "orders").select("o_orderkey", F.array(F.col("o_custkey").cast("double")).alias("features"), F.col("o_totalprice").alias("label"))
+    return rounded(models.cross_validate(data, ["o_orderkey"], "decision_tree_regressor", {"max_depth": 0}, "regression", k=5))

@@ -11,7 +11,6 @@ import json
 import os
 import re
 import sys
-import uuid
 from collections.abc import Sequence
 
 from pyspark import cloudpickle
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions.columns import nan_to_null
-from tidepool.session import ensure_checkpoint_dir
+from tidepool.session import scratch_folder
 
 # the decoders run in Python workers: ship this module's code by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -96,7 +95,7 @@ def detect_csv_encoding(spark: SparkSession, path: str, encodings: Sequence[str]
 def _as_utf8(spark: SparkSession, path: str, encoding: str, whole_files: bool) -> str:
     """A UTF-8 copy of a text in the shared scratch folder, for charsets that Spark's reader lacks.
     Files with line ends inside fields are copied whole, others line by line in all tasks."""
-    target = os.path.join(ensure_checkpoint_dir(spark), "tidepool-utf8", uuid.uuid4().hex)
+    target = f"{scratch_folder(spark, 'utf8')}/text"
 
     def run(batches):
         import pyarrow as pa
