@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.llm import bpe, decontaminate, exact_dedup, quality, simhash
-from tidepool.llm.common import scratch_folder, table, written
+from tidepool.llm.common import table, written
+from tidepool.session import scratch_folder
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

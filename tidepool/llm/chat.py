@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import scratch_folder, table, text_of, written
+from tidepool.llm.common import table, text_of, written
+from tidepool.session import scratch_folder
 
 RANGE_TURNS, PART_TURNS = 1024, 256
 HASH = "decimal(38,0)"

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import gc
 import sys
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.session import default_partitions, ensure_checkpoint_dir
+from tidepool.session import default_partitions, scratch_folder
 
 # Workers need no copy of the package: functions of these modules travel with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -28,11 +27,6 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, the folder that driver and executors share."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidepool-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, folder: str | None = None, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back.
 
@@ -45,13 +39,6 @@ def written(df: DataFrame, folder: str | None = None, name: str = "table") -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    """Remove a scratch folder on whatever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ddl(schema: pa.Schema) -> str:
     """Spark's type string of an Arrow schema."""
     names = {"int64": "bigint", "int32": "int", "string": "string", "bool": "boolean", "double": "double", "binary": "binary",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import scratch_folder, written
+from tidepool.llm.common import written
+from tidepool.session import scratch_folder
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:

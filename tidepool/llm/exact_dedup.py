@@ -26,8 +26,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import ddl, fresh_name, scratch_folder, table, text_of, written
-from tidepool.session import default_partitions
+from tidepool.llm.common import ddl, fresh_name, table, text_of, written
+from tidepool.session import default_partitions, scratch_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 

@@ -26,9 +26,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import ddl, scratch_folder, table, text_of, written
+from tidepool.llm.common import ddl, table, text_of, written
 from tidepool.llm.components import components
-from tidepool.session import default_partitions
+from tidepool.session import default_partitions, scratch_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 

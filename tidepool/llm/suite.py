@@ -16,4 +16,4 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLE = {"op4_chat_formatting": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}
+ORACLE = {"op4_chat_formatting": chat.SQL, "op9_warc": warc.SQL, "op10_exact_dedup": exact_dedup.SQL}

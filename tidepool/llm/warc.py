@@ -22,7 +22,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import ddl, partitions_for, scratch_folder, table, text_of, written
+from tidepool.llm.common import ddl, partitions_for, table, text_of, written
+from tidepool.session import scratch_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -171,3 +172,18 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_folder(spark) + "/archives"
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _base32_sql(payload: str) -> str:
+    def letter(i: int, k: int) -> str:
+        return f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(sha1({payload}), {i + 1}, 10))::bigint >> {35 - 5 * k}) & 31) + 1)::integer, 1)"
+
+    return " || ".join(letter(i, k) for i in range(0, 40, 10) for k in range(8))
+
+
+SQL = f"""
+with p as (select page_id, coalesce(html, '') as payload from pages),
+f as (select *, min(page_id) over (partition by payload) as original from p)
+select page_id, octet_length(encode(payload)) as payload_bytes, {_base32_sql('payload')} as payload_digest,
+       case when page_id = original then 'response' else 'revisit' end as record_type,
+       case when page_id <> original then original end as refers_to from f"""
