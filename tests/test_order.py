@@ -87,16 +87,15 @@ def test_row_index_needs_no_cache(spark):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
 
 
-def test_range_ids_of_nulls_nan_and_descending_keys(spark, monkeypatch):
+def test_range_ids_of_nulls_nan_and_descending_keys(spark):
     from tidepool.plans import order
 
     rows = [(i, None if i % 7 == 0 else float("nan") if i % 11 == 0 else (i * 37 % 50) / 3, None if i % 5 == 0 else "é" * (i % 4) + "a") for i in range(300)]
     df = spark.createDataFrame(rows, "id bigint, x double, s string").repartition(3)
     keys = [order.Desc("x"), "s", order.Desc("id")]
     exact = df.withColumn("rn", F.row_number().over(Window.orderBy(F.col("x").desc(), "s", F.col("id").desc())) - 1)
-    for limit in (64, 2):  # a tree of comparisons, and binary search in an array
-        monkeypatch.setattr(order, "MAX_TREE_SPLITTERS", limit)
-        idx, n = with_row_index(df, keys, num_partitions=5)
+    for parts in (1, 5, 40):
+        idx, n = with_row_index(df, keys, num_partitions=parts)
         assert n == 300 and idx.join(exact, "id").where("rn <> row_idx").count() == 0
     assert with_row_index(df.limit(0), keys)[1] == 0 and with_row_index(df.limit(0), keys)[0].collect() == []
 
@@ -107,3 +106,12 @@ def test_index_over_times_and_dates(spark):
         idx, n = with_row_index(ev, [key, "event_id"], num_partitions=3)
         naive = ev.withColumn("rn", F.row_number().over(Window.orderBy(key, "event_id")) - 1)
         assert idx.join(naive, "event_id").where("rn <> row_idx").count() == 0
+
+
+def test_index_over_decimals_binaries_and_booleans(spark):
+    df = spark.range(200).select("id", (F.col("id") * 7 % 50 / 3).cast("decimal(20,6)").alias("d"), F.md5(F.col("id").cast("string")).cast("binary").alias("b"),
+                                 (F.col("id") % 2 == 0).alias("t"))
+    for key in ("d", "b", "t"):
+        idx, _ = with_row_index(df, [key, "id"], num_partitions=4)
+        naive = df.withColumn("rn", F.row_number().over(Window.orderBy(key, "id")) - 1)
+        assert idx.join(naive, "id").where("rn <> row_idx").count() == 0

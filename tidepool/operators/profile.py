@@ -6,8 +6,12 @@ results are small long-form DataFrames.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +19,9 @@ from pyspark.sql import types as T
 from tidepool.functions.columns import is_numeric_type, numeric_columns, stack_columns, string_columns
 from tidepool.operators.stats import exact_quantiles, mode_table
 
+# the pair sums run in Python workers: ship this module's code by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # describe's metric order for numeric columns.
 DESCRIBE_NUMERIC_METRICS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 # describe's metric order for categorical columns.
@@ -201,25 +208,44 @@ def bin_index(v: Column, lo: Column, hi: Column, bins: int) -> Column:
     return k
 
 
+def _pair_sums(centre: list[float]):
+    """Per task: for every pair of columns the number of rows that have both, and over those rows the
+    sums of x, x² and x·y, as matrix products of whole batches."""
+
+    def run(batches):
+        k = len(centre)
+        sums = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)]).astype(np.float64) - centre
+            there = (~np.isnan(x)).astype(np.float64)
+            x = np.nan_to_num(x)
+            sums += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        kind, i, j = np.indices(sums.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(v.ravel()) for v in (kind, i, j, sums)], names=["kind", "i", "j", "v"])
+
+    return run
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame | None:
     """Pearson correlation of all numeric pairs, long form (col_i, col_j, r), pairwise-complete.
 
-    ``None`` when fewer than 2 numeric columns (the reference returns no figure).
+    ``None`` when fewer than 2 numeric columns (the reference returns no figure). A pair without
+    variance has a null. The columns are centred first, then one pass takes all pairs' sums; a task
+    sends four matrices of C × C, whatever its rows.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     if len(cols) < 2:
         return None
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    d = {c: F.col(c).cast("double") for c in cols}
-    agg = df.agg(
-        *[F.corr(d[a], d[b]).alias(f"r{k}") for k, (a, b) in enumerate(pairs)],
-        *[F.stddev_samp(d[c]).alias(f"s{i}") for i, c in enumerate(cols)],
-    )
-    items = []
-    for k, (a, b) in enumerate(pairs):
-        items.append(F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"), F.col(f"r{k}").alias("r")))
-        items.append(F.struct(F.lit(b).alias("col_i"), F.lit(a).alias("col_j"), F.col(f"r{k}").alias("r")))
-    for i, c in enumerate(cols):
-        diag = F.when(F.col(f"s{i}") > 0, F.lit(1.0))
-        items.append(F.struct(F.lit(c).alias("col_i"), F.lit(c).alias("col_j"), diag.alias("r")))
-    return agg.select(F.inline(F.array(*items)))
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    means = x.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in cols]).first()
+    cells = x.mapInArrow(_pair_sums([means[c] or 0.0 for c in cols]), "kind bigint, i bigint, j bigint, v double")
+    sums = cells.groupBy("i", "j").pivot("kind", [0, 1, 2, 3]).agg(F.sum("v")).toDF("i", "j", "n", "sx", "sxx", "sxy")
+    turned = sums.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"))
+    both = sums.join(turned, ["i", "j"])
+    var_x, var_y = F.col("n") * F.col("sxx") - F.col("sx") ** 2, F.col("n") * F.col("syy") - F.col("sy") ** 2
+    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
+    # sums of squares that cancel to rounding error have no variance
+    spread = (var_x > 1e-12 * F.col("n") * F.col("sxx")) & (var_y > 1e-12 * F.col("n") * F.col("syy"))
+    r = F.when(spread, F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(var_x * var_y)))))
+    names = F.array(*[F.lit(c) for c in cols])
+    return both.select(F.get(names, F.col("i").cast("int")).alias("col_i"), F.get(names, F.col("j").cast("int")).alias("col_j"), r.alias("r"))

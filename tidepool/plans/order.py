@@ -21,7 +21,10 @@ works from an explicit total order and never moves the whole table into one task
 
 from __future__ import annotations
 
+import base64
+import decimal
 import functools
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -100,9 +103,6 @@ def _before(keys: list[tuple[Column, bool, str]], split: Sequence[Column]) -> Co
     return out
 
 
-# Up to this many splitters the range id is a tree of comparisons in one expression; above it, a
-# chain of binary-search steps over one literal array.
-MAX_TREE_SPLITTERS = 64
 RANGES_PER_PARTITION = 4
 SAMPLES_PER_RANGE = 16
 
@@ -127,29 +127,27 @@ def with_range_id(df: DataFrame, order_by: Sequence[str | Column | Desc], n_rang
     keys = _comparable(df, order_by)
     split = _splitters(df, keys, n_ranges)
 
-    def literal(v, kind: str) -> Column:
-        return F.lit(v).cast(kind)
-
-    if len(split) <= MAX_TREE_SPLITTERS:
-        def tree(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(_before(keys, [literal(v, kind) for v, (_, _, kind) in zip(split[mid], keys)]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-        return df.withColumn(id_col, tree(0, len(split))), len(split) + 1
-    at = F.array(*(F.struct(*(literal(v, kind).alias(f"k{i}") for i, (v, (_, _, kind)) in enumerate(zip(s, keys)))) for s in split))
-    out = df.withColumn(id_col, F.lit(0))
-    step = 1 << (len(split).bit_length() - 1)
-    while step:
-        place = F.col(id_col) + F.lit(step)
-        found = F.get(at, place - 1)
+    if not split:
+        return df.withColumn(id_col, F.lit(0)), 1
+    # one literal: an array of the splitters, folded into the plan from its JSON text
+    kind = ", ".join(f"k{i}: {t}" for i, (_, _, t) in enumerate(keys))
+    at = F.from_json(F.lit(json.dumps([{f"k{i}": _plain(v) for i, v in enumerate(s)} for s in split])), f"array<struct<{kind}>>")
+    out, step = df.withColumn(id_col, F.lit(0)), 1 << (len(split).bit_length() - 1)
+    while step:  # binary search: how many splitters come before or are equal to the row
+        found = F.get(at, F.col(id_col) + (step - 1))
         here = [found.getField(f"k{i}") for i in range(len(keys))]
-        out = out.withColumn(id_col, F.when((place <= len(split)) & ~_before(keys, here), place).otherwise(F.col(id_col)))
+        out = out.withColumn(id_col, F.col(id_col) + F.when((F.col(id_col) + step <= len(split)) & ~_before(keys, here), step).otherwise(0))
         step //= 2
     return out, len(split) + 1
 
 
+def _plain(v):
+    """A splitter's value as JSON has it."""
+    if isinstance(v, bytes):
+        return base64.b64encode(v).decode()
+    return str(v) if isinstance(v, decimal.Decimal) else v
+
+
 def with_row_index(
     df: DataFrame,
     order_by: Sequence[str | Column | Desc],
