@@ -22,9 +22,9 @@ HEADLINE = [
     "fill_missing", "fill_forward_series", "interpolate_linear",
     "scaler_windowed_mean", "time_encoding", "label_encode",
     "random_split", "kfold", "chronological_split",
-    "sliding_windows", "seq2seq_windows", "strided_windows", "pad_series",
+    "sliding_windows", "sliding_windows_raw", "seq2seq_windows", "strided_windows", "pad_series", "pad_series_long",
     "moving_average", "fourier_extrapolate",
-    "regression_metrics_multi", "precision_recall_f1", "roc_auc", "latest_runs",
+    "regression_metrics_multi", "precision_recall_f1", "roc_auc", "latest_runs", "tree_stump", "cross_validate",
 ]
 
 

@@ -55,3 +55,48 @@ def test_general_classification_workflow(spark):
     cv = models.cross_validate(data, ["row_id"], "decision_tree_classifier", {"max_depth": 4}, task, k=2, n_classes=k)
     summary = evaluate.cv_summary(cv).first()
     assert summary["folds"] == 2 and 0.0 <= summary["mean"] <= 1.0
+
+
+def _hours(spark, n=200):
+    from pyspark.sql import functions as F
+
+    t = F.timestamp_add("HOUR", F.col("id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")).cast("timestamp_ntz")
+    return spark.range(n).select(F.col("id"), t.alias("t"), (F.col("id") % 24 + F.sin("id")).alias("v"),
+                                 F.when(F.col("id") % 24 < 8, "night").otherwise("day").alias("part"))
+
+
+def test_time_series_classification(spark):
+    from tidepool.plans.flagship import prepare_time_series
+
+    train, test, meta = prepare_time_series(_hours(spark), "t", "part", ["id"], seq_len=12, pred_len=2)
+    assert (meta.task_type, meta.classes, meta.n_classes) == ("classification", ("day", "night"), 2)
+    assert {v for r in train.select("y").collect() for v in r["y"]} == {0.0, 1.0}
+    assert meta.target_scaler.method is None and test.count() == 40 - 14 + 1
+
+
+def test_seq2seq_end_to_end(spark):
+    from tidepool.plans.flagship import prepare_seq2seq
+
+    train, test, meta = prepare_seq2seq(_hours(spark).drop("part"), "t", "v", ["id"], seq_len=12, pred_len=2, label_len=4)
+    assert meta.feature_names[-1] == "v" and meta.granularity == "hour" and len(meta.encodings) == 5
+    row = train.orderBy("window_id").first()
+    assert len(row["x"]) == 12 and len(row["dec_inp"]) == 6 and len(row["y_mark"]) == 6 and len(row["y"]) == 2
+    assert max(v for r in train.select("y").collect() for v in r["y"]) <= 1.0 and meta.target_scaler.method == "minmax"
+    assert test.count() == 40 - 14 + 1
+
+
+def test_ridge_matches_the_closed_form(spark):
+    import numpy as np
+
+    from tidepool.operators.models import fit_ridge
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 5)) * [1, 10, 0.1, 3, 0] + [0, 5, 2, -1, 7]
+    y = x @ rng.normal(size=(5, 3)) + rng.normal(size=(300, 3))
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y)], "features array<double>, y array<double>").repartition(4)
+    model = fit_ridge(df, reg=0.05)
+    z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+    w = np.linalg.solve(z.T @ z / 300 + 0.05 * np.eye(5), z.T @ (y - y.mean(0)) / 300)
+    expected = z @ w + y.mean(0)
+    got = np.array([r["p"] for r in df.select(model.predict("features").alias("p")).collect()])
+    assert np.allclose(np.sort(got, axis=0), np.sort(expected, axis=0))

@@ -55,3 +55,13 @@ def test_salted_dictionary_join_keeps_unseen_labels(spark, monkeypatch):
     assert expected.exceptAll(got.where(F.col("event_type") != "unseen")).count() == 0
     stats = ev.groupBy("event_type").count()
     assert join_group_stats(ev, stats, ["event_type"]).count() == ev.count()
+
+
+def test_hot_groups_are_salted_and_others_are_not(spark):
+    from tidepool.plans.order import join_group_stats
+
+    df = spark.range(600).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("v"))
+    stats = df.groupBy("k").agg(F.sum("v").alias("s"))
+    exact = sorted((r.v, r.s) for r in join_group_stats(df, stats, ["k"]).collect())
+    salted = join_group_stats(df, stats, ["k"], salt=4, hot_rows=100)
+    assert sorted((r.v, r.s) for r in salted.collect()) == exact and len(exact) == 600

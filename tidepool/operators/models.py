@@ -8,10 +8,15 @@ under the names of the boosting libraries that have no Spark learner here. Featu
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -22,11 +27,14 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.operators.split import kfold
 
+# the ridge sums run in Python workers: ship this module's code by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The deepest tree that MLlib can hold. Depth None, unbounded elsewhere, is DEFAULT_DEPTH:
 # MLlib keeps all trees on the driver, so the depth of a forest is bounded unless the caller asks for more.
 MAX_TREE_DEPTH, DEFAULT_DEPTH = 30, 10
@@ -183,6 +191,67 @@ def predict(model: PipelineModel, df: DataFrame, features: str = "features") ->
     return out.withColumnRenamed("prediction", "yhat").drop(*drop)
 
 
+@dataclass(frozen=True)
+class Ridge:
+    """Linear forecasts of all horizons: ``yhat = bias + weights · features``."""
+
+    weights: np.ndarray  # horizon × feature
+    bias: np.ndarray
+
+    def predict(self, features: str | Column) -> Column:
+        """``array<double>``, one forecast per horizon, for a whole batch in one matrix product."""
+        weights, bias = self.weights, self.bias
+
+        @F.pandas_udf("array<double>")
+        def forecast(x: pd.Series) -> pd.Series:
+            return pd.Series(list(np.stack(x.to_list()) @ weights.T + bias) if len(x) else [], dtype=object)
+
+        return forecast(features)
+
+
+def _moments(n_features: int, n_labels: int):
+    """Per task: the sums of [1, x, y]ᵀ[1, x, y] over its rows, a packed row of doubles per matrix row."""
+    width = 1 + n_features + n_labels
+
+    def run(batches):
+        sums = np.zeros((width, width))
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column("x").to_pylist())
+                z = np.column_stack([np.ones(len(x)), x, np.stack(batch.column("y").to_pylist())])
+                sums += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int64()), pa.array([r.tobytes() for r in sums], pa.binary())], names=["i", "sums"])
+
+    return run
+
+
+def _summed(group):
+    return pa.table({"i": group.column("i").slice(0, 1), "sums": [sum(np.frombuffer(b) for b in group.column("sums").to_pylist()).tobytes()]})
+
+
+def fit_ridge(train: DataFrame, features: str = "features", labels: str = "y", reg: float = 1e-3) -> Ridge:
+    """Ridge regressions of every element of ``labels`` on ``features``, from one set of normal equations.
+
+    One pass gives all sums (as many as features and labels squared, whatever the rows); the penalty
+    is on standardised features, ``(ZᵀZ/n + reg·I) w = Zᵀy/n``, and a constant feature has no weight.
+    """
+    first = train.select(F.size(features).alias("d"), F.size(labels).alias("h")).first()
+    if first is None:
+        raise ValueError("no rows to fit on")
+    d, h = first["d"], first["h"]
+    rows = train.select(F.col(features).cast("array<double>").alias("x"), F.col(labels).cast("array<double>").alias("y"))
+    cells = rows.mapInArrow(_moments(d, h), "i bigint, sums binary").groupBy("i").applyInArrow(_summed, "i bigint, sums binary")
+    sums = np.stack([np.frombuffer(r["sums"]) for r in cells.orderBy("i").collect()])
+    n = sums[0, 0]
+    mean_x, mean_y = sums[0, 1:d + 1] / n, sums[0, d + 1:] / n
+    cov = sums[1:d + 1, 1:d + 1] / n - np.outer(mean_x, mean_x)
+    cross = sums[1:d + 1, d + 1:] / n - np.outer(mean_x, mean_y)
+    std = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    scale = np.divide(1.0, std, out=np.zeros_like(std), where=std > 1e-12 * np.maximum(1.0, np.abs(mean_x)))
+    w = np.linalg.solve(cov * np.outer(scale, scale) + reg * np.eye(d), cross * scale[:, None]) * scale[:, None]
+    return Ridge(w.T.copy(), mean_y - mean_x @ w)
+
+
 def feature_importance(model: PipelineModel, names: list[str]) -> list[tuple[str, float]]:
     """(name, importance) sorted ascending, for tree models."""
     stage = model.stages[-1]

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.operators import evaluate, scale, series, split, timefeat, windows
-from tidepool.operators.features import feature_columns
-from tidepool.operators.models import fit_model, predict
+from tidepool.operators.features import feature_columns, fit_label_encoder, infer_task, label_encode
+from tidepool.operators.models import fit_ridge
 from tidepool.plans.order import ROW_INDEX, with_row_index
 
 
@@ -31,6 +31,8 @@ class SplitMeta:
     n_rows: int
     scaler: scale.ScalerParams
     target_scaler: scale.ScalerParams
+    classes: tuple[str, ...] = ()
+    n_classes: int = 1
 
 
 def prepare_time_series(
@@ -44,8 +46,13 @@ def prepare_time_series(
     normalization: str | None = "minmax",
     granularity: str = "auto",
 ) -> tuple[DataFrame, DataFrame, SplitMeta]:
-    """Windows ``(window_id, x, y)`` for train and test plus the fitted metadata."""
+    """Windows ``(window_id, x, y)`` for train and test plus the fitted metadata.
+
+    A text target makes the task a classification: ``y`` holds the codes of its classes, which are in
+    the metadata, and is not scaled.
+    """
     windows.check_window_params(seq_len, pred_len)
+    df, classes = _coded_target(df, target)
     staged = df.withColumn("_tp_t", timefeat.time_column(df, time_col))
     indexed, n = with_row_index(staged, ["_tp_t", *(tie_breaker or [])])
     if granularity == "auto":
@@ -57,25 +64,73 @@ def prepare_time_series(
     train, test, cut = split.chronological_split(indexed, n, test_size, min_train=seq_len + pred_len)
     n_test = n - cut
     if n_test - seq_len - pred_len + 1 <= 0:
-        raise ValueError(f"Not enough samples ({n_test}) in the test side for seq_len={seq_len} + pred_len={pred_len}")
+        raise ValueError(f"{n_test} test rows hold no window of {seq_len} + {pred_len} rows")
 
     # statistics of the flattened train windows, weighted by window coverage (no explode)
     if normalization in ("minmax", "mean"):
         fparams = scale.fit_scaler_windowed(train, num, cut, seq_len, pred_len, normalization)
     else:
         fparams = scale.ScalerParams(None, tuple(num))
-    tparams = scale.fit_scaler_windowed(train, [target], cut, seq_len, pred_len, "mean", part="y")
+    tparams = (scale.ScalerParams(None, (target,)) if classes
+               else scale.fit_scaler_windowed(train, [target], cut, seq_len, pred_len, "mean", part="y"))
 
     def side(frame: DataFrame, rows: int) -> DataFrame:
         scaled = scale.apply_scaler(frame, fparams) if fparams.method else frame
         scaled = scale.scale_target(scaled, tparams, target)
         return windows.sliding_windows_indexed(scaled, seq_len, pred_len, num, target, ROW_INDEX, n=rows)
 
-    meta = SplitMeta(tuple(num), target, "regression", seq_len, pred_len, gran, tuple(enc_names), cut, n, fparams,
-                     tparams)
+    meta = SplitMeta(tuple(num), target, "classification" if classes else "regression", seq_len, pred_len, gran, tuple(enc_names), cut, n,
+                     fparams, tparams, classes, len(classes) or 1)
     return side(train, cut), side(test, n_test), meta
 
 
+def _coded_target(df: DataFrame, target: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """A text target as class codes, with the classes in code order; another target as it is."""
+    task, _ = infer_task(df, target)
+    if task != "classification":
+        return df, ()
+    labels = fit_label_encoder(df, target)
+    return label_encode(df, labels), tuple(r["label"] for r in labels.table.orderBy("code").collect())
+
+
+def prepare_seq2seq(
+    df: DataFrame,
+    time_col: str,
+    target: str,
+    tie_breaker: list[str] | None = None,
+    seq_len: int = 24,
+    pred_len: int = 1,
+    label_len: int = 12,
+    test_size: float = 0.2,
+    normalization: str | None = "minmax",
+    granularity: str = "auto",
+) -> tuple[DataFrame, DataFrame, SplitMeta]:
+    """Encoder–decoder windows ``(window_id, x, x_mark, dec_inp, y_mark, y)`` for train and test.
+
+    Values are the numeric columns with the target last, marks the calendar encodings. The scaler of
+    the values is fitted on the training rows; a regression target in ``y`` follows it.
+    """
+    windows.check_window_params(seq_len, pred_len, label_len)
+    df, classes = _coded_target(df, target)
+    indexed, n = timefeat.sort_chronologically(df, time_col, tie_breaker or [])
+    encoded, marks, gran = timefeat.time_encoding(indexed, time_col, granularity)
+    num, _ = feature_columns(encoded, target, exclude=[time_col, ROW_INDEX, *marks])
+    values = [*num, target]
+    train, test, cut = split.chronological_split(encoded, n, test_size, min_train=seq_len + pred_len)
+    method = scale.target_policy("large", normalization, "regression")
+    scaled = num if classes else values
+    params = scale.fit_scaler(train, scaled, method) if method and scaled else scale.ScalerParams(None, tuple(scaled))
+
+    def side(frame: DataFrame, rows: int) -> DataFrame:
+        return windows.seq2seq_windows_indexed(scale.apply_scaler(frame, params), seq_len, pred_len, label_len, values, marks, target,
+                                               ROW_INDEX, n=rows)
+
+    own = scale.ScalerParams(None, (target,)) if classes or not method else params.target(len(values) - 1)
+    meta = SplitMeta(tuple(values), target, "classification" if classes else "regression", seq_len, pred_len, gran, tuple(marks), cut, n,
+                     params, own, classes, len(classes) or 1)
+    return side(train, cut), side(test, n - cut), meta
+
+
 def decomposed_features(w: DataFrame, n_channels: int, kernel: int = 25) -> DataFrame:
     """Seasonal and trend parts of every channel of the ``x`` window, concatenated: the inputs of
     the decomposition-linear forecaster. (Seasonal + trend is linear in x, hence the ridge term.)"""
@@ -92,7 +147,8 @@ def decomposed_features(w: DataFrame, n_channels: int, kernel: int = 25) -> Data
 
 def ridge_forecast(train_w: DataFrame, test_w: DataFrame, pred_len: int, reg: float = 1e-3,
                    n_channels: int | None = None, kernel: int = 25) -> DataFrame:
-    """One ridge regression per horizon step; returns (window_id, y, yhat).
+    """Ridge regressions of all horizon steps from one pass over the training windows, and one
+    projection of the test windows; returns (window_id, y, yhat).
 
     With ``n_channels`` the features are the per-channel seasonal/trend decomposition of the window
     (the reference's decomposition-linear model); without, the flattened window."""
@@ -101,16 +157,10 @@ def ridge_forecast(train_w: DataFrame, test_w: DataFrame, pred_len: int, reg: fl
             return decomposed_features(w, n_channels, kernel)
         return w.select("window_id", F.flatten("x").alias("features"), "y")
 
-    tr, te = flat(train_w).cache(), flat(test_w)
-    preds = []
-    for h in range(pred_len):
-        model = fit_model(tr.withColumn("label", F.element_at("y", h + 1)), "linear_forecast", {"reg": reg},
-                          "regression")
-        preds.append(predict(model, te).select("window_id", F.col("yhat").alias(f"h{h}")))
-    out = te.select("window_id", "y")
-    for p in preds:
-        out = out.join(p, "window_id")
-    return out.select("window_id", "y", F.array(*[F.col(f"h{h}") for h in range(pred_len)]).alias("yhat"))
+    model = fit_ridge(flat(train_w), "features", "y", reg)
+    if model.weights.shape[0] != pred_len:
+        raise ValueError(f"the windows have {model.weights.shape[0]} target steps, not {pred_len}")
+    return flat(test_w).select("window_id", "y", model.predict("features").alias("yhat"))
 
 
 def flagship_forecast(spark: SparkSession, sf_dir: str, seq_len: int = 24, pred_len: int = 1) -> DataFrame:

@@ -257,21 +257,28 @@ def with_series_position(
 
 
 SALT_BUCKETS = 32
+# A group is hot above so many rows; of the hot ones the largest so many are salted (any other has
+# fewer than a MAX_HOT_GROUPS-th of the rows).
+HOT_ROWS, MAX_HOT_GROUPS = 1 << 20, 256
 
 
 def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], salt: int = SALT_BUCKETS,
-                     how: str = "inner") -> DataFrame:
-    """Attach one-row-per-group statistics to every row of ``df`` with a salted join.
+                     how: str = "inner", hot_rows: int | None = None) -> DataFrame:
+    """Attach one-row-per-group statistics to every row of ``df`` with a join that hot groups do not skew.
 
-    Rows get a salt from a hash of their content (deterministic on recomputation), the statistics
-    are replicated once per salt, and the join runs on (keys, salt): a group holding a third of
-    all rows is spread over ``salt`` tasks instead of one. Null keys match (null-safe).
+    The hot groups' hashes, a bounded list found by counting, are literals of both sides: their rows
+    get a salt from a hash of their content (deterministic on recomputation) and their statistics are
+    copied once per salt; all other groups are joined as they are. Null keys match (null-safe).
     """
     keys = list(keys)
-    salted = df.withColumn("_tp_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt)))
+    group = F.xxhash64(*keys)
+    counts = df.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (HOT_ROWS if hot_rows is None else hot_rows))
+    hot = [r["g"] for r in counts.orderBy(F.col("n").desc(), "g").limit(MAX_HOT_GROUPS).collect()]
+    is_hot = group.isin(hot) if hot else F.lit(False)
+    salted = df.withColumn("_tp_salt", F.when(is_hot, F.pmod(F.xxhash64(*df.columns), F.lit(salt))).otherwise(F.lit(0).cast("long")))
     rep = stats.select(*[F.col(k).alias(f"_tp_g_{k}") for k in keys],
                        *[F.col(c) for c in stats.columns if c not in keys],
-                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))).alias("_tp_salt_r"))
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_hot, salt - 1).otherwise(0).cast("long"))).alias("_tp_salt_r"))
     cond = [salted[k].eqNullSafe(rep[f"_tp_g_{k}"]) for k in keys] + [salted["_tp_salt"] == rep["_tp_salt_r"]]
     out = salted.join(rep, cond, how)  # "left" keeps rows whose group has no statistics row
     return out.drop("_tp_salt", "_tp_salt_r", *[f"_tp_g_{k}" for k in keys])

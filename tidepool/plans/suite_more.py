@@ -56,6 +56,20 @@ def q_sliding_windows(spark, sf):
     return _long(w, "window_id", {"x": F.col("x"), "y": F.col("y")}, {"x"})
 
 
+@query("sliding_windows_raw", f"""
+with e as (select row_number() over (order by user_id, ts, event_id) - 1 as i,
+                  row_number() over (partition by user_id order by ts desc, event_id desc) as back,
+                  sum(value) over (partition by user_id order by ts, event_id rows between current row and {L - 1} following) as sx,
+                  sum(value) over (partition by user_id order by ts, event_id rows between {L} following and {L + P - 1} following) as sy from events)
+select i as window_id, round(sx, 6) as x_sum, round(sy, 6) as y_sum from e where back >= {L + P}""")
+def q_sliding_windows_raw(spark, sf):
+    """Windows of every user's raw events, each summed up."""
+    ev = table(spark, sf, "events")
+    w = windows.sliding_windows(ev, L, P, ["ts", "event_id"], ["value"], "value", ["user_id"])
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return rounded(w.select("window_id", add(F.flatten("x")).alias("x_sum"), add(F.col("y")).alias("y_sum")))
+
+
 _MARKS = ["month", "day", "weekday", "hour_of_day"]
 _MARK_SQL = ("month(hour) / 12.0 as m0, day(hour) / 31.0 as m1, (isodow(hour) - 1) / 7.0 as m2, "
              "hour(hour) / 23.0 as m3")
