@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import ddl, partitions_for, table, text_of, written
@@ -36,21 +36,16 @@ RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_typ
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace for URLs
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: five bits a character, the digest's 160 bits make 32."""
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    digest, parts = F.sha1(payload), []
-    for i in range(0, 40, 10):  # 40 bits at a time
-        n = F.conv(F.substring(digest, i + 1, 10), 16, 10).cast("bigint")
-        parts += [F.substring(F.lit(alphabet), F.shiftright(n, 35 - 5 * k).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for k in range(8)]
-    return F.concat(*parts)
+def base32(sha1_hex: str) -> str:
+    """A digest as WARC headers have it: bare upper-case base32."""
+    return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
 def page_headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest): what revisit resolution needs of each page."""
-    raw = text_of(payload_col).cast("binary")
+    """(page_id, url, payload_bytes, payload_sha1): what revisit resolution needs of each page."""
+    raw = text_of(payload_col)
     return pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
-                        F.octet_length(raw).cast("bigint").alias("payload_bytes"), base32_sha1(raw).alias("payload_digest"))
+                        F.octet_length(raw).cast("bigint").alias("payload_bytes"), F.sha1(raw).alias("payload_sha1"))
 
 
 def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -60,7 +55,7 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     response. A digest that a third of all pages share is one row of the pre-aggregated side, and
     the join's other side is headers alone, whose large partitions Spark splits.
     """
-    keys = ["payload_digest", "payload_bytes"]
+    keys = ["payload_sha1", "payload_bytes"]
     first = headers.filter(F.col("payload_bytes") >= min_bytes).groupBy(*keys).agg(F.min("page_id").alias("first_id"))
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return (headers.join(first, keys, "left")
@@ -87,11 +82,11 @@ def _header_lines(page_id, url, payload_bytes, digest, kind, refers_to, date: st
 
 def _format(date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
+        names = ("page_id", "url", "payload_bytes", "payload_sha1", "record_type", "refers_to", "payload")
         for batch in batches:
             out = []
-            for page_id, url, n, digest, kind, refers_to, payload in zip(*(batch.column(c).to_pylist() for c in names)):
-                head = _header_lines(page_id, url, n, digest, kind, refers_to, date)
+            for page_id, url, n, sha1, kind, refers_to, payload in zip(*(batch.column(c).to_pylist() for c in names)):
+                head = _header_lines(page_id, url, n, base32(sha1), kind, refers_to, date)
                 out.append(f"{VERSION.decode()}{head}{END}{'' if kind == 'revisit' else payload}")
             yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
 
@@ -111,15 +106,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     folder = scratch_folder(spark)
     headers = written(page_headers(pages, id_col, url_col, payload_col), folder, "headers")
     total = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]
-    kinds = resolve_revisits(headers, min_bytes).select("page_id", "payload_digest", "payload_bytes", "record_type", "refers_to").distinct()
+    kinds = resolve_revisits(headers, min_bytes).select("page_id", "payload_sha1", "payload_bytes", "record_type", "refers_to").distinct()
     raw = text_of(payload_col)
     full = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), raw.alias("payload"),
-                        base32_sha1(raw.cast("binary")).alias("payload_digest"))
+                        F.sha1(raw).alias("payload_sha1"))
     # one shuffle of the payloads, by page: it serves the join and deals the pages to archives
     key = F.coalesce("page_id", F.lit(-(1 << 63)))
     files = partitions_for(spark, total, archive_bytes)
-    joined = (full.withColumn("page", key).repartition(files, "page", "payload_digest")
-              .join(kinds.withColumn("page", key).drop("page_id").repartition(files, "page", "payload_digest"), ["page", "payload_digest"]))
+    joined = (full.withColumn("page", key).repartition(files, "page", "payload_sha1")
+              .join(kinds.withColumn("page", key).drop("page_id").repartition(files, "page", "payload_sha1"), ["page", "payload_sha1"]))
     (joined.mapInArrow(_format(date), "value string")
      .write.option("lineSep", END).option("compression", "gzip").text(path))
 
