@@ -39,7 +39,7 @@ from tidepool.session import default_partitions, scratch_folder
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH, GRAM, LONG_GRAM, HOT_RUNS = 100, 24, 88, 256
-FLUSH_RECORDS, GROUP_BYTES, BLOCK_STARTS, SORT_WINDOWS = 1 << 20, 8 << 20, 1 << 20, 1 << 18
+FLUSH_RECORDS, GROUP_BYTES, BLOCK_STARTS, SORT_WINDOWS = 1 << 18, 8 << 20, 1 << 20, 1 << 18
 POSITION_BITS = 24
 LOWEST = -(1 << 63)
 BASE = 0x9E3779B97F4A7C15
