@@ -101,3 +101,14 @@ def test_quantiles_by_counting_match_numpy(spark, monkeypatch):
     odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (1.0,), (None,)], "a double")
     assert stats.exact_quantiles(odd, ["a"], [0.0, 0.5, 1.0])["a"] == [float("-inf"), 1.0, float("inf")]
     assert stats.exact_quantiles(df.limit(0), ["a"], [0.5])["a"] == [None]
+
+
+def test_unparsable_times_give_no_encoding(spark):
+    from tidepool.operators import timefeat
+
+    bad = spark.createDataFrame([("2020-01-01", 1), ("soon", 2)], "t string, v int")
+    out, names, granularity = timefeat.time_encoding(bad, "t")
+    assert (names, granularity) == ([], "auto") and out.columns == ["t", "v"]
+    both = spark.createDataFrame([("01/02/2020",), ("13/02/2020",), ("02/13/2020",)], "t string")
+    days = lambda first: [str(r[0])[:10] for r in both.select(timefeat.parse_time("t", day_first=first)).collect()]
+    assert days(False) == ["2020-01-02", "2020-02-13", "2020-02-13"] and days(True) == ["2020-02-01", "2020-02-13", "2020-02-13"]

@@ -24,7 +24,8 @@ def _regression(spark, n=200, seed=42):
 def test_regression_models_fit_and_predict(spark):
     df = _regression(spark)
     for name in ("random_forest_regressor", "decision_tree_regressor", "xgboost_regressor", "linear_forecast"):
-        m = models.fit_model(df, name, {"n_estimators": "10", "max_depth": "None"}, "regression")
+        asked = {"n_estimators": "10", "max_depth": "None"}
+        m = models.fit_model(df, name, {k: v for k, v in asked.items() if k in models.PARAMS[models.ALIASES.get(name, name)]}, "regression")
         pred = models.predict(m, df)
         assert pred.where(F.isnan("yhat") | F.col("yhat").isNull()).count() == 0
     imp = models.feature_importance(models.fit_model(df, "random_forest_regressor", {"n_estimators": 5}),
@@ -165,3 +166,53 @@ def test_ragged_trigger_and_series_lengths(spark):
     assert long.count() == 3
     per_dim = spark.createDataFrame([(0, "d0", 2), (0, "d1", 1)], "sample_id int, dim string, length int")
     assert ragged_dimensions(per_dim)
+
+
+def test_model_parameters_follow_their_schema(spark):
+    assert models.coerce_params({"n_estimators": "12", "max_depth": "None", "min_samples_leaf": 3.0}, "xgboost_regressor") == {
+        "n_estimators": 12, "max_depth": None, "min_samples_leaf": 3}
+    for name, bad in (("decision_tree_regressor", {"n_estimators": 3}), ("gbt_classifier", {"max_depth": "deep"}), ("gbt_classifier", {"max_depth": 2.5})):
+        with pytest.raises(ValueError):
+            models.coerce_params(bad, name)
+    with pytest.raises(ValueError):
+        models.build_estimator("decision_tree_regressor", {"max_depth": 31}, "regression")
+    assert set(models.PARAMS) == set(models.REGISTRY)
+
+
+def test_recorded_runs_and_cv_report(spark, tmp_path):
+    from datetime import datetime
+
+    from tidepool.operators import runs
+
+    path = str(tmp_path / "runs")
+    for i in range(3):
+        runs.record_run(spark, path, "p", f"m{i}", "gbt_regressor", "regression", "y", {"r2": i / 10}, created_at=datetime(2024, 1, i + 1))
+    latest = runs.latest_runs(spark.read.parquet(path)).where("is_active").first()
+    assert latest["run_id"] == "m2" and latest["metrics"] == {"r2": 0.2}
+    scores = spark.createDataFrame([(0, 0.5), (1, 0.7)], "fold int, score double")
+    assert models.cv_report(scores) == {"cv_scores": [0.5, 0.7], "mean_score": 0.6, "std_score": 0.1, "n_splits": 2}
+
+
+def test_missing_and_broken_artefacts(spark, tmp_path):
+    assert models.load_model(str(tmp_path / "none")) is None and io.load_split(spark, str(tmp_path / "none")) is None
+    (tmp_path / "bad").mkdir()
+    with pytest.raises(Exception):
+        models.load_model(str(tmp_path / "bad"))
+
+
+def test_ingest_of_charsets_line_ends_and_nan(spark, tmp_path):
+    import math
+
+    text = "name,v\n{},1.5\n{},NaN\n"
+    for enc, names in (("latin-1", ("café", "é")), ("gbk", ("数据", "表")), ("gb18030", ("㐀", "数")), ("utf-8", ("漢", "😀"))):
+        f = tmp_path / f"{enc}.csv"
+        f.write_bytes(text.format(*names).encode(enc))
+        rows = io.read_table(spark, str(f)).collect()
+        assert [r["name"] for r in rows] == list(names), enc
+        assert rows[0]["v"] == 1.5 and rows[1]["v"] is None and not any(isinstance(r["v"], float) and math.isnan(r["v"]) for r in rows)
+    f = tmp_path / "lines.csv"
+    f.write_bytes('a,b\n"one\ntwo ""x""",1\n三,2\n'.encode("gb18030"))
+    assert [(r["a"], r["b"]) for r in io.read_table(spark, str(f)).collect()] == [('one\ntwo "x"', 1), ("三", 2)]
+    (tmp_path / "none.csv").write_bytes(b"a\n\xff\n")
+    with pytest.raises(ValueError):
+        io.read_table(spark, str(tmp_path / "none.csv"), encodings=["utf-8", "gbk"])

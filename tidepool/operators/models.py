@@ -128,25 +128,38 @@ def get_spec(name: str) -> ModelSpec:
     return REGISTRY[name]
 
 
-def coerce_params(raw: dict) -> dict:
-    """Typed coercion of text parameters: ints, floats, bools, ``None``."""
-    out = {}
+# The parameters that each kind of model takes, with their types and defaults.
+_TREE = {"max_depth": (int, None), "min_samples_split": (int, 2), "min_samples_leaf": (int, 1)}
+_FOREST = {"n_estimators": (int, 100), **_TREE}
+_BOOST = {**_FOREST, "learning_rate": (float, 0.1)}
+PARAMS: dict[str, dict[str, tuple[type, object]]] = {
+    "random_forest_regressor": _FOREST, "random_forest_classifier": _FOREST,
+    "decision_tree_regressor": _TREE, "decision_tree_classifier": _TREE,
+    "gbt_regressor": _BOOST, "gbt_classifier": _BOOST,
+    "linear_forecast": {"reg": (float, 1e-3)},
+    "mlp_classifier": {"hidden_layers": (str, "64,32"), "epochs": (int, 100)},
+}
+
+
+def coerce_params(raw: dict, name: str) -> dict:
+    """The parameters of model ``name``, typed by its schema; texts are converted, ``None`` and the empty
+    text mean unbounded. A name that the schema lacks, or a value of another type, is an error."""
+    schema, out = PARAMS[ALIASES.get(name, name)], {}
     for k, v in raw.items():
-        if isinstance(v, str):
-            s = v.strip()
-            if s.lower() in ("none", "null", ""):
-                v = None
-            elif s.lower() in ("true", "false"):
-                v = s.lower() == "true"
-            else:
-                try:
-                    v = int(s)
-                except ValueError:
-                    try:
-                        v = float(s)
-                    except ValueError:
-                        v = s
-        out[k] = v
+        if k not in schema:
+            raise ValueError(f"{name} has no parameter {k!r}; it has {', '.join(schema)}")
+        kind = schema[k][0]
+        if isinstance(v, str) and kind is not str:
+            v = None if v.strip().lower() in ("", "none", "null") else v.strip()
+        if v is None or isinstance(v, (list, tuple)) and kind is str:
+            out[k] = v
+            continue
+        try:
+            out[k] = kind(v)
+        except (TypeError, ValueError):
+            raise ValueError(f"{name}: {k} must be of type {kind.__name__}, not {v!r}") from None
+        if kind is int and isinstance(v, float) and v != out[k]:
+            raise ValueError(f"{name}: {k} must be a whole number, not {v!r}")
     return out
 
 
@@ -159,8 +172,8 @@ def build_estimator(name: str, params: dict | None, task_type: str, n_features:
     spec = get_spec(name)
     if spec.task != task_type:
         raise ValueError(f"{name} solves {spec.task}, not {task_type}")
-    p = {**spec.defaults, **coerce_params(params or {})}
-    if name == "mlp_classifier":
+    p = {**spec.defaults, **coerce_params(params or {}, name)}
+    if spec.build is _mlp_clf:
         est = spec.build(p, n_features, n_classes)
     elif spec.build is _gbt_clf:
         est = spec.build(p, n_classes)

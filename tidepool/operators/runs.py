@@ -5,7 +5,9 @@ Schema: project, run_id, model_type, task_type, is_time_series (nullable), targe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.plans.order import Desc, auto_bucket_rows, with_row_index, with_series_position
@@ -33,6 +35,18 @@ def active_runs(runs: DataFrame, project: str = "project", created_at: str = "cr
     return best.select(project, F.col(f"_b.{created_at}").alias(created_at), F.col(f"_b.{run_id}").alias(run_id))
 
 
+RUN_SCHEMA = ("project string, run_id string, model_type string, task_type string, is_time_series boolean, target string, "
+              "created_at timestamp_ntz, metrics map<string, double>")
+
+
+def record_run(spark: SparkSession, path: str, project: str, run_id: str, model_type: str, task_type: str, target: str,
+               metrics: dict[str, float], is_time_series: bool | None = None, created_at: datetime | None = None) -> None:
+    """Append the row of a saved model to the runs table at ``path``."""
+    at = created_at or datetime.now(timezone.utc).replace(tzinfo=None)
+    row = (project, run_id, model_type, task_type, is_time_series, target, at, {k: float(v) for k, v in metrics.items()})
+    spark.createDataFrame([row], RUN_SCHEMA).write.mode("append").parquet(path)
+
+
 def filter_runs_by_task(runs: DataFrame, time_series: bool, flag: str = "is_time_series") -> DataFrame:
     """Time-series runs when ``time_series`` is true, else general ones; a missing flag counts as general."""
     return runs.where(F.coalesce(F.col(flag), F.lit(False)) == F.lit(time_series))

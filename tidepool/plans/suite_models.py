@@ -17,6 +17,11 @@ FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 SMALL_FOREST = {"n_estimators": 10, "max_depth": 5}  # a bound on the queries' driver memory, not on their rows
 
 
+def _params(name: str) -> dict:
+    schema = models.PARAMS[models.ALIASES.get(name, name)]
+    return {k: v for k, v in SMALL_FOREST.items() if k in schema}
+
+
 def _lineitem(spark, sf, target: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), *FEATURES, target)
@@ -49,7 +54,7 @@ def _scored(pred: DataFrame) -> DataFrame:
 def _fit_predict_regression(name: str):
     def run(spark, sf):
         train, test, _ = _regression_sides(spark, sf)
-        m = models.fit_model(train, name, SMALL_FOREST, "regression")
+        m = models.fit_model(train, name, _params(name), "regression")
         return _scored(models.predict(m, test))
     return run
 
@@ -57,7 +62,7 @@ def _fit_predict_regression(name: str):
 def _fit_predict_classification(name: str):
     def run(spark, sf):
         train, test, _, k = _classification_sides(spark, sf)
-        m = models.fit_model(train, name, SMALL_FOREST, "classification", n_classes=k)
+        m = models.fit_model(train, name, _params(name), "classification", n_classes=k)
         return _scored(models.predict(m, test))
     return run
 
@@ -140,7 +145,7 @@ def q_train_test_scores(spark, sf):
 def q_save_load_model(spark, sf):
     """Fit, save into the shared scratch folder, load back: both models must predict the same."""
     train, test, _ = _regression_sides(spark, sf)
-    m = models.fit_model(train, "decision_tree_regressor", SMALL_FOREST, "regression")
+    m = models.fit_model(train, "decision_tree_regressor", _params("decision_tree_regressor"), "regression")
     path = f"{scratch_folder(spark, 'models')}/tree"
     models.save_model(m, path)
     both = models.predict(models.load_model(path), models.predict(m, test).withColumnRenamed("yhat", "before").drop("prediction"))
