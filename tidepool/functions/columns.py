@@ -35,11 +35,6 @@ def string_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if is_string_type(f.dataType) and f.name not in exclude]
 
 
-def nonzero_denominator(d: Column) -> Column:
-    """0 becomes 1, so a constant column scales to 0 and never raises under ANSI mode."""
-    return F.when(d == 0, F.lit(1.0)).otherwise(d)
-
-
 def nonfinite_to_null(c: str | Column) -> Column:
     x = col(c).cast("double")
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(x)

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from tidepool.functions.columns import FLOAT64_MAX, is_numeric_type, is_string_type
 from tidepool.operators.stats import exact_quantiles, mode_table
 from tidepool.plans.order import (
-    ROW_INDEX,
     auto_bucket_rows,
     fill_ordered,
     with_row_index,

@@ -13,7 +13,6 @@ import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidepool.operators import clean, scale, timefeat
 from tidepool.operators.features import LabelDictionary, label_encode
@@ -62,7 +61,3 @@ def stream_to_table(df: DataFrame, name: str, fmt: str = "memory", path: str | N
     if fmt == "memory":
         return w.format("memory").queryName(name).start()
     return w.format(fmt).option("path", path).start()
-
-
-def with_ingest_time(df: DataFrame) -> DataFrame:
-    return df.withColumn("ingested_at", F.current_timestamp())
