@@ -28,6 +28,14 @@ def test_scores_find_the_container_without_semantic_markup():
     assert text.startswith("Paragraph 0") and "Tail, more text." in text and "three" not in text and "one" not in text
 
 
+def test_headers_of_the_page_go_and_those_of_the_article_stay():
+    page = ('<div id="site-header"><p>The site, since 1999, for you, and for all of us here.</p></div><div class="story"><div class="post-header"><h1>Title</h1></div>'
+            '<p>Body text, with words, and more, that makes the article long enough to win.</p><p>More body, more text, of the story.</p></div>')
+    assert html_extract.main_text(page).startswith("Title\nBody text") and "1999" not in html_extract.main_text(page)
+    inner = "<article><header><h1>Head</h1></header><p>Text.</p><footer>by me</footer></article>"
+    assert html_extract.main_text(inner) == "Head\nText."
+
+
 def test_awkward_pages():
     m = html_extract.main_text
     assert m("") == "" and m("<nav>x</nav>") == "" and m("plain  text &lt;") == "plain text <" and m("<p>a") == "a"

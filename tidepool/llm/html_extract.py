@@ -43,7 +43,10 @@ JUNK_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adse
                        "breadcrumbs footer masthead comment comments commentlist disqus respond replies cookie cookies consent gdpr notice "
                        "notices notification alert popup modal overlay newsletter subscribe subscription signup promo promotion sponsor "
                        "sponsored related recommended recommendations share sharing social widget toolbar pagination pager login "
-                       "search skip paywall outbrain taboola disclaimer legal copyright".split())
+                       "search skip paywall outbrain taboola disclaimer legal copyright adsbygoogle discussion reactions".split())
+#: A class or id of these words is a page header, unless a word of the second set says whose it is. Fixed values.
+HEADER_WORDS = frozenset("header topbar".split())
+ARTICLE_WORDS = frozenset("article post entry story content main page title section".split())
 WHOLE = frozenset("html body article main".split())
 
 
@@ -120,22 +123,27 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+def _in_article(node: Node) -> bool:
+    at = node.parent
+    while at is not None and at.tag not in ("article", "main"):
+        at = at.parent
+    return at is not None
+
+
 def is_junk(node: Node) -> bool:
     """Whether the markup itself says that the node is not part of the article."""
     if node.tag in JUNK_TAGS:
         return True
-    if node.tag == "header":
-        at = node.parent
-        while at is not None and at.tag not in ("article", "main"):
-            at = at.parent
-        if at is None:
-            return True
+    if node.tag == "header" and not _in_article(node):
+        return True
     if not node.attrs or node.tag in WHOLE:
         return False
     for name, value in ATTRIBUTE.findall(node.attrs):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
-        if name in ("class", "id") and not JUNK_WORDS.isdisjoint(TOKEN.findall(value)):
-            return True
+        if name in ("class", "id"):
+            words = frozenset(TOKEN.findall(value))
+            if words & JUNK_WORDS or words & HEADER_WORDS and not words & ARTICLE_WORDS and not _in_article(node):
+                return True
         if name == "role" and value in JUNK_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):

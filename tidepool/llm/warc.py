@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import ddl, partitions_for, table, text_of, written
+from tidepool.llm.common import ddl, partitions_for, table, text_of
 from tidepool.session import scratch_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -103,8 +103,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     An empty table writes no record.
     """
     spark = pages.sparkSession
-    folder = scratch_folder(spark)
-    headers = written(page_headers(pages, id_col, url_col, payload_col), folder, "headers")
+    headers = page_headers(pages, id_col, url_col, payload_col)
     total = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]
     kinds = resolve_revisits(headers, min_bytes).select("page_id", "payload_sha1", "payload_bytes", "record_type", "refers_to").distinct()
     raw = text_of(payload_col)
