@@ -114,27 +114,35 @@ def q_save_load_split(spark, sf):
     return tr.withColumn("side", F.lit("train")).unionByName(te.withColumn("side", F.lit("test")))
 
 
-@query("load_anomaly_triplet", """
-with e as (select event_id, value, case when event_type = 'error' then 1 else 0 end as lab,
-                  row_number() over (order by event_id) - 1 as row_idx from events),
-p as (select avg(value) as m, stddev_pop(value) as s from e)
-select row_idx, round((value - m) / case when s = 0 then 1 else s end, 6) as value, lab as label from e, p""")
-def q_load_anomaly_triplet(spark, sf):
+_ANOMALY_SQL = """
+with e as (select event_id, value, case when event_type = 'error' then 1 else 0 end as lab from events),
+tr as (select value, row_number() over (order by event_id) - 1 as i, count(*) over () as n from e where event_id % 3 <> 0),
+te as (select value, lab, row_number() over (order by event_id) - 1 as row_idx from e where event_id % 3 = 0),
+p as (select avg(value) as m, case when stddev_pop(value) = 0 then 1 else stddev_pop(value) end as s from tr)
+"""
+
+
+def _anomaly_sides(spark, sf):
+    """Train on two thirds of the events, test on the others, labels beside."""
     ev = table(spark, sf, "events")
-    data = ev.select("event_id", "value")
-    labels = ev.select("event_id", F.when(F.col("event_type") == "error", 1).otherwise(0).alias("label"))
-    _, _, test = io.load_anomaly_triplet(data, data, labels, "event_id")
-    return rounded(test.select("row_idx", "value", "label"))
+    train, test = ev.where("event_id % 3 <> 0").select("event_id", "value"), ev.where("event_id % 3 = 0")
+    labels = test.select("event_id", F.when(F.col("event_type") == "error", 1).otherwise(0).alias("label"))
+    return train, test.select("event_id", "value"), labels
+
+
+@query("load_anomaly_triplet", _ANOMALY_SQL + "select row_idx, round((value - m) / s, 6) as value, lab as label from te, p")
+def q_load_anomaly_triplet(spark, sf):
+    train, test, labels = _anomaly_sides(spark, sf)
+    _, _, scaled = io.load_anomaly_triplet(train, test, labels, "event_id")
+    return rounded(scaled.select("row_idx", "value", "label"))
 
 
-@query("anomaly_validation_tail", """
-with e as (select event_id, value, row_number() over (order by event_id) - 1 as i, count(*) over () as n from events),
-p as (select avg(value) as m, stddev_pop(value) as s from e)
-select i - cast(floor(n * 0.8::double) as bigint) as row_idx, round((value - m) / case when s = 0 then 1 else s end, 6)
-       as value from e, p where i >= cast(floor(n * 0.8::double) as bigint)""")
+@query("anomaly_validation_tail", _ANOMALY_SQL + """
+select i - cast(floor(n * 0.8::double) as bigint) as row_idx, round((value - m) / s, 6) as value
+from tr, p where i >= cast(floor(n * 0.8::double) as bigint)""")
 def q_anomaly_validation_tail(spark, sf):
-    data = table(spark, sf, "events").select("event_id", "value")
-    _, val, _ = io.load_anomaly_triplet(data, data, None, "event_id")
+    train, test, _ = _anomaly_sides(spark, sf)
+    _, val, _ = io.load_anomaly_triplet(train, test, None, "event_id")
     return rounded(val.select("row_idx", "value"))
 
 

@@ -85,6 +85,21 @@ def q_linear_forecast(spark, sf):
     return flagship_forecast(spark, sf)
 
 
+@query("ridge", """
+with m as (select avg(l_quantity) as mx, stddev_pop(l_quantity) as sx, avg(l_extendedprice) as my, avg(l_tax) as mt,
+                  covar_pop(l_quantity, l_extendedprice) as cy, covar_pop(l_quantity, l_tax) as ct from lineitem)
+select l_orderkey * 10 + l_linenumber as row_id, round(my + cy / sx / 1.5 * (l_quantity - mx) / sx, 6) as h0,
+       round(mt + ct / sx / 1.5 * (l_quantity - mx) / sx, 6) as h1 from lineitem, m""")
+def q_ridge(spark, sf):
+    """Two targets on one feature, where the normal equations are a formula."""
+    li = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.array(F.col("l_quantity").cast("double")).alias("features"),
+        F.array(F.col("l_extendedprice").cast("double"), F.col("l_tax").cast("double")).alias("y"))
+    model = models.fit_ridge(li, reg=0.5)
+    out = li.select("row_id", model.predict("features").alias("p"))
+    return rounded(out.select("row_id", F.get("p", F.lit(0)).alias("h0"), F.get("p", F.lit(1)).alias("h1")))
+
+
 # ------------------------------------------------------- trees that SQL can grow: one split, or none
 
 STUMP_FEATURES = ["l_linenumber", "l_discount", "l_tax"]  # few values each, so every threshold is tried

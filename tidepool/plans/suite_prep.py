@@ -579,12 +579,15 @@ def q_border_split(spark, sf):
 
 
 @query("fixed_border_split", """
-with e as (select event_id, row_number() over (order by ts, event_id) - 1 as i from events)
+with d as (select 2 * event_id + k as event_id, ts from events, range(0, 2) r(k)),
+e as (select event_id, row_number() over (order by ts, event_id) - 1 as i from d)
 select event_id, 'train' as side, i as side_idx from e where i < 8640
 union all select event_id, 'val', i - (8640 - 24) from e where i >= 8640 - 24 and i < 8640 + 2880
 union all select event_id, 'test', i - (11520 - 24) from e where i >= 11520 - 24 and i < 14400""")
 def q_fixed_border_split(spark, sf):
-    indexed, _ = with_row_index(table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"])
+    """Each event twice, so that every side has rows at the checked scale factor."""
+    ev = table(spark, sf, "events").select("ts", F.explode(F.array(F.col("event_id") * 2, F.col("event_id") * 2 + 1)).alias("event_id"))
+    indexed, _ = with_row_index(ev, ["ts", "event_id"])
     return split.fixed_border_split(indexed, "hourly", 24).select("event_id", "side", "side_idx")
 
 
