@@ -39,6 +39,12 @@ def written(df: DataFrame, folder: str | None = None, name: str = "table") -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, n_rows: int, rows_per_task: int = 100_000) -> DataFrame:
+    """Small rows, ``n_rows`` at most, in as many tasks as they need: spares a file for each of many
+    near-empty partitions."""
+    return df.coalesce(max(1, -(-n_rows // rows_per_task)))
+
+
 def ddl(schema: pa.Schema) -> str:
     """Spark's type string of an Arrow schema."""
     names = {"int64": "bigint", "int32": "int", "string": "string", "bool": "boolean", "double": "double", "binary": "binary",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import written
+from tidepool.llm.common import packed, written
 from tidepool.session import scratch_folder
 
 
@@ -34,11 +34,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     folder, last, turn = scratch_folder(edges.sparkSession), None, 0
     current = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), folder, "edges")
-    while True:
+    n = current.count()
+    while n:
         turn += 1
-        current = written(_round(current), folder, f"round-{turn}")
+        # a round never has more than twice the edges before it
+        current = written(packed(_round(current), 2 * n), folder, f"round-{turn}")
+        n = current.count()
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == last or not state[0]:
+        if tuple(state) == last:
             break
         last = tuple(state)
     return (current.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import ddl, table, text_of, written
+from tidepool.llm.common import ddl, packed, table, text_of, written
 from tidepool.llm.components import components
 from tidepool.session import default_partitions, scratch_folder
 
@@ -283,12 +283,13 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHIN
     """
     folder = scratch_folder(docs.sparkSession)
     marked = written(fingerprints(docs, shingle_words, id_col, text_col), folder, "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), folder, "distinct")
+    n = marked.count()
+    distinct = written(packed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), n), folder, "distinct")
     roots = components(near_links(distinct.select("fp"), radius))
     rooted = (distinct.join(roots, distinct["fp"] == roots["node"], "left")
               .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(names, "root").select("fp", "component_id"), folder, "named")
+    named = written(packed(rooted.join(names, "root").select("fp", "component_id"), n), folder, "named")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
