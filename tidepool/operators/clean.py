@@ -68,26 +68,37 @@ def iqr_filter(
     """Tukey's fences column by column, each with the quartiles of the rows that are still there.
 
     A column does not filter if three rows or fewer are left, if its quartiles coincide, or if its
-    fences would remove nothing or everything. A null lies outside any fence. The table's lineage is
-    cut after every ``checkpoint_every`` columns that filtered. The notes count the rows removed by
+    fences would remove nothing or everything. A null lies outside any fence. Quartiles are searched
+    for several columns in the same passes; when rows go, for the next column alone, then for twice as
+    many at a time, so that no more than three searches a column are made. The table's lineage is cut
+    after every ``checkpoint_every`` columns that filtered. The notes count the rows removed by
     column (rule ``outside_fences``) and name the columns that met too few rows (``too_few_rows``).
     """
     names = list(columns) if columns is not None else [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
     notes: list[CleanNote] = []
-    left, n = df, df.count()
-    for c in names:
+    start = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(f"m{i}")
+                                                   for i, c in enumerate(names)]).first()
+    left, n, missing = df, start["n"], {c: start[f"m{i}"] for i, c in enumerate(names)}
+    known: dict[str, list] = {}
+    block = len(names)
+    for k, c in enumerate(names):
         if n <= 3:
             notes.append(CleanNote(c, "too_few_rows", n))
             continue
-        low, high = exact_quantiles(left, [c], [0.25, 0.75], method=quantile_method)[c]
+        if c not in known:
+            known, block = exact_quantiles(left, names[k:k + block], [0.0, 0.25, 0.75, 1.0], method=quantile_method), 2 * block
+        least, low, high, most = known[c]
         if low is None or low == high:
             continue
         reach = factor * (high - low)
+        if not missing[c] and low - reach <= least and most <= high + reach:
+            continue
         inside = F.coalesce(F.col(c).between(F.lit(low - reach), F.lit(high + reach)), F.lit(False))
         outside = left.where(~inside).count()
         if outside in (0, n):
             continue
         left, n = left.where(inside), n - outside
+        known, block = {}, 1
         notes.append(CleanNote(c, "outside_fences", outside))
         filtered = sum(x.rule == "outside_fences" for x in notes)
         if checkpoint_every and filtered % checkpoint_every == 0:
