@@ -108,10 +108,12 @@ def test_index_over_times_and_dates(spark):
         assert idx.join(naive, "event_id").where("rn <> row_idx").count() == 0
 
 
-def test_index_over_decimals_binaries_and_booleans(spark):
+def test_index_over_other_types_and_extreme_values(spark):
+    extreme = F.when(F.col("id") % 5 == 0, float("inf")).when(F.col("id") % 7 == 0, float("-inf")).otherwise(F.col("id") / 3)
     df = spark.range(200).select("id", (F.col("id") * 7 % 50 / 3).cast("decimal(20,6)").alias("d"), F.md5(F.col("id").cast("string")).cast("binary").alias("b"),
-                                 (F.col("id") % 2 == 0).alias("t"))
-    for key in ("d", "b", "t"):
+                                 (F.col("id") % 2 == 0).alias("t"), extreme.alias("x"), (F.lit(2**63 - 1) - F.col("id")).alias("l"),
+                                 F.concat(F.lit('q"\\\n,'), F.col("id").cast("string")).alias("s"), extreme.cast("float").alias("f"))
+    for key in ("d", "b", "t", "x", "l", "s", "f"):
         idx, _ = with_row_index(df, [key, "id"], num_partitions=4)
         naive = df.withColumn("rn", F.row_number().over(Window.orderBy(key, "id")) - 1)
         assert idx.join(naive, "id").where("rn <> row_idx").count() == 0

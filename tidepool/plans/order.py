@@ -131,7 +131,7 @@ def with_range_id(df: DataFrame, order_by: Sequence[str | Column | Desc], n_rang
         return df.withColumn(id_col, F.lit(0)), 1
     # one literal: an array of the splitters, folded into the plan from its JSON text
     kind = ", ".join(f"k{i}: {t}" for i, (_, _, t) in enumerate(keys))
-    at = F.from_json(F.lit(json.dumps([{f"k{i}": _plain(v) for i, v in enumerate(s)} for s in split])), f"array<struct<{kind}>>")
+    at = F.from_json(F.lit(json.dumps([{f"k{i}": _plain(v) for i, v in enumerate(s)} for s in split])), f"array<struct<{kind}>>", {"mode": "FAILFAST"})
     out, step = df.withColumn(id_col, F.lit(0)), 1 << (len(split).bit_length() - 1)
     while step:  # binary search: how many splitters come before or are equal to the row
         found = F.get(at, F.col(id_col) + (step - 1))
