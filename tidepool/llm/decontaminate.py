@@ -6,13 +6,14 @@ the 64 bits are cut into blocks, and a fingerprint within the radius is within r
 at least one. Candidates are verified by the exact weighted similarity of their shingles (weight:
 how often a shingle occurs; sum of minima over sum of maxima).
 
-A window that shares no shingle with any item of its size has similarity zero and is not fingerprinted,
-so the work follows the passages that documents share with the benchmark. Items are taken in blocks of
+A window that shares too few shingles with the items of its size to reach the similarity with any of
+them is not fingerprinted, so the work follows the passages that documents share with the benchmark. Items are taken in blocks of
 bounded size, measured before they are broadcast; every block is matched against all documents.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from tidepool.llm.common import ddl, filter_rows, table, text_of, texts_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SHINGLE_WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 20, 16
+SHINGLE_WORDS, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 24, 16
 BLOCK_BYTES = 4 << 20
 CACHE_WORDS = 1 << 20
 FILTER_BITS = 18
@@ -159,7 +160,9 @@ class BenchmarkIndex:
         covered = np.zeros(len(hashes) - index.size + 2, dtype=np.int64)
         np.add.at(covered, np.clip(own - index.size + 1, 0, len(covered) - 1), 1)
         np.add.at(covered, np.clip(own + 1, 0, len(covered) - 1), -1)
-        starts, best = np.flatnonzero(np.cumsum(covered)[:-1] > 0), {}
+        # shared / (2 * size - shared) >= similarity needs so many shared shingles
+        needed = max(1, math.ceil(2 * similarity * index.size / (1 + similarity) - 1e-9))
+        starts, best = np.flatnonzero(np.cumsum(covered)[:-1] >= needed), {}
         # neighbouring windows share their running sums; far apart ones are taken apart
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > index.size) + 1) if len(starts) else []:
             for chunk in np.array_split(run, -(-len(run) // 8192)):
