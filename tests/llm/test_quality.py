@@ -35,6 +35,12 @@ def test_gradient_reaches_a_pairwise_pattern():
     assert ((m.score(m.rows(x, np.zeros((len(x), 1)))) >= 0.5) == (y == 1)).all()
 
 
+def test_statistics_read_the_tail_of_a_long_text():
+    for text, share in (("clean " * 6000 + "junk!! " * 6000, 0.5), ("junk!! " * 6000 + "clean " * 2000, 0.75), ("a. b", 0.5), ("", 0.0)):
+        _, stats = quality.Features(8)(text, None)
+        assert stats[quality.STATS.index("odd_endings")] == share
+
+
 def test_learns_and_scores_awkward_rows(spark):
     rows, marks = training(spark)
     machine = quality.fit_quality(documents(spark, rows), marks)

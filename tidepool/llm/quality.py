@@ -46,7 +46,7 @@ def structure(text: str, words: list[str], counts: Counter, declared: int | None
             max(0.0, 1 - upper - lower - digit - space - wide) if len(raw) else 0.0, space, float(hist[10]) / n, wide, *(float(hist[c]) / n for c in SYMBOLS),
             float(hist[44]) / n, float(hist[46]) / n, (len(text) - int(hist[32])) / w, len(counts) / w, max(counts.values(), default=0) / w,
             sum(map(operator.eq, words, words[1:])) / w, math.log1p(len(words) / len(lines)), 1 - len(set(lines)) / len(lines),
-            sum(not x[-1].isalnum() for x in words[:4096]) / min(w, 4096)]
+            sum(n for x, n in counts.items() if not x[-1].isalnum()) / w]
 
 
 class Features:
