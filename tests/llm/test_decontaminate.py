@@ -67,6 +67,37 @@ def test_against_brute_force(spark, block_bytes):
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in brute(rows, items)}
 
 
+def brute_short(rows, items, similarity=0.8):
+    """{(doc, item): (similarity, first word, words)} of the documents with fewer words than the item."""
+    out = {}
+    for i, text in rows:
+        for j, item in items:
+            words, own = words_of(text), words_of(item)
+            if len(words) < len(own):
+                k = min(5, len(own))
+                a, b = (Counter(tuple(x[at:at + k]) for at in range(len(x) - k + 1)) for x in (words, own))
+                found = (a & b).total() / (a | b).total()
+                if found >= similarity:
+                    out[i, j] = (round(found, 9), 0, len(words))
+    return out
+
+
+def test_documents_shorter_than_the_item(spark):
+    rnd = random.Random(3)
+    items = [(n, " ".join(f"w{rnd.randrange(400)}" for _ in range(n))) for n in (3, 5, 6, 8, 9, 10, 13, 20, 33, 60, 200)]
+    items += [(1000 + n, item.replace(" ", " x ", 1)) for n, item in items] + [(2000, "again and again and again and again and again")]
+    cut = [item.split()[first:last] for _, item in items for first in (0, 1, 5) for last in (None, -1, -2, -6, -12, -14)]
+    rows = [(i, " ".join(words)) for i, words in enumerate(cut)]
+    expected = brute_short(rows, items)
+    assert len(expected) > 50 and {x for x, _, _ in expected.values()} > {0.8} and next(x for (i, j), (x, _, _) in expected.items() if (i, j) == (9 * 18 + 1, 60)) == round(55 / 56, 9)
+    for block_bytes in (1 << 20, 700):
+        found = D.find_leaks(documents(spark, rows), benchmark(spark, items), block_bytes=block_bytes).collect()
+        n_words = {i: len(words_of(t)) for i, t in rows}
+        assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word, r.n_words) for r in found if n_words[r.doc_id] < len(words_of(dict(items)[r.item_id]))} == expected
+    kept = {r.doc_id for r in D.without_leaks(documents(spark, rows), benchmark(spark, items)).collect()}
+    assert not kept & {i for i, _ in expected} and kept == {i for i, _ in rows} - {i for i, _ in expected} - {i for i, _ in brute(rows, items)}
+
+
 def test_awkward_rows(spark):
     items = [(1, "some text of words"), (None, "naïve café 漢字"), (2, None), (3, "lorem ipsum dolor " * 10)]
     found = D.find_leaks(documents(spark, AWKWARD), benchmark(spark, items)).collect()

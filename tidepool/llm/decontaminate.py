@@ -4,7 +4,9 @@ For every number of words that a benchmark item has, each window of so many word
 SimHash of its five-word shingles. Hamming blocks give all items of that size within ``radius`` bits:
 the 64 bits are cut into blocks, and a fingerprint within the radius is within radius // blocks bits in
 at least one. Candidates are verified by the exact weighted similarity of their shingles (weight:
-how often a shingle occurs; sum of minima over sum of maxima).
+how often a shingle occurs; sum of minima over sum of maxima). A document with fewer words than an
+item is one window of its own size, compared with the items without fingerprints: sums over
+different numbers of shingles differ in more bits, and it is one window only.
 
 A window that shares too few shingles with the items of its size to reach the similarity with any of
 them is not fingerprinted, so the work follows the passages that documents share with the benchmark. Items are taken in blocks of
@@ -153,8 +155,20 @@ class BenchmarkIndex:
                 own = at[is_in(hashes[at], index.known)]
                 if len(own) and len(hashes) >= index.size:
                     out += self._of_size(index, hashes, own, similarity)
+                elif len(own):
+                    out += self._of_short(index, hashes, own, similarity)
         return out
 
+    @staticmethod
+    def _of_short(index: SizeIndex, hashes: np.ndarray, own: np.ndarray, similarity: float) -> list[tuple[int | None, float, int, int]]:
+        """The same for a document with fewer words than the items: it is one window."""
+        # shared / (len(hashes) + size - shared) >= similarity needs so many shared shingles
+        if len(own) < similarity * (len(hashes) + index.size) / (1 + similarity) - 1e-9:
+            return []
+        weights = Counter(hashes.tolist())
+        found = [weighted_similarity(w, weights) for w in index.weights]
+        return [(item, x, 0, len(hashes) + index.k - 1) for item, x in zip(index.ids, found) if x and x >= similarity]
+
     @staticmethod
     def _of_size(index: SizeIndex, hashes: np.ndarray, own: np.ndarray, similarity: float) -> list[tuple[int | None, float, int, int]]:
         covered = np.zeros(len(hashes) - index.size + 2, dtype=np.int64)
@@ -205,7 +219,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc_id, item_id, similarity, start_word, n_words): the benchmark items that a document holds.
 
     A row per document row and item with a window of the item's size whose weighted shingle
-    similarity is at least ``similarity``; the first best window. Words are lower-cased and freed of
+    similarity is at least ``similarity``; the first best window. A document with fewer words than the
+    item is one window of all its words (``n_words`` of them). Words are lower-cased and freed of
     ASCII punctuation at their ends; an item shorter than a shingle is one shingle; texts without
     words (null, empty) match nothing. Repeated documents and items give a row each, null ids are
     kept, empty tables give no rows.
