@@ -107,3 +107,30 @@ def test_bucket_is_that_of_spark(spark):
     df = spark.createDataFrame(rows, "d bigint, t bigint").select("d", "t", F.pmod(F.xxhash64("d", "t"), F.lit(97)).alias("b"))
     mine = S.doc_bucket(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), 97)
     assert {(r.d, r.t): r.b for r in df.collect()} == {r: int(b) for r, b in zip(rows, mine)}
+
+
+def boilerplate(n):
+    """Texts of random letters around one passage."""
+    rnd = random.Random(n)
+    passage, noise = "".join(rnd.choices("abcdefgh ", k=180)), lambda: "".join(rnd.choices("abcdefgh ", k=rnd.randint(80, 160)))
+    return [(i, noise() + passage + noise()) for i in range(n)]
+
+
+def test_common_passage_in_different_surroundings(spark):
+    rows = boilerplate(60)
+    for args in (dict(hot_runs=8), dict(hot_runs=8, flush_records=500, group_bytes=3000)):
+        assert got(S.remove_repeats(documents(spark, rows), **args)) == brute(rows)
+
+
+def test_hot_windows_are_dealt_by_their_bytes():
+    # one group of documents: a window leaves it once, and no bucket gets a record of every document
+    rows, (length, n_buckets) = boilerplate(300), (100, 64)
+    docs = S.pa.table({"doc_id": [i for i, _ in rows], "tie": [0] * len(rows), "text": [t for _, t in rows]})
+    runs = [(a, i, 0, lo, x - lo, hi - lo, 1) for i, t in rows for c in S.anchored_runs(t.encode(), S.Powers(), length, S.GRAM)
+            for a, x, lo, hi in zip(*(v.tolist() for v in c[:4]))]
+    asked = {name: np.array(c, dtype=kind) for (name, kind), c in zip(S.REQUEST, zip(*runs))}
+    packed = S._rows_of([("q_", asked, S.REQUEST, np.zeros(len(runs), dtype=np.int64))], S.SETTLED_ROWS)
+    out = S._fetch(length, S.LONG_GRAM, n_buckets)(docs, S.pa.Table.from_batches(packed, schema=S.SETTLED_ROWS)).to_pylist()
+    load = [sum(len(v) // 4 for k, v in r.items() if k in ("f_lo", "w_lo")) for r in out]
+    distinct = {t[a:a + length] for _, t in rows for a in range(len(t) - length + 1)}
+    assert sum(load) == len(distinct) and len(load) == n_buckets // 8 and max(load) < 1.5 * min(load)

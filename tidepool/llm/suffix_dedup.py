@@ -15,7 +15,10 @@ windows of a sparse suffix array that Spark deals by content:
    orders them; a comparison finds the common extension of two suffixes by binary search over
    prefix hashes. Neighbours in that order whose extension reaches ``length`` are equal, which is
    verified byte by byte; all but the earliest of them are repeats.
-   An anchor with more than ``hot_runs`` different runs is replaced by ``long_gram``-byte anchors.
+   An anchor with more than ``hot_runs`` different runs is not sorted, since its runs grow with the
+   documents: each of their windows is a record, dealt by a 96-bit digest of its bytes beside the hash
+   of its ``long_gram``-byte anchor, so that only equal windows meet. They are settled like equal runs,
+   first in each group of documents, which a passage leaves as one record a window.
 4. **Removal.** The repeats of each document are joined to it, united and cut out.
 """
 
@@ -208,7 +211,7 @@ def _sql_type(schema: pa.Schema) -> str:
 
 RUN_ROWS = _schema(("r_", RUN), ("m_", MARK))
 SETTLED_ROWS = _schema(("q_", REQUEST), ("m_", MARK))
-FRAGMENT_ROWS = _schema(("f_", FRAGMENT), extra=("f_bytes",))
+FRAGMENT_ROWS = _schema(("f_", FRAGMENT), ("w_", RUN), ("m_", MARK), extra=("f_bytes",))
 MARK_ROWS = _schema(("m_", MARK))
 
 
@@ -270,27 +273,48 @@ def _settle(length: int, n_docs: int, hot_runs: int):
     return run
 
 
-def _fetch(length: int, long_gram: int, n_buckets: int):
-    """Documents and requests of one bucket in; packed runs with their bytes out."""
+def _windows(piece: bytes, doc: int, tie: int, lo: int, length: int, long_gram: int, powers: Powers) -> dict[str, np.ndarray]:
+    """Each window of a piece as a run of its own, under the ``long_gram``-byte anchor that it picks."""
+    anchor, x, first, last = (np.concatenate(c) for c in list(zip(*anchored_runs(piece, powers, length, long_gram)))[:4])
+    of, step = np.repeat(np.arange(len(anchor)), last - first + 1), np.arange(len(piece) - length + 1)
+    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(piece[a:a + length]) for a in range(len(step))), dtype="<u8").reshape(-1, 2)
+    return {"anchor": anchor[of], "digest": digest[:, 0], "digest2": (digest[:, 1] >> np.uint64(32)).astype("<u4"), "doc": np.full(len(step), doc, dtype=np.int64),
+            "tie": np.full(len(step), tie, dtype=np.int64), "lo": (lo + step).astype("<u4"), "back": (x[of] - step).astype("u1"), "last": np.zeros(len(step), dtype="u1")}
+
+
+def _fetch(length: int, long_gram: int, n_buckets: int, flush: int = FLUSH_RECORDS):
+    """Documents and requests of one bucket in; packed runs with their bytes, and windows of hot anchors, out."""
 
     def run(docs: pa.Table, asked: pa.Table) -> pa.Table:
         if not docs.num_rows or not asked.num_rows:
             return FRAGMENT_ROWS.empty_table()
         (requests,), powers = _read(asked.to_batches(), ("q_", REQUEST)), Powers()
         texts = {(d, t): raw.encode() for d, t, raw in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "tie", "text")))}
-        out, pieces = [], []
+        out, pieces, batches, parts, held = [], [], [], [], 0
+
+        # a bucket a task: every group of documents fills all of them, so eight times as many only make more rows
+        n_coarse = np.uint64(max(1, n_buckets // 8))
+
+        def settled() -> list[tuple]:
+            windows, marks = settle_runs(_joined(parts, RUN), length)
+            bucket = (_mixed(windows["digest"] ^ windows["anchor"]) % n_coarse).astype(np.int64)
+            spread = (_mixed(marks["doc"].astype(np.uint64) * np.uint64(BASE) + marks["lo"]) % n_coarse).astype(np.int64)
+            return [("w_", windows, RUN, bucket), ("m_", marks, MARK, spread)]
+
         for anchor, doc, tie, lo, back, last, hot in zip(*(requests[c].tolist() for c, _ in REQUEST)):
             piece = texts[doc, tie][lo:lo + last + length]
             if not hot:
                 out.append((anchor, doc, tie, lo, back, last))
                 pieces.append(piece)
                 continue
-            for a, x, first, final, _ in anchored_runs(piece, powers, length, long_gram):
-                out += [(h, doc, tie, lo + f, p - f, g - f) for h, p, f, g in zip(a.tolist(), x.tolist(), first.tolist(), final.tolist())]
-                pieces += [piece[f:g + length] for f, g in zip(first.tolist(), final.tolist())]
+            parts.append(_windows(piece, doc, tie, lo, length, long_gram, powers))
+            held += last + 1
+            if held >= flush:
+                batches += _rows_of(settled(), FRAGMENT_ROWS)
+                parts, held = [], 0
         columns = {name: np.array(c, dtype=kind) for (name, kind), c in zip(FRAGMENT, zip(*out) if out else [[]] * len(FRAGMENT))}
         bucket = (columns["anchor"] % np.uint64(n_buckets)).astype(np.int64)
-        batches = list(_rows_of([("f_", columns, FRAGMENT, bucket)], FRAGMENT_ROWS, {"prefix": "f_", "name": "f_bytes", "values": pieces}))
+        batches += _rows_of([("f_", columns, FRAGMENT, bucket), *settled()], FRAGMENT_ROWS, {"prefix": "f_", "name": "f_bytes", "values": pieces})
         return pa.Table.from_batches(batches, schema=FRAGMENT_ROWS)
 
     return run
@@ -403,18 +427,21 @@ def _repeated_by_bytes(buffer: bytes, offsets: np.ndarray, group: np.ndarray, pl
 
 
 def _sort_runs(length: int, n_docs: int, sort_windows: int):
-    """Packed runs with their bytes in, marks of repeated windows out."""
+    """Packed runs with their bytes and windows of hot anchors in, marks of repeated windows out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held = Powers(), {f"f_{name}": [] for name, _ in FRAGMENT} | {"f_bytes": []}
+        powers, held = Powers(), {f.name: [] for f in list(FRAGMENT_ROWS)[1:]}
         for batch in batches:
             for name, values in held.items():
                 values += batch.column(name).to_pylist()
+        hot = settle_runs(unpack({name: held.pop(f"w_{name}") for name, _ in RUN}, RUN), length)[1]
+        done_before = unpack({name: held.pop(f"m_{name}") for name, _ in MARK}, MARK)
         runs = unpack({name: held[f"f_{name}"] for name, _ in FRAGMENT}, FRAGMENT)
         data, size = b"".join(held.pop("f_bytes")), runs["last"].astype(np.int64) + length
         starts = np.cumsum(size) - size
         place = (_ranked(runs) << 32) | runs["lo"].astype(np.int64)
         keep, marks = _collapse(data, runs, starts, size, place)
+        marks += [hot, done_before]
         order = keep[np.lexsort((place[keep], runs["anchor"][keep]))]
         anchor, windows = runs["anchor"][order], np.cumsum(runs["last"][order].astype(np.int64) + 1)
         cuts = np.r_[np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(order)] if len(order) else np.zeros(1, dtype=np.int64)
@@ -530,7 +557,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release_shuffles(spark)
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(n_docs)))
     asked = settled.select("bucket", *(f"q_{name}" for name, _ in REQUEST)).filter(F.octet_length("q_lo") > 0)
-    fragments = dealt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_fetch(length, long_gram, n_buckets), _sql_type(FRAGMENT_ROWS))
+    fragments = dealt.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_fetch(length, long_gram, n_buckets, flush_records), _sql_type(FRAGMENT_ROWS))
     marks = written(fragments.repartition(tasks, "bucket").mapInArrow(_sort_runs(length, n_docs, sort_windows), _sql_type(MARK_ROWS)), folder, "marks")
     release_shuffles(spark)
     names = ["bucket", *(f"m_{name}" for name, _ in MARK)]
