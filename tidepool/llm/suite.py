@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepool.llm import bpe, chat, decontaminate, exact_dedup, html_extract, quality, secrets, simhash, suffix_dedup, warc
+from tidepool.llm import bpe, chat, decontaminate, exact_dedup, html_extract, jaccard, quality, secrets, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_jaccard_join": jaccard.op11_jaccard_join,
 }
-ORACLE = {"op4_chat_formatting": chat.SQL, "op9_warc": warc.SQL, "op10_exact_dedup": exact_dedup.SQL}
+ORACLE = {"op4_chat_formatting": chat.SQL, "op9_warc": warc.SQL, "op10_exact_dedup": exact_dedup.SQL,
+          "op11_jaccard_join": jaccard.SQL}
