@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidepool.llm import bpe, chat, decontaminate, exact_dedup, hard_negatives, html_extract, jaccard, quality, secrets, simhash, suffix_dedup, warc
+from tidepool.llm import bpe, chat, conversation_trie, decontaminate, exact_dedup, hard_negatives, html_extract, jaccard, quality, secrets, simhash, suffix_dedup, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,7 +16,9 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_jaccard_join": jaccard.op11_jaccard_join,
+    "op12_conversation_trie": conversation_trie.op12_conversation_trie,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLE = {"op4_chat_formatting": chat.SQL, "op9_warc": warc.SQL, "op10_exact_dedup": exact_dedup.SQL,
-          "op11_jaccard_join": jaccard.SQL, "op13_hard_negatives": hard_negatives.SQL}
+          "op11_jaccard_join": jaccard.SQL, "op12_conversation_trie": conversation_trie.SQL,
+          "op13_hard_negatives": hard_negatives.SQL}
