@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidepool.plans.order import fill_ordered, halo_frames, with_prefix_sums, with_row_index, with_series_position
+from tidepool.plans import order
+from tidepool.plans.order import Desc, fill_ordered, halo_frames, with_prefix_sums, with_row_index, with_series_position
 
 from .conftest import SF_CHECK
 
@@ -20,26 +22,51 @@ def test_row_index_equals_row_number(spark):
     assert sorted(r[0] for r in idx.select("row_idx").collect()) == list(range(n))
 
 
-def test_many_partitions_use_an_offset_table(spark, monkeypatch):
-    from tidepool.plans import order
-
-    monkeypatch.setattr(order, "MAX_LITERAL_OFFSETS", 2)
+@pytest.mark.parametrize("runs", [2, 4096])
+def test_many_ranges_use_an_offset_table(spark, monkeypatch, runs):
+    """Above the bound on literals no offset reaches the plan or the driver, and the index is the same."""
     ev = _events(spark)
-    idx, n = with_row_index(ev, ["ts", "event_id"], num_partitions=6)
-    assert sorted(r[0] for r in idx.select("row_idx").collect()) == list(range(n))
-    assert order.target_partitions(ev) >= 1
-
+    few, n = with_row_index(ev, ["ts", "event_id"], num_partitions=6)
+    monkeypatch.setattr(order, "MAX_LITERAL_OFFSETS", 2)
+    monkeypatch.setattr(order, "RANGES_PER_RUN", runs)
+    for parts in (6, 150):
+        many, m = with_row_index(ev, ["ts", "event_id"], num_partitions=parts)
+        assert m == n and many.join(few.select("event_id", F.col("row_idx").alias("i")), "event_id").where("i = row_idx").count() == n
+        many._jdf.queryExecution().optimizedPlan().toString()
+        assert "array(" not in many._jdf.queryExecution().analyzed().toString()
+    sums = with_prefix_sums(ev.select("event_id", F.lit(1).alias("one"), F.lit(0.5).alias("half")), ["event_id"], ["one", "half"], num_partitions=9)
+    assert sums.where("one_cum <> event_id + 1 or half_cum <> (event_id + 1) / 2").count() == 0
 
-def test_partition_count_follows_the_size_estimate(spark, monkeypatch):
-    from tidepool.plans import order
 
+def test_partition_count_follows_counted_bytes(spark, monkeypatch):
     li = spark.read.parquet(f"{SF_CHECK}/lineitem.parquet")
-    size = order.estimated_bytes(li)
-    assert size and size > 100_000
+    rows, size = order.counted(li)
+    assert rows == li.count() and 8 * rows * len(li.columns) < size < 40 * rows * len(li.columns)
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert order.target_partitions(li) == base
-    monkeypatch.setattr(order, "TARGET_PARTITION_BYTES", 1 << 14)
-    assert order.target_partitions(li) == -(-size // (1 << 14)) > base
+    monkeypatch.setattr(order, "TARGET_PARTITION_BYTES", 1 << 18)
+    assert order.target_partitions(li) == -(-size // (1 << 18)) > base
+
+
+def test_a_join_does_not_inflate_the_partition_count(spark):
+    """600,000 rows after a join of two tables are a few ranges, not the product of the tables' sizes."""
+    sf = "/root/testdata/sf0.1"
+    joined = spark.read.parquet(f"{sf}/lineitem.parquet").join(spark.read.parquet(f"{sf}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows, size = order.counted(joined)
+    assert rows == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert order.target_partitions(joined, (rows, size)) <= 32
+    idx, n = with_row_index(joined.select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber"])
+    filled = fill_ordered(idx, ["l_quantity"], n_rows=n)
+    assert n == rows and filled._jdf.queryExecution().toRdd().getNumPartitions() <= 64
+
+
+def test_rows_are_stored_with_any_column_names_and_types(spark):
+    df = spark.sql("select id, id as `Id.x y`, null as nothing, cast(id as string) as `a;b`, array(id) as xs from range(50)")
+    idx, n = with_row_index(df, [F.col("id") % 7, Desc("id")], num_partitions=3)
+    assert idx.columns == [*df.columns, "row_idx"] and n == 50
+    assert [t for _, t in idx.dtypes][:5] == [t for _, t in df.dtypes]
+    rows = sorted(idx.collect(), key=lambda r: r["row_idx"])
+    assert [r["id"] for r in rows] == sorted(range(50), key=lambda i: (i % 7, -i)) and rows[0]["nothing"] is None
 
 
 def test_bucketed_fill_equals_global_window(spark):
@@ -88,8 +115,6 @@ def test_row_index_needs_no_cache(spark):
 
 
 def test_range_ids_of_nulls_nan_and_descending_keys(spark):
-    from tidepool.plans import order
-
     rows = [(i, None if i % 7 == 0 else float("nan") if i % 11 == 0 else (i * 37 % 50) / 3, None if i % 5 == 0 else "é" * (i % 4) + "a") for i in range(300)]
     df = spark.createDataFrame(rows, "id bigint, x double, s string").repartition(3)
     keys = [order.Desc("x"), "s", order.Desc("id")]

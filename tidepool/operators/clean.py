@@ -260,7 +260,7 @@ def fill_forward(
     """
     indexed, n = with_row_index(df, [*partition_by, *order_by], index_col="_tp_fill_idx")
     bucket_rows = bucket_rows or auto_bucket_rows(df.sparkSession, n)
-    filled = fill_ordered(indexed, columns, "_tp_fill_idx", partition_by, backward, bucket_rows)
+    filled = fill_ordered(indexed, columns, "_tp_fill_idx", partition_by, backward, bucket_rows, n_rows=n)
     return filled.drop("_tp_fill_idx")
 
 
@@ -328,7 +328,7 @@ def interpolate_linear(
         prev_cols.append(f"_tp_p_{c}")
         next_cols.append(f"_tp_n_{c}")
     # previous and next non-null (index, value) in one bucketed pass
-    staged = fill_ordered(staged, prev_cols, idx, partition_by, False, bucket_rows, backward_columns=next_cols)
+    staged = fill_ordered(staged, prev_cols, idx, partition_by, False, bucket_rows, backward_columns=next_cols, n_rows=n)
     out = []
     for c in indexed.columns:
         if c == idx:

@@ -78,7 +78,7 @@ def median_gap_indexed(indexed: DataFrame, seconds: Column, n: int, index_col: s
     if n < 2:
         return None
     pairs = halo_frames(indexed, 2, {"ts": seconds}, index_col,
-                        bucket_rows=auto_bucket_rows(indexed.sparkSession, n, 2))
+                        bucket_rows=auto_bucket_rows(indexed.sparkSession, n, 2), n_rows=n)
     gaps = pairs.select((F.element_at("ts", 2) - F.element_at("ts", 1)).alias("gap"))
     return exact_quantiles(gaps, ["gap"], [0.5], method=quantile_method)["gap"][0]
 

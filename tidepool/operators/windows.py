@@ -60,7 +60,7 @@ def sliding_windows_indexed(
     bucket_rows = bucket_rows or (auto_bucket_rows(indexed.sparkSession, n, span) if n else None)
     t = (F.col(target_col) if isinstance(target_col, str) else target_col).cast("double")
     frames = halo_frames(indexed, span, {"_rows": _row_array(feature_cols), "_t": t}, index_col, partition_by,
-                         bucket_rows=bucket_rows)
+                         bucket_rows=bucket_rows, n_rows=n)
     return frames.select(
         F.col(index_col).alias("window_id"), *partition_by,
         F.slice("_rows", 1, seq_len).alias("x"),
@@ -79,6 +79,7 @@ def sliding_windows(
     bucket_rows: int | None = None,
 ) -> DataFrame:
     indexed, n = with_row_index(df, [*partition_by, *order_by])
+    bucket_rows = bucket_rows or auto_bucket_rows(df.sparkSession, n, seq_len + pred_len)
     return sliding_windows_indexed(indexed, seq_len, pred_len, feature_cols, target_col, ROW_INDEX, partition_by,
                                    None if partition_by else n, bucket_rows)
 
@@ -108,7 +109,7 @@ def seq2seq_windows_indexed(
     width = len(value_cols)
     t = (F.col(target_col) if isinstance(target_col, str) else target_col).cast("double")
     frames = halo_frames(indexed, span, {"_v": _row_array(value_cols), "_m": _row_array(mark_cols), "_t": t},
-                         index_col, partition_by, bucket_rows=bucket_rows)
+                         index_col, partition_by, bucket_rows=bucket_rows, n_rows=n)
     zeros = F.array_repeat(F.array_repeat(F.lit(0.0), width), pred_len)
     known = F.slice("_v", seq_len - label_len + 1, label_len) if label_len > 0 else F.slice("_v", 1, 0)
     return frames.select(

@@ -3,9 +3,11 @@
 Row order is semantic for fills, splits and windows, but Spark rows have none. Everything here
 works from an explicit total order and never moves the whole table into one task:
 
-* ``with_row_index`` — a dense 0-based global index. Splitters of the order are chosen once and
-  become literals of the plan; a row's range follows from them, rows are counted per range (one
-  number per range reaches the driver), and the index is ``offset[range] + position in range``.
+* ``with_row_index`` — a dense 0-based global index. Rows are counted, dealt to ranges of the order
+  (``repartitionByRange``), sorted inside them and written once to the shared folder with their range
+  and place. The index is ``offset[range] + place``; only the sizes of a bounded number of ranges ever
+  reach the driver, more of them are summed up in a table. Nothing depends on a cache, and a lost
+  executor costs a re-read.
 * ``fill_ordered`` — forward/backward fill over the global (or per-series) order. A row index is
   cut into buckets of ``bucket_rows``; the window runs per bucket, and a small per-bucket "carry"
   table (last non-null value of each bucket, prefix-filled over buckets) supplies values that come
@@ -21,11 +23,6 @@ works from an explicit total order and never moves the whole table into one task
 
 from __future__ import annotations
 
-import base64
-import decimal
-import functools
-import json
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -33,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.session import default_partitions
+from tidepool.session import default_partitions, scratch_folder
 
 ROW_INDEX = "row_idx"
 # Rows per bucket for bucketed windows. Large enough that the halo (span-1 rows) is negligible,
@@ -60,92 +57,98 @@ def _sort_columns(order_by: Sequence[str | Column | Desc]) -> list[Column]:
     return [c.desc() if desc else c.asc() for c, desc in map(_key, order_by)]
 
 
-def _comparable(df: DataFrame, order_by: Sequence[str | Column | Desc]) -> list[tuple[Column, bool, str]]:
-    """The keys as values that a literal can hold and that keep their order, with their types."""
-    out = []
-    for column, desc in map(_key, order_by):
-        kind = df.select(column).schema[0].dataType
-        if isinstance(kind, T.TimestampType):
-            column = F.unix_micros(column)
-        elif isinstance(kind, T.TimestampNTZType):
-            column = column.cast("string")
-        elif isinstance(kind, T.DateType):
-            column = F.unix_date(column)
-        out.append((column, desc, df.select(column).schema[0].dataType.simpleString()))
-    return out
-
-
-def _in_order(keys: list[tuple[Column, bool, str]]):
-    """Python comparison of key tuples that agrees with Spark's: nulls first (last if descending),
-    NaN above all numbers, text by code point."""
-
-    def one(x, y, desc: bool) -> int:
-        if x is None or y is None:
-            return ((y is None) - (x is None)) * (-1 if desc else 1)
-        if isinstance(x, float) and (math.isnan(x) or math.isnan(y)):
-            r = math.isnan(x) - math.isnan(y)
-        else:
-            r = (x > y) - (x < y)
-        return -r if desc else r
-
-    def compare(a: tuple, b: tuple) -> int:
-        return next((r for x, y, (_, desc, _) in zip(a, b, keys) if (r := one(x, y, desc))), 0)
-
-    return functools.cmp_to_key(compare)
+# Target bytes per range of the order.
+TARGET_PARTITION_BYTES = 256 << 20
+# Up to this many ranges their offsets travel as a literal array in the plan; above it they are summed
+# up by a job and joined on as a table.
+MAX_LITERAL_OFFSETS = 4096
+# Sums over ranges are taken in two steps, inside runs of so many ranges and over the runs.
+RANGES_PER_RUN = 4096
+# A table of offsets is broadcast up to so many rows (16 bytes each), counted before.
+MAX_BROADCAST_OFFSETS = 1 << 22
 
 
-def _before(keys: list[tuple[Column, bool, str]], split: Sequence[Column]) -> Column:
-    """Whether a row comes before a splitter."""
-    out = F.lit(False)
-    for (k, desc, _), s in reversed(list(zip(keys, split))):
-        less = F.coalesce(k > s, k.isNotNull() & s.isNull()) if desc else F.coalesce(k < s, k.isNull() & s.isNotNull())
-        out = less | (k.eqNullSafe(s) & out)
-    return out
+def counted(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes), counted in one pass that reads only the columns of varying width."""
+    varying = [F.octet_length(c) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 8 * F.size(c)
+               for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)) for c in [df[f"`{f.name}`"]]]
+    sums = [F.sum(F.greatest(v, F.lit(0))) for v in varying]
+    rows, *more = df.agg(F.count(F.lit(1)), *sums).first()
+    return rows, 8 * rows * max(1, len(df.columns)) + sum(int(x or 0) for x in more)
 
 
-RANGES_PER_PARTITION = 4
-SAMPLES_PER_RANGE = 16
+def target_partitions(df: DataFrame, size: tuple[int, int] | None = None) -> int:
+    """Range count: at least ``spark.sql.shuffle.partitions``, enough for about ``TARGET_PARTITION_BYTES``
+    of counted data each, and never more than there are rows to fill them."""
+    rows, n_bytes = size or counted(df)
+    return max(default_partitions(df.sparkSession), min(rows, -(-n_bytes // TARGET_PARTITION_BYTES)))
 
 
-def _splitters(df: DataFrame, keys: list[tuple[Column, bool, str]], n_ranges: int) -> list[tuple]:
-    """At most ``n_ranges - 1`` key tuples in order, from a sample of bounded size: the rows whose
-    keys have the least hashes. Any splitters give the right result; these balance the ranges."""
-    named = [c.alias(f"k{i}") for i, (c, _, _) in enumerate(keys)]
-    at = df.select(*named)
-    rows = at.orderBy(F.xxhash64(*at.columns)).limit(SAMPLES_PER_RANGE * n_ranges).collect()
-    values = sorted({tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in rows}, key=_in_order(keys))
-    picked = [values[len(values) * i // n_ranges] for i in range(1, n_ranges)] if values else []
-    return list(dict.fromkeys(picked))
+_PLACE = "_tp_place"
 
 
-def with_range_id(df: DataFrame, order_by: Sequence[str | Column | Desc], n_ranges: int, id_col: str = _PID) -> tuple[DataFrame, int]:
-    """Add the number of the row's range of the order, and return the number of ranges.
+def ordered_ranges(df: DataFrame, order_by: Sequence[str | Column | Desc], num_partitions: int | None = None) -> DataFrame:
+    """The rows in ranges of the order, stored once: ``df`` with the number of the row's range (``_PID``)
+    and its place inside (``_PLACE``).
 
-    The splitters are chosen once and are literals of the plan, so a row's range depends on its keys
-    alone: not on the partitioning, on a cache, or on when the plan runs.
+    Range bounds are Spark's own, from a sample of the keys that does not grow beyond a million. As the
+    rows are written with their places, these do not change in later executions.
     """
-    keys = _comparable(df, order_by)
-    split = _splitters(df, keys, n_ranges)
-
-    if not split:
-        return df.withColumn(id_col, F.lit(0)), 1
-    # one literal: an array of the splitters, folded into the plan from its JSON text
-    kind = ", ".join(f"k{i}: {t}" for i, (_, _, t) in enumerate(keys))
-    at = F.from_json(F.lit(json.dumps([{f"k{i}": _plain(v) for i, v in enumerate(s)} for s in split])), f"array<struct<{kind}>>", {"mode": "FAILFAST"})
-    out, step = df.withColumn(id_col, F.lit(0)), 1 << (len(split).bit_length() - 1)
-    while step:  # binary search: how many splitters come before or are equal to the row
-        found = F.get(at, F.col(id_col) + (step - 1))
-        here = [found.getField(f"k{i}") for i in range(len(keys))]
-        out = out.withColumn(id_col, F.col(id_col) + F.when((F.col(id_col) + step <= len(split)) & ~_before(keys, here), step).otherwise(0))
-        step //= 2
-    return out, len(split) + 1
-
-
-def _plain(v):
-    """A splitter's value as JSON has it."""
-    if isinstance(v, bytes):
-        return base64.b64encode(v).decode()
-    return str(v) if isinstance(v, decimal.Decimal) else v
+    keys = _sort_columns(order_by)
+    n_parts = num_partitions or target_partitions(df)
+    dealt = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+    # columns travel under plain names; one without a type is left out
+    names = [f"c{i}" for i in range(len(df.columns))]
+    held = [F.lit(None) if isinstance(f.dataType, T.NullType) else F.col(c) for c, f in zip(names, df.schema)]
+    kept = [c for c, f in zip(names, df.schema) if not isinstance(f.dataType, T.NullType)]
+    path = f"{scratch_folder(df.sparkSession)}/ranges"
+    rows = dealt.toDF(*names).select(*kept, F.monotonically_increasing_id().alias("at"))
+    rows.write.option("compression", "zstd").parquet(path)
+    stored = df.sparkSession.read.schema(rows.schema).parquet(path)
+    # the identifier holds the task in its upper bits and the row's place in the lower 33
+    return stored.select(*[h.alias(c) for h, c in zip(held, df.columns)], F.shiftright("at", 33).alias(_PID),
+                         F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias(_PLACE))
+
+
+def _range_totals(ranged: DataFrame, sums: dict[str, Column]) -> tuple[DataFrame, list[tuple] | None]:
+    """Totals of each range as a stored table, and as rows of the driver if there are few."""
+    folder = scratch_folder(ranged.sparkSession)
+    table = ranged.groupBy(_PID).agg(*[c.alias(name) for name, c in sums.items()])
+    table.write.parquet(f"{folder}/totals")
+    table = ranged.sparkSession.read.schema(table.schema).parquet(f"{folder}/totals")
+    few = table.limit(MAX_LITERAL_OFFSETS + 1).collect()
+    return table, None if len(few) > MAX_LITERAL_OFFSETS else sorted((tuple(r) for r in few), key=lambda r: r[0])
+
+
+def _running_totals(totals: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Sums of all earlier ranges: within runs of ranges, plus the sums of all earlier runs."""
+    run = F.floor(F.col(_PID) / RANGES_PER_RUN)
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = totals.groupBy(run.alias("run")).agg(*[F.sum(c).alias(c) for c in names])
+    runs = runs.select("run", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"run_{c}") for c in names])
+    inside = Window.partitionBy("run").orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    rows = totals.withColumn("run", run).join(runs, "run")
+    return rows.select(F.col(_PID).alias("_tp_opid"), *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"run_{c}")).alias(f"_tp_off_{c}") for c in names])
+
+
+def _with_offsets(ranged: DataFrame, sums: dict[str, Column]) -> tuple[DataFrame, dict[str, int | float]]:
+    """``ranged`` with ``_tp_off_<name>``, the sum over all earlier ranges, and the sums over all rows."""
+    table, few = _range_totals(ranged, sums)
+    names = list(sums)
+    if few is not None:
+        out, ends = ranged, {}
+        for i, name in enumerate(names, 1):
+            at, running = [0] * (few[-1][0] + 1 if few else 1), 0
+            for r in few:
+                at[r[0]] = running
+                running += r[i] or 0
+            offsets = F.array(*[F.lit(v).cast(table.schema[name].dataType) for v in at])
+            out, ends[name] = out.withColumn(f"_tp_off_{name}", F.get(offsets, F.col(_PID).cast("int"))), running
+        return out, ends
+    total = table.agg(*[F.sum(c) for c in names], F.count("*")).first()
+    offsets = _running_totals(table, names)
+    offsets = F.broadcast(offsets) if total[-1] <= MAX_BROADCAST_OFFSETS else offsets
+    return ranged.join(offsets, ranged[_PID] == offsets["_tp_opid"]).drop("_tp_opid"), dict(zip(names, total))
 
 
 def with_row_index(
@@ -156,61 +159,13 @@ def with_row_index(
 ) -> tuple[DataFrame, int]:
     """Attach a dense 0-based index following ``order_by`` (must be a total order), and count the rows.
 
-    Rows are counted per range of the order (no shuffle of rows), then numbered within their range
-    and moved up by the rows of the ranges before. Nothing is cached: every execution of the result
-    derives the same index. Descending keys are given as ``Desc``.
+    The rows are moved once, into stored ranges of the order; the index follows from a row's place and
+    the sizes of the ranges before. Every execution of the result reads the same index. Descending keys
+    are given as ``Desc``.
     """
-    n_parts = num_partitions or target_partitions(df)
-    ranged, n_ranges = with_range_id(df, order_by, RANGES_PER_PARTITION * n_parts)
-    counts = {r[0]: r[1] for r in ranged.groupBy(_PID).count().collect()}
-    offsets, running = [], 0
-    for p in range(n_ranges):
-        offsets.append(running)
-        running += counts.get(p, 0)
-    w = Window.partitionBy(_PID).orderBy(*_sort_columns(order_by))
-    numbered = ranged.repartition(n_parts, _PID).withColumn(index_col, F.row_number().over(w) - 1)
-    placed = attach_partition_offsets(numbered, offsets, _PID, "_tp_off")
-    return placed.withColumn(index_col, F.col("_tp_off") + F.col(index_col)).drop(_PID, "_tp_off"), running
-
-
-# Target bytes per range partition when the partition count is derived from the data size.
-TARGET_PARTITION_BYTES = 256 << 20
-# Up to this many partitions the offsets travel as a literal array in the plan; above it, as a
-# (partition, offset) table joined by broadcast (one row per partition: a bounded size).
-MAX_LITERAL_OFFSETS = 4096
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df`` (no job runs); None when unavailable."""
-    if not hasattr(df, "_jdf"):  # a Connect session has no plan object
-        return None
-    v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(v) if isinstance(v, int) else int(str(v.toString()))
-
-
-def target_partitions(df: DataFrame) -> int:
-    """Range-partition count: at least ``spark.sql.shuffle.partitions``, and enough partitions for
-    about ``TARGET_PARTITION_BYTES`` each according to the optimizer's size estimate (no job)."""
-    base = default_partitions(df.sparkSession)
-    size = estimated_bytes(df)
-    if size is None:
-        return base
-    if size <= 0 or size >= (1 << 62):  # unknown estimate
-        return base
-    return max(base, -(-size // TARGET_PARTITION_BYTES))
-
-
-def attach_partition_offsets(df: DataFrame, offsets: Sequence[int | float], pid_col: str, out_col: str) -> DataFrame:
-    """Add ``offsets[pid]`` as ``out_col``: a literal array for few partitions, a broadcast
-    (partition, offset) table for many."""
-    dtype = "double" if any(isinstance(o, float) for o in offsets) else "long"
-    if len(offsets) <= MAX_LITERAL_OFFSETS:
-        arr = F.array(*[F.lit(o).cast(dtype) for o in offsets])
-        return df.withColumn(out_col, F.element_at(arr, F.col(pid_col) + 1))
-    conv = float if dtype == "double" else int
-    table = df.sparkSession.createDataFrame(list(enumerate(conv(o) for o in offsets)),
-                                            f"_tp_opid int, {out_col} {dtype}")
-    return df.join(F.broadcast(table), df[pid_col] == table["_tp_opid"], "left").drop("_tp_opid")
+    placed, ends = _with_offsets(ordered_ranges(df, order_by, num_partitions), {"n": F.count(F.lit(1))})
+    indexed = placed.withColumn(index_col, F.col("_tp_off_n") + F.col(_PLACE))
+    return indexed.drop(*[c for c in (_PID, _PLACE, "_tp_off_n") if c != index_col]), int(ends["n"] or 0)
 
 
 def with_series_position(
@@ -257,31 +212,42 @@ def with_series_position(
 
 
 SALT_BUCKETS = 32
-# A group is hot above so many rows; of the hot ones the largest so many are salted (any other has
-# fewer than a MAX_HOT_GROUPS-th of the rows).
-HOT_ROWS, MAX_HOT_GROUPS = 1 << 20, 256
+# A group is hot above so many rows, and above such a share of all rows: a bound on the number of hot groups.
+HOT_ROWS, HOT_SHARE = 1 << 20, 1 << 21
+# Up to so many hot groups are literals of the plan; more are a table of 8 bytes each (at most HOT_SHARE rows).
+MAX_LITERAL_GROUPS = 256
 
 
 def join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], salt: int = SALT_BUCKETS,
                      how: str = "inner", hot_rows: int | None = None) -> DataFrame:
     """Attach one-row-per-group statistics to every row of ``df`` with a join that hot groups do not skew.
 
-    The hot groups' hashes, a bounded list found by counting, are literals of both sides: their rows
-    get a salt from a hash of their content (deterministic on recomputation) and their statistics are
+    Every group above ``hot_rows`` rows (and a 2^21st of all rows, so that the list is bounded) is hot: its
+    rows get a salt from a hash of their content (deterministic on recomputation) and its statistics are
     copied once per salt; all other groups are joined as they are. Null keys match (null-safe).
     """
     keys = list(keys)
     group = F.xxhash64(*keys)
-    counts = df.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > (HOT_ROWS if hot_rows is None else hot_rows))
-    hot = [r["g"] for r in counts.orderBy(F.col("n").desc(), "g").limit(MAX_HOT_GROUPS).collect()]
-    is_hot = group.isin(hot) if hot else F.lit(False)
-    salted = df.withColumn("_tp_salt", F.when(is_hot, F.pmod(F.xxhash64(*df.columns), F.lit(salt))).otherwise(F.lit(0).cast("long")))
-    rep = stats.select(*[F.col(k).alias(f"_tp_g_{k}") for k in keys],
-                       *[F.col(c) for c in stats.columns if c not in keys],
-                       F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_hot, salt - 1).otherwise(0).cast("long"))).alias("_tp_salt_r"))
+    counts = df.groupBy(group.alias("_tp_g")).agg(F.count(F.lit(1)).alias("n"))
+    large = counts.where(F.col("n") > (HOT_ROWS if hot_rows is None else hot_rows))
+    hot = [r[0] for r in large.select("_tp_g").limit(MAX_LITERAL_GROUPS + 1).collect()]
+    if len(hot) <= MAX_LITERAL_GROUPS:
+        def marked(rows: DataFrame, name: str) -> DataFrame:
+            return rows.withColumn(name, group.isin(hot) if hot else F.lit(False))
+    else:
+        least = int(counts.agg(F.sum("n")).first()[0]) // HOT_SHARE
+        listed = F.broadcast(large.where(F.col("n") > least).select("_tp_g", F.lit(True).alias("_tp_in")))
+
+        def marked(rows: DataFrame, name: str) -> DataFrame:
+            known = rows.withColumn("_tp_h", group).join(listed, F.col("_tp_h") == F.col("_tp_g"), "left")
+            return known.withColumn(name, F.col("_tp_in").isNotNull()).drop("_tp_h", "_tp_g", "_tp_in")
+    salted = marked(df, "_tp_hot").withColumn("_tp_salt", F.when(F.col("_tp_hot"), F.pmod(F.xxhash64(*df.columns), F.lit(salt))).otherwise(F.lit(0).cast("long")))
+    rep = marked(stats, "_tp_hot_r").select(
+        *[F.col(k).alias(f"_tp_g_{k}") for k in keys], *[F.col(c) for c in stats.columns if c not in keys],
+        F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("_tp_hot_r"), salt - 1).otherwise(0).cast("long"))).alias("_tp_salt_r"))
     cond = [salted[k].eqNullSafe(rep[f"_tp_g_{k}"]) for k in keys] + [salted["_tp_salt"] == rep["_tp_salt_r"]]
     out = salted.join(rep, cond, how)  # "left" keeps rows whose group has no statistics row
-    return out.drop("_tp_salt", "_tp_salt_r", *[f"_tp_g_{k}" for k in keys])
+    return out.drop("_tp_salt", "_tp_salt_r", "_tp_hot", *[f"_tp_g_{k}" for k in keys])
 
 
 def auto_bucket_rows(spark, n: int | None, span: int = 1) -> int:
@@ -296,8 +262,18 @@ def auto_bucket_rows(spark, n: int | None, span: int = 1) -> int:
 def _resolve_bucket(indexed: DataFrame, index_col: str, bucket_rows: int | None, span: int = 1) -> int:
     if bucket_rows:
         return max(int(bucket_rows), span)
+    return auto_bucket_rows(indexed.sparkSession, _row_count(indexed, index_col), span)
+
+
+def _row_count(indexed: DataFrame, index_col: str) -> int:
     top = indexed.agg(F.max(index_col)).first()[0]
-    return auto_bucket_rows(indexed.sparkSession, (top + 1) if top is not None else 0, span)
+    return 0 if top is None else top + 1
+
+
+def _bucket_tasks(indexed: DataFrame, index_col: str, bucket_rows: int, n_rows: int | None) -> int:
+    """Tasks for bucketed work: one a bucket of counted rows, at least the session's."""
+    n = _row_count(indexed, index_col) if n_rows is None else n_rows
+    return max(default_partitions(indexed.sparkSession), -(-n // bucket_rows))
 
 
 def _bucket(index_col: str, bucket_rows: int) -> Column:
@@ -312,6 +288,7 @@ def fill_ordered(
     backward: bool = False,
     bucket_rows: int | None = None,
     backward_columns: Sequence[str] = (),
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Forward (or backward) fill ``columns`` along ``index_col`` within optional series.
 
@@ -324,8 +301,8 @@ def fill_ordered(
     b = "_tp_bucket"
     bucket_rows = _resolve_bucket(indexed, index_col, bucket_rows)
     data = indexed.withColumn(b, _bucket(index_col, bucket_rows))
-    # size-derived task count; the per-bucket window and the carry aggregate reuse it
-    data = data.repartition(target_partitions(indexed), *pb, b)
+    # the per-bucket window and the carry aggregate reuse this partitioning
+    data = data.repartition(_bucket_tasks(indexed, index_col, bucket_rows, n_rows), *pb, b)
     fwd = [] if backward else list(columns)
     bwd = list(columns) if backward else list(backward_columns)
     return _fill_pass(data, indexed.columns, fwd, bwd, index_col, pb, b)
@@ -384,6 +361,7 @@ def halo_frames(
     partition_by: Sequence[str] = (),
     keep: Sequence[str] = (),
     bucket_rows: int | None = None,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """All complete frames of ``span`` consecutive rows (stride 1), one row per frame start.
 
@@ -405,8 +383,8 @@ def halo_frames(
         *[expr.alias(f"_tp_c_{name}") for name, expr in collect.items()],
         F.explode(F.sequence(lo, hi)).alias("_tp_b"),
     )
-    # as many tasks as the data size asks for (the window reuses this partitioning)
-    staged = staged.repartition(target_partitions(indexed), "_tp_b")
+    # the window reuses this partitioning
+    staged = staged.repartition(_bucket_tasks(indexed, index_col, B, n_rows), "_tp_b")
     w = Window.partitionBy("_tp_b").orderBy(index_col).rowsBetween(0, span - 1)
     framed = staged.select(
         F.col(index_col),
@@ -432,20 +410,10 @@ def with_prefix_sums(
 ) -> DataFrame:
     """Running sums of ``columns`` along a total order, without a single-partition window.
 
-    Total each range of the order (one row per range reaches the driver), run the window inside
-    each range only, and add the totals of the ranges before.
+    The rows are stored in ranges of the order; the window runs inside each range only, and the totals
+    of the ranges before are added.
     """
-    n_parts = num_partitions or target_partitions(df)
-    ranged, n_ranges = with_range_id(df, order_by, RANGES_PER_PARTITION * n_parts)
-    totals = {r[_PID]: r for r in ranged.groupBy(_PID).agg(*[F.sum(c).alias(c) for c in columns]).collect()}
-    w = Window.partitionBy(_PID).orderBy(*_sort_columns(order_by)).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.repartition(n_parts, _PID).select("*", *(F.sum(c).over(w).alias(f"{c}{suffix}") for c in columns))
-    for c in columns:
-        offsets, running = [], 0
-        for p in range(n_ranges):
-            offsets.append(running)
-            t = totals.get(p)
-            running += (t[c] or 0) if t is not None else 0
-        out = attach_partition_offsets(out, offsets, _PID, f"_tp_off_{c}")
-        out = out.withColumn(f"{c}{suffix}", F.col(f"{c}{suffix}") + F.col(f"_tp_off_{c}")).drop(f"_tp_off_{c}")
-    return out.drop(_PID)
+    ranged = ordered_ranges(df, order_by, num_partitions)
+    placed, _ = _with_offsets(ranged, {c: F.sum(c) for c in columns})
+    w = Window.partitionBy(_PID).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.select(*df.columns, *[(F.sum(c).over(w) + F.col(f"_tp_off_{c}")).alias(f"{c}{suffix}") for c in columns])
