@@ -166,3 +166,4 @@ from tidepool.plans import suite_more  # noqa: E402,F401
 from tidepool.plans import suite_models  # noqa: E402,F401
 from tidepool.plans import suite_io  # noqa: E402,F401
 from tidepool.plans import suite_extra  # noqa: E402,F401
+from tidepool.plans import suite_series  # noqa: E402,F401
