@@ -5,8 +5,8 @@ documents). If two sets overlap in at least T elements, their first ``n - T + l`
 least ``l``, for every l. A longer prefix costs more postings but asks for more matches, so each
 document takes the l that minimises its estimated cost: the postings that its prefix meets, plus the
 candidates that ``l`` matches leave of them (at most their number over l), each as dear as one exact
-comparison. Two documents are compared if their prefixes of the smaller of their two l's share that
-many elements.
+comparison. Two documents, whose sizes give T, are compared if the longest such prefixes that both have
+posted share as many elements as their length asks for. Shingles that occur once bound the overlap, too.
 
 1. **Classes.** Documents with the same shingle set (a 128-bit digest of the sorted set) are one class,
    with one row as representative, so that copies cost one row each and no more.
@@ -14,11 +14,12 @@ many elements.
    distinct shingles it holds, with their counts, to the shingles' partitions as one packed array each,
    and gets their frequency classes back: a shingle in a third of all documents is one entry a block.
 3. **Prefixes.** A document whose prefix holds only shingles that occur once has no partner. The others
-   become postings.
+   become postings: in a list by shingle and size as the smaller of a pair, and as the larger in the
+   lists of all sizes that a partner can have.
 4. **Links.** Only what connects is needed. While the postings of different components could meet in
-   many pairs, every posting list is compared with a pivot of its own only, and linked classes become
-   one component; thousands of near copies collapse in a round or two. Then all pairs left between
-   different components are counted and compared.
+   many pairs, every list is compared with a pivot only, first the document with the fewest shingles of
+   its own, and linked classes become one component; thousands of near copies collapse in a round or two.
+   Then all pairs left between different components are counted and compared.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import ddl, packed, release_shuffles, table, text_of, written
@@ -47,13 +48,15 @@ PART_SHINGLES = 1 << 20
 #: An exact comparison costs as much as so many postings, plus one for so many shingles of the set.
 COMPARE_COST, COMPARE_SHINGLES = 20.0, 16.0
 #: Pairs that may be counted, for each posting, before another round of pivots is taken.
-PAIRS_PER_POSTING = 8
+PAIRS_PER_POSTING = 4
+#: Lists by size between a set and its smallest partner.
+SIZE_BANDS = 8
 
 MARKS = pa.schema([("block", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()),
                    ("k2", pa.int64()), ("text", pa.string())])
 MESSAGES = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 REPLIES = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("uid", pa.int64()), ("classes", pa.binary())])
-ACTIVE = "uid bigint, n bigint, ell bigint, lead bigint, tokens array<bigint>, shingles binary"
+ACTIVE = "uid bigint, n bigint, own bigint, ell bigint, tokens array<bigint>, shingles binary"
 MIX, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 CHUNK_BYTES = 1 << 20
 
@@ -247,7 +250,7 @@ def choose_length(n: int, unique: int, frequencies: np.ndarray, percent: int) ->
 
 
 def _prefixes(k: int, bits: int, percent: int):
-    schema = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("ell", pa.int64()), ("lead", pa.int64()), ("tokens", pa.list_(pa.int64())),
+    schema = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("ell", pa.int64()), ("tokens", pa.list_(pa.int64())),
                         ("shingles", pa.binary())])
 
     def run(stored: pa.Table, replies: pa.Table) -> pa.Table:
@@ -266,8 +269,7 @@ def _prefixes(k: int, bits: int, percent: int):
             unique = len(ids) - len(shared)
             ell, taken = choose_length(len(shingles), unique, class_frequency(found[shared]), percent) if len(shared) else (1, 0)
             if taken:
-                lead = unique - (len(shingles) - least_overlap(len(shingles), percent))
-                rows.append((uid, len(shingles), ell, lead, ids[shared[:taken]].astype(np.int64), shingles.tobytes()))
+                rows.append((uid, len(shingles), unique, ell, ids[shared[:taken]].astype(np.int64), shingles.tobytes()))
         cols = list(zip(*rows)) or [[]] * len(schema)
         return pa.table([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
@@ -298,61 +300,97 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a bigint, b bigint")
 
 
-def _postings(active: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(token, uid, label, n, level, ell): a token of level l is in all prefixes for l matches and more."""
-    rows = active.select("uid", "n", "ell", "lead", "tokens")
-    if labels is None:
-        rows = rows.withColumn("label", F.col("uid"))
-    else:
-        rows = rows.join(labels, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "uid"))
-    return (rows.select("uid", "label", "n", "ell", "lead", F.posexplode("tokens").alias("j", "token"))
-            .select("token", "uid", "label", "n", F.greatest(F.lit(1).cast("bigint"), F.col("lead") + F.col("j") + 1).alias("level"), "ell"))
+def _ceil_div(a: Column, b: int) -> Column:
+    return F.floor((a + (b - 1)) / b)
+
 
+def _overlap(total: Column, percent: int) -> Column:
+    """The least overlap of two linked sets of so many elements in all."""
+    return _ceil_div(percent * total, 100 + percent)
 
-def _pivot_pairs(postings: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Candidates (a, b) where b is the pivot of posting lists that both are in, often enough to pass."""
-    first = F.min(F.struct(F.xxhash64(F.lit(turn), "uid").alias("h"), "uid", "label", "n", "level", "ell")).alias("p")
-    pivots = (postings.groupBy("token").agg(first, F.min("label").alias("lo"), F.max("label").alias("hi"))
-              .filter("lo < hi").select(F.col("token").alias("t"), "p"))
-    return _matched(postings.join(pivots, F.col("token") == F.col("t")).filter("label <> p.label"), percent)
 
+def _postings(active: DataFrame, labels: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables (token, band, uid, label, n, own, at, spare): the sets as the smaller and as the larger of a pair.
 
-def _all_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) of different components: all of them."""
-    other = postings.select(F.col("token").alias("t"), F.struct("uid", "label", "n", "level", "ell").alias("p"))
-    return _matched(postings.join(other, F.col("token") == F.col("t")).filter("label <> p.label and (n > p.n or n = p.n and uid > p.uid)"), percent)
+    ``at``: the token's place in its set; ``own``: elements that occur nowhere else; ``spare``: a pair
+    with overlap T has posted its prefixes for ``T + spare`` matches. A set posts no more than its
+    partners' sizes ask for: as the smaller one, T is at least that of two equal sizes, and its own
+    elements may not take more than the rest; as the larger one these bound its partner's size.
+    """
+    rows = active.select("uid", "n", "own", "ell", "tokens")
+    if labels is None:
+        rows = rows.withColumn("label", F.col("uid"))
+    else:
+        rows = rows.join(labels, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "uid"))
+    step = max(math.log(100 / percent), 1e-3) / SIZE_BANDS
+    band = lambda n: F.floor(F.log(n.cast("double")) / step)
+    even, least, most = _overlap(2 * F.col("n"), percent), _ceil_div(percent * F.col("n"), 100), F.floor((F.col("n") - F.col("own")) * (100 + percent) / percent) - F.col("n")
+    small = (rows.withColumn("spare", F.col("ell") - even).filter(F.col("n") - F.col("own") >= even)
+             .withColumn("tokens", F.slice("tokens", F.lit(1), F.greatest(F.lit(0).cast("bigint"), F.col("n") + F.col("spare") - F.col("own")).cast("int"))))
+    small = small.select("uid", "label", "n", "own", "spare", band(F.col("n")).alias("band"), F.posexplode("tokens").alias("j", "token"))
+    large = rows.withColumn("spare", F.col("ell") - least).withColumn("most", F.least("n", most)).filter(F.col("most") >= least)
+    large = (large.select("uid", "label", "n", "own", "spare", F.sequence(band(least), band(F.col("most"))).alias("bands"), F.posexplode("tokens").alias("j", "token"))
+             .join(small.select("token").distinct(), "token", "left_semi").withColumn("band", F.explode("bands")))
+    return tuple(x.select("token", "band", "uid", "label", "n", "own", (F.col("own") + F.col("j")).alias("at"), "spare") for x in (small, large))
+
+
+def _pivot_pairs(small: DataFrame, large: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Candidates where one is the pivot of lists that both are in, often enough to pass."""
+    first = F.col("own") if turn == 1 else F.lit(0).cast("bigint")
+    best = F.min(F.struct(first.alias("f"), F.xxhash64(F.lit(turn), "uid").alias("h"), "uid", "label", "n", "own", "at", "spare")).alias("p")
+    pivots = small.groupBy(F.col("token").alias("t"), F.col("band").alias("d")).agg(best)
+    met = large.join(pivots, (F.col("token") == F.col("t")) & (F.col("band") == F.col("d")) & (F.col("label") != F.col("p.label")) & _fitting(percent))
+    return _matched(met, percent)
+
+
+def _all_pairs(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """Candidates of different components: all of them."""
+    other = small.select(F.col("token").alias("t"), F.col("band").alias("d"), F.struct("uid", "label", "n", "own", "at", "spare").alias("p"))
+    ordered = (F.col("n") > F.col("p.n")) | (F.col("uid") > F.col("p.uid"))
+    met = large.join(other, (F.col("token") == F.col("t")) & (F.col("band") == F.col("d")) & (F.col("label") != F.col("p.label")) & ordered & _fitting(percent))
+    return _matched(met, percent)
+
+
+def _fitting(percent: int) -> Column:
+    """Whether a posting of the larger set and one (``p``) of the smaller can count for their pair."""
+    total = _overlap(F.col("n") + F.col("p.n"), percent)
+    spare = F.least("spare", "p.spare")  # prefixes for total + spare matches end at n + spare
+    return ((F.col("p.n") <= F.col("n")) & (total <= F.col("n") - F.col("own")) & (total <= F.col("p.n") - F.col("p.own"))
+            & (F.col("at") < F.col("n") + spare) & (F.col("p.at") < F.col("p.n") + spare))
 
 
 def _matched(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs of postings (one of them as ``p``) that match often enough, among prefixes of the smaller l."""
-    near = (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & (F.greatest("level", "p.level") <= F.least("ell", "p.ell"))
-    return (met.filter(near).groupBy(F.col("uid").alias("a"), F.col("p.uid").alias("b"), F.least("ell", "p.ell").alias("need"))
+    """The pairs (a, b) that match as often as the prefixes which both have posted ask for."""
+    need = _overlap(F.col("n") + F.col("p.n"), percent) + F.least("spare", "p.spare")
+    return (met.groupBy(F.col("uid").alias("a"), F.col("p.uid").alias("b"), need.alias("need"))
             .agg(F.count("*").alias("shared")).filter("shared >= need").select("a", "b"))
 
 
-def _open_pairs(postings: DataFrame) -> tuple[int, int]:
+def _open_pairs(small: DataFrame, large: DataFrame) -> tuple[int, int]:
     """(postings, pairs of postings of different components in one list)."""
-    sizes = postings.groupBy("token", "label").agg(F.count("*").alias("m"))
-    lists = sizes.groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m").cast("double") * F.col("m")).alias("same"))
-    n, pairs = lists.agg(F.sum("m"), F.sum((F.col("m").cast("double") * F.col("m") - F.col("same")) / 2)).first()
+    zero, one = F.lit(0.0), F.lit(1.0)
+    both = small.select("token", "band", "label", one.alias("s"), zero.alias("l")).union(large.select("token", "band", "label", zero, one))
+    sizes = both.groupBy("token", "band", "label").agg(F.sum("s").alias("s"), F.sum("l").alias("l"))
+    lists = sizes.groupBy("token", "band").agg(F.sum("s").alias("s"), F.sum("l").alias("l"), F.sum(F.col("s") * F.col("l")).alias("same"))
+    n, pairs = lists.agg(F.sum(F.col("s") + F.col("l")), F.sum(F.col("s") * F.col("l") - F.col("same"))).first()
     return int(n or 0), int(pairs or 0)
 
 
 def link_classes(active: DataFrame, percent: int = PERCENT, pairs_per_posting: float = PAIRS_PER_POSTING) -> DataFrame | None:
     """(node, root) of the classes that links connect, or None if there is no link.
 
-    ``active``: (uid, n, ell, lead, tokens, shingles). All links are found that join different
+    ``active``: (uid, n, own, ell, tokens, shingles). All links are found that join different
     components; of those inside a component, what the rounds needed.
     """
     folder, labels, links, turn, before = scratch_folder(active.sparkSession), None, None, 0, math.inf
     while True:
-        postings = _postings(active, labels)
-        n, pairs = _open_pairs(postings)
+        small, large = _postings(active, labels, percent)
+        n, pairs = _open_pairs(small, large)
         if not pairs:
             return labels
-        last = pairs <= pairs_per_posting * n or pairs > 0.9 * before
+        last = pairs <= pairs_per_posting * n or (turn > 1 and pairs > 0.75 * before)
         before, turn = pairs, turn + 1
-        found = _all_pairs(postings, percent) if last else _pivot_pairs(postings, percent, turn)
+        found = _all_pairs(small, large, percent) if last else _pivot_pairs(small, large, percent, turn)
         candidates = written(found, folder, f"candidates-{turn}")
         new = written(packed(verified(candidates, active.select("uid", "shingles"), percent), candidates.count()), folder, f"links-{turn}")
         if not new.isEmpty():
