@@ -88,3 +88,33 @@ def test_best_split_prefers_the_first_of_equal_gains():
     gain, f, b, left, whole = best_split(sums, BoostParams(reg_lambda=0.0))
     assert (gain, f, b) == (16.0, 0, 0) and left.tolist() == [4, 2, 2] and whole.tolist() == [0, 4, 4]
     assert best_split(sums, BoostParams(min_samples_leaf=3))[0] == 0
+
+
+def test_registry_names_honour_their_parameters(spark):
+    from tidepool.operators import models
+
+    assert models.boost_params("xgboost_regressor", {"max_depth": "None"}).max_depth == 6
+    p = models.boost_params("lightgbm_classifier", {"min_samples_leaf": "50", "learning_rate": 0.5})
+    assert (p.max_depth, p.max_leaves, p.min_samples_leaf, p.learning_rate, p.reg_lambda) == (None, 31, 50, 0.5, 0.0)
+    with pytest.raises(ValueError):
+        models.fit_model(spark.range(1), "xgboost_regressor", task_type="classification")
+    rnd = np.random.default_rng(7)
+    x = rnd.normal(size=(120, 1))
+    df = table(spark, x, x[:, 0])
+    for name in ("xgboost_regressor", "gbt_regressor"):
+        model = models.fit_model(df, name, {"n_estimators": 1, "max_depth": 3, "min_samples_leaf": 50}, "regression")
+        assert models.predict(model, df).select("yhat").distinct().count() <= 2
+    assert models.feature_importance(model, ["x"]) == [("x", 1.0)]
+
+
+def test_saved_boosters_are_told_from_pipelines(spark, tmp_path):
+    from tidepool.operators import models
+
+    df = table(spark, [[1.0], [2.0], [3.0], [4.0]], [1.0, 1.0, 5.0, 5.0])
+    for name in ("lightgbm_regressor", "decision_tree_regressor"):
+        model, path = models.fit_model(df, name, {"max_depth": 2}, "regression"), str(tmp_path / name)
+        models.save_model(model, path)
+        assert np.allclose(scores(models.load_model(path), df) if name.startswith("light") else
+                           [r.yhat for r in models.predict(models.load_model(path), df).orderBy("id").collect()],
+                           [r.yhat for r in models.predict(model, df).orderBy("id").collect()])
+    assert models.load_model(str(tmp_path / "none")) is None

@@ -25,7 +25,7 @@ def test_regression_models_fit_and_predict(spark):
     df = _regression(spark)
     for name in ("random_forest_regressor", "decision_tree_regressor", "xgboost_regressor", "linear_forecast"):
         asked = {"n_estimators": "10", "max_depth": "None"}
-        m = models.fit_model(df, name, {k: v for k, v in asked.items() if k in models.PARAMS[models.ALIASES.get(name, name)]}, "regression")
+        m = models.fit_model(df, name, {k: v for k, v in asked.items() if k in models.PARAMS[name]}, "regression")
         pred = models.predict(m, df)
         assert pred.where(F.isnan("yhat") | F.col("yhat").isNull()).count() == 0
     imp = models.feature_importance(models.fit_model(df, "random_forest_regressor", {"n_estimators": 5}),
@@ -176,7 +176,7 @@ def test_model_parameters_follow_their_schema(spark):
             models.coerce_params(bad, name)
     with pytest.raises(ValueError):
         models.build_estimator("decision_tree_regressor", {"max_depth": 31}, "regression")
-    assert set(models.PARAMS) == set(models.REGISTRY)
+    assert set(models.PARAMS) == set(models.REGISTRY) | set(models.BOOSTERS)
 
 
 def test_recorded_runs_and_cv_report(spark, tmp_path):

@@ -169,39 +169,41 @@ def feature_cuts(rows: DataFrame, n_features: int, max_bins: int) -> list[list[f
     return cuts
 
 
-_STORED = pa.schema([("bins", pa.binary()), ("y", pa.float64()), ("margins", pa.binary())])
-_STORED_SQL = "bins binary, y double, margins binary"
+# Stored rows are packed, a batch each: bins (row, feature) of one byte, labels, and margins (row, class).
+_STORED_SQL = "bins binary, y binary, margins binary"
+
+
+def _packed(bins: np.ndarray, y: np.ndarray, margins: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (bins, y, margins)], names=["bins", "y", "margins"])
 
 
 def _binned(cuts: list[list[float]], base: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = np.array(base).tobytes()
         for batch in batches:
             if batch.num_rows:
                 x = np.stack(batch.column("x").to_pylist()).astype(np.float64)
                 bins = np.column_stack([np.where(np.isnan(v), 0, np.searchsorted(c, v)) for v, c in zip(x.T, cuts)]).astype(np.uint8)
-                yield pa.record_batch([pa.array([b.tobytes() for b in bins], pa.binary()), batch.column("y"),
-                                       pa.array([start] * len(bins), pa.binary())], schema=_STORED)
+                yield _packed(bins, batch.column("y").to_numpy(), np.tile(np.array(base), (len(x), 1)))
 
     return run
 
 
-def _unpacked(batch: pa.RecordBatch, n_features: int, n_trees: int, rounds: list[list[Tree]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = batch.num_rows
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), dtype=np.uint8).reshape(n, n_features)
-    margins = np.frombuffer(b"".join(batch.column("margins").to_pylist()), dtype=np.float64).reshape(n, n_trees).copy()
-    for trees in rounds:
-        for k, tree in enumerate(trees):
-            margins[:, k] += np.array(tree.value)[tree.leaves(bins, tree.cut)]
-    return bins, batch.column("y").to_numpy(), margins
+def _unpacked(batches: Iterator[pa.RecordBatch], n_features: int, n_trees: int, rounds: list[list[Tree]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bins, labels, margins) of each packed row, the margins with ``rounds`` added."""
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("bins", "y", "margins"))):
+            bins, y = np.frombuffer(row[0], dtype=np.uint8).reshape(-1, n_features), np.frombuffer(row[1])
+            margins = np.frombuffer(row[2]).reshape(-1, n_trees).copy()
+            for trees in rounds:
+                for k, tree in enumerate(trees):
+                    margins[:, k] += np.array(tree.value)[tree.leaves(bins, tree.cut)]
+            yield bins, y, margins
 
 
 def _advanced(n_features: int, n_trees: int, rounds: list[list[Tree]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                _, _, margins = _unpacked(batch, n_features, n_trees, rounds)
-                yield pa.record_batch([batch.column("bins"), batch.column("y"), pa.array([m.tobytes() for m in margins], pa.binary())], schema=_STORED)
+        for bins, y, margins in _unpacked(batches, n_features, n_trees, rounds):
+            yield _packed(bins, y, margins)
 
     return run
 
@@ -213,10 +215,7 @@ def _histograms(task: str, n_features: int, n_trees: int, rounds: list[list[Tree
     """Per task the sums of (gradient, Hessian, rows) for the nodes still open."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros((len(nodes), n_features, MAX_BINS, 3)) for nodes in open_nodes]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins, y, margins = _unpacked(batch, n_features, n_trees, rounds)
+        for bins, y, margins in _unpacked(batches, n_features, n_trees, rounds):
             g, h = derivatives(task, margins, y)
             for k, (tree, nodes) in enumerate(zip(growing, open_nodes)):
                 place = np.full(len(tree.feature), -1)

@@ -1,8 +1,8 @@
-"""Model fitting and scoring with MLlib (#91-#100, #113) and the model registry.
+"""Model fitting and scoring (#91-#100, #113) and the model registry.
 
-Boosted trees are MLlib's GBT (multi-class through one-vs-rest), under ``gbt_*`` and as aliases
-under the names of the boosting libraries that have no Spark learner here. Feature vectors come from the
-``features array<double>`` column built by ``operators.features``.
+Trees, forests, ``gbt_*`` (multi-class through one-vs-rest) and ``mlp_classifier`` are MLlib's. ``xgboost_*``
+and ``lightgbm_*`` are second-order boosting (``operators.boosting``) with those libraries' defaults. Feature
+vectors come from the ``features array<double>`` column built by ``operators.features``.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.operators.boosting import Boosted, BoostParams, fit_boosted
 from tidepool.operators.split import kfold
 
 # the ridge sums run in Python workers: ship this module's code by value
@@ -74,12 +75,12 @@ def _dt_clf(p):
 
 
 def _gbt_reg(p):
-    return GBTRegressor(maxIter=int(p.get("n_estimators", 100)), maxDepth=_depth(p.get("max_depth", 6)),
+    return GBTRegressor(maxIter=int(p.get("n_estimators", 100)), maxDepth=_depth(p.get("max_depth", 6)), minInstancesPerNode=_leaf(p),
                         stepSize=float(p.get("learning_rate", 0.1)), seed=SEED)
 
 
 def _gbt_clf(p, n_classes: int = 2):
-    base = GBTClassifier(maxIter=int(p.get("n_estimators", 100)), maxDepth=_depth(p.get("max_depth", 6)),
+    base = GBTClassifier(maxIter=int(p.get("n_estimators", 100)), maxDepth=_depth(p.get("max_depth", 6)), minInstancesPerNode=_leaf(p),
                          stepSize=float(p.get("learning_rate", 0.1)), seed=SEED)
     return base if n_classes <= 2 else OneVsRest(classifier=base)
 
@@ -116,15 +117,24 @@ REGISTRY: dict[str, ModelSpec] = {
 }
 
 
-# Names of other boosting libraries' models; here all are MLlib's gradient-boosted trees.
-ALIASES = {"xgboost_regressor": "gbt_regressor", "lightgbm_regressor": "gbt_regressor",
-           "xgboost_classifier": "gbt_classifier", "lightgbm_classifier": "gbt_classifier"}
+# The defaults of two boosting libraries (learning rate, depth or leaves, regularisation).
+_LEVELS = {"learning_rate": 0.3, "max_depth": 6, "min_hessian": 1.0, "reg_lambda": 1.0}
+_LEAVES = {"learning_rate": 0.1, "max_depth": None, "max_leaves": 31, "min_hessian": 1e-3, "reg_lambda": 0.0}
+BOOSTERS: dict[str, tuple[str, dict]] = {
+    "xgboost_regressor": ("regression", _LEVELS), "xgboost_classifier": ("classification", _LEVELS),
+    "lightgbm_regressor": ("regression", _LEAVES), "lightgbm_classifier": ("classification", _LEAVES),
+}
+
+
+def boost_params(name: str, params: dict | None) -> BoostParams:
+    """A booster's parameters over its library's defaults; no depth given means the library's own."""
+    given = {k: v for k, v in coerce_params(params or {}, name).items() if v is not None}
+    return BoostParams(**{**BOOSTERS[name][1], **given})
 
 
 def get_spec(name: str) -> ModelSpec:
-    name = ALIASES.get(name, name)
     if name not in REGISTRY:
-        raise ValueError(f"no model is called {name!r}; there are {', '.join(sorted(REGISTRY | ALIASES))}")
+        raise ValueError(f"no model is called {name!r}; there are {', '.join(sorted([*REGISTRY, *BOOSTERS]))}")
     return REGISTRY[name]
 
 
@@ -135,7 +145,7 @@ _BOOST = {**_FOREST, "learning_rate": (float, 0.1)}
 PARAMS: dict[str, dict[str, tuple[type, object]]] = {
     "random_forest_regressor": _FOREST, "random_forest_classifier": _FOREST,
     "decision_tree_regressor": _TREE, "decision_tree_classifier": _TREE,
-    "gbt_regressor": _BOOST, "gbt_classifier": _BOOST,
+    "gbt_regressor": _BOOST, "gbt_classifier": _BOOST, **{name: _BOOST for name in BOOSTERS},
     "linear_forecast": {"reg": (float, 1e-3)},
     "mlp_classifier": {"hidden_layers": (str, "64,32"), "epochs": (int, 100)},
 }
@@ -144,7 +154,7 @@ PARAMS: dict[str, dict[str, tuple[type, object]]] = {
 def coerce_params(raw: dict, name: str) -> dict:
     """The parameters of model ``name``, typed by its schema; texts are converted, ``None`` and the empty
     text mean unbounded. A name that the schema lacks, or a value of another type, is an error."""
-    schema, out = PARAMS[ALIASES.get(name, name)], {}
+    schema, out = PARAMS[name], {}
     for k, v in raw.items():
         if k not in schema:
             raise ValueError(f"{name} has no parameter {k!r}; it has {', '.join(schema)}")
@@ -183,20 +193,26 @@ def build_estimator(name: str, params: dict | None, task_type: str, n_features:
 
 
 def fit_model(train: DataFrame, name: str, params: dict | None = None, task_type: str = "regression",
-              n_classes: int = 2, features: str = "features", label: str = "label", partitions: int | None = None) -> PipelineModel:
+              n_classes: int = 2, features: str = "features", label: str = "label", partitions: int | None = None) -> PipelineModel | Boosted:
     """Fit ``name`` on ``features array<double>`` → ``label`` (the task must match the model kind).
 
     Iterative learners run a job per iteration over every partition; ``partitions`` deals the training
     rows anew to so many, by default they stay as they are.
     """
+    if name in BOOSTERS:
+        if BOOSTERS[name][0] != task_type:
+            raise ValueError(f"{name} solves {BOOSTERS[name][0]}, not {task_type}")
+        return fit_boosted(train.repartition(partitions) if partitions else train, task_type, boost_params(name, params), n_classes, features, label)
     n_features = len(train.select(features).first()[0]) if name == "mlp_classifier" else 0
     est = build_estimator(name, params, task_type, n_features, n_classes, label)
     data = with_vector(train, features).withColumn(label, F.col(label).cast("double"))
     return Pipeline(stages=[est]).fit(data.repartition(partitions) if partitions else data)
 
 
-def predict(model: PipelineModel, df: DataFrame, features: str = "features") -> DataFrame:
+def predict(model: PipelineModel | Boosted, df: DataFrame, features: str = "features") -> DataFrame:
     """``yhat`` (and ``probability array<double>`` for probabilistic classifiers)."""
+    if isinstance(model, Boosted):
+        return model.predict(df, features)
     out = model.transform(with_vector(df, features))
     if "probability" in out.columns:
         out = out.withColumn("probability", vector_to_array("probability"))
@@ -222,51 +238,120 @@ class Ridge:
         return forecast(features)
 
 
-def _moments(n_features: int, n_labels: int):
-    """Per task: the sums of [1, x, y]ᵀ[1, x, y] over its rows, a packed row of doubles per matrix row."""
-    width = 1 + n_features + n_labels
+@dataclass
+class Moments:
+    """Rows, means and centred products of columns z; merging keeps them centred, so that large offsets
+    cost no digits."""
+
+    n: float
+    mean: np.ndarray
+    products: np.ndarray  # sums of (z_i - mean_i)(z_j - mean_j), or some of its rows
+
+    def merged(self, other: Moments, rows: slice = slice(None)) -> Moments:
+        if not self.n or not other.n:
+            return other if not self.n else self
+        n, gap = self.n + other.n, other.mean - self.mean
+        return Moments(n, self.mean + gap * (other.n / n), self.products + other.products + np.outer(gap[rows], gap) * (self.n * other.n / n))
+
+
+_MOMENTS = "fold bigint, i bigint, n double, mean binary, products binary"
+
+
+def _moments(width: int):
+    """Per task and fold: the moments of [x, y], a packed row for each row of the matrix."""
 
     def run(batches):
-        sums = np.zeros((width, width))
+        sums: dict[int, Moments] = {}
         for batch in batches:
-            if batch.num_rows:
-                x = np.stack(batch.column("x").to_pylist())
-                z = np.column_stack([np.ones(len(x)), x, np.stack(batch.column("y").to_pylist())])
-                sums += z.T @ z
-        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int64()), pa.array([r.tobytes() for r in sums], pa.binary())], names=["i", "sums"])
+            if not batch.num_rows:
+                continue
+            fold = batch.column("fold").to_numpy()
+            z = np.column_stack([np.stack(batch.column(c).to_pylist()).astype(np.float64) for c in ("x", "y")])
+            for f in np.unique(fold):
+                part = z[fold == f]
+                mean = part.mean(axis=0)
+                own = Moments(len(part), mean, (part - mean).T @ (part - mean))
+                sums[f] = sums[f].merged(own) if f in sums else own
+        rows = [(int(f), i, float(m.n), m.mean.tobytes(), m.products[i].tobytes()) for f, m in sums.items() for i in range(width)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["fold", "i", "n", "mean", "products"])
 
     return run
 
 
-def _summed(group):
-    return pa.table({"i": group.column("i").slice(0, 1), "sums": [sum(np.frombuffer(b) for b in group.column("sums").to_pylist()).tobytes()]})
+def _merged(group):
+    i, total = group.column("i")[0].as_py(), Moments(0.0, np.zeros(0), np.zeros(0))
+    for n, mean, products in zip(*(group.column(c).to_pylist() for c in ("n", "mean", "products"))):
+        total = total.merged(Moments(n, np.frombuffer(mean), np.frombuffer(products)[None, :]), slice(i, i + 1))
+    return pa.table({"fold": group.column("fold").slice(0, 1), "i": group.column("i").slice(0, 1), "n": [total.n], "mean": [total.mean.tobytes()],
+                     "products": [total.products.tobytes()]})
 
 
-def fit_ridge(train: DataFrame, features: str = "features", labels: str = "y", reg: float = 1e-3) -> Ridge:
-    """Ridge regressions of every element of ``labels`` on ``features``, from one set of normal equations.
+def fold_moments(rows: DataFrame, features: str, labels: str, fold: Column) -> tuple[dict[int, Moments], int]:
+    """({fold: moments of [features, labels]}, number of features) from one pass over the rows. Windows
+    (arrays of arrays) are flattened; the sums are as many as columns squared, whatever the rows."""
+    def vector(c: str) -> Column:
+        nested = rows.select(c).dtypes[0][1].startswith("array<array")
+        return (F.flatten(c) if nested else F.col(c)).cast("array<double>")
 
-    One pass gives all sums (as many as features and labels squared, whatever the rows); the penalty
-    is on standardised features, ``(ZᵀZ/n + reg·I) w = Zᵀy/n``, and a constant feature has no weight.
-    """
-    first = train.select(F.size(features).alias("d"), F.size(labels).alias("h")).first()
+    rows = rows.select(vector(features).alias("x"), vector(labels).alias("y"), fold.cast("bigint").alias("fold"))
+    first = rows.select(F.size("x").alias("d"), F.size("y").alias("h")).first()
     if first is None:
         raise ValueError("no rows to fit on")
-    d, h = first["d"], first["h"]
-    rows = train.select(F.col(features).cast("array<double>").alias("x"), F.col(labels).cast("array<double>").alias("y"))
-    cells = rows.mapInArrow(_moments(d, h), "i bigint, sums binary").groupBy("i").applyInArrow(_summed, "i bigint, sums binary")
-    sums = np.stack([np.frombuffer(r["sums"]) for r in cells.orderBy("i").collect()])
-    n = sums[0, 0]
-    mean_x, mean_y = sums[0, 1:d + 1] / n, sums[0, d + 1:] / n
-    cov = sums[1:d + 1, 1:d + 1] / n - np.outer(mean_x, mean_x)
-    cross = sums[1:d + 1, d + 1:] / n - np.outer(mean_x, mean_y)
+    cells = rows.mapInArrow(_moments(first["d"] + first["h"]), _MOMENTS).groupBy("fold", "i").applyInArrow(_merged, _MOMENTS)
+    parts: dict[int, list] = {}
+    for r in cells.orderBy("fold", "i").collect():
+        parts.setdefault(r["fold"], []).append(r)
+    return {f: Moments(p[0]["n"], np.frombuffer(p[0]["mean"]), np.stack([np.frombuffer(r["products"]) for r in p])) for f, p in parts.items()}, first["d"]
+
+
+def ridge_of(moments: Moments, d: int, reg: float) -> Ridge:
+    """The ridge regression of the columns behind the first ``d`` on those: the penalty is on
+    standardised features, ``(ZᵀZ/n + reg·I) w = Zᵀy/n``, and a constant feature has no weight."""
+    mean_x, mean_y = moments.mean[:d], moments.mean[d:]
+    cov, cross = moments.products[:d, :d] / moments.n, moments.products[:d, d:] / moments.n
     std = np.sqrt(np.maximum(np.diag(cov), 0.0))
     scale = np.divide(1.0, std, out=np.zeros_like(std), where=std > 1e-12 * np.maximum(1.0, np.abs(mean_x)))
     w = np.linalg.solve(cov * np.outer(scale, scale) + reg * np.eye(d), cross * scale[:, None]) * scale[:, None]
     return Ridge(w.T.copy(), mean_y - mean_x @ w)
 
 
-def feature_importance(model: PipelineModel, names: list[str]) -> list[tuple[str, float]]:
+def fit_ridge(train: DataFrame, features: str = "features", labels: str = "y", reg: float = 1e-3) -> Ridge:
+    """Ridge regressions of every element of ``labels`` on ``features``, from one set of normal equations
+    whose centred sums one pass gives (see :func:`ridge_of`)."""
+    moments, d = fold_moments(train, features, labels, F.lit(0))
+    return ridge_of(moments[0], d, reg)
+
+
+def ridge_r2(model: Ridge, moments: Moments, d: int) -> float:
+    """Mean R² of the model's outputs over the rows that the moments describe."""
+    w, xx, xy, yy = model.weights, moments.products[:d, :d], moments.products[:d, d:], np.diag(moments.products)[d:]
+    offset = moments.mean[d:] - model.bias - w @ moments.mean[:d]
+    errors = yy - 2 * np.einsum("hd,dh->h", w, xy) + np.einsum("hd,de,he->h", w, xx, w) + moments.n * offset ** 2
+    return float(np.mean(1 - errors / yy))
+
+
+def cross_validate_ridge(df: DataFrame, keys: list[str], k: int = 5, features: str = "features", labels: str = "y", reg: float = 1e-3) -> DataFrame:
+    """(fold, score): R² of ridge regressions on k shuffled folds, each fitted on the rows outside it.
+
+    One pass gives every fold's moments; a fold's model comes from all the others' merged, and its score
+    from its own, so no fold is fitted or scored by another pass. Takes window tables as they are.
+    """
+    moments, d = fold_moments(kfold(df, keys, k), features, labels, F.col("fold"))
+    scores = []
+    for f, own in sorted(moments.items()):
+        rest = [m for g, m in moments.items() if g != f]
+        total = Moments(0.0, np.zeros(0), np.zeros(0))
+        for m in rest:
+            total = total.merged(m)
+        scores.append((int(f), ridge_r2(ridge_of(total, d, reg), own, d)))
+    return df.sparkSession.createDataFrame(scores, "fold int, score double")
+
+
+def feature_importance(model: PipelineModel | Boosted, names: list[str]) -> list[tuple[str, float]]:
     """(name, importance) sorted ascending, for tree models."""
+    if isinstance(model, Boosted):
+        return model.importance(names)
     stage = model.stages[-1]
     if not hasattr(stage, "featureImportances"):
         return []
@@ -314,14 +399,20 @@ def cv_report(scores: DataFrame) -> dict:
     return {"cv_scores": [round(s, 4) for s in folds], "mean_score": round(mean, 4), "std_score": round(std, 4), "n_splits": len(folds)}
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | Boosted, path: str) -> None:
+    if isinstance(model, Boosted):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel | None:
+def load_model(path: str) -> PipelineModel | Boosted | None:
     """The model stored at ``path``; None where nothing is. Any other failure is raised."""
     spark = SparkSession.active()
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
         return None
-    return PipelineModel.load(path)
+    # a pipeline keeps its metadata in a folder of that name
+    is_pipeline = files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "metadata"))
+    return PipelineModel.load(path) if is_pipeline else Boosted.load(spark, path)

@@ -14,12 +14,12 @@ from tidepool.plans.suite import query, rounded, table
 from tidepool.session import scratch_folder
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
-SMALL_FOREST = {"n_estimators": 10, "max_depth": 5}  # a bound on the queries' driver memory, not on their rows
+# Boosting runs a job for every level of every tree, whatever the rows: its queries run so many rounds.
+ROUNDS = {"n_estimators": 10}
 
 
 def _params(name: str) -> dict:
-    schema = models.PARAMS[models.ALIASES.get(name, name)]
-    return {k: v for k, v in SMALL_FOREST.items() if k in schema}
+    return ROUNDS if "learning_rate" in models.PARAMS[name] else {}
 
 
 def _lineitem(spark, sf, target: str) -> DataFrame:
@@ -76,10 +76,55 @@ for _name in ("decision_tree_classifier", "random_forest_classifier", "gbt_class
 @query("model_mlp_classifier")
 def q_mlp(spark, sf):
     train, test, _, k = _classification_sides(spark, sf)
-    m = models.fit_model(train, "mlp_classifier", {"hidden_layers": "8", "epochs": 20}, "classification", n_classes=k)
+    m = models.fit_model(train, "mlp_classifier", {}, "classification", n_classes=k)
     return _scored(models.predict(m, test))
 
 
+STUMP_FEATURES = ["l_linenumber", "l_discount", "l_tax"]  # few values each, so every threshold is tried
+
+
+def _boost_stump_sql(rate: float, reg: float) -> str:
+    """One round of one split: gradients of the squared error around the mean, leaves -G / (H + lambda)."""
+    long = " union all ".join(f"select '{c}' as f, cast({c} as double) as v, l_extendedprice as y from lineitem" for c in STUMP_FEATURES)
+    value = "case best.f " + " ".join(f"when '{c}' then {c}" for c in STUMP_FEATURES) + " end"
+    return f"""
+with m as (select avg(l_extendedprice) as base from lineitem),
+g as (select f, v, count(*) as n, sum(m.base - y) as s from ({long}), m group by 1, 2),
+c as (select f, v, sum(n) over w as nl, sum(s) over w as sl, sum(n) over (partition by f) as nt, sum(s) over (partition by f) as st
+      from g window w as (partition by f order by v)),
+best as (select f, v, sl / (nl + {reg}) as low, (st - sl) / (nt - nl + {reg}) as high from c where nl < nt
+         order by sl * sl / (nl + {reg}) + (st - sl) * (st - sl) / (nt - nl + {reg}) desc, f limit 1)
+select l_orderkey * 10 + l_linenumber as row_id, round(m.base - {rate} * case when {value} <= best.v then best.low else best.high end, 6) as yhat
+from lineitem, best, m"""
+
+
+def _boost_stump(name: str):
+    def run(spark, sf):
+        data = table(spark, sf, "lineitem").select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+            F.array(*[F.col(c).cast("double") for c in STUMP_FEATURES]).alias("features"), F.col("l_extendedprice").alias("label"))
+        return rounded(models.predict(models.fit_model(data, name, {"n_estimators": 1, "max_depth": 1}, "regression"), data).select("row_id", "yhat"))
+    return run
+
+
+query("boost_stump_levels", _boost_stump_sql(0.3, 1.0))(_boost_stump("xgboost_regressor"))
+query("boost_stump_leaves", _boost_stump_sql(0.1, 0.0))(_boost_stump("lightgbm_regressor"))
+
+
+@query("cross_validate_ridge", """
+with r as (select l_quantity as x, l_extendedprice as y, row_number() over (order by md5(concat_ws(':', cast(l_orderkey as varchar), cast(l_linenumber as varchar), '42')),
+                  l_orderkey, l_linenumber) - 1 as ri, count(*) over () as n from lineitem),
+f as (select x, y, case when ri < (n % 5) * (n // 5 + 1) then ri // (n // 5 + 1) else n % 5 + (ri - (n % 5) * (n // 5 + 1)) // (n // 5) end as fold from r),
+m as (select k.k as fold, avg(x) as mx, avg(y) as my, covar_pop(x, y) / var_pop(x) / 1.5 as w from range(0, 5) k(k), f where f.fold <> k.k group by 1)
+select f.fold, round(1 - sum((y - my - w * (x - mx)) * (y - my - w * (x - mx))) / (var_pop(y) * count(*)), 6) as score
+from f join m on m.fold = f.fold group by 1""")
+def q_cross_validate_ridge(spark, sf):
+    """One feature, where a ridge regression is a formula."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_quantity").cast("double")).alias("features"),
+                                             F.array(F.col("l_extendedprice").cast("double")).alias("y"))
+    return rounded(models.cross_validate_ridge(li, ["l_orderkey", "l_linenumber"], 5, reg=0.5))
+
+
 @query("linear_forecast")
 def q_linear_forecast(spark, sf):
     return flagship_forecast(spark, sf)
@@ -102,9 +147,6 @@ def q_ridge(spark, sf):
 
 # ------------------------------------------------------- trees that SQL can grow: one split, or none
 
-STUMP_FEATURES = ["l_linenumber", "l_discount", "l_tax"]  # few values each, so every threshold is tried
-
-
 def _stump_sql(select: str) -> str:
     """The split of the few-valued features that lowers the squared error of the price most."""
     long = " union all ".join(f"select '{c}' as f, cast({c} as double) as v, l_extendedprice as y from lineitem" for c in STUMP_FEATURES)
