@@ -61,7 +61,7 @@ def fit_scaler(train: DataFrame, columns: Sequence[str], method: str = "minmax")
     """Train statistics for each column in one aggregation."""
     cols = list(columns)
     if method not in ("minmax", "mean"):
-        raise ValueError(f"Unknown normalization method: {method}")
+        raise ValueError(f"no scaler is called {method!r}")
     x = {c: F.col(c).cast("double") for c in cols}
     if method == "minmax":
         row = train.agg(*[F.min(x[c]).alias(f"lo{i}") for i, c in enumerate(cols)],
@@ -137,7 +137,7 @@ def fit_scaler_windowed(
         return ScalerParams("minmax", tuple(cols), tuple(row[f"lo{i}"] for i in range(len(cols))),
                             tuple(row[f"hi{i}"] for i in range(len(cols))))
     if method != "mean":
-        raise ValueError(f"Unknown normalization method: {method}")
+        raise ValueError(f"no scaler is called {method!r}")
     m = data.agg(F.sum("_w").alias("sw"), *[F.sum(F.col("_w") * F.col(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     sw = m["sw"]
     if not sw:

@@ -2,25 +2,29 @@
 
 Readers dispatch on the extension; CSV charset detection decodes all raw lines strictly with each
 candidate, in a distributed pass, before choosing the decoder. Writers are plain
-DataFrame writes; split records are parquet tables plus a one-row JSON parameter table.
+DataFrame writes; a split is a version of the artefact store.
 """
 
 from __future__ import annotations
 
-import json
+import csv
+import itertools
 import os
 import re
 import sys
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions.columns import nan_to_null
 from tidepool.session import scratch_folder
+from tidepool.sources.store import current, publish
 
 # the decoders run in Python workers: ship this module's code by value
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -47,65 +51,166 @@ def extension(path: str) -> str:
     return os.path.splitext(path)[1].lower()
 
 
-def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The file's lines as raw bytes; no charset of the list has a line end inside a character."""
-    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary").alias("line"))
+# A record separator for copies of CSV texts: the first of these control characters that the text lacks.
+SEPARATORS = [chr(c) for c in (0x1E, 0x1F, 0x1D, 0x1C, *range(1, 9), *range(0x0E, 0x1C))]
 
 
-def _decodes(encodings: Sequence[str]):
-    def run(batches):
-        import pyarrow as pa
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The raw lines with the file and the byte range of it that a task reads them from, in file order."""
+    return spark.read.option("lineSep", "\n").text(path).select(
+        F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
-        failed, odd = set(), 0
-        for batch in batches:
-            for line in batch.column("line").to_pylist():
-                odd += line.count(b'"') % 2
-                for e in encodings:
-                    if e not in failed:
-                        try:
-                            line.decode(e)
-                        except UnicodeDecodeError:
-                            failed.add(e)
-        rows = [(e, e in failed, odd) for e in encodings]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.bool_(), pa.int64()))], names=["encoding", "failed", "odd"])
+
+def _by_range(batches):
+    """(file, start, lines in order) of the byte ranges that the batches hold, a batch at a time."""
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("file", "start", "line")))
+        for (file, start), part in itertools.groupby(rows, key=lambda r: r[:2]):
+            yield file, start, [r[2] for r in part]
+
+
+def _survey(encodings: Sequence[str]):
+    def run(batches):
+        failed, odd, found, quotes = set(), False, set(), {}
+        for file, start, lines in _by_range(batches):
+            counts = [line.count(b'"') for line in lines]
+            odd = odd or any(n % 2 for n in counts)
+            quotes[file, start] = quotes.get((file, start), 0) + sum(counts)
+            text = b"\n".join(lines)
+            found.update(c for c in SEPARATORS if c.encode() in text)
+            for e in encodings:
+                if e not in failed:
+                    try:
+                        text.decode(e)
+                    except UnicodeDecodeError:
+                        failed.add(e)
+        rows = [(f, s, n % 2, odd, sorted(failed), sorted(found)) for (f, s), n in quotes.items()]
+        if rows:
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["file", "start", "parity", "odd", "failed", "found"])
 
     return run
 
 
-def inspect_csv(spark: SparkSession, path: str, encodings: Sequence[str] = FALLBACK_ENCODINGS) -> tuple[str, bool]:
-    """(the first charset that decodes every line strictly, whether a quoted field holds a line end).
+@dataclass(frozen=True)
+class CsvSurvey:
+    """What one pass over a CSV text's raw lines found."""
+
+    encoding: str
+    multi_line: bool  # a quoted field holds a line end
+    separator: str | None  # a control character that the text lacks
+    ranges: DataFrame  # (file, start, parity): the quotes in each byte range, odd or even
 
-    One distributed pass over the raw lines; an odd number of quotes in a line means that a quoted
-    field goes on in the next one.
-    """
-    found = {r["encoding"]: r for r in _raw_lines(spark, path).mapInArrow(_decodes(list(encodings)), "encoding string, failed boolean, odd bigint")
-             .groupBy("encoding").agg(F.max("failed").alias("failed"), F.sum("odd").alias("odd")).collect()}
-    if not found:  # an empty file
-        return encodings[0], False
-    for e in encodings:
-        if not found[e]["failed"]:
-            return e, bool(found[e]["odd"])
-    raise ValueError(f"none of {', '.join(encodings)} decodes {path}")
+
+def survey_csv(spark: SparkSession, path: str, encodings: Sequence[str] = FALLBACK_ENCODINGS) -> CsvSurvey:
+    """The first charset that decodes every line strictly, and whether a quoted field holds a line end:
+    an odd number of quotes in a line means that a quoted field goes on in the next one."""
+    ranges = _numbered_lines(spark, path).mapInArrow(_survey(list(encodings)), "file string, start bigint, parity bigint, odd boolean, failed array<string>, found array<string>")
+    stored = f"{scratch_folder(spark, 'csv')}/ranges"
+    ranges.write.parquet(stored)  # one row for each byte range
+    ranges = spark.read.schema(ranges.schema).parquet(stored)
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    odd, failed, found = ranges.agg(F.max("odd"), flat("failed"), flat("found")).first()
+    left = [e for e in encodings if e not in (failed or ())]
+    if not left:
+        raise ValueError(f"{path} is text in none of the charsets {', '.join(encodings)}")
+    return CsvSurvey(left[0], bool(odd), next((c for c in SEPARATORS if c not in (found or ())), None), ranges.select("file", "start", "parity"))
+
+
+def inspect_csv(spark: SparkSession, path: str, encodings: Sequence[str] = FALLBACK_ENCODINGS) -> tuple[str, bool]:
+    """(charset, whether a quoted field holds a line end) of a CSV text, see :func:`survey_csv`."""
+    found = survey_csv(spark, path, encodings)
+    return found.encoding, found.multi_line
 
 
 def detect_csv_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = FALLBACK_ENCODINGS) -> str:
     return inspect_csv(spark, path, encodings)[0]
 
 
-def _as_utf8(spark: SparkSession, path: str, encoding: str, whole_files: bool) -> str:
-    """A UTF-8 copy of a text in the shared scratch folder, for charsets that Spark's reader lacks.
-    Files with line ends inside fields are copied whole, others line by line in all tasks."""
-    target = f"{scratch_folder(spark, 'utf8')}/text"
+_PIECES = "kind string, file string, start bigint, text string"
+
 
+def _records(encoding: str):
+    """Lines of byte ranges, each known to begin inside a quoted field or not, as records: whole ones, the
+    file's first one (header), and the pieces of those that reach over the ends of a range."""
     def run(batches):
-        import pyarrow as pa
+        key, held, inside, whole, out = None, [], False, True, []
+
+        def emit(kind: str) -> None:
+            out.append((kind, *key, b"\n".join(held).removesuffix(b"\r").decode(encoding) if kind != "middle" else b"\n".join(held).decode(encoding)))
+            held.clear()
+
+        def flushed():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.string()))],
+                                               names=["kind", "file", "start", "text"])
+            out.clear()
+            return batch
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b.decode(encoding) for b in batch.column(0).to_pylist()], pa.string())], names=["value"])
+            for file, start, begins, line in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "inside", "line"))):
+                if (file, start) != key:
+                    if held:
+                        emit("middle" if whole else "tail")
+                    # whole: no record has ended in the range yet, so what there is began before it
+                    key, inside, whole, first = (file, start), begins, begins, start == 0
+                held.append(line)
+                inside ^= line.count(b'"') % 2 == 1
+                if not inside:
+                    emit("head" if whole else "header" if first else "record")
+                    whole = first = False
+            if out:
+                yield flushed()
+        if held:
+            emit("middle" if whole else "tail")
+            yield flushed()
+
+    return run
 
-    raw = spark.read.format("binaryFile").load(path).select("content") if whole_files else _raw_lines(spark, path)
-    raw.mapInArrow(run, "value string").write.text(target)
-    return target
+
+def csv_records(spark: SparkSession, path: str, found: CsvSurvey) -> tuple[DataFrame, str | None]:
+    """(records, header): the text of every record of the files, quoted line ends included, and that of
+    the first file's first one, which every file has.
+
+    Whether a byte range begins inside a quoted field follows from the parity of the quotes before it, so
+    all ranges are read at once; records that reach over the end of a range are put together from pieces.
+    """
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    begins = found.ranges.select("file", "start", (F.coalesce(F.sum("parity").over(before), F.lit(0)) % 2 == 1).alias("inside"))
+    # one short row for each byte range of at least megabytes: small beside what it describes
+    lines = _numbered_lines(spark, path).join(F.broadcast(begins), ["file", "start"], "left")
+    lines = lines.select("file", "start", F.coalesce("inside", F.raise_error(F.lit("a byte range was not surveyed")).cast("boolean")).alias("inside"), "line")
+    folder = scratch_folder(spark, "csv")
+    pieces = lines.mapInArrow(_records(found.encoding), _PIECES)
+    pieces.write.parquet(f"{folder}/pieces")
+    pieces = spark.read.schema(pieces.schema).parquet(f"{folder}/pieces")
+    cut = pieces.where(F.col("kind").isin("tail", "middle", "head"))
+    order = Window.partitionBy("file").orderBy("start", F.col("kind") == "tail").rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("owner", F.last(F.when(F.col("kind") == "tail", F.col("start")), True).over(order))
+    joined = cut.groupBy("file", "owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda p: p["text"]), "\n").alias("text"))
+    header = pieces.where("kind = 'header'").orderBy("file").select("text").first()
+    return pieces.where("kind = 'record'").select("text").unionByName(joined.select("text")), header["text"] if header else None
+
+
+def _header_names(header: str) -> list[str]:
+    names = next(csv.reader([header.removeprefix("\ufeff")]))
+    twice = {n for n in names if names.count(n) > 1}
+    return [f"_c{i}" if not n else f"{n}{i}" if n in twice else n for i, n in enumerate(names)]
+
+
+def _read_records(spark: SparkSession, path: str, found: CsvSurvey, schema) -> DataFrame:
+    """A CSV text with line ends in quoted fields, or in a charset that Spark's reader lacks: its records
+    are stored as UTF-8 with a separator of their own, so that this copy splits anywhere."""
+    records, header = csv_records(spark, path, found)
+    names = _header_names(header) if header is not None else []
+    target = f"{scratch_folder(spark, 'csv')}/text"
+    records.write.option("lineSep", found.separator).text(target)
+    reader = spark.read.option("lineSep", found.separator).option("escape", '"').option("quote", '"')
+    if schema is not None:
+        return reader.schema(schema).csv(target)
+    df = reader.option("inferSchema", True).csv(target)
+    if not df.columns:  # a header and no rows
+        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    return df.toDF(*(names + df.columns[len(names):])[:len(df.columns)])
 
 
 def nan_as_null(df: DataFrame) -> DataFrame:
@@ -118,20 +223,22 @@ def read_table(spark: SparkSession, path: str, encodings: Sequence[str] | None =
                fmt: str | None = None) -> DataFrame:
     """Read by extension (csv, parquet, json, orc) or an explicit ``fmt`` (e.g. a directory of parts).
 
-    CSV infers header and schema and finds the charset; quoted fields may hold line ends, which cost
-    the splitting of files only where they occur. NaN is read as null.
+    CSV infers header and schema and finds the charset; quoted fields may hold line ends, and files are
+    read by many tasks all the same. NaN is read as null.
     """
     if fmt is None:
         ext = extension(path)
         if ext not in READERS:
-            raise ValueError(f"Unsupported file format: {ext}")
+            raise ValueError(f"no reader for files named *{ext}; there are readers for {', '.join(READERS)}")
         fmt = READERS[ext]
     if fmt == "csv":
-        enc, multi_line = inspect_csv(spark, path, encodings or FALLBACK_ENCODINGS)
-        charset = _SPARK_CHARSET.get(enc)
-        if charset is None:
-            path, charset = _as_utf8(spark, path, enc, multi_line), "UTF-8"
-        reader = spark.read.option("header", True).option("encoding", charset).option("multiLine", multi_line).option("escape", '"')
+        found = survey_csv(spark, path, encodings or FALLBACK_ENCODINGS)
+        charset = _SPARK_CHARSET.get(found.encoding)
+        if found.multi_line or charset is None:
+            if found.separator is None:
+                raise ValueError(f"{path} holds every control character, so none can separate its records")
+            return nan_as_null(_read_records(spark, path, found, schema))
+        reader = spark.read.option("header", True).option("encoding", charset).option("escape", '"')
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
         return nan_as_null(reader.csv(path))
     reader = spark.read.schema(schema) if schema is not None else spark.read
@@ -168,7 +275,7 @@ def read_matching(spark: SparkSession, directory: str, pattern: str, suffix: str
     """Files in ``directory`` ending in ``suffix`` whose path matches ``pattern``; error when none."""
     names = [f for f in list_files(spark, directory) if f.endswith(suffix) and re.search(pattern, f)]
     if not names:
-        raise FileNotFoundError(f"{directory} has no *{suffix} file that matches {pattern!r}")
+        raise FileNotFoundError(f"nothing in {directory} that ends in {suffix} matches {pattern!r}")
     fmt = fmt or READERS.get(suffix.lower(), "csv")
     reader = spark.read.format(fmt).option("pathGlobFilter", f"*{suffix}")
     for k, v in options.items():
@@ -288,24 +395,19 @@ SPLIT_KEYS = ("task_type", "n_classes", "feature_names", "target_name", "classes
 
 
 def save_split(train: DataFrame, test: DataFrame, meta: dict, root: str) -> None:
-    """train/test as parquet; metadata (known keys only) as a one-row JSON table."""
-    train.write.mode("overwrite").parquet(os.path.join(root, "train"))
-    test.write.mode("overwrite").parquet(os.path.join(root, "test"))
-    kept = {k: v for k, v in meta.items() if k in SPLIT_KEYS}
-    spark = train.sparkSession
-    spark.createDataFrame([(json.dumps(kept),)], "meta string").coalesce(1).write.mode("overwrite").json(
-        os.path.join(root, "meta"))
+    """Both sides as Parquet and the metadata (known keys only) as one version: a reader gets all of it
+    or the version before."""
+    def write(folder: str) -> None:
+        train.write.parquet(f"{folder}/train")
+        test.write.parquet(f"{folder}/test")
 
+    publish(train.sparkSession, root, write, {k: v for k, v in meta.items() if k in SPLIT_KEYS})
 
-def load_split(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, dict] | None:
-    """What ``save_split`` stored; None where nothing is. Any other failure is raised."""
-    try:
-        train = spark.read.parquet(os.path.join(root, "train"))
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    test = spark.read.parquet(os.path.join(root, "test"))
-    meta = json.loads(spark.read.json(os.path.join(root, "meta")).first()["meta"])
-    return train, test, {k: v for k, v in meta.items() if k in SPLIT_KEYS}
 
+def load_split(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, dict] | None:
+    """What ``save_split`` stored last; None where nothing is. Any other failure is raised."""
+    version = current(spark, root)
+    if version is None:
+        return None
+    sides = (spark.read.parquet(f"{version.folder}/{side}") for side in ("train", "test"))
+    return (*sides, {k: v for k, v in version.about.items() if k in SPLIT_KEYS})

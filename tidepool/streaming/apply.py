@@ -5,6 +5,8 @@ target unscaling, time parsing and calendar encodings, label encoding with a fit
 MLlib model scoring — need no order and no table statistics once fitted, so the same functions
 run unchanged on a streaming DataFrame. ``prepare_rows`` chains them; ``stream_to_table`` runs a
 stream to a sink with a checkpoint in the session's checkpoint directory.
+
+``distinct_stream`` is the one operator with state: the rows seen within the watermark.
 """
 
 from __future__ import annotations
@@ -43,6 +45,18 @@ def prepare_rows(
     return out
 
 
+def distinct_stream(df: DataFrame, time_col: str, delay: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """A stream's rows without repetitions (#24): of rows that agree in ``columns`` (default: all) and whose
+    times lie within ``delay`` of each other, the first to arrive.
+
+    Keys stay in the state store until the watermark, the latest time less ``delay``, has passed them, so
+    the state is bounded by the rows of that span. Nulls compare equal. A row later than the watermark is
+    dropped, as its key may be gone. Restarted from its checkpoint, the stream goes on with its state.
+    """
+    keys = list(columns) if columns is not None else list(df.columns)
+    return df.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
+
+
 def file_stream(spark, path: str, schema, fmt: str = "parquet", max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files:
