@@ -48,7 +48,9 @@ PART_SHINGLES = 1 << 20
 #: An exact comparison costs as much as so many postings, plus one for so many shingles of the set.
 COMPARE_COST, COMPARE_SHINGLES = 20.0, 16.0
 #: Pairs that may be counted, for each posting, before another round of pivots is taken.
-PAIRS_PER_POSTING = 4
+PAIRS_PER_POSTING = 0.25
+#: Links that one task joins up.
+TASK_LINKS = 1 << 18
 #: Lists by size between a set and its smallest partner.
 SIZE_BANDS = 8
 
@@ -309,29 +311,40 @@ def _overlap(total: Column, percent: int) -> Column:
     return _ceil_div(percent * total, 100 + percent)
 
 
-def _postings(active: DataFrame, labels: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Two tables (token, band, uid, label, n, own, at, spare): the sets as the smaller and as the larger of a pair.
+def size_lists(active: DataFrame, percent: int) -> DataFrame:
+    """Postings (token, band, large, uid, n, own, at, spare): the sets as the smaller and as the larger of a pair.
 
     ``at``: the token's place in its set; ``own``: elements that occur nowhere else; ``spare``: a pair
     with overlap T has posted its prefixes for ``T + spare`` matches. A set posts no more than its
     partners' sizes ask for: as the smaller one, T is at least that of two equal sizes, and its own
-    elements may not take more than the rest; as the larger one these bound its partner's size.
+    elements may not take more than the rest; as the larger one these bound its partner's size. Lists
+    that only one set is in are left out.
     """
     rows = active.select("uid", "n", "own", "ell", "tokens")
-    if labels is None:
-        rows = rows.withColumn("label", F.col("uid"))
-    else:
-        rows = rows.join(labels, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "uid"))
     step = max(math.log(100 / percent), 1e-3) / SIZE_BANDS
     band = lambda n: F.floor(F.log(n.cast("double")) / step)
     even, least, most = _overlap(2 * F.col("n"), percent), _ceil_div(percent * F.col("n"), 100), F.floor((F.col("n") - F.col("own")) * (100 + percent) / percent) - F.col("n")
     small = (rows.withColumn("spare", F.col("ell") - even).filter(F.col("n") - F.col("own") >= even)
              .withColumn("tokens", F.slice("tokens", F.lit(1), F.greatest(F.lit(0).cast("bigint"), F.col("n") + F.col("spare") - F.col("own")).cast("int"))))
-    small = small.select("uid", "label", "n", "own", "spare", band(F.col("n")).alias("band"), F.posexplode("tokens").alias("j", "token"))
+    small = small.select("uid", "n", "own", "spare", band(F.col("n")).alias("band"), F.posexplode("tokens").alias("j", "token"))
     large = rows.withColumn("spare", F.col("ell") - least).withColumn("most", F.least("n", most)).filter(F.col("most") >= least)
-    large = (large.select("uid", "label", "n", "own", "spare", F.sequence(band(least), band(F.col("most"))).alias("bands"), F.posexplode("tokens").alias("j", "token"))
-             .join(small.select("token").distinct(), "token", "left_semi").withColumn("band", F.explode("bands")))
-    return tuple(x.select("token", "band", "uid", "label", "n", "own", (F.col("own") + F.col("j")).alias("at"), "spare") for x in (small, large))
+    large = large.select("uid", "n", "own", "spare", F.sequence(band(least), band(F.col("most"))).alias("fit"), F.posexplode("tokens").alias("j", "token"))
+    # the sizes there are in a token's lists: no more than sizes differ
+    there = small.groupBy(F.col("token").alias("t")).agg(F.collect_set("band").alias("there"))
+    large = large.join(there, F.col("token") == F.col("t")).withColumn("band", F.explode(F.array_intersect("fit", "there")))
+    columns = ["token", "band", "uid", "n", "own", (F.col("own") + F.col("j")).alias("at"), "spare"]
+    both = small.select(*columns, F.lit(False).alias("large")).unionByName(large.select(*columns, F.lit(True).alias("large")))
+    lists = both.groupBy(F.col("token").alias("t"), F.col("band").alias("d")).agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).filter("lo < hi")
+    return both.join(lists.select("t", "d"), (F.col("token") == F.col("t")) & (F.col("band") == F.col("d"))).drop("t", "d")
+
+
+def _labelled(postings: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The postings as the smaller and as the larger set, with the component so far."""
+    if labels is None:
+        rows = postings.withColumn("label", F.col("uid"))
+    else:
+        rows = postings.join(labels, F.col("uid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "uid")).drop("node", "root")
+    return rows.filter("not large"), rows.filter("large")
 
 
 def _pivot_pairs(small: DataFrame, large: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -376,15 +389,43 @@ def _open_pairs(small: DataFrame, large: DataFrame) -> tuple[int, int]:
     return int(n or 0), int(pairs or 0)
 
 
-def link_classes(active: DataFrame, percent: int = PERCENT, pairs_per_posting: float = PAIRS_PER_POSTING) -> DataFrame | None:
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the links of one task, the root being the least node."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+    yield pa.record_batch([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in parent], pa.int64())], names=["node", "root"])
+
+
+def link_components(links: DataFrame, n_links: int, task_links: int = TASK_LINKS) -> DataFrame:
+    """(node, root) of all linked classes: by one task's union-find up to ``task_links`` links, counted
+    before; by alternating stars over all tasks beyond."""
+    if n_links > task_links:
+        return components(links)
+    return links.coalesce(1).mapInArrow(_forest, "node bigint, root bigint")
+
+
+def link_classes(active: DataFrame, percent: int = PERCENT, pairs_per_posting: float = PAIRS_PER_POSTING, task_links: int = TASK_LINKS) -> DataFrame | None:
     """(node, root) of the classes that links connect, or None if there is no link.
 
     ``active``: (uid, n, own, ell, tokens, shingles). All links are found that join different
     components; of those inside a component, what the rounds needed.
     """
     folder, labels, links, turn, before = scratch_folder(active.sparkSession), None, None, 0, math.inf
+    postings = written(size_lists(active, percent), folder, "postings")
+    release_shuffles(active.sparkSession)
+    n_links = 0
     while True:
-        small, large = _postings(active, labels, percent)
+        small, large = _labelled(postings, labels)
         n, pairs = _open_pairs(small, large)
         if not pairs:
             return labels
@@ -393,9 +434,10 @@ def link_classes(active: DataFrame, percent: int = PERCENT, pairs_per_posting: f
         found = _all_pairs(small, large, percent) if last else _pivot_pairs(small, large, percent, turn)
         candidates = written(found, folder, f"candidates-{turn}")
         new = written(packed(verified(candidates, active.select("uid", "shingles"), percent), candidates.count()), folder, f"links-{turn}")
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            labels = written(components(links), folder, f"labels-{turn}")
+        more = new.count()
+        if more:
+            links, n_links = new if links is None else links.union(new), n_links + more
+            labels = written(link_components(links, n_links, task_links), folder, f"labels-{turn}")
         if last:
             return labels
 
@@ -427,10 +469,12 @@ def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, perc
     sent = texts.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(_send(shingle_words, bits, part_bits), ddl(MESSAGES))
     counted = sent.repartition(max(default_partitions(spark), (1 << part_bits) // 2), "part").groupBy("part").applyInArrow(_count, ddl(REPLIES))
     replies = written(counted, folder, "replies")
+    del sent, counted  # what holds on to their shuffles
     release_shuffles(spark)
     asked = replies.unionByName(reps.select("block", F.lit(-1).cast("bigint").alias("part"), "uid", F.lit(None).cast("binary").alias("classes")))
     prefixes = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_prefixes(shingle_words, bits, percent), ACTIVE)
     active = written(prefixes, folder, "prefixes")
+    del prefixes
     release_shuffles(spark)
 
     labels = link_classes(active, percent, pairs_per_posting)
