@@ -45,6 +45,13 @@ def nan_to_null(c: str | Column) -> Column:
     return F.when(F.isnan(x), F.lit(None)).otherwise(x)
 
 
+def known_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with NaN as null in those of ``columns`` that hold floats: NaN is a missing number, not a value."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    floats = {c for c in columns if isinstance(kinds.get(c), (T.DoubleType, T.FloatType))}
+    return df.withColumns({c: nan_to_null(c) for c in floats}) if floats else df
+
+
 def stack_columns(df: DataFrame, columns: Sequence[str], name_col: str = "column", value_col: str = "value",
                   keep: Sequence[str] = (), cast: str | None = "double") -> DataFrame:
     """Long form (keep..., column, value) of ``columns`` (the SQL ``UNPIVOT``), nulls kept."""

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions.columns import FLOAT64_MAX, is_numeric_type, is_string_type
+from tidepool.functions.columns import FLOAT64_MAX, is_numeric_type, is_string_type, known_numbers, nan_to_null
 from tidepool.operators.stats import exact_quantiles, mode_table
 from tidepool.plans.order import (
     auto_bucket_rows,
@@ -128,12 +128,26 @@ def _modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
 def _fill_literal(c: str, dtype, value) -> Column:
     from pyspark.sql import types as T
 
+    known = nan_to_null(c) if isinstance(dtype, (T.DoubleType, T.FloatType)) else F.col(c)
     if value is None:
-        return F.col(c)
+        return known.alias(c)
+    if isinstance(dtype, T.NumericType):
+        value = _number(c, value)
     if isinstance(dtype, T.IntegralType) and isinstance(value, float) and not float(value).is_integer():
         # a fractional statistic turns an integer column into a float one (as pandas does)
         return F.coalesce(F.col(c).cast("double"), F.lit(value)).alias(c)
-    return F.coalesce(F.col(c), F.lit(value).cast(dtype)).alias(c)
+    return F.coalesce(known, F.lit(value).cast(dtype)).alias(c)
+
+
+def _number(c: str, value) -> int | float:
+    """A fill value for a numeric column; a number may be given as text, as a form sends it."""
+    if isinstance(value, str):
+        try:
+            value = float(value.strip())
+        except ValueError:
+            raise ValueError(f"{value!r} is no number to fill column {c} with") from None
+        value = int(value) if value.is_integer() else value
+    return value
 
 
 def fill_missing(
@@ -151,7 +165,8 @@ def fill_missing(
     numeric: ``auto``/``mean``/``mode``/unknown → mean, ``median``, ``zero``, ``constant`` (mean when no
     value), ``ffill``/``bfill`` (need ``order_by``). string: ``constant`` with a value → that value,
     anything else → mode (ties → smallest; all-null → ``Unknown``). Columns of other types are
-    left alone; an unknown column name raises.
+    left alone; an unknown column name raises. NaN is a missing number like null, and a constant for a
+    numeric column may be given as text.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(columns) if columns is not None else list(df.columns)
@@ -161,6 +176,7 @@ def fill_missing(
     num = [c for c in cols if is_numeric_type(types[c])]
     cat = [c for c in cols if is_string_type(types[c])]
 
+    df = known_numbers(df, num)
     num_values: dict[str, object] = {}
     ordered: list[str] = []
     if strategy in ("ffill", "bfill"):
@@ -196,7 +212,7 @@ def fill_missing(
 def fill_report(before: DataFrame, after: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, nulls_before, nulls_after, filled) of a fill, from one pass over either table."""
     names = list(columns) if columns is not None else list(before.columns)
-    count = lambda df, tag: df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{tag}{i}") for i, c in enumerate(names)])
+    count = lambda df, tag: known_numbers(df, names).agg(*[F.count_if(F.col(c).isNull()).alias(f"{tag}{i}") for i, c in enumerate(names)])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b{i}").alias("nulls_before"), F.col(f"a{i}").alias("nulls_after"),
                               (F.col(f"b{i}") - F.col(f"a{i}")).alias("filled")) for i, c in enumerate(names)])
     one = F.lit(1).alias("one")  # two tables of one row each
@@ -220,15 +236,18 @@ def fill_zero(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def fill_constant(df: DataFrame, value, columns: Sequence[str] | None = None) -> DataFrame:
-    """Nulls → ``value`` in numeric and string columns (row-local: also runs on a stream)."""
+    """Nulls → ``value`` in numeric and string columns (row-local: also runs on a stream). A text that is no
+    number raises for a numeric column that is named; without names it fills the string columns only."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = set(columns) if columns is not None else set(df.columns)
     exprs = []
     for c in df.columns:
         if c in cols and is_numeric_type(types[c]):
             try:
-                exprs.append(_fill_literal(c, types[c], float(value)))
-            except (TypeError, ValueError):
+                exprs.append(_fill_literal(c, types[c], value))
+            except ValueError:
+                if columns is not None:
+                    raise
                 exprs.append(F.col(c))
         elif c in cols and is_string_type(types[c]):
             exprs.append(_fill_literal(c, types[c], str(value)))

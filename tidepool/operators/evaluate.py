@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.operators.profile import histogram
-from tidepool.plans.order import Desc, with_prefix_sums
+from tidepool.plans.order import Desc, with_prefix_sums, with_row_index
 
 
 def _c(x: str | Column) -> Column:
@@ -77,16 +77,20 @@ def confusion_counts(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFra
     return df.groupBy(_c(y).alias("truth"), _c(yhat).alias("pred")).agg(F.count(F.lit(1)).alias("count"))
 
 
+LABEL_RUN = 1024
+
+
 def confusion_matrix(df: DataFrame, y: str = "y", yhat: str = "yhat") -> DataFrame:
     """(truth, pred, count) for every pair of labels that occur as truth or as prediction, zeros
-    included. Each row of the sparse form is spread over its label's row of the matrix, so the work
-    is the number of cells."""
+    included: a row for each cell. Labels get numbers; each label's row of the matrix is spread over runs
+    of numbers, which the labels are joined to, so no row or task holds all labels."""
     counts = confusion_counts(df, y, yhat)
     labels = counts.select(F.col("truth").alias("l")).union(counts.select("pred")).distinct()
-    row = labels.agg(F.sort_array(F.collect_list("l")).alias("labels"), F.count_if(F.col("l").isNull()).alias("nulls"))
-    # a list leaves nulls out: a null label, if there is one, is put back
-    every = F.when(F.col("nulls") > 0, F.concat("labels", F.array(F.lit(None)))).otherwise(F.col("labels"))
-    cells = row.select(every.alias("labels")).select(F.explode("labels").alias("truth"), "labels").select("truth", F.explode("labels").alias("pred"))
+    numbered, n = with_row_index(labels, ["l"], "_tp_at")
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n - 1) // LABEL_RUN).cast("long"))).alias("_tp_run")
+    across = numbered.groupBy(F.floor(F.col("_tp_at") / LABEL_RUN).alias("_tp_r")).agg(F.collect_list(F.struct("l")).alias("_tp_labels"))
+    cells = numbered.select(F.col("l").alias("truth"), runs).join(across, F.col("_tp_run") == F.col("_tp_r")).select("truth", F.explode("_tp_labels").alias("_tp_l"))
+    cells = cells.select("truth", F.col("_tp_l.l").alias("pred"))
     found = counts.select(F.col("truth").alias("t"), F.col("pred").alias("p"), "count")
     return (cells.join(found, cells["truth"].eqNullSafe(found["t"]) & cells["pred"].eqNullSafe(found["p"]), "left")
             .select("truth", "pred", F.coalesce("count", F.lit(0)).alias("count")))

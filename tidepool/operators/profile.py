@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.functions.columns import is_numeric_type, numeric_columns, stack_columns, string_columns
+from tidepool.functions.columns import is_numeric_type, known_numbers, nonfinite_to_null, numeric_columns, stack_columns, string_columns
 from tidepool.operators.stats import exact_quantiles, mode_table
 
 # the pair sums run in Python workers: ship this module's code by value
@@ -62,8 +62,10 @@ def profile_schema(df: DataFrame) -> DataFrame:
 
 
 def profile_nulls(df: DataFrame) -> DataFrame:
-    """(column, null_count, null_pct) with the percentage rounded to 2 places (0 for an empty table)."""
+    """(column, null_count, null_pct) with the percentage rounded to 2 places (0 for an empty table). NaN
+    counts as a null."""
     cols = df.columns
+    df = known_numbers(df, cols)
     agg = df.agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
@@ -83,11 +85,11 @@ def columns_with_nulls(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, quantile_method: str = "sort") -> DataFrame:
-    """(column, count, mean, std, min, p25, p50, p75, max) per numeric column; sample std."""
+    """(column, count, mean, std, min, p25, p50, p75, max) per numeric column; sample std. NaN is no value."""
     cols = list(columns) if columns is not None else numeric_columns(df)
     if not cols:
         raise ValueError("no numeric columns")
-    spark = df.sparkSession
+    spark, df = df.sparkSession, known_numbers(df, cols)
     moments = df.agg(*[
         F.struct(F.count(c).alias("count"), F.avg(F.col(c).cast("double")).alias("mean"),
                  F.stddev_samp(F.col(c).cast("double")).alias("std"),
@@ -163,7 +165,8 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 3
 
     Default columns: all numeric ones; non-numeric requests are ignored.
     Bins follow numpy: ``[e_k, e_{k+1})`` with the last bin closed; a constant column spans
-    ``value ± 0.5``. All ``bins`` rows are present, zero counts included.
+    ``value ± 0.5``. All ``bins`` rows are present, zero counts included. NaN and infinite values have no
+    bin and are left out.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     if columns is None:
@@ -172,7 +175,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 3
         cols = [c for c in columns if c in types and is_numeric_type(types[c])]
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, bin int, lo double, hi double, count bigint")
-    long = stack_columns(df.select(*cols), cols, "column", "value").where(F.col("value").isNotNull())
+    long = stack_columns(df.select(*cols), cols, "column", "value").withColumn("value", nonfinite_to_null("value")).where(F.col("value").isNotNull())
     rng = long.groupBy("column").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
     rng = rng.select(
         "column",

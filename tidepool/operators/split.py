@@ -38,6 +38,11 @@ class Cut(NamedTuple):
     skip: int
 
 
+def _in_order(values: Sequence) -> tuple:
+    """A key that sorts values as Spark does: nulls first, NaN above all numbers."""
+    return tuple((v is not None, isinstance(v, float) and v != v, 0 if v is None or v != v else bytes(v) if isinstance(v, bytearray) else v) for v in values)
+
+
 def random_cuts(df: DataFrame, keys: Sequence[str], seed: int, ranks_of: Callable[[int], Sequence[int]]) -> tuple[int, list[Cut | None]]:
     """The row count n and, for each rank in ``ranks_of(n)``, the cut before the row with that rank in
     the random order; None for a rank of n or more.
@@ -65,7 +70,7 @@ def random_cuts(df: DataFrame, keys: Sequence[str], seed: int, ranks_of: Callabl
             here = F.lit(False)
             for k in size:
                 here = here | F.substring("h", 1, k).isin([p for p in last if len(p) == k])
-            found = sorted(tuple(r) for r in rows.where(here).groupBy(*rows.columns).agg(F.count("*").alias("n")).collect())
+            found = sorted((tuple(r) for r in rows.where(here).groupBy(*rows.columns).agg(F.count("*").alias("n")).collect()), key=lambda r: _in_order(r[:-1]))
             for p, at in last.items():
                 for r in (r for r in found if r[0].startswith(p)):
                     cuts.update({k: Cut(r[0], r[1:-1], k - at) for k in ranks if at <= k < at + r[-1]})
@@ -114,7 +119,7 @@ def with_part(df: DataFrame, keys: Sequence[str], seed: int, cuts: Sequence[Cut
     indexed, _ = with_row_index(own, ["_tp_h", *keys, "_tp_row"], index_col="_tp_at")
     counts = {(r[0], tuple(r[1:-1])): r[-1] for r in own.groupBy("_tp_h", *keys).count().collect()}
     start, less = 0, F.lit(0)
-    for key in sorted(counts):
+    for key in sorted(counts, key=lambda k: _in_order((k[0], *k[1]))):
         for c in real:
             if c.skip and (c.hash, c.keys) == key:
                 less = less + F.when(_key_is(df, keys, seed, c) & (F.col("_tp_at") < start + c.skip), 1).otherwise(0)

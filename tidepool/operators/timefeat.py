@@ -83,6 +83,25 @@ def median_gap_indexed(indexed: DataFrame, seconds: Column, n: int, index_col: s
     return exact_quantiles(gaps, ["gap"], [0.5], method=quantile_method)["gap"][0]
 
 
+def granularity_indexed(indexed: DataFrame, seconds: Column, n: int, index_col: str = ROW_INDEX) -> str:
+    """The granularity of a frame already indexed in time order, from one pass: for each threshold, whether
+    the median gap reaches it follows from how many gaps lie below it and from its neighbours."""
+    if n < 2:
+        return granularity_from_gap(None)
+    pairs = halo_frames(indexed, 2, {"ts": seconds}, index_col, bucket_rows=auto_bucket_rows(indexed.sparkSession, n, 2), n_rows=n)
+    gap = F.element_at("ts", 2) - F.element_at("ts", 1)
+    limits = (HOUR_GAP_S, DAY_GAP_S, MONTH_GAP_S)
+    found = pairs.select(gap.alias("gap")).agg(F.count("gap").alias("n"), *[
+        F.struct(F.count_if(F.col("gap") < v).alias("below"), F.max(F.when(F.col("gap") < v, F.col("gap"))).alias("under"),
+                 F.min(F.when(F.col("gap") >= v, F.col("gap"))).alias("over")).alias(f"t{v}") for v in limits]).first()
+    reached = None
+    for v in limits:
+        r, lower, upper = found[f"t{v}"], (found["n"] - 1) // 2, found["n"] // 2
+        if found["n"] and (r["below"] <= lower or (r["below"] == upper and (r["under"] + r["over"]) / 2 >= v)):
+            reached = v
+    return granularity_from_gap(reached if reached is not None else 0 if found["n"] else None)
+
+
 def granularity_from_gap(gap: float | None) -> str:
     if gap is None:
         return "hour"
@@ -96,7 +115,9 @@ def granularity_from_gap(gap: float | None) -> str:
 
 
 def infer_granularity(df: DataFrame, time_col: str) -> str:
-    return granularity_from_gap(median_gap_seconds(df, time_col))
+    t = df.select(epoch_seconds(time_col).alias("_t")).where(F.col("_t").isNotNull())
+    indexed, n = with_row_index(t, ["_t"], index_col=ROW_INDEX)
+    return granularity_indexed(indexed, F.col("_t"), n)
 
 
 def encoding_columns(ts: Column) -> dict[str, Column]:
@@ -116,12 +137,16 @@ def time_encoding(df: DataFrame, time_col: str, granularity: str = "auto") -> tu
     """Add the encodings chosen by ``granularity`` (``auto`` = inferred from the median gap).
 
     A column already named like an encoding suppresses it. A missing time column, or text that is not
-    a time in any row, gives no encoding and granularity ``auto``.
+    a time in any row, gives no encoding and granularity ``auto``. On a stream the granularity must be
+    given, and text that is not a time has null encodings, as no row can be looked at beforehand.
     """
     if time_col not in df.columns:
         return df, [], "auto"
     ts = time_column(df, time_col)
-    if is_string_type(df.schema[time_col].dataType) and not df.where(F.col(time_col).isNotNull() & ts.isNull()).isEmpty():
+    if df.isStreaming:
+        if granularity == "auto":
+            raise ValueError("a stream has no median gap: give the granularity")
+    elif is_string_type(df.schema[time_col].dataType) and not df.where(F.col(time_col).isNotNull() & ts.isNull()).isEmpty():
         return df, [], "auto"
     if granularity == "auto":
         granularity = infer_granularity(df.select(ts.alias("_ts")), "_ts")

@@ -192,6 +192,9 @@ def tiling_windows_indexed(
     return g.select("window_id", F.transform("_items", lambda s: s["r"]).alias("x"), labels.alias("labels"))
 
 
+PAD_RUN = 1 << 16
+
+
 def pad_series_long(
     df: DataFrame,
     series: Sequence[str],
@@ -209,7 +212,9 @@ def pad_series_long(
     kept = pos.where(F.col("pos") < max_len).select(*series, F.least("_len", F.lit(max_len)).alias("length"), "pos",
                                                     *[F.col(c).cast("double").alias(c) for c in value_cols], F.lit(True).alias("mask"))
     lengths = df.groupBy(*series).agg(F.least(F.count(F.lit(1)), F.lit(max_len)).alias("length")).where(F.col("length") < max_len)
-    padding = lengths.select(*series, "length", F.explode(F.sequence(F.col("length"), F.lit(max_len - 1).cast("long"))).alias("pos"),
+    # positions in runs, so that no row holds an array as long as a series
+    runs = lengths.select("*", F.explode(F.sequence(F.col("length").cast("long"), F.lit(max_len - 1).cast("long"), F.lit(PAD_RUN).cast("long"))).alias("_run"))
+    padding = runs.select(*series, "length", F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + (PAD_RUN - 1), F.lit(max_len - 1).cast("long")))).alias("pos"),
                              *[F.lit(0.0).alias(c) for c in value_cols], F.lit(False).alias("mask"))
     return kept.unionByName(padding)
 

@@ -57,8 +57,7 @@ def prepare_time_series(
     indexed, n = with_row_index(staged, ["_tp_t", *(tie_breaker or [])])
     if granularity == "auto":
         # the median gap comes from the chronological index built for the split (no second sort)
-        gap = timefeat.median_gap_indexed(indexed, timefeat.epoch_seconds("_tp_t"), n)
-        granularity = timefeat.granularity_from_gap(gap)
+        granularity = timefeat.granularity_indexed(indexed, timefeat.epoch_seconds("_tp_t"), n)
     indexed, enc_names, gran = timefeat.time_encoding(indexed, time_col, granularity)
     num, _ = feature_columns(indexed, target, exclude=[time_col, "_tp_t", ROW_INDEX])
     train, test, cut = split.chronological_split(indexed, n, test_size, min_train=seq_len + pred_len)
