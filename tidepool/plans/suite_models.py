@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.operators import models, split
+from tidepool.operators import epochs, models, split
 from tidepool.operators.features import assemble_features, fit_label_encoder, label_encode
 from tidepool.plans.flagship import flagship_forecast
 from tidepool.plans.suite import query, rounded, table
@@ -83,6 +83,14 @@ def q_mlp(spark, sf):
 STUMP_FEATURES = ["l_linenumber", "l_discount", "l_tax"]  # few values each, so every threshold is tried
 
 
+@query("model_epochs_regressor")
+def q_epochs(spark, sf):
+    """A network trained in epochs; a fifth of the training side decides which epoch's weights stay."""
+    train, test, _ = _regression_sides(spark, sf)
+    net = epochs.fit_epochs(train, ["row_id"], "regression", epochs=10, steps=2, rate=0.05)
+    return _scored(net.predict(test))
+
+
 def _boost_stump_sql(rate: float, reg: float) -> str:
     """One round of one split: gradients of the squared error around the mean, leaves -G / (H + lambda)."""
     long = " union all ".join(f"select '{c}' as f, cast({c} as double) as v, l_extendedprice as y from lineitem" for c in STUMP_FEATURES)
