@@ -98,6 +98,13 @@ def test_pivots_collapse_a_large_group(spark, monkeypatch):
     assert sum(counted) < 6000
 
 
+def test_lists_and_groups_divided_into_parts(spark, monkeypatch):
+    whole = jaccard._all_pairs
+    monkeypatch.setattr(jaccard, "_all_pairs", lambda small, large, percent: whole(small, large, percent, list_rows=5, group_rows=40))
+    rows = families(9, 6, 12)
+    assert got(jaccard.jaccard_components(documents(spark, rows), pairs_per_posting=1e9)) == brute(rows)
+
+
 def test_prefix_lengths_follow_the_cost():
     rare, common = np.full(100, 2.0), np.full(100, 500.0)
     assert jaccard.choose_length(100, 21, rare, 80) == (1, 0)  # the shortest prefix occurs nowhere else

@@ -49,6 +49,8 @@ PART_SHINGLES = 1 << 20
 COMPARE_COST, COMPARE_SHINGLES = 20.0, 16.0
 #: Pairs that may be counted, for each posting, before another round of pivots is taken.
 PAIRS_PER_POSTING = 0.25
+#: Rows of a group of lists that are counted together; rows of a list that meet all its others at once.
+GROUP_ROWS, LIST_ROWS = 1 << 18, 1 << 12
 #: Links that one task joins up.
 TASK_LINKS = 1 << 18
 #: Lists by size between a set and its smallest partner.
@@ -356,12 +358,68 @@ def _pivot_pairs(small: DataFrame, large: DataFrame, percent: int, turn: int) ->
     return _matched(met, percent)
 
 
-def _all_pairs(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """Candidates of different components: all of them."""
-    other = small.select(F.col("token").alias("t"), F.col("band").alias("d"), F.struct("uid", "label", "n", "own", "at", "spare").alias("p"))
-    ordered = (F.col("n") > F.col("p.n")) | (F.col("uid") > F.col("p.uid"))
-    met = large.join(other, (F.col("token") == F.col("t")) & (F.col("band") == F.col("d")) & (F.col("label") != F.col("p.label")) & ordered & _fitting(percent))
-    return _matched(met, percent)
+_COUNTED = "a bigint, b bigint, need bigint, shared bigint"
+
+
+def _count_pairs(percent: int):
+    """The pairs of one group of lists, with the matches that they have there: only those that can still
+    reach what they need with the postings (``rest``) that either set has in other groups."""
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("token", "ascending"), ("band", "ascending")])
+        token, band, uid, label, n, own, at, spare, everywhere = (group.column(c).to_numpy() for c in ("token", "band", "uid", "label", "n", "own", "at", "spare", "everywhere"))
+        large = group.column("large").to_numpy()
+        # what a set has posted in other groups, as the smaller or the larger one, by the partners' size
+        order = np.lexsort((large, band, uid))
+        new = np.r_[True, np.any([x[order[1:]] != x[order[:-1]] for x in (large, band, uid)], axis=0)]
+        same = np.empty(len(uid), dtype=np.int64)
+        same[order] = np.cumsum(new) - 1
+        rest = everywhere - np.bincount(same)[same]
+        names, doc = np.unique(uid, return_inverse=True)
+        cuts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (band[1:] != band[:-1]), True])
+        codes, rows = [], []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            big, few = lo + np.flatnonzero(large[lo:hi]), lo + np.flatnonzero(~large[lo:hi])
+            for i in range(0, len(big), 1 << 10):
+                x, y = big[i:i + (1 << 10), None], few[None, :]
+                less = np.minimum(spare[x], spare[y])
+                total = -(-percent * (n[x] + n[y]) // (100 + percent))
+                fits = ((label[x] != label[y]) & ((n[x] > n[y]) | ((n[x] == n[y]) & (uid[x] > uid[y]))) & (total <= n[x] - own[x]) & (total <= n[y] - own[y])
+                        & (at[x] < n[x] + less) & (at[y] < n[y] + less))
+                p, q = np.nonzero(fits)
+                codes.append(doc[big[i + p]] * len(names) + doc[few[q]])
+                rows.append(np.column_stack([big[i + p], few[q]]))
+        codes, rows = np.concatenate(codes or [np.zeros(0, dtype=np.int64)]), np.concatenate(rows or [np.zeros((0, 2), dtype=np.int64)])
+        _, first, shared = np.unique(codes, return_index=True, return_counts=True)
+        x, y = rows[first].T
+        need = -(-percent * (n[x] + n[y]) // (100 + percent)) + np.minimum(spare[x], spare[y])
+        kept = shared + np.minimum(rest[x], rest[y]) >= need
+        return pa.table({"a": uid[x][kept], "b": uid[y][kept], "need": need[kept], "shared": shared[kept]})
+
+    return run
+
+
+def _all_pairs(small: DataFrame, large: DataFrame, percent: int, list_rows: int = LIST_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Candidates of different components: all of them.
+
+    Lists with one pivot, whose sets share most of their lists, are counted together, so that a pair is a
+    row for a group and not for a shingle. Groups of more than ``group_rows`` rows are divided by shingle,
+    lists of more than ``list_rows`` into squares of parts of their larger and smaller sets.
+    """
+    both = small.withColumn("large", F.lit(False)).unionByName(large.withColumn("large", F.lit(True)))
+    central = F.min(F.struct("own", F.xxhash64("uid").alias("h"), "uid")).getField("uid").alias("pivot")
+    lists = (both.groupBy(F.col("token").alias("t"), F.col("band").alias("d")).agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), central)
+             .filter("lo < hi").select("t", "d", "pivot", F.ceil(F.col("m") / list_rows).alias("parts"), "m"))
+    sizes = lists.groupBy(F.col("pivot").alias("v")).agg(F.ceil(F.sum("m") / group_rows).alias("ways"))
+    lists = lists.join(sizes, F.col("pivot") == F.col("v")).select("t", "d", "parts", F.xxhash64("pivot", F.pmod(F.xxhash64("t"), F.col("ways"))).alias("g"))
+    rows = both.join(lists, (F.col("token") == F.col("t")) & (F.col("band") == F.col("d"))).drop("t", "d")
+    posted = rows.groupBy(F.col("uid").alias("u"), F.col("band").alias("d"), F.col("large").alias("l")).agg(F.count("*").alias("everywhere"))
+    rows = rows.join(posted, (F.col("uid") == F.col("u")) & (F.col("band") == F.col("d")) & (F.col("large") == F.col("l"))).drop("u", "d", "l")
+    # a square of parts for each pair of a larger and a smaller set's part
+    own_part, others = F.pmod(F.xxhash64("uid"), F.col("parts")), F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
+    rows = rows.withColumn("other", F.explode(others)).withColumn("square", F.when(F.col("parts") == 1, F.col("g")).otherwise(
+        F.xxhash64("g", "token", "band", F.when(F.col("large"), own_part).otherwise(F.col("other")), F.when(F.col("large"), F.col("other")).otherwise(own_part))))
+    counted = rows.select("square", "token", "band", "uid", "label", "n", "own", "at", "spare", "large", "everywhere").groupBy("square").applyInArrow(_count_pairs(percent), _COUNTED)
+    return counted.groupBy("a", "b", "need").agg(F.sum("shared").alias("shared")).filter("shared >= need").select("a", "b")
 
 
 def _fitting(percent: int) -> Column:
