@@ -23,8 +23,9 @@ HEADLINE = [
     "scaler_windowed_mean", "time_encoding", "label_encode",
     "random_split", "kfold", "chronological_split",
     "sliding_windows", "sliding_windows_raw", "seq2seq_windows", "strided_windows", "pad_series", "pad_series_long",
-    "moving_average", "fourier_extrapolate",
+    "moving_average", "fourier_extrapolate", "decompose_rows", "exp_smooth_rows", "top_frequencies_rows", "autocorrelation_rows",
     "regression_metrics_multi", "precision_recall_f1", "roc_auc", "latest_runs", "tree_stump", "cross_validate",
+    "cross_validate_ridge", "boost_stump_levels",
 ]
 
 
