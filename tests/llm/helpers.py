@@ -4,7 +4,9 @@ columns whose names are those of the operators' own columns."""
 from pyspark.sql import functions as F
 
 CLASHING = ("fp", "bucket", "record", "kept", "keep_id", "score", "predicted", "component_id", "row", "start", "tie", "part",
-            "label", "hash", "top", "spans", "by_id", "by_text", "kept_id", "ids", "text_sha256", "held_out", "pos", "h1", "declared")
+            "label", "hash", "top", "spans", "by_id", "by_text", "kept_id", "ids", "text_sha256", "held_out", "pos", "h1", "declared",
+            "block", "uid", "n", "k1", "texts", "token", "band", "own", "spare", "n_shingles", "vector", "row", "row_group", "at", "parent", "anchor_id",
+            "d", "top", "range", "depth", "h", "donor")
 
 LONG = "lorem ipsum dolor " * 20_000
 
