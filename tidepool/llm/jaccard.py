@@ -10,7 +10,8 @@ posted share as many elements as their length asks for. Shingles that occur once
 
 1. **Classes.** Documents with the same shingle set (a 128-bit digest of the sorted set) are one class,
    with one row as representative, so that copies cost one row each and no more.
-2. **Frequencies.** Representatives are handled in blocks of a few megabytes. Every block sends the
+2. **Frequencies.** Representatives are handled in blocks of a few megabytes, stored as one compressed row
+   each. Every block sends the
    distinct shingles it holds, with their counts, to the shingles' partitions as one packed array each,
    and gets their frequency classes back: a shingle in a third of all documents is one entry a block.
 3. **Prefixes.** A document whose prefix holds only shingles that occur once has no partner. The others
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +59,7 @@ TASK_LINKS = 1 << 18
 SIZE_BANDS = 8
 
 MARKS = pa.schema([("block", pa.int64()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()),
-                   ("k2", pa.int64()), ("text", pa.string())])
+                   ("k2", pa.int64()), ("texts", pa.binary())])
 MESSAGES = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 REPLIES = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("uid", pa.int64()), ("classes", pa.binary())])
 ACTIVE = "uid bigint, n bigint, own bigint, ell bigint, tokens array<bigint>, shingles binary"
@@ -144,23 +146,47 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
         at = stop
 
 
+def packed_texts(texts: list[bytes]) -> bytes:
+    """The texts of a block, compressed together behind their lengths."""
+    lengths = np.array([len(texts), *map(len, texts)], dtype="<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(lengths + b"".join(texts))
+
+
+def unpacked_texts(blob: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
+    ends = 8 * (n + 1) + np.r_[0, np.cumsum(np.frombuffer(raw, dtype="<i8", count=n, offset=8))]
+    return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
 def _mark(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, rows = None, 0, 0
+        block, held, rows = None, 0, []
+
+        def whole() -> pa.RecordBatch:
+            """The block's texts, as a row without a set."""
+            row = ([block], [None], [None], [-1], [None], [None], [packed_texts(rows)])
+            return pa.record_batch([pa.array(c, f.type) for c, f in zip(row, MARKS)], schema=MARKS)
+
         for batch in batches:
-            cols = [[] for _ in range(5)]
+            cols, full = [[] for _ in range(5)], []
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for part, text, found in zip(batch.column("part").to_pylist(), texts, shingle_sets(texts, k)):
                 if block is None:
                     block = part << 16
-                elif held >= BLOCK_BYTES or rows >= BLOCK_ROWS:
-                    block, held, rows = block + 1, 0, 0
+                elif held >= BLOCK_BYTES or len(rows) >= BLOCK_ROWS:
+                    full.append(whole())
+                    block, held, rows = block + 1, 0, []
                 k1, k2 = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), dtype=np.int64).tolist()
-                for c, v in zip(cols, (block, (block << 14) + rows, len(found), k1, k2)):
+                for c, v in zip(cols, (block, (block << 14) + len(rows), len(found), k1, k2)):
                     c.append(v)
-                held, rows = held + len(text), rows + 1
+                held += len(text)
+                rows.append(text)
             blocks, uids, n, k1s, k2s = (pa.array(c, pa.int64()) for c in cols)
-            yield pa.record_batch([blocks, uids, batch.column("doc_id"), n, k1s, k2s, batch.column("text")], schema=MARKS)
+            yield pa.record_batch([blocks, uids, batch.column("doc_id"), n, k1s, k2s, pa.nulls(len(n), pa.binary())], schema=MARKS)
+            yield from full
+        if rows:
+            yield whole()
 
     return run
 
@@ -182,10 +208,8 @@ def unpack(blob: bytes) -> np.ndarray:
 
 def _representatives(stored: pa.Table, uids: list[int], k: int) -> tuple[list[int], list[np.ndarray]]:
     """The block's representatives in order of their number, with their shingles."""
-    of = dict(zip(stored.column("uid").to_pylist(), range(stored.num_rows)))
-    order = sorted(uids)
-    texts = stored.column("text").take([of[u] for u in order]).cast(pa.binary()).to_pylist()
-    return order, list(shingle_sets(texts, k))
+    order, texts = sorted(uids), unpacked_texts(stored.column("texts")[0].as_py())
+    return order, list(shingle_sets([texts[u & (BLOCK_ROWS - 1)] for u in order], k))
 
 
 def _ids(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -522,7 +546,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, perc
 
     part_bits = max(3, math.ceil(math.log2(max(1, n_shingles) / PART_SHINGLES)))
     bits = min(62, max(40, math.ceil(math.log2(max(2, n_shingles))) + 12))
-    texts = stored.select("block", "uid", "text")
+    texts = stored.filter("n < 0").select("block", "texts")
     reps = classes.select(F.shiftright("uid", 14).alias("block"), "uid")
     sent = texts.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(_send(shingle_words, bits, part_bits), ddl(MESSAGES))
     counted = sent.repartition(max(default_partitions(spark), (1 << part_bits) // 2), "part").groupBy("part").applyInArrow(_count, ddl(REPLIES))
@@ -546,6 +570,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, perc
     named = written(packed(named.select("k1", "k2", "component_id"), n_classes), folder, "named")
     release_shuffles(spark)
     found = stored.select("doc_id", "n", "k1", "k2").filter("n > 0").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    # a block's own row has n = -1
     return found.union(stored.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
