@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# what runs in Python workers travels by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Machine epsilon of float64, used as the normaliser's denominator guard.
 FLOAT64_EPS = 2.220446049250313e-16
 # Largest finite float64, the clamp for +/-Inf in nan_to_zero.
@@ -45,6 +51,11 @@ def nan_to_null(c: str | Column) -> Column:
     return F.when(F.isnan(x), F.lit(None)).otherwise(x)
 
 
+def list_matrix(column) -> np.ndarray:
+    """The lists of an Arrow column, all of one length, as the rows of a matrix; a null element is NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
 def known_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``df`` with NaN as null in those of ``columns`` that hold floats: NaN is a missing number, not a value."""
     kinds = {f.name: f.dataType for f in df.schema.fields}

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.functions.columns import list_matrix
 from tidepool.session import scratch_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -181,7 +182,7 @@ def _binned(cuts: list[list[float]], base: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.stack(batch.column("x").to_pylist()).astype(np.float64)
+                x = list_matrix(batch.column("x"))
                 bins = np.column_stack([np.where(np.isnan(v), 0, np.searchsorted(c, v)) for v, c in zip(x.T, cuts)]).astype(np.uint8)
                 yield _packed(bins, batch.column("y").to_numpy(), np.tile(np.array(base), (len(x), 1)))
 

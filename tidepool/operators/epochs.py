@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.functions.columns import list_matrix
 from tidepool.operators.split import random_split
 from tidepool.session import scratch_folder
 
@@ -122,7 +123,7 @@ def _task_sums(task: str, weights: Weights, mean: np.ndarray, scale: np.ndarray)
         n, hits, loss, total = 0, 0, 0.0, np.zeros(sum(w.size for w in weights))
         for batch in batches:
             if batch.num_rows:
-                x = (np.stack(batch.column("x").to_pylist()).astype(np.float64) - mean) * scale
+                x = (list_matrix(batch.column("x")) - mean) * scale
                 more, gradient, right = loss_and_gradient(task, weights, x, batch.column("y").to_numpy())
                 n, hits, loss, total = n + batch.num_rows, hits + right, loss + more, total + _flat(gradient)
         yield pa.record_batch([pa.array([n]), pa.array([hits]), pa.array([loss]), pa.array([total.tobytes()], pa.binary())], names=_NAMES)

@@ -30,6 +30,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.functions.columns import list_matrix
 from tidepool.operators.boosting import Boosted, BoostParams, fit_boosted
 from tidepool.operators.split import kfold
 
@@ -266,7 +267,7 @@ def _moments(width: int):
             if not batch.num_rows:
                 continue
             fold = batch.column("fold").to_numpy()
-            z = np.column_stack([np.stack(batch.column(c).to_pylist()).astype(np.float64) for c in ("x", "y")])
+            z = np.column_stack([list_matrix(batch.column(c)) for c in ("x", "y")])
             for f in np.unique(fold):
                 part = z[fold == f]
                 mean = part.mean(axis=0)
