@@ -48,6 +48,30 @@ def test_recursive_partitioning_with_a_hot_text(spark):
     assert got(exact_dedup.exact_groups(df, table_bytes=2000, table_rows=50)) == brute(rows)
 
 
+@pytest.mark.parametrize("hash_of", [exact_dedup.content_hash, lambda raw: len(raw) % 2])
+def test_copies_of_a_hot_text_are_folded_before_they_meet(spark, hash_of):
+    rnd = random.Random(3)
+    rows = [(rnd.randint(0, 500), "hot " * 150 if i % 3 == 0 else f"text {i // 7}") for i in range(900)]
+    rows += [(None, "hot " * 150), (501, "hot " * 150), (501, "hot " * 150)]
+    seen = []
+
+    def spy(records, folder, table_bytes, hash_of):
+        seen.append(fold(records, folder, table_bytes, hash_of))
+        return seen[-1]
+
+    fold, exact_dedup._fold_hot = exact_dedup._fold_hot, spy
+    try:
+        df = exact_dedup.exact_groups(documents(spark, rows), table_bytes=2000, table_rows=2, hash_of=hash_of)
+        assert got(df) == brute(rows)
+        assert df.filter("kept").count() == len({t for _, t in rows})
+    finally:
+        exact_dedup._fold_hot = fold
+    records, links = seen[0]
+    copies = records.groupBy("text").agg({"n_bytes": "sum", "record": "count"}).collect()
+    assert all(r["sum(n_bytes)"] <= 2000 or r["count(record)"] <= exact_dedup.FOLD for r in copies)
+    assert links.count() == links.select("record").distinct().count() > 100
+
+
 def test_empty_table(spark):
     assert exact_dedup.exact_groups(documents(spark, AWKWARD).limit(0)).collect() == []
 

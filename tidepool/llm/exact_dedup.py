@@ -8,6 +8,9 @@
    by a hash of the text. Buckets above ``table_bytes`` are split again by the next, independent
    hash, recursively; a bucket whose rows all have one hash cannot be split and need not be: its
    table holds a single text.
+   Before that, the copies of a text whose records together exceed ``table_bytes`` are folded in a
+   tree: dealt by record number to groups of bounded size, each of which compares complete texts
+   and passes on one record for each text, until what is left of a hash fits.
 3. **Compare.** Each bucket is loaded into an open-addressing table (hash slots, linear probing,
    complete texts compared), which yields the row to keep and the size of each group.
 4. The members, ids only, get their group by a join on the record's number.
@@ -35,7 +38,13 @@ MEMBERS = pa.schema([("record", pa.int64()), ("doc_id", pa.int64()), ("text", pa
                      ("n_bytes", pa.int64()), ("n_rows", pa.int64()), ("max_id", pa.int64()), ("top", pa.bool_())])
 GROUPS = pa.schema([("record", pa.int64()), ("keep_id", pa.int64()), ("keep_record", pa.int64()),
                     ("group_size", pa.int64()), ("text_sha256", pa.string())])
+FOLDED = pa.schema([("record", pa.int64()), ("root", pa.int64()), ("text", pa.string()), ("hash", pa.int64()), ("n_bytes", pa.int64()),
+                    ("n_rows", pa.int64()), ("max_id", pa.int64())])
 LOWEST = -(1 << 63)  # a null id, below every other
+#: Hashes share a slot to be marked as hot, so that the marks are a table of this many rows at most.
+HOT_SLOTS = 1 << 16
+#: Copies of one hash that a folding group takes however long they are; a hash with no more is not folded.
+FOLD = 8
 
 
 class TextTable:
@@ -146,6 +155,70 @@ def _compare(hash_of: Callable[[bytes], int]):
     return run
 
 
+def _fold(hash_of: Callable[[bytes], int]):
+    """A group of records in, the root of each out; the root of a text carries it on, with the rows
+    of all and the largest id. Ties in the id: the smallest record number."""
+
+    def run(group: pa.Table) -> pa.Table:
+        columns = {f.name: group.column(f.name).to_pylist() for f in FOLDED if f.name != "root"}
+        entries, best, of = TextTable(), [], []
+        order = [(LOWEST if m is None else m, -r) for m, r in zip(columns["max_id"], columns["record"])]
+        for number, text in enumerate(columns["text"]):
+            raw = text.encode()
+            entry, new = entries.find_or_add(raw, hash_of(raw))
+            if new:
+                best.append(number)
+            elif order[number] > order[best[entry]]:
+                best[entry] = number
+            of.append(entry)
+        counts = [0] * len(best)
+        for entry, n in zip(of, columns["n_rows"]):
+            counts[entry] += n
+        stays = [best[entry] == number for number, entry in enumerate(of)]
+        columns["root"] = [columns["record"][best[entry]] for entry in of]
+        columns["n_rows"] = [counts[entry] for entry in of]
+        for name in ("text", "hash", "n_bytes", "n_rows", "max_id"):
+            columns[name] = [v if stay else None for v, stay in zip(columns[name], stays)]
+        return pa.table([pa.array(columns[f.name], f.type) for f in FOLDED], schema=FOLDED)
+
+    return run
+
+
+def _fold_hot(records: DataFrame, folder: str, table_bytes: int, hash_of: Callable[[bytes], int]) -> tuple[DataFrame, DataFrame | None]:
+    """Records with at most ``table_bytes``, or :data:`FOLD` copies, of each hash, and which record
+    stands for each of the others, (record, root); None where nothing was folded.
+
+    Every round leaves at most an eighth of a hot text's copies. Hot slots reach the tasks as a
+    broadcast table of at most :data:`HOT_SLOTS` rows; a cold hash that shares one is dealt like it,
+    to no harm. Different texts of one hash stay apart, and end the rounds when folding stalls.
+    """
+    slot, links, before = F.pmod("hash", F.lit(HOT_SLOTS)), None, None
+    for level in range(64):
+        hashes = records.groupBy("hash").agg(F.sum("n_bytes").alias("held"), F.count("*").alias("n"))
+        hot = (hashes.filter((F.col("held") > table_bytes) & (F.col("n") > FOLD))
+               .select(slot.alias("slot"), "n", F.greatest(F.lit(1), F.least(F.ceil(2 * F.col("held") / table_bytes), F.floor(F.col("n") / FOLD))).alias("ways"))
+               .groupBy("slot").agg(F.max("ways").cast("bigint").alias("ways"), F.sum("n").alias("n")))
+        hot = written(hot.coalesce(1), folder, f"hot{level}")
+        left = hot.agg(F.sum("n")).first()[0]
+        if left is None or left == before:
+            break
+        before = left
+        marked = records.withColumn("slot", slot).join(F.broadcast(hot.drop("n")), "slot", "left")
+        salt = F.pmod(F.xxhash64("record", F.lit(level)), F.col("ways"))
+        folded = written(marked.filter("ways is not null").withColumn("salt", salt).groupBy("slot", "salt").applyInArrow(_fold(hash_of), ddl(FOLDED)),
+                         folder, f"folded{level}")
+        now = folded.select("record", "root")
+        if links is None:
+            links = now
+        else:  # the roots of earlier rounds have roots of their own now
+            links = (links.withColumnRenamed("root", "via").join(now.withColumnRenamed("record", "via"), "via", "left")
+                     .select("record", F.coalesce("root", "via").alias("root"))
+                     .unionByName(now.join(links.select("record"), "record", "left_anti")))
+        records = (marked.filter("ways is null").select(*records.columns)
+                   .unionByName(folded.filter("text is not null").select(*records.columns)))
+    return records, links
+
+
 def content_hash(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw)
 
@@ -190,11 +263,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        text_of(text_col).alias("text"))
     members = written(rows.mapInArrow(_combine(table_bytes, table_rows, hash_of), ddl(MEMBERS)), folder, "members")
     records = members.filter("top").select("record", "text", "n_rows", "max_id", "hash", "n_bytes")
+    records, links = _fold_hot(records, folder, table_bytes, hash_of)
     dealt, fan_out = _split_buckets(records, table_bytes, max_depth)
     groups = (dealt.select("bucket", "record", "text", "n_rows", "max_id")
               .repartition(max(default_partitions(spark), fan_out // 2), "bucket")
               .groupBy("bucket").applyInArrow(_compare(hash_of), ddl(GROUPS)))
-    return (members.select("record", "doc_id", "top").join(groups, "record")
+    rows = members.select("record", "doc_id", "top")
+    if links is None:
+        rows = rows.withColumn("root", F.col("record"))
+    else:
+        rows = rows.join(links, "record", "left").withColumn("root", F.coalesce("root", "record"))
+    return (rows.join(groups.withColumnRenamed("record", "root"), "root")
             .select("doc_id", "keep_id", "group_size",
                     (F.col("top") & (F.col("record") == F.col("keep_record"))).alias("kept"), "text_sha256"))
 
