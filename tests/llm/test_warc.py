@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import zlib
 
 import pytest
 
@@ -47,6 +48,16 @@ def test_round_trip_of_awkward_pages(spark, min_bytes):
     assert {r.url for r in back} >= {"http://a/x%20y%0D%0Az", "http://b", None}
 
 
+def test_rows_of_one_page_and_payload_are_dealt_to_several_archives(spark):
+    rows = [(7, f"u{i}", "z" * 1000) for i in range(600)] + [(None, None, "z" * 1000)] * 300 + [(i, "v", "other") for i in range(300)]
+    path = scratch_folder(spark) + "/archives"
+    warc.write_archives(table(spark, rows), path, archive_bytes=64_000)
+    back = warc.read_archives(spark, path).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back), key=str) == expected(rows)
+    held = [len(zlib.decompress(r.content, wbits=31)) for r in spark.read.format("binaryFile").load(path).select("content").collect() if r.content]
+    assert max(held) < 5 * 64_000 < sum(held) / 2
+
+
 def test_empty_table(spark):
     path = scratch_folder(spark) + "/archives"
     warc.write_archives(table(spark, ROWS).limit(0), path)

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import ddl, partitions_for, table, text_of
@@ -33,6 +33,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
                      ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_id", pa.string()),
                      ("payload", pa.string())])
+#: About the length of a record without its payload.
+HEADER_BYTES = 512
+HOT_SLOTS = 1 << 14
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace for URLs
 
 
@@ -63,6 +66,22 @@ def resolve_revisits(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
                     F.when(revisit, F.col("first_id")).alias("refers_to")))
 
 
+def hot_slots(headers: DataFrame, archive_bytes: int) -> tuple[int, DataFrame]:
+    """Bytes of all payloads, and (slot, ways): over how many archives to deal the rows of a page and
+    payload that repeat until they exceed an archive. Pages share slots, so that the table has at most
+    :data:`HOT_SLOTS` rows; a cold page in a hot slot is dealt alike."""
+    size = F.col("payload_bytes") + HEADER_BYTES
+    slots = (headers.groupBy(_slot(), "page_id", "payload_sha1").agg(F.sum(size).alias("held"), F.sum("payload_bytes").alias("payload"))
+             .groupBy("slot").agg(F.sum("payload").alias("payload"), F.max("held").alias("held")))
+    rows = [(r["slot"], r["payload"], r["held"]) for r in slots.collect()]
+    hot = [(slot, -(-held // archive_bytes)) for slot, _, held in rows if held > archive_bytes]
+    return sum(payload for _, payload, _ in rows), headers.sparkSession.createDataFrame(hot, "slot bigint, ways bigint")
+
+
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("page_id", "payload_sha1"), F.lit(HOT_SLOTS)).alias("slot")
+
+
 def _record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}:{digest}')}>"
 
@@ -99,21 +118,26 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     ``archive_bytes`` is the aimed-at size of a file before compression. A null payload is empty, a
     null URL or page id has no header line. A page id that is null sorts after all others. Rows
-    repeated with the response's page id and payload are captures of their own: each is a response.
-    An empty table writes no record.
+    repeated with the response's page id and payload are captures of their own: each is a response,
+    and where they exceed an archive they are dealt to several. An empty table writes no record.
     """
     spark = pages.sparkSession
     headers = page_headers(pages, id_col, url_col, payload_col)
-    total = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]
+    total, hot = hot_slots(headers, archive_bytes)
+    hot = F.broadcast(hot)
     kinds = resolve_revisits(headers, min_bytes).select("page_id", "payload_sha1", "payload_bytes", "record_type", "refers_to").distinct()
     raw = text_of(payload_col)
     full = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), raw.alias("payload"),
                         F.sha1(raw).alias("payload_sha1"))
-    # one shuffle of the payloads, by page: it serves the join and deals the pages to archives
+    # one shuffle of the payloads, by page: it serves the join and deals the pages to archives. Rows of
+    # a hot slot get one of its numbers each, the kind of their record gets all of them
+    ways = F.coalesce("ways", F.lit(1))
+    dealt = full.withColumn("slot", _slot()).join(hot, "slot", "left").withColumn("way", F.pmod(F.monotonically_increasing_id(), ways))
+    copied = kinds.withColumn("slot", _slot()).join(hot, "slot", "left").withColumn("way", F.explode(F.sequence(F.lit(0), ways - 1)))
     key = F.coalesce("page_id", F.lit(-(1 << 63)))
-    files = partitions_for(spark, total, archive_bytes)
-    joined = (full.withColumn("page", key).repartition(files, "page", "payload_sha1")
-              .join(kinds.withColumn("page", key).drop("page_id").repartition(files, "page", "payload_sha1"), ["page", "payload_sha1"]))
+    files, by = partitions_for(spark, total, archive_bytes), ["page", "payload_sha1", "way"]
+    joined = (dealt.withColumn("page", key).drop("slot", "ways").repartition(files, *by)
+              .join(copied.withColumn("page", key).drop("page_id", "slot", "ways").repartition(files, *by), by))
     (joined.mapInArrow(_format(date), "value string")
      .write.option("lineSep", END).option("compression", "gzip").text(path))
 
