@@ -1,7 +1,9 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -53,6 +55,22 @@ def test_stitched_chunks_are_the_whole_texts_pieces():
         assert bpe.stitch(text, chunks, find) == find.findall(text)
 
 
+def test_long_texts_take_time_in_proportion(spark):
+    def seconds(n):
+        text, run = "Some words, of a text 12. " * n, bpe._stitched(lambda: encoder, lambda e, ids: (ids,), bpe.IDS)
+        size, overlap = 1 << 12, 1 << 8
+        began, cut = time.process_time(), bpe._cut(size, size - overlap)
+        batch = pa.record_batch([pa.array([1]), pa.array([2]), pa.array([text])], names=["row", "doc_id", "text"])
+        marked = list(bpe._bounds(public_tokenizers.PATTERN)(cut(iter([batch]))))
+        ids = run(pa.Table.from_batches(marked)).column("ids")[0].as_py()
+        assert encoder.decode(ids).decode() == text
+        return time.process_time() - began
+
+    encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    seconds(10_000)
+    assert seconds(400_000) < 3 * seconds(200_000)
+
+
 def test_merges_match_the_library():
     rnd, encoder = random.Random(5), bpe.Encoder(RANKS, public_tokenizers.PATTERN, cache_pieces=50)
     texts = ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 80))) for _ in range(2000)]

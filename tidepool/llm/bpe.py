@@ -36,7 +36,7 @@ UNMERGED = 1 << 60
 #: Characters before a chunk's end whose pre-tokens could change with what follows: the longest
 #: fixed alternative of the pattern has three.
 UNSURE = 3
-CHUNK_CHARS, OVERLAP_CHARS, CACHE_PIECES = 1 << 16, 1 << 10, 1 << 20
+CHUNK_CHARS, OVERLAP_CHARS, CACHE_PIECES, CHUNKS_AT_ONCE = 1 << 16, 1 << 10, 1 << 20, 64
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -193,18 +193,36 @@ def _bounds(pattern: str):
 def _stitched(make: Callable[[], Encoder], row: Callable, schema: pa.Schema):
     """All chunks of one long text: stitch, then encode the pieces."""
 
+    encoder = None  # one for all long texts of a task
+
     def run(group: pa.Table) -> pa.Table:
-        encoder = make()
+        nonlocal encoder
+        encoder = encoder or make()
         chunks = sorted(zip(*(group.column(c).to_pylist() for c in ("start", "chunk", "ends"))))
-        text = ""
-        for start, chunk, _ in chunks:
-            text = text[:start] + chunk
+        ahead = [start for start, _, _ in chunks[1:]]
+        text = "".join([chunk[:after - start] for (start, chunk, _), after in zip(chunks, ahead)] + [chunks[-1][1]])
         ids = encoder.ids(stitch(text, [(start, ends) for start, _, ends in chunks], encoder.find))
         return pa.table([[group.column("doc_id")[0].as_py()], *([v] for v in row(encoder, ids))], schema=schema)
 
     return run
 
 
+def _cut(chunk_chars: int, step: int):
+    """Long texts in, their overlapping chunks out, a row each, of a few texts' worth at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
+                starts = range(0, len(text) - (chunk_chars - step), step)
+                for some in (starts[i:i + CHUNKS_AT_ONCE] for i in range(0, len(starts), CHUNKS_AT_ONCE)):
+                    yield pa.record_batch([pa.array([row] * len(some), pa.int64()), pa.array([doc_id] * len(some), pa.int64()), pa.array(some, pa.int64()),
+                                           pa.array([text[s:s + chunk_chars] for s in some], pa.string()),
+                                           pa.array([s + chunk_chars >= len(text) for s in some], pa.bool_())],
+                                          names=["row", "doc_id", "start", "chunk", "last"])
+
+    return run
+
+
 def _encoded(docs: DataFrame, ranks_path: str, pattern: str, row: Callable, schema: pa.Schema, id_col: str, text_col: str,
              chunk_chars: int, overlap_chars: int) -> DataFrame:
     if overlap_chars >= chunk_chars:
@@ -216,13 +234,10 @@ def _encoded(docs: DataFrame, ranks_path: str, pattern: str, row: Callable, sche
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
     length, step = F.length("text"), chunk_chars - overlap_chars
     short = rows.filter(length <= chunk_chars).mapInArrow(_whole(make, row, schema), ddl(schema))
-    starts = F.sequence(F.lit(0), length - overlap_chars - 1, F.lit(step))
     chunks = (rows.filter(length > chunk_chars).withColumn("row", F.monotonically_increasing_id())
-              .select("row", "doc_id", "text", F.explode(starts).alias("start"))
-              .select("row", "doc_id", "start", F.col("text").substr(F.col("start") + 1, F.lit(chunk_chars)).alias("chunk"),
-                      (F.col("start") + chunk_chars >= length).alias("last"))
+              .mapInArrow(_cut(chunk_chars, step), "row bigint, doc_id bigint, start bigint, chunk string, last boolean")
               .repartition("row", "start"))
-    bounds = chunks.mapInArrow(_bounds(pattern), "row bigint, doc_id bigint, start int, chunk string, ends array<int>")
+    bounds = chunks.mapInArrow(_bounds(pattern), "row bigint, doc_id bigint, start bigint, chunk string, ends array<int>")
     return short.unionByName(bounds.groupBy("row").applyInArrow(_stitched(make, row, schema), ddl(schema)))
 
 
