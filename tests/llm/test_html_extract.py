@@ -1,4 +1,6 @@
 import html
+import math
+import random
 import re
 import time
 
@@ -36,6 +38,75 @@ def test_headers_of_the_page_go_and_those_of_the_article_stay():
     assert html_extract.main_text(inner) == "Head\nText."
 
 
+def test_several_articles_and_what_stands_beside_them():
+    long = "Words, of a part, that go on for a good while, so that it counts as text of the page. " * 2
+    page = (f"<main><article><p>One. {long}</p></article><article><p>Two. {long}</p></article><section><p>Three. {long}</p></section>"
+            f'<section id="comments"><article class="comment"><p>Mine. {long}</p></article></section><div class="related"><article><p>Teaser. {long}</p></article></div></main>')
+    text = html_extract.main_text(page)
+    assert [line.split(".")[0] for line in text.split("\n")] == ["One", "Two", "Three"]
+    assert html_extract.main_text("<main><article>one</article></main>") == "one"
+    assert html_extract.main_text('<form class="menu"><article><p>Held, by a form.</p></article></form>') == "Held, by a form."
+
+
+def test_class_words_inside_an_article():
+    keep = '<section class="legal-analysis"><p>Law.</p></section><p class="market share">Share.</p><h2 class="notice">Note.</h2>'
+    drop = ('<div class="advert-box"><p>Buy.</p></div><p class="ad">Buy.</p><div class="share-buttons"><a href=x>Share</a></div><div class="cookie-notice">Ok?</div>'
+            '<aside>Side.</aside><form>Ask.</form>')
+    links = "<ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul>"
+    assert html_extract.main_text(f"<article><p>Text.</p>{keep}{drop}{links}</article>") == "Text.\nLaw.\nShare.\nNote.\nFirst source\nSecond source"
+
+
+def test_points_against_a_recount_from_each_container():
+    rnd = random.Random(6)
+
+    def tree(depth):
+        out = ""
+        for _ in range(rnd.randint(1, 3)):
+            tag = rnd.choice(("div", "section", "span", "p", "td", "li")) if depth < 6 else "p"
+            inner = tree(depth + 1) if tag in ("div", "section", "span") else "text, " * rnd.randint(1, 60) + rnd.choice(("", "<a href=x>link, link</a>"))
+            out += f"<{tag}>{inner}</{tag}>"
+        return out
+
+    for _ in range(100):
+        nodes = html_extract.parse(tree(0))
+        html_extract._measure(nodes)
+        html_extract._pass_points(nodes)
+
+        def letters(node, linked=False):
+            return sum(len(x.strip()) if type(x) is str and linked else 0 if type(x) is str else letters(x, linked or x.tag == "a") for x in node.parts)
+
+        def recount(container, node, level):
+            total = 0.0
+            own = "".join(x for x in node.parts if type(x) is str)
+            paragraph = node.tag in ("p", "td")
+            block = node.tag in html_extract.BLOCKS or node.parent is None
+            if letters(node, True) and (paragraph or block and node.tag != "li" and own.strip()):
+                away = level - 1 if paragraph else level
+                if 0 <= away < 5:
+                    size = letters(node, True) if paragraph else len(own.strip())
+                    points = (1 + own.count(",") + min(size / 100, 3)) * (1 - letters(node) / letters(node, True))
+                    total += points / ((1, 2, 6, 9, 12)[away])
+            for x in node.parts:
+                if type(x) is not str:
+                    total += recount(container, x, level + (x.tag in html_extract.BLOCKS))
+            return total
+
+        for node in nodes:
+            if node.tag in html_extract.BLOCKS or node.parent is None:
+                assert math.isclose(node.score, recount(node, node, 0), abs_tol=1e-9)
+
+
+def test_deep_markup_takes_time_in_proportion():
+    def seconds(n):
+        page = "<p>" + "<span>" * (10 * n) + "<li>x, y</b></i>" * n + "<p>a, b" * n + "</u>" * n
+        began = time.process_time()
+        html_extract.main_text(page)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(8000) < 3.5 * seconds(4000)
+
+
 def test_awkward_pages():
     m = html_extract.main_text
     assert m("") == "" and m("<nav>x</nav>") == "" and m("plain  text &lt;") == "plain text <" and m("<p>a") == "a"

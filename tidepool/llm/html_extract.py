@@ -2,8 +2,9 @@
 
 Every paragraph passes points for its length and its commas to its ancestors, fewer the farther up
 and fewer the more of its text is links. The ancestor with the most points, discounted by its own
-link density, is the container of the article; siblings with enough points are kept with it. What
-the markup itself calls a menu, footer, sidebar, advert, notice, form or comment is left out.
+link density, or the article element around it, is the container; siblings with enough points are
+kept with it, other articles included. What the markup itself calls a menu, footer, sidebar, advert,
+notice, form or comment is left out; inside an article only what it calls nothing else.
 """
 
 from __future__ import annotations
@@ -48,25 +49,86 @@ JUNK_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adse
 HEADER_WORDS = frozenset("header topbar".split())
 ARTICLE_WORDS = frozenset("article post entry story content main page title section".split())
 WHOLE = frozenset("html body article main".split())
+ARTICLES = frozenset("article main".split())
+#: Paragraphs and headings, whose class counts for adverts only; words that say of a class how it looks. Fixed values.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+AD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored".split())
+LAYOUT_WORDS = frozenset("area article bar block bottom box button buttons container entry form icon icons inner item items left link links list "
+                         "outer panel post right section top wrap wrapper".split())
+ENDABLE = frozenset(t for tags in ENDED_BY_SAME.values() for t in tags.split()) | {"p"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "parts", "chars", "linked", "score", "junk", "holds")
+    __slots__ = ("tag", "attrs", "parent", "block", "inside", "parts", "chars", "linked", "score", "junk", "holds")
 
     def __init__(self, tag: str, attrs: str, parent):
         self.tag, self.attrs, self.parent = tag, attrs, parent
+        #: the nearest block around the node, and whether an article is
+        self.block = None if parent is None else parent if parent.parent is None or parent.tag in BLOCKS else parent.block
+        self.inside = parent is not None and (parent.inside or parent.tag in ARTICLES)
         self.parts: list = []
         self.chars = self.linked = 0
         self.score = 0.0
         self.junk = self.holds = False
 
 
+class OpenElements:
+    """The elements that are open, innermost last, and where those of each tag, those that bound a
+    search and those that another tag may end lie, so that no search walks through inline elements."""
+
+    def __init__(self, root: Node):
+        self.stack, self.marks, self.scopes = [root], [], []
+        self.by_tag: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        at, tag = len(self.stack), node.tag
+        self.stack.append(node)
+        self.by_tag.setdefault(tag, []).append(at)
+        if tag in SCOPES:
+            self.scopes.append(at)
+        if tag in SCOPES or tag in ENDABLE:
+            self.marks.append(at)
+
+    def close_from(self, at: int) -> None:
+        """Close the element at this place and all inside it."""
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.by_tag[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+            if tag in SCOPES or tag in ENDABLE:
+                self.marks.pop()
+
+    def end_tag(self, tag: str) -> None:
+        found = self.by_tag.get(tag)
+        # an end tag of an inline element does not close the blocks around it
+        if found and (tag in BLOCKS or not self.scopes or found[-1] > self.scopes[-1]):
+            self.close_from(found[-1])
+
+    def end_before(self, tag: str) -> None:
+        """Close what the start of ``tag`` ends: paragraphs, and items or cells of its kind."""
+        if not (tag in CLOSES_P and self.by_tag.get("p") or tag in ENDED_BY_SAME):
+            return
+        ended = ENDED_BY_SAME.get(tag, "p").split()
+        if tag in CLOSES_P:
+            ended.append("p")
+        k = len(self.marks) - 1
+        while k >= 0:
+            at = self.marks[k]
+            if self.stack[at].tag in ended:
+                self.close_from(at)
+                k = len(self.marks)
+            elif self.stack[at].tag in SCOPES:
+                break
+            k -= 1
+
+
 def parse(page: str) -> list[Node]:
     """The nodes of a page in document order, the root first; tolerant of unclosed and stray tags."""
     root = Node("#root", "", None)
-    nodes, top, at, n = [root], root, 0, len(page)
-    open_p = 0
+    nodes, opened, at, n = [root], OpenElements(root), 0, len(page)
     while at < n:
+        top = opened.stack[-1]
         m = MARKUP.search(page, at)
         if m is None:
             top.parts.append(html.unescape(page[at:]))
@@ -77,38 +139,16 @@ def parse(page: str) -> list[Node]:
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if m[1]:
-            if tag == "br":
-                top.parts.append(" ")
-            node = top
-            # an end tag of an inline element does not close the blocks around it
-            while node is not root and node.tag != tag and (tag in BLOCKS or node.tag not in SCOPES):
-                node = node.parent
-            if node is not root and node.tag == tag:
-                while top is not node:
-                    open_p -= top.tag == "p"
-                    top = top.parent
-                open_p -= tag == "p"
-                top = node.parent
-            continue
-        if (tag in CLOSES_P and open_p) or tag in ENDED_BY_SAME:
-            ended = ENDED_BY_SAME.get(tag, "p").split()
-            if tag in CLOSES_P:
-                ended.append("p")
-            node = top
-            while node is not root:
-                if node.tag in ended:
-                    while top is not node.parent:
-                        open_p -= top.tag == "p"
-                        top = top.parent
-                    node = top
-                    continue
-                if node.tag in SCOPES:
-                    break
-                node = node.parent
         if tag == "br":
-            top.parts.append(" ")
+            if not m[1]:
+                opened.end_before(tag)
+            opened.stack[-1].parts.append(" ")
+            continue
+        if m[1]:
+            opened.end_tag(tag)
             continue
+        opened.end_before(tag)
+        top = opened.stack[-1]
         node = Node(tag, m[3], top)
         top.parts.append(node)
         nodes.append(node)
@@ -118,32 +158,43 @@ def parse(page: str) -> list[Node]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        open_p += tag == "p"
-        top = node
+        opened.push(node)
     return nodes
 
 
-def _in_article(node: Node) -> bool:
-    at = node.parent
-    while at is not None and at.tag not in ("article", "main"):
-        at = at.parent
-    return at is not None
+def _is_furniture(names: str) -> bool:
+    """Whether one of the names of a class or id says nothing but that the element is none of the article."""
+    words = (frozenset(TOKEN.findall(name)) for name in names.split())
+    return any(w & JUNK_WORDS and w <= JUNK_WORDS | LAYOUT_WORDS for w in words)
 
 
 def is_junk(node: Node) -> bool:
-    """Whether the markup itself says that the node is not part of the article."""
+    """Whether the markup itself says that the node is not part of the article.
+
+    Inside an article, and of an article itself, a class or id counts only if one of its names has
+    no other meaning (``advert-box``, not ``legal-analysis``); that of a paragraph or heading counts
+    only for adverts.
+    """
     if node.tag in JUNK_TAGS:
         return True
-    if node.tag == "header" and not _in_article(node):
+    if node.tag == "header" and not node.inside:
         return True
-    if not node.attrs or node.tag in WHOLE:
+    if not node.attrs or node.tag in WHOLE and node.tag != "article":
         return False
     for name, value in ATTRIBUTE.findall(node.attrs):
         name, value = name.lower(), html.unescape(value.strip("\"'")).lower()
         if name in ("class", "id"):
             words = frozenset(TOKEN.findall(value))
-            if words & JUNK_WORDS or words & HEADER_WORDS and not words & ARTICLE_WORDS and not _in_article(node):
+            if node.tag in TEXT_TAGS:
+                if words & AD_WORDS and _is_furniture(value):
+                    return True
+            elif node.inside or node.tag == "article":
+                if words & JUNK_WORDS and _is_furniture(value):
+                    return True
+            elif words & JUNK_WORDS or words & HEADER_WORDS and not words & ARTICLE_WORDS:
                 return True
+        if node.tag == "article":
+            continue
         if name == "role" and value in JUNK_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -153,11 +204,16 @@ def is_junk(node: Node) -> bool:
 
 def _measure(nodes: list[Node]) -> None:
     """Junk, text lengths and linked text lengths, bottom up."""
-    for node in reversed(nodes):
-        if node.parent is not None and (node.holds or node.tag in ("article", "main")):
-            node.parent.holds = True
     for node in nodes:
-        node.junk = (node.parent is not None and node.parent.junk) or (not (node.holds or node.tag in WHOLE) and is_junk(node)) or node.tag == "head"
+        node.junk = node.parent is not None and (node.parent.junk or is_junk(node))
+    articles = [x for x in nodes if x.tag in ARTICLES]
+    if articles and all(x.junk for x in articles):
+        # what the markup says would leave no article: it does not count around one
+        for node in reversed(nodes):
+            if node.parent is not None and (node.holds or node.tag in ARTICLES):
+                node.parent.holds = True
+        for node in nodes:
+            node.junk = node.parent is not None and (node.parent.junk or node.tag == "head" or not (node.holds or node.tag in WHOLE) and is_junk(node))
     for node in reversed(nodes):
         if node.junk:
             continue
@@ -179,7 +235,7 @@ def _pass_points(nodes: list[Node]) -> None:
             continue
         own = "".join(p for p in node.parts if type(p) is str)
         if node.tag in ("p", "pre", "td", "blockquote"):
-            size, commas, at = node.chars, own.count(","), node.parent
+            size, commas, at = node.chars, own.count(","), node.block
         elif node.tag in BLOCKS or node.tag == "#root":
             size = len(own.strip())
             if not size or node.tag in ("li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd"):
@@ -189,10 +245,8 @@ def _pass_points(nodes: list[Node]) -> None:
             continue
         points, level = (1 + commas + min(size / 100, 3)) * (1 - link_density(node)), 0
         while at is not None and level < 5:
-            if at.tag in BLOCKS or at.tag == "#root":
-                at.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                level += 1
-            at = at.parent
+            at.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
+            at, level = at.block, level + 1
 
 
 def _container(nodes: list[Node]) -> Node | None:
@@ -202,10 +256,10 @@ def _container(nodes: list[Node]) -> Node | None:
             best, most = node, node.score * (1 - link_density(node))
     if best is None:
         held = [x for x in nodes if not x.junk and x.chars and x.tag in ("article", "main", "body", "#root")]
-        return max(held, key=lambda x: (x.tag in ("article", "main"), -x.linked, x.chars), default=None)
+        return max(held, key=lambda x: (x.tag in ARTICLES, -x.linked, x.chars), default=None)
     at = best
     while at is not None:  # a section of an article stands for the article
-        if at.tag in ("article", "main"):
+        if at.tag in ARTICLES:
             return at
         at = at.parent
     return best
@@ -213,7 +267,7 @@ def _container(nodes: list[Node]) -> Node | None:
 
 def _kept(best: Node) -> list[Node]:
     """The container and those siblings that look like it, in page order."""
-    if best.parent is None or best.tag in ("article", "main", "body"):
+    if best.parent is None or best.tag in ("main", "body"):
         return [best]
     least = max(2.0, 0.2 * best.score)
     return [x for x in best.parent.parts if type(x) is Node and not x.junk and (
@@ -221,7 +275,7 @@ def _kept(best: Node) -> list[Node]:
 
 
 def _is_menu(node: Node) -> bool:
-    return node.tag in ("ul", "ol", "dl") and link_density(node) > 0.66 and node.linked > 0
+    return not node.inside and node.tag in ("ul", "ol", "dl") and link_density(node) > 0.66 and node.linked > 0
 
 
 def blocks_of(kept: list[Node]) -> list[str]:
