@@ -129,3 +129,12 @@ def test_query_finds_the_planted_passages(spark):
     shared = {s for _, b in items for s in zip(*(words_of(b)[k:] for k in range(5)))}
     near = [(i, t) for i, t in rows if any(s in shared for s in zip(*(words_of(t)[k:] for k in range(5))))]
     assert found == set(brute(near[:40], items)) | {f for f in found if f[0] not in {i for i, _ in near[:40]}}
+
+
+def test_items_repeated_beyond_a_block(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs, items = documents(spark, [(1, f"so {text} it is"), (2, "nothing of it")]), benchmark(spark, [(5, text)] * 300 + [(6, text), (None, text)])
+    assert len(D.item_blocks(items.select("item_id", "text"), 200)) < 8
+    found = Counter(r.item_id for r in D.find_leaks(docs, items, block_bytes=200).collect())
+    assert found == {5: 300, 6: 1, None: 1}
+    assert [r.doc_id for r in D.without_leaks(docs, items, block_bytes=200).collect()] == [2]

@@ -96,7 +96,7 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
 class SizeIndex:
     """The items of one number of words: their shingles and Hamming blocks of their fingerprints."""
 
-    def __init__(self, n_words: int, k: int, items: list[tuple[int | None, np.ndarray]], radius: int, blocks: int):
+    def __init__(self, n_words: int, k: int, items: list[tuple[tuple, np.ndarray]], radius: int, blocks: int):
         self.n_words, self.k, self.size, self.radius = n_words, k, n_words - k + 1, radius
         self.ids = [i for i, _ in items]
         self.weights = [Counter(h.tolist()) for _, h in items]
@@ -123,7 +123,7 @@ class SizeIndex:
 class BenchmarkIndex:
     """All sizes of one block of items, and a filter for their shingles."""
 
-    def __init__(self, items: list[tuple[int | None, str]], k: int, radius: int, blocks: int):
+    def __init__(self, items: list[tuple[tuple, str]], k: int, radius: int, blocks: int):
         hash_words, by_size = WordHashes(), {}
         for item_id, text in items:
             words = hash_words(text)
@@ -141,8 +141,8 @@ class BenchmarkIndex:
             table[known >> np.uint64(64 - FILTER_BITS)] = True
             self.filters[short] = (known, table)
 
-    def leaks(self, words: np.ndarray, similarity: float) -> list[tuple[int | None, float, int, int]]:
-        """(item, similarity, first word, words) of the best window of each item found in a document."""
+    def leaks(self, words: np.ndarray, similarity: float) -> list[tuple[tuple, float, int, int]]:
+        """((item, times), similarity, first word, words) of the best window of each item found in a document."""
         out = []
         for k, indexes in self.sizes.items():
             hashes = shingles(words, k)
@@ -160,7 +160,7 @@ class BenchmarkIndex:
         return out
 
     @staticmethod
-    def _of_short(index: SizeIndex, hashes: np.ndarray, own: np.ndarray, similarity: float) -> list[tuple[int | None, float, int, int]]:
+    def _of_short(index: SizeIndex, hashes: np.ndarray, own: np.ndarray, similarity: float) -> list[tuple[tuple, float, int, int]]:
         """The same for a document with fewer words than the items: it is one window."""
         # shared / (len(hashes) + size - shared) >= similarity needs so many shared shingles
         if len(own) < similarity * (len(hashes) + index.size) / (1 + similarity) - 1e-9:
@@ -170,7 +170,7 @@ class BenchmarkIndex:
         return [(item, x, 0, len(hashes) + index.k - 1) for item, x in zip(index.ids, found) if x and x >= similarity]
 
     @staticmethod
-    def _of_size(index: SizeIndex, hashes: np.ndarray, own: np.ndarray, similarity: float) -> list[tuple[int | None, float, int, int]]:
+    def _of_size(index: SizeIndex, hashes: np.ndarray, own: np.ndarray, similarity: float) -> list[tuple[tuple, float, int, int]]:
         covered = np.zeros(len(hashes) - index.size + 2, dtype=np.int64)
         np.add.at(covered, np.clip(own - index.size + 1, 0, len(covered) - 1), 1)
         np.add.at(covered, np.clip(own + 1, 0, len(covered) - 1), -1)
@@ -195,15 +195,17 @@ def _match(items, k: int, radius: int, blocks: int, similarity: float):
         hash_words, index = WordHashes(), None
         for batch in batches:
             index = index or BenchmarkIndex(items.value, k, radius, blocks)
-            out = [(doc_id, *leak) for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
-                   for leak in index.leaks(hash_words(text), similarity)]
+            out = [(doc_id, item_id, *leak) for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
+                   for (item_id, times), *leak in index.leaks(hash_words(text), similarity) for _ in range(times)]
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(LEAKS), LEAKS)], schema=LEAKS)
 
     return run
 
 
 def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
-    """The items in blocks of about ``block_bytes`` of text; the sizes are counted, not guessed."""
+    """The items, each once with the number of its rows (``times``), in blocks of about ``block_bytes``
+    of text; the sizes are counted, not guessed."""
+    benchmark = benchmark.groupBy("item_id", "text").agg(F.count("*").alias("times"))
     blocks = max(1, -(-int(benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]) // block_bytes))
     while True:
         dealt = benchmark.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
@@ -236,7 +238,7 @@ def _broadcast_blocks(spark: SparkSession, benchmark: DataFrame, item_col: str,
     if 64 % blocks or not 0 <= radius < 64:
         raise ValueError("the number of blocks must divide 64, the radius must be below 64")
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), text_of(item_text_col).alias("text"))
-    return [spark.sparkContext.broadcast(sorted(map(tuple, block.collect()), key=str)) for block in item_blocks(items, block_bytes)]
+    return [spark.sparkContext.broadcast(sorted((((r["item_id"], r["times"]), r["text"]) for r in block.collect()), key=str)) for block in item_blocks(items, block_bytes)]
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
