@@ -1,7 +1,10 @@
 import hashlib
 import itertools
 import math
+import random
 import re
+import string
+import time
 
 from tidepool.llm import secrets
 
@@ -63,12 +66,34 @@ def test_segmentation_is_the_cheapest():
         best = math.inf
         for cuts in itertools.product((0, 1), repeat=n - 1):
             ends = [0, *(i + 1 for i, c in enumerate(cuts) if c), n]
-            total = sum(secrets.SEGMENT_BITS + min(sum(map(secrets.char_bits, value[a:b])), prices.get((a, b), math.inf)) for a, b in zip(ends, ends[1:]))
+            total = sum(secrets.SEGMENT_BITS + min((b - a) * secrets.char_bits(value), prices.get((a, b), math.inf)) for a, b in zip(ends, ends[1:]))
             best = min(best, total)
         bits, segments = cost(value)
         assert math.isclose(bits, best) and "".join(value[a:b] for a, b, _ in segments) == value
 
 
+def test_random_values_are_found_and_words_are_not(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("text")
+    counts = secrets.count_letters(docs.na.fill(""))
+    texts = [r.text or "" for r in docs.collect()]
+    assert counts.sum() >= sum(len(t.encode()) for t in texts)
+    assert counts[(20 * 27 + 8) * 27 + 5] == sum(len(re.findall("(?=the)", t, re.I | re.A)) for t in texts)
+    cost, rnd = secrets.GuessCost(secrets.letter_bits(counts)), random.Random(8)
+    for alphabet, size, least in ((string.ascii_letters + string.digits, 10, 0.97), (string.ascii_letters + string.digits, 12, 0.99),
+                                  (string.ascii_lowercase, 12, 0.9), (string.ascii_lowercase, 16, 0.95), (string.ascii_lowercase, 20, 0.97)):
+        values = ["".join(rnd.choice(alphabet) for _ in range(size)) for _ in range(500)]
+        assert sum(cost(v)[0] >= secrets.GUESS_BITS for v in values) >= least * 500, (size, alphabet)
+    words = [w for t in texts for w in re.findall(r"\b[a-z]{8,14}\b", t)][:2000]
+    assert sum(cost(w)[0] >= secrets.GUESS_BITS for w in words) < 0.02 * len(words)
+
+
+def test_values_beside_many_base_spans():
+    text = "deadbeefdeadbeef pwd: x9K!f2Lq#8vZ@w1 " * 4000
+    base, began = secrets.base_spans(text), time.process_time()
+    spans, _ = secrets.guess_spans(text[:-1], base, lambda value: (60.0, []), secrets.GUESS_BITS)
+    assert len(base) == len(spans) == 4000 and time.process_time() - began < 1
+
+
 def test_query_against_brute_force(spark):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     found = secrets.op1_secret_scan(spark, SF_SMALL).collect()

@@ -4,7 +4,9 @@ The base patterns find assignments, access keys and long hex runs. The method ad
 stand in a credential context (``pwd = ...``, ``auth: ...``) and are hard to guess: a dynamic
 programme finds the cheapest segmentation of the value into dictionary words, dates, repeats,
 keyboard walks and brute-force spans, in bits, and a value whose cheapest explanation is still dear
-is a secret; one that is made of words, dates and walks is a placeholder.
+is a secret; one that is made of words, dates and walks is a placeholder. Words that are not in the
+short list are priced by the letters of the corpus itself: how often each letter follows the two
+before it in all documents, a table of fixed size however large the corpus is.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ import hashlib
 import math
 import re
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -42,18 +46,51 @@ WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqr
 LEET = str.maketrans("4@831|05$7+", "aabeiiosstt")
 SEGMENT_BITS = 1.0  # for saying where the next segment starts and of which kind it is
 GUESS_BITS = 48.0
+MIN_VALUE = 8
+TRIPLES = 27 ** 3
+COUNTED_BYTES = 1 << 20  # at a time, so that a task's arrays stay small
+LETTERS = np.zeros(256, dtype=np.uint16)
+LETTERS[97:123] = LETTERS[65:91] = np.arange(1, 27)
 REPEAT_UNIT = 8
 SPANS = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()),
                    ("base_sha256", pa.string()), ("spans", pa.string()), ("n_guess", pa.int64()), ("max_guess_bits", pa.float64())])
 
 
-def char_bits(c: str) -> float:
-    """Bits of one brute-force character: its class's alphabet."""
-    if c.isdigit():
-        return math.log2(10)
-    if "a" <= c <= "z" or "A" <= c <= "Z":
-        return math.log2(26)
-    return math.log2(33) if c.isascii() else math.log2(1 << 12)
+def char_bits(value: str) -> float:
+    """Bits of one brute-force character of a value: the alphabets of all classes that it uses."""
+    size = 10 * any("0" <= c <= "9" for c in value) + 26 * any("a" <= c <= "z" for c in value) + 26 * any("A" <= c <= "Z" for c in value)
+    size += 33 * any(c.isascii() and not c.isalnum() for c in value) + (1 << 12) * (not value.isascii())
+    return math.log2(max(2, size))
+
+
+def letter_triples(raw: bytes) -> np.ndarray:
+    """The numbers of all triples of bytes, each 1 to 26 for a letter of either case and 0 for any other."""
+    codes = LETTERS[np.frombuffer(raw, dtype=np.uint8)]
+    return (codes[:-2] * 27 + codes[1:-1]) * 27 + codes[2:]
+
+
+def count_letters(texts: DataFrame) -> np.ndarray:
+    """How often each triple of letters (or other) stands in all the texts: 27 to the third counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(TRIPLES, dtype=np.int64)
+        for batch in batches:
+            raw = "  ".join(["", *batch.column("text").to_pylist(), ""]).encode()
+            for at in range(0, len(raw) - 2, COUNTED_BYTES):
+                total += np.bincount(letter_triples(raw[at:at + COUNTED_BYTES + 2]), minlength=TRIPLES)
+        seen = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["triple", "n"])
+
+    counts = np.zeros(TRIPLES, dtype=np.int64)
+    for r in texts.mapInArrow(run, "triple bigint, n bigint").groupBy("triple").agg(F.sum("n").alias("n")).collect():
+        counts[r["triple"]] = r["n"]
+    return counts
+
+
+def letter_bits(counts: np.ndarray) -> np.ndarray:
+    """Bits of each letter after the two before it, smoothed by half a count."""
+    n = counts.reshape(-1, 27) + 0.5
+    return (np.log2(n.sum(axis=1, keepdims=True)) - np.log2(n)).ravel()
 
 
 def _word_ranks() -> dict[str, float]:
@@ -87,25 +124,20 @@ def _date_bits(s: str) -> float | None:
     return math.log2(366 * 150) + (2 if m else 0)
 
 
-def pronounceable_bits(run: str) -> float | None:
-    """Bits of a run of letters that reads like a word of some language: two a letter."""
-    vowels = sum(c in "aeiouyAEIOUY" for c in run)
-    calm = run[1:].islower() or run.isupper()
-    return 2.0 * len(run) + (0 if run.islower() else 1) if calm and len(run) >= 3 and 0.2 <= vowels / len(run) <= 0.65 else None
-
-
 class GuessCost:
     """Minimum-cost segmentation of a value, in bits; linear in its length, as every kind of
-    segment but the brute-force span has a bounded length or is found by its run."""
+    segment but the brute-force span has a bounded length or is found by its run. ``letters`` are the
+    bits of letter triples (:func:`letter_bits`); without them only listed words are words."""
 
-    def __init__(self) -> None:
+    def __init__(self, letters: np.ndarray | None = None) -> None:
+        self.letters = letters
         self.words, self.steps = _word_ranks(), _walk_steps()
         self.longest = max(map(len, self.words))
 
     def _segments(self, value: str) -> dict[int, list[tuple[int, float, str]]]:
-        """By end: (start, bits, kind) of words, dates, walks, repeats and pronounceable runs."""
+        """By end: (start, bits, kind) of words, dates, walks, repeats and runs of letters in one case."""
         found: dict[int, list[tuple[int, float, str]]] = {}
-        low, n = value.lower(), len(value)
+        low, n, char = value.lower(), len(value), char_bits(value)
         plain = low.translate(LEET) if len(low) == n else low
         if len(low) != n:  # a character whose lower case is longer: leave the case as it is
             low = plain = value
@@ -142,16 +174,16 @@ class GuessCost:
                     b += 1
                 times = (b - a) // unit
                 if times >= 2 and times * unit >= 3:
-                    add(a, a + times * unit, sum(map(char_bits, value[a:a + unit])) + math.log2(times), "repeat")
+                    add(a, a + times * unit, unit * char + math.log2(times), "repeat")
                 a = max(a + 1, b - unit + 1)
-        for m in re.finditer(r"[A-Za-z]{3,}", value):
-            if (bits := pronounceable_bits(m[0])) is not None:
-                add(m.start(), m.end(), bits, "word")
+        if self.letters is not None:
+            for m in re.finditer(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}", value):
+                add(m.start(), m.end(), float(self.letters[letter_triples(f"  {m[0]} ".encode())].sum()) + (not m[0].islower()), "word")
         return found
 
     def __call__(self, value: str) -> tuple[float, list[tuple[int, int, str]]]:
         """(bits, segments as (start, end, kind)) of the cheapest segmentation."""
-        n, found = len(value), self._segments(value)
+        n, found, char = len(value), self._segments(value), char_bits(value)
         # closed[i]: cheapest for value[:i] with a segment ending there; brute[i]: inside a brute-force span
         closed, brute = [0.0] + [math.inf] * n, [math.inf] * (n + 1)
         how: list[tuple[int, str]] = [(0, "")] * (n + 1)
@@ -159,7 +191,7 @@ class GuessCost:
         for i in range(1, n + 1):
             fresh = closed[i - 1] + SEGMENT_BITS
             since[i] = i - 1 if fresh < brute[i - 1] else since[i - 1]
-            brute[i] = min(fresh, brute[i - 1]) + char_bits(value[i - 1])
+            brute[i] = min(fresh, brute[i - 1]) + char
             closed[i], how[i] = brute[i], (since[i], "brute")
             for a, bits, kind in found.get(i, ()):
                 if closed[a] + SEGMENT_BITS + bits < closed[i]:
@@ -184,15 +216,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, base: list[tuple[int, int, int]], cost: GuessCost, min_bits: float) -> tuple[list[tuple[int, int, int]], float]:
-    """Values in a credential context, clear of base spans, that cost ``min_bits`` or more to guess;
-    and the dearest cost of all the values."""
+    """Values of 8 characters or more in a credential context, clear of base spans, that cost
+    ``min_bits`` or more to guess; and the dearest cost of all the values."""
     spans, dearest = [], 0.0
     if ":" not in text and "=" not in text:
         return spans, dearest
+    starts, ends = [], []  # the base spans, joined where they touch
+    for x, _, y in base:
+        if ends and x <= ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            starts.append(x)
+            ends.append(y)
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".,;:!?)]}")
         a, b = m.start(1), m.start(1) + len(value)
-        if len(value) < 8 or any(x < b and a < y for x, _, y in base):
+        before = bisect_left(starts, b)
+        if len(value) < MIN_VALUE or before and ends[before - 1] > a:
             continue
         bits, _ = cost(value)
         dearest = max(dearest, bits)
@@ -205,9 +245,9 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{a}:{b}" for a, kind, b in spans)
 
 
-def _scan(min_bits: float):
+def _scan(min_bits: float, letters: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = GuessCost()
+        cost = GuessCost(letters)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -224,11 +264,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Secrets in each whole text: one row per input row, repeated rows included.
 
     ``spans`` lists kind:start:end in code points (end exclusive) by start, then kind; ``n_guess``
-    counts those that the guess cost added. A null or empty text has no spans (an empty string); a
+    counts those that the guess cost added, values of :data:`MIN_VALUE` characters or more that cost
+    ``min_bits``; all documents are read once before, for their letters. A null or empty text has no spans (an empty string); a
     null id is kept; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(_scan(min_bits), ddl(SPANS))
+    return rows.mapInArrow(_scan(min_bits, letter_bits(count_letters(rows.select("text")))), ddl(SPANS))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
