@@ -45,6 +45,8 @@ LOWEST = -(1 << 63)  # a null id, below every other
 HOT_SLOTS = 1 << 16
 #: Copies of one hash that a folding group takes however long they are; a hash with no more is not folded.
 FOLD = 8
+#: Buckets are so many times finer than a table, as many small ones fill the tasks more evenly than a few large ones.
+FINE = 16
 
 
 class TextTable:
@@ -230,7 +232,7 @@ def _split_buckets(records: DataFrame, table_bytes: int, max_depth: int) -> tupl
     the first level.
     """
     total = records.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    fan_out = max(2, -(-2 * int(total) // table_bytes))
+    fan_out = max(2, -(-2 * FINE * int(total) // table_bytes))
     frame = records.withColumn("bucket", F.pmod(F.xxhash64(F.lit(0), "hash"), F.lit(fan_out)))
     for depth in range(1, max_depth + 1):
         sizes = frame.groupBy("bucket").agg(F.sum("n_bytes").alias("held"), F.min("hash").alias("lo"), F.max("hash").alias("hi"))
@@ -266,7 +268,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     records, links = _fold_hot(records, folder, table_bytes, hash_of)
     dealt, fan_out = _split_buckets(records, table_bytes, max_depth)
     groups = (dealt.select("bucket", "record", "text", "n_rows", "max_id")
-              .repartition(max(default_partitions(spark), fan_out // 2), "bucket")
+              .repartition(max(default_partitions(spark), fan_out // (2 * FINE)), "bucket")
               .groupBy("bucket").applyInArrow(_compare(hash_of), ddl(GROUPS)))
     rows = members.select("record", "doc_id", "top")
     if links is None:
