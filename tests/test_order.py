@@ -142,3 +142,15 @@ def test_index_over_other_types_and_extreme_values(spark):
         idx, _ = with_row_index(df, [key, "id"], num_partitions=4)
         naive = df.withColumn("rn", F.row_number().over(Window.orderBy(key, "id")) - 1)
         assert idx.join(naive, "id").where("rn <> row_idx").count() == 0
+
+
+def test_backward_fill_reads_no_row_twice(spark):
+    """A frame up to the end of its bucket is evaluated anew for each row, quadratic in the bucket."""
+    rows = spark.range(300).select("id", (F.col("id") % 3).alias("k"), F.when(F.col("id") % 11 == 4, F.col("id")).alias("v"), F.when(F.col("id") % 7 == 1, F.col("id")).alias("w"))
+    idx, _ = with_row_index(rows, ["k", "id"], num_partitions=5)
+    after, before = (Window.partitionBy("k").orderBy("id").rowsBetween(*s) for s in ((0, Window.unboundedFollowing), (Window.unboundedPreceding, 0)))
+    want = sorted(map(tuple, rows.select("id", F.first("v", True).over(after), F.last("w", True).over(before)).collect()))
+    both = fill_ordered(idx, ["w"], partition_by=["k"], bucket_rows=13, backward_columns=["v"])
+    assert sorted(map(tuple, both.select("id", "v", "w").collect())) == want
+    for out in (both, fill_ordered(idx, ["v"], backward=True, bucket_rows=13)):
+        assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -312,13 +312,14 @@ def _fill_pass(data: DataFrame, out_columns: Sequence[str], fwd: Sequence[str],
                index_col: str, pb: list[str], b: str) -> DataFrame:
     """One bucketed pass filling ``fwd`` columns forward and ``bwd`` columns backward.
 
-    Both directions share the per-bucket window (one Window operator, two frames), one carry
-    aggregate, one window over the carry table and one join.
+    Both directions share the exchange into buckets, one carry aggregate and one join. A backward fill
+    is a forward fill of the descending order: a frame that ends with its partition is evaluated anew
+    for every row, one that begins with it grows.
     """
     grp = pb + [b]
     w_sorted = Window.partitionBy(*grp).orderBy(index_col)
     w_fwd = w_sorted.rowsBetween(Window.unboundedPreceding, 0)
-    w_bwd = w_sorted.rowsBetween(0, Window.unboundedFollowing)
+    w_bwd = Window.partitionBy(*grp).orderBy(F.col(index_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
 
     # carry table: per (series, bucket) the last non-null value (forward) and the first (backward)
     def tagged(c: str) -> Column:
@@ -329,16 +330,16 @@ def _fill_pass(data: DataFrame, out_columns: Sequence[str], fwd: Sequence[str],
         *[F.min(tagged(c)).getField("v").alias(f"_tp_lb_{c}") for c in bwd],
     )
     w_cf = Window.partitionBy(*pb).orderBy(F.col(b)).rowsBetween(Window.unboundedPreceding, -1)
-    w_cb = Window.partitionBy(*pb).orderBy(F.col(b)).rowsBetween(1, Window.unboundedFollowing)
+    w_cb = Window.partitionBy(*pb).orderBy(F.col(b).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = carry.select(
         *[F.col(k).alias(f"_tp_ck_{k}") for k in grp],
         *[F.last(f"_tp_lf_{c}", True).over(w_cf).alias(f"_tp_if_{c}") for c in fwd],
-        *[F.first(f"_tp_lb_{c}", True).over(w_cb).alias(f"_tp_ib_{c}") for c in bwd],
+        *[F.last(f"_tp_lb_{c}", True).over(w_cb).alias(f"_tp_ib_{c}") for c in bwd],
     )
     local = data.select(
         *[F.col(c) for c in data.columns],
         *[F.last(c, True).over(w_fwd).alias(f"_tp_f_{c}") for c in fwd],
-        *[F.first(c, True).over(w_bwd).alias(f"_tp_b_{c}") for c in bwd],
+        *[F.last(c, True).over(w_bwd).alias(f"_tp_b_{c}") for c in bwd],
     )
     cond = [local[k].eqNullSafe(carry[f"_tp_ck_{k}"]) for k in grp]
     joined = local.join(carry, cond, "left")
