@@ -118,3 +118,22 @@ def test_saved_boosters_are_told_from_pipelines(spark, tmp_path):
                            [r.yhat for r in models.predict(models.load_model(path), df).orderBy("id").collect()],
                            [r.yhat for r in models.predict(model, df).orderBy("id").collect()])
     assert models.load_model(str(tmp_path / "none")) is None
+
+
+def test_many_rows_are_dealt_to_all_tasks_and_older_margins_dropped(spark, monkeypatch):
+    """Rows of one split are dealt anew; a round's margins are stored, the round before is dropped."""
+    from pathlib import Path
+
+    from tidepool import session
+    from tidepool.operators import boosting
+
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100, raising=False)
+    folders = []
+    monkeypatch.setattr(boosting, "scratch_folder", lambda s: folders.append(session.scratch_folder(s)) or folders[-1])
+    rnd = np.random.default_rng(8)
+    x = rnd.integers(0, 12, (500, 3)).astype(float)
+    y = x[:, 0] * 2 - (x[:, 1] > 5) * 7 + rnd.normal(size=500)
+    df, p = table(spark, x, y).coalesce(1), BoostParams(n_estimators=3, max_depth=2, learning_rate=0.5)
+    assert np.allclose(scores(fit_boosted(df, "regression", p), df), brute_boost(x, y, p))
+    kept = list(Path(folders[0].removeprefix("file:")).iterdir())
+    assert [f.name for f in kept if f.is_dir()] == ["rows-2"] and len(list(Path(folders[0].removeprefix("file:"), "rows-2").glob("part-*"))) > 1

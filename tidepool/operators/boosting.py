@@ -5,14 +5,14 @@ gradient, Hessian and rows per (class, node, feature, bin) in each task; the sum
 (class, node, block of features), where the best split is found, so that only one row for each of those
 reaches the driver. All classes of a round grow their trees in the same passes. A split's gain is
 ``GL^2/(HL+lambda) + GR^2/(HR+lambda) - G^2/(H+lambda)``, a leaf's value ``-G/(H+lambda)`` times the
-learning rate. Margins are stored again every few rounds, so a pass applies a bounded number of trees.
+learning rate. Margins are stored again after every round, so that a pass applies the growing trees only.
 """
 
 from __future__ import annotations
 
 import json
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions.columns import list_matrix
-from tidepool.session import scratch_folder
+from tidepool.session import drop_folder, learner_tasks, scratch_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_BINS, BLOCK_FEATURES, STORE_ROUNDS = 256, 64, 10
+MAX_BINS, BLOCK_FEATURES = 256, 64
 
 
 @dataclass(frozen=True)
@@ -70,16 +70,26 @@ class Tree:
             column.extend([empty, empty])
         return left, left + 1
 
-    def leaves(self, columns: np.ndarray, cuts: list) -> np.ndarray:
-        """The node that each row (binned, or with its values) ends in, by ``cuts``."""
-        feature, cut, left = np.array(self.feature), np.array(cuts), np.array(self.left)
-        at = np.zeros(len(columns), dtype=np.int64)
-        while True:
-            inner = np.flatnonzero(feature[at] >= 0)
-            if not len(inner):
-                return at
-            here = at[inner]
-            at[inner] = left[here] + (columns[inner, feature[here]] > cut[here])
+    def walker(self, cuts: list, top: float) -> Callable[[np.ndarray], np.ndarray]:
+        """A function that gives the node each row (binned, or with its values) ends in, by ``cuts``. A leaf
+        leads to itself, as no value is above ``top``; so all rows take as many steps as the tree is deep."""
+        nodes, inner = np.arange(len(self.feature), dtype=np.int32), np.array(self.feature) >= 0
+        feature, left = np.where(inner, self.feature, 0).astype(np.int32), np.where(inner, self.left, nodes).astype(np.int32)
+        cut, depth = np.where(inner, cuts, top), np.zeros(len(nodes), dtype=np.int32)
+        for node in np.flatnonzero(inner):  # children stand behind their parent
+            depth[left[node]] = depth[left[node] + 1] = depth[node] + 1
+
+        def walk(columns: np.ndarray) -> np.ndarray:
+            at, flat = np.zeros(len(columns), dtype=np.int32), np.ascontiguousarray(columns).reshape(-1)
+            first = np.arange(len(columns), dtype=np.int64) * columns.shape[1]
+            for _ in range(depth.max()):
+                at = left[at] + (flat[first + feature[at]] > cut[at])
+            return at
+
+        return walk
+
+    def on_bins(self) -> Callable[[np.ndarray], np.ndarray]:
+        return self.walker([min(c, MAX_BINS) for c in self.cut], MAX_BINS)
 
 
 @dataclass
@@ -95,7 +105,7 @@ class Boosted:
         out = np.tile(np.array(self.base), (len(x), 1))
         for trees in self.rounds:
             for k, tree in enumerate(trees):
-                out[:, k] += np.array(tree.value)[tree.leaves(x, tree.threshold)]
+                out[:, k] += np.array(tree.value)[tree.walker(tree.threshold, np.inf)(x)]
         return out
 
     def predict(self, df: DataFrame, features: str = "features") -> DataFrame:
@@ -189,22 +199,19 @@ def _binned(cuts: list[list[float]], base: list[float]):
     return run
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], n_features: int, n_trees: int, rounds: list[list[Tree]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bins, labels, margins) of each packed row, the margins with ``rounds`` added."""
+def _unpacked(batches: Iterator[pa.RecordBatch], n_features: int, n_trees: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bins, labels, margins) of each packed row."""
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("bins", "y", "margins"))):
-            bins, y = np.frombuffer(row[0], dtype=np.uint8).reshape(-1, n_features), np.frombuffer(row[1])
-            margins = np.frombuffer(row[2]).reshape(-1, n_trees).copy()
-            for trees in rounds:
-                for k, tree in enumerate(trees):
-                    margins[:, k] += np.array(tree.value)[tree.leaves(bins, tree.cut)]
-            yield bins, y, margins
+            yield np.frombuffer(row[0], dtype=np.uint8).reshape(-1, n_features), np.frombuffer(row[1]), np.frombuffer(row[2]).reshape(-1, n_trees)
 
 
-def _advanced(n_features: int, n_trees: int, rounds: list[list[Tree]]):
+def _advanced(n_features: int, n_trees: int, trees: list[Tree]):
+    """The packed rows with the margins that a round's trees add."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bins, y, margins in _unpacked(batches, n_features, n_trees, rounds):
-            yield _packed(bins, y, margins)
+        leaves = [(tree.on_bins(), np.array(tree.value)) for tree in trees]
+        for bins, y, margins in _unpacked(batches, n_features, n_trees):
+            yield _packed(bins, y, np.column_stack([margins[:, k] + value[walk(bins)] for k, (walk, value) in enumerate(leaves)]))
 
     return run
 
@@ -212,20 +219,28 @@ def _advanced(n_features: int, n_trees: int, rounds: list[list[Tree]]):
 _SUMS = "class bigint, node bigint, block bigint, sums binary"
 
 
-def _histograms(task: str, n_features: int, n_trees: int, rounds: list[list[Tree]], growing: list[Tree], open_nodes: list[list[int]]):
+def _histograms(task: str, n_features: int, n_trees: int, growing: list[Tree], open_nodes: list[list[int]]):
     """Per task the sums of (gradient, Hessian, rows) for the nodes still open."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros((len(nodes), n_features, MAX_BINS, 3)) for nodes in open_nodes]
-        for bins, y, margins in _unpacked(batches, n_features, n_trees, rounds):
+        places, walks = [], [tree.on_bins() for tree in growing]
+        for tree, nodes in zip(growing, open_nodes):
+            places.append(np.full(len(tree.feature), -1))
+            places[-1][nodes] = np.arange(len(nodes))
+        for bins, y, margins in _unpacked(batches, n_features, n_trees):
             g, h = derivatives(task, margins, y)
-            for k, (tree, nodes) in enumerate(zip(growing, open_nodes)):
-                place = np.full(len(tree.feature), -1)
-                place[nodes] = np.arange(len(nodes))
-                at = place[tree.leaves(bins, tree.cut)]
+            columns = bins.T.astype(np.int64)
+            for k, nodes in enumerate(open_nodes):
+                if not nodes:
+                    continue
+                at = places[k][walks[k](bins)]
                 inside = at >= 0
-                at, b, weights = at[inside], bins[inside].astype(np.int64), (g[inside, k], h[inside, k], None)
+                every = bool(inside.all())
+                b, weights = columns, [g[:, k], h[:, k], None]
+                if not every:
+                    at, b, weights = at[inside], columns[:, inside], [g[inside, k], h[inside, k], None]
                 for f in range(n_features):
-                    cell = at * MAX_BINS + b[:, f]
+                    cell = at * MAX_BINS + b[f]
                     for i, w in enumerate(weights):
                         sums[k][:, f, :, i] += np.bincount(cell, w, minlength=len(nodes) * MAX_BINS).reshape(len(nodes), MAX_BINS)
         rows = [(k, node, at, sums[k][i, at:at + BLOCK_FEATURES].tobytes()) for k, nodes in enumerate(open_nodes) for i, node in enumerate(nodes)
@@ -280,7 +295,7 @@ def fit_boosted(train: DataFrame, task: str, params: BoostParams = BoostParams()
     rows = rows.withColumn("x", F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan")))))
     n_trees = 1 if task == "regression" or n_classes <= 2 else n_classes
     shares = [F.avg((F.col("y") == k).cast("double")) for k in range(max(2, n_classes))]
-    n_features, mean, *shares = rows.agg(F.max(F.size("x")), F.avg("y"), *shares).first()
+    n, n_features, mean, *shares = rows.agg(F.count("*"), F.max(F.size("x")), F.avg("y"), *shares).first()
     if mean is None:
         raise ValueError("no rows to fit on")
     if task == "regression":
@@ -288,26 +303,31 @@ def fit_boosted(train: DataFrame, task: str, params: BoostParams = BoostParams()
     else:
         odds = np.log(np.clip(shares, 1e-9, 1))
         base = [float(odds[1] - odds[0])] if n_trees == 1 else odds.tolist()
-    cuts = feature_cuts(rows, n_features, params.max_bins)
     folder, model = scratch_folder(spark), Boosted(task, max(2, n_classes) if task != "regression" else 1, base, [])
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    data, fresh = stored(rows.mapInArrow(_binned(cuts, base), _STORED_SQL), "rows-0"), []
+    tasks = learner_tasks(spark, n)
+    if tasks:
+        rows = stored(rows.repartition(tasks), "input")
+    cuts = feature_cuts(rows, n_features, params.max_bins)
+    data = stored(rows.mapInArrow(_binned(cuts, base), _STORED_SQL), "rows-0")
+    if tasks:
+        drop_folder(spark, f"{folder}/input")
     for turn in range(params.n_estimators):
-        trees = _grow(data, task, params, n_features, n_trees, fresh, cuts)
+        trees = _grow(data, task, params, n_features, n_trees, cuts)
         model.rounds.append(trees)
-        fresh.append(trees)
         if all(t.feature == [-1] for t in trees):
             break
-        if len(fresh) == STORE_ROUNDS and turn + 1 < params.n_estimators:
-            data, fresh = stored(data.mapInArrow(_advanced(n_features, n_trees, fresh), _STORED_SQL), f"rows-{turn + 1}"), []
+        if turn + 1 < params.n_estimators:
+            data = stored(data.mapInArrow(_advanced(n_features, n_trees, trees), _STORED_SQL), f"rows-{turn + 1}")
+            drop_folder(spark, f"{folder}/rows-{turn}")
     return model
 
 
-def _grow(data: DataFrame, task: str, p: BoostParams, n_features: int, n_trees: int, fresh: list[list[Tree]], cuts: list[list[float]]) -> list[Tree]:
+def _grow(data: DataFrame, task: str, p: BoostParams, n_features: int, n_trees: int, cuts: list[list[float]]) -> list[Tree]:
     trees, open_nodes, depth = [Tree() for _ in range(n_trees)], [[0] for _ in range(n_trees)], 0
     n_leaves = [1] * n_trees
 
@@ -315,7 +335,7 @@ def _grow(data: DataFrame, task: str, p: BoostParams, n_features: int, n_trees:
         return -p.learning_rate * sums[0] / max(sums[1] + p.reg_lambda, 1e-300)
 
     while any(open_nodes) and (p.max_depth is None or depth < p.max_depth or depth == 0):
-        sums = data.mapInArrow(_histograms(task, n_features, n_trees, fresh, trees, open_nodes), _SUMS)
+        sums = data.mapInArrow(_histograms(task, n_features, n_trees, trees, open_nodes), _SUMS)
         found: dict[tuple[int, int], object] = {}
         for r in sums.groupBy("class", "node", "block").applyInArrow(_split_of(p), _SPLITS).collect():
             old = found.get((r["class"], r["node"]))

@@ -67,5 +67,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Rows of a task of an iterative learner, which holds or reads them again in every pass.
+ROWS_PER_TASK = 1 << 18
+
+
+def learner_tasks(spark: SparkSession, rows: int) -> int | None:
+    """Tasks over which a learner's counted rows are dealt: all cores, at most ROWS_PER_TASK rows each. None if
+    the rows of one task are few: they stay where they are. (A file's splits say little: rows come by row group.)"""
+    return None if rows <= ROWS_PER_TASK else max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a scratch folder that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def default_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
