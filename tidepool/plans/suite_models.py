@@ -55,7 +55,7 @@ def _fit_predict_regression(name: str):
     def run(spark, sf):
         train, test, _ = _regression_sides(spark, sf)
         m = models.fit_model(train, name, _params(name), "regression")
-        return _scored(models.predict(m, test))
+        return _scored(models.predict(m, models.dealt(test)))
     return run
 
 
@@ -63,7 +63,7 @@ def _fit_predict_classification(name: str):
     def run(spark, sf):
         train, test, _, k = _classification_sides(spark, sf)
         m = models.fit_model(train, name, _params(name), "classification", n_classes=k)
-        return _scored(models.predict(m, test))
+        return _scored(models.predict(m, models.dealt(test)))
     return run
 
 
@@ -77,7 +77,7 @@ for _name in ("decision_tree_classifier", "random_forest_classifier", "gbt_class
 def q_mlp(spark, sf):
     train, test, _, k = _classification_sides(spark, sf)
     m = models.fit_model(train, "mlp_classifier", {}, "classification", n_classes=k)
-    return _scored(models.predict(m, test))
+    return _scored(models.predict(m, models.dealt(test)))
 
 
 @query("model_epochs_regressor")
@@ -85,7 +85,7 @@ def q_epochs(spark, sf):
     """A network trained in epochs; a fifth of the training side decides which epoch's weights stay."""
     train, test, _ = _regression_sides(spark, sf)
     net = epochs.fit_epochs(train, ["row_id"], "regression", epochs=10, steps=2, rate=0.05)
-    return _scored(net.predict(test))
+    return _scored(net.predict(models.dealt(test)))
 
 
 STUMP_FEATURES = ["l_linenumber", "l_discount", "l_tax"]  # few values each, so every threshold is tried

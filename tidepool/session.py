@@ -72,9 +72,10 @@ ROWS_PER_TASK = 1 << 18
 
 
 def learner_tasks(spark: SparkSession, rows: int) -> int | None:
-    """Tasks over which a learner's counted rows are dealt: all cores, at most ROWS_PER_TASK rows each. None if
-    the rows of one task are few: they stay where they are. (A file's splits say little: rows come by row group.)"""
-    return None if rows <= ROWS_PER_TASK else max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+    """Tasks over which a learner's counted rows are dealt: a multiple of the cores, at most ROWS_PER_TASK rows each. None
+    if the rows of one task are few: they stay where they are. (A file's splits say little: rows come by row group.)"""
+    cores = spark.sparkContext.defaultParallelism
+    return None if rows <= ROWS_PER_TASK else cores * -(-rows // (ROWS_PER_TASK * cores))
 
 
 def drop_folder(spark: SparkSession, folder: str) -> None:
