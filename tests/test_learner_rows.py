@@ -45,3 +45,24 @@ def test_forests_keep_the_node_of_each_row(spark):
         data = models.with_vector(df).withColumn("label", F.col("label").cast("double"))
         kept, walked = (est.copy({est.cacheNodeIds: k}).fit(data).transform(data).orderBy("id") for k in (True, False))
         assert [r.prediction for r in kept.collect()] == [r.prediction for r in walked.collect()]
+
+
+def test_epochs_pack_rows_deal_many_and_take_no_gradient_of_the_holdout(spark, monkeypatch):
+    from pathlib import Path
+
+    from tidepool.operators import epochs
+
+    folders, passes, summed = [], [], epochs._summed
+    monkeypatch.setattr(epochs, "scratch_folder", lambda s: folders.append(session.scratch_folder(s)) or folders[-1])
+    monkeypatch.setattr(epochs, "_summed", lambda rows, net, learning=True: passes.append((rows.rdd.getNumPartitions(), learning)) or summed(rows, net, learning))
+    df, found = one_split(spark), []
+    for limit in (10_000, 100):
+        monkeypatch.setattr(session, "ROWS_PER_TASK", limit)
+        net = epochs.fit_epochs(df, ["id"], "regression", hidden=(8,), epochs=6, steps=2, rate=0.1)
+        found.append([r.yhat for r in net.predict(df).orderBy("id").collect()])
+        folder = Path(folders[-1].removeprefix("file:"))
+        assert sorted(p.name for p in folder.iterdir() if p.is_dir()) == ["held", "train"]
+        assert [learning for _, learning in passes] == [True, True, False] * len(net.history)
+        assert (min(n for n, _ in passes) > 1) == (limit == 100)
+        passes.clear()
+    assert np.allclose(found[0], found[1])

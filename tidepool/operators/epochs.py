@@ -1,6 +1,6 @@
 """A learner in epochs with a holdout (#95, #112, #113): a small fully connected network.
 
-Rows are stored once in ``steps`` parts. A step is a pass over one part: every task sums the loss's gradient
+Rows are stored packed in ``steps`` parts, many dealt evenly to all cores. A step is a pass over one part: every task sums the loss's gradient
 over its rows, the sums are added up, and one synchronous update follows, so the result does not depend
 on how rows are spread. After each epoch the loss on the holdout decides: the best weights are kept, and
 ``patience`` epochs without a better one end the training. The history has a row for each epoch. Weights and
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tidepool.functions.columns import list_matrix
 from tidepool.operators.split import random_split
-from tidepool.session import scratch_folder
+from tidepool.session import drop_folder, learner_tasks, scratch_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -82,20 +82,22 @@ def forward(weights: Weights, x: np.ndarray) -> list[np.ndarray]:
     return layers
 
 
+def output_loss(task: str, out: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, int]:
+    """The loss of outputs, its derivative by each and the rows of which the largest output is the class."""
+    if task == "regression":
+        delta = out - y[:, None]
+        return float((delta ** 2).sum() / 2), delta, 0
+    delta, at = softmax(out), (np.arange(len(y)), y.astype(np.int64))
+    hits, loss = int((delta.argmax(axis=1) == at[1]).sum()), float(-np.log(np.maximum(delta[at], 1e-300)).sum())
+    delta[at] -= 1.0
+    return loss, delta, hits
+
+
 def loss_and_gradient(task: str, weights: Weights, x: np.ndarray, y: np.ndarray) -> tuple[float, Weights, int]:
     """Sums over the rows: half the squared error, or the log loss, its derivative by each weight, and the
     rows of which the largest output is the class."""
     layers = forward(weights, x)
-    out = layers[-1]
-    if task == "regression":
-        delta, hits = out - y[:, None], 0
-        loss = float((delta ** 2).sum() / 2)
-    else:
-        p, at = softmax(out), (np.arange(len(y)), y.astype(np.int64))
-        hits = int((p.argmax(axis=1) == at[1]).sum())
-        loss = float(-np.log(np.maximum(p[at], 1e-300)).sum())
-        delta = p.copy()
-        delta[at] -= 1.0
+    loss, delta, hits = output_loss(task, layers[-1], y)
     gradient: Weights = []
     for i in range(len(weights) - 2, -1, -2):
         below = layers[i // 2]
@@ -118,14 +120,35 @@ _SUMS = "n bigint, hits bigint, loss double, gradient binary"
 _NAMES = ["n", "hits", "loss", "gradient"]
 
 
-def _task_sums(task: str, weights: Weights, mean: np.ndarray, scale: np.ndarray):
+# Stored rows are packed, a batch of one part each: features (row, feature) and labels.
+_PACKED = "part int, x binary, y binary"
+BLOCK_ROWS = 2048  # rows whose layers are held at once, so that they stay in a core's cache
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x, y, part = list_matrix(batch.column("x")), batch.column("y").to_numpy(), batch.column("part").to_numpy()
+            for p in np.unique(part):
+                own = part == p
+                yield pa.record_batch([pa.array([p], pa.int32()), *(pa.array([np.ascontiguousarray(v[own], dtype=np.float64).tobytes()], pa.binary()) for v in (x, y))],
+                                      names=["part", "x", "y"])
+
+
+def _task_sums(task: str, weights: Weights, mean: np.ndarray, scale: np.ndarray, learning: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, hits, loss, total = 0, 0, 0.0, np.zeros(sum(w.size for w in weights))
         for batch in batches:
-            if batch.num_rows:
-                x = (list_matrix(batch.column("x")) - mean) * scale
-                more, gradient, right = loss_and_gradient(task, weights, x, batch.column("y").to_numpy())
-                n, hits, loss, total = n + batch.num_rows, hits + right, loss + more, total + _flat(gradient)
+            for packed in zip(*(batch.column(c).to_pylist() for c in ("x", "y"))):
+                rows, labels = np.frombuffer(packed[0]).reshape(-1, len(mean)), np.frombuffer(packed[1])
+                for at in range(0, len(rows), BLOCK_ROWS):
+                    x, y = (rows[at:at + BLOCK_ROWS] - mean) * scale, labels[at:at + BLOCK_ROWS]
+                    if learning:
+                        more, gradient, right = loss_and_gradient(task, weights, x, y)
+                        total += _flat(gradient)
+                    else:
+                        more, _, right = output_loss(task, forward(weights, x)[-1], y)
+                    n, hits, loss = n + len(y), hits + right, loss + more
         yield pa.record_batch([pa.array([n]), pa.array([hits]), pa.array([loss]), pa.array([total.tobytes()], pa.binary())], names=_NAMES)
 
     return run
@@ -140,12 +163,14 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([n]), pa.array([hits]), pa.array([loss]), pa.array([total.tobytes()], pa.binary())], names=_NAMES)
 
 
-ADD_WAYS = 64
+# Tasks that add up sums; features beyond which a row counts as several when rows are dealt to tasks.
+ADD_WAYS, WIDE = 64, 32
 
 
-def _summed(rows: DataFrame, net: Network) -> tuple[int, int, float, np.ndarray]:
-    """(rows, hits, loss, gradient) over all rows: tasks' sums are added in up to ADD_WAYS tasks, then here."""
-    sums = rows.mapInArrow(_task_sums(net.task, net.weights, net.mean, net.scale), _SUMS)
+def _summed(rows: DataFrame, net: Network, learning: bool = True) -> tuple[int, int, float, np.ndarray]:
+    """(rows, hits, loss, gradient) over all packed rows: tasks' sums are added in up to ADD_WAYS tasks, then
+    here. The gradient is zero without ``learning``."""
+    sums = rows.mapInArrow(_task_sums(net.task, net.weights, net.mean, net.scale, learning), _SUMS)
     if rows.sparkSession.sparkContext.defaultParallelism > ADD_WAYS:
         sums = sums.repartition(ADD_WAYS).mapInArrow(_added, _SUMS)
     found = sums.collect()
@@ -165,11 +190,13 @@ def fit_epochs(df: DataFrame, keys: Sequence[str], task: str, hidden: Sequence[i
     rows = df.withColumns({"_tp_x": x, "_tp_y": F.col(label).cast("double")}).where("_tp_x is not null and _tp_y is not null")
     train, held = random_split(rows, list(keys), holdout, seed)
     folder, spark = scratch_folder(df.sparkSession), df.sparkSession
-    part = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(steps)).alias("part")
-    for name, side in (("train", train), ("held", held)):
-        side.select(F.col("_tp_x").alias("x"), F.col("_tp_y").alias("y"), part).write.partitionBy("part").parquet(f"{folder}/{name}")
-    schema = "x array<double>, y double, part int"
-    train, held = (spark.read.schema(schema).parquet(f"{folder}/{name}") for name in ("train", "held"))
+    part = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(steps)).cast("int").alias("part")
+
+    def stored(side: DataFrame, name: str, *by: str) -> DataFrame:
+        side.write.partitionBy(*by).parquet(f"{folder}/{name}")
+        return spark.read.schema(side.schema).parquet(f"{folder}/{name}")
+
+    train, held = (stored(side.select(F.col("_tp_x").alias("x"), F.col("_tp_y").alias("y"), part), f"{name}-rows") for name, side in (("train", train), ("held", held)))
     width = train.agg(F.max(F.size("x"))).first()[0]
     if width is None:
         raise ValueError("no rows to fit on")
@@ -180,7 +207,14 @@ def fit_epochs(df: DataFrame, keys: Sequence[str], task: str, hidden: Sequence[i
     weights: Weights = []
     for a, b in zip(sizes, sizes[1:]):
         weights += [rnd.normal(size=(a, b)) * np.sqrt(2 / a), np.zeros(b)]
-    spread = [side.agg(F.coalesce(F.var_pop("y"), F.lit(0.0)), F.coalesce(F.avg("y"), F.lit(0.0))).first() for side in (train, held)]
+    spread = [side.agg(F.coalesce(F.var_pop("y"), F.lit(0.0)), F.coalesce(F.avg("y"), F.lit(0.0)), F.count("*")).first() for side in (train, held)]
+    packed = []
+    for name, side, count in zip(("train", "held"), (train, held), (r[2] for r in spread)):
+        tasks = learner_tasks(spark, count * -(-width // WIDE))
+        side = side.repartition(tasks) if tasks else side
+        packed.append(stored(side.mapInArrow(_packed, _PACKED), name, "part"))
+        drop_folder(spark, f"{folder}/{name}-rows")
+    train, held = packed
     if task == "regression":
         weights[-1] += spread[0][1]  # the outputs begin at the labels' mean
 
@@ -202,7 +236,7 @@ def fit_epochs(df: DataFrame, keys: Sequence[str], task: str, hidden: Sequence[i
             first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
             move = rate * (1 - (epoch - 1) / epochs) * (first / (1 - 0.9 ** updates)) / (np.sqrt(second / (1 - 0.999 ** updates)) + 1e-8)
             net.weights = _shaped(_flat(net.weights) - move, net.weights)
-        n, hits, loss, _ = _summed(held.select("x", "y"), net)
+        n, hits, loss, _ = _summed(held.select("x", "y"), net, learning=False)
         held_loss = loss / n if n else lost / max(1, seen)
         net.history.append((epoch, lost / max(1, seen), held_loss, metric(seen, right, lost, spread[0][0]), metric(n, hits, loss, spread[1][0]),
                             time.monotonic() - began))
