@@ -66,3 +66,19 @@ def test_epochs_pack_rows_deal_many_and_take_no_gradient_of_the_holdout(spark, m
         assert (min(n for n, _ in passes) > 1) == (limit == 100)
         passes.clear()
     assert np.allclose(found[0], found[1])
+
+
+def test_gbt_classifier_fits_one_weighted_row_for_each_combination_of_bins(spark, monkeypatch, tmp_path):
+    df = one_split(spark, 900, 5)
+    twice = df.unionByName(df.withColumn("id", F.col("id") + 900)).coalesce(1)
+    params = {"n_estimators": 4, "max_depth": 3, "min_samples_leaf": 20}
+    plain = models.fit_model(twice, "gbt_classifier", params, "classification", n_classes=3)
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    seen, fit = [], models.Pipeline.fit
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, data: seen.append(data.agg(F.count("*"), F.sum("weight")).first()) or fit(self, data))
+    model = models.fit_model(twice, "gbt_classifier", params, "classification", n_classes=3)
+    assert seen[0][0] == df.select("features", "label").distinct().count() and seen[0][1] == 1800
+    models.save_model(model, str(tmp_path / "gbt"))
+    a, b, c = (models.predict(m, twice).orderBy("id") for m in (plain, model, models.load_model(str(tmp_path / "gbt"))))
+    assert a.columns == b.columns == c.columns
+    assert [r.yhat for r in a.collect()] == [r.yhat for r in b.collect()] == [r.yhat for r in c.collect()]

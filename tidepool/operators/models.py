@@ -25,13 +25,14 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.columns import list_matrix
-from tidepool.operators.boosting import Boosted, BoostParams, fit_boosted
+from tidepool.operators.boosting import Boosted, BoostParams, feature_cuts, fit_boosted
 from tidepool.operators.split import kfold
 from tidepool.session import learner_tasks
 
@@ -42,6 +43,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # MLlib keeps all trees on the driver, so the depth of a forest is bounded unless the caller asks for more.
 MAX_TREE_DEPTH, DEFAULT_DEPTH = 30, 10
 SEED = 42
+# MLlib's bins of a feature, and the column that holds them.
+TREE_BINS, BINS_COLUMN = 32, "_tp_bins"
 
 
 def _depth(v) -> int:
@@ -203,6 +206,31 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if tasks else df
 
 
+def with_values(df: DataFrame, names: list[str]) -> DataFrame:
+    x = vector_to_array("fvec")
+    return df.withColumns({c: F.get(x, F.lit(i)) for i, c in enumerate(names)})
+
+
+def _fit_in_bins(data: DataFrame, est, label: str, n: int, leaf: int) -> PipelineModel:
+    """Fit trees without random draws on weighted rows: one for each label and combination of bins, as rows that lie
+    in the same bins are alike to every tree. The bins (MLlib's own number a feature) are cut once over all rows, and
+    are the first stage of the model. ``leaf`` counts rows, so it becomes a share of the weight."""
+    width = data.select(F.size(vector_to_array("fvec")).alias("d")).first()["d"]
+    cuts = feature_cuts(data.select(vector_to_array("fvec").alias("x")), width, TREE_BINS)
+    values, bins = ([f"_tp_{kind}{i}" for i in range(width)] for kind in ("value", "bin"))
+    # a bin ends with its cut, a Bucketizer's before it
+    borders = [[-math.inf, *(float(np.nextafter(v, math.inf)) for v in c or [0.0]), math.inf] for c in cuts]
+    buckets = Bucketizer(inputCols=values, outputCols=bins, splitsArray=borders, handleInvalid="keep")
+    rows = buckets.transform(with_values(data, values)).groupBy(*bins, label).agg(F.count("*").cast("double").alias("weight"))
+    trees = est.getClassifier() if isinstance(est, OneVsRest) else est
+    trees.setMinInstancesPerNode(1)
+    if leaf > 1:
+        trees.setMinWeightFractionPerNode((leaf - 0.5) / n)
+    est.setFeaturesCol(BINS_COLUMN).setWeightCol("weight")
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=bins, outputCol=BINS_COLUMN), est]).fit(rows)
+    return PipelineModel([buckets, *fitted.stages])
+
+
 def fit_model(train: DataFrame, name: str, params: dict | None = None, task_type: str = "regression",
               n_classes: int = 2, features: str = "features", label: str = "label", partitions: int | None = None) -> PipelineModel | Boosted:
     """Fit ``name`` on ``features array<double>`` → ``label`` (the task must match the model kind).
@@ -218,7 +246,11 @@ def fit_model(train: DataFrame, name: str, params: dict | None = None, task_type
     est = build_estimator(name, params, task_type, n_features, n_classes, label)
     data = with_vector(train, features).withColumn(label, F.col(label).cast("double"))
     if not partitions and name in ITERATIVE:
-        data = dealt(data.select("fvec", label))
+        data = data.select("fvec", label)
+        n, leaf = data.count(), _leaf(coerce_params(params or {}, name))
+        partitions = learner_tasks(train.sparkSession, n)
+        if partitions and name == "gbt_classifier" and leaf < n / 2:
+            return _fit_in_bins(data, est, label, n, leaf)
     return Pipeline(stages=[est]).fit(data.repartition(partitions) if partitions else data)
 
 
@@ -226,11 +258,14 @@ def predict(model: PipelineModel | Boosted, df: DataFrame, features: str = "feat
     """``yhat`` (and ``probability array<double>`` for probabilistic classifiers)."""
     if isinstance(model, Boosted):
         return model.predict(df, features)
-    out = model.transform(with_vector(df, features))
+    rows, spare = with_vector(df, features), ["fvec", "rawPrediction"]
+    if isinstance(model.stages[0], Bucketizer):
+        rows = with_values(rows, model.stages[0].getInputCols())
+        spare += [*model.stages[0].getInputCols(), *model.stages[0].getOutputCols(), BINS_COLUMN]
+    out = model.transform(rows)
     if "probability" in out.columns:
         out = out.withColumn("probability", vector_to_array("probability"))
-    drop = [c for c in ("fvec", "rawPrediction") if c in out.columns]
-    return out.withColumnRenamed("prediction", "yhat").drop(*drop)
+    return out.withColumnRenamed("prediction", "yhat").drop(*spare)
 
 
 @dataclass(frozen=True)
