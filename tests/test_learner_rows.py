@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool import session
-from tidepool.operators import models
+from tidepool.operators import models, perceptron
 
 
 def one_split(spark, n=600, seed=3):
@@ -82,3 +82,40 @@ def test_gbt_classifier_fits_one_weighted_row_for_each_combination_of_bins(spark
     a, b, c = (models.predict(m, twice).orderBy("id") for m in (plain, model, models.load_model(str(tmp_path / "gbt"))))
     assert a.columns == b.columns == c.columns
     assert [r.yhat for r in a.collect()] == [r.yhat for r in b.collect()] == [r.yhat for r in c.collect()]
+
+
+@pytest.mark.parametrize("hidden, epochs", [("4", 25), ("5,4", 12)])
+def test_perceptron_on_many_rows_is_mllibs(spark, monkeypatch, tmp_path, hidden, epochs):
+    """Blocks of MLlib (128 rows) are all full here, so its means over blocks are means over rows."""
+    df, params = one_split(spark, 1280, 7), {"hidden_layers": hidden, "epochs": epochs}
+    few = models.fit_model(df, "mlp_classifier", params, "classification", n_classes=3)
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    passes, whole = [], perceptron.mean_loss
+    monkeypatch.setattr(perceptron, "mean_loss", lambda rows, flat, sizes: passes.append(whole(rows, flat, sizes)) or passes[-1])
+    many = models.fit_model(df, "mlp_classifier", params, "classification", n_classes=3)
+    assert len(passes) > epochs and passes[-1][0] < 0.6 * passes[0][0]
+    assert np.allclose(few.stages[-1].weights.toArray(), many.stages[-1].weights.toArray(), rtol=1e-4, atol=1e-4)
+    models.save_model(many, str(tmp_path / "mlp"))
+    a, b, c = (models.predict(m, df).orderBy("id") for m in (few, many, models.load_model(str(tmp_path / "mlp"))))
+    assert a.columns == b.columns == c.columns and many.stages[-1].getMaxIter() == epochs
+    a, b, c = (m.collect() for m in (a, b, c))
+    assert [r.yhat for r in a] == [r.yhat for r in b] == [r.yhat for r in c]
+    assert np.allclose([r.probability for r in a], [r.probability for r in b], atol=1e-4)
+
+
+def test_perceptron_sums_are_the_derivative_of_the_loss():
+    rnd, sizes = np.random.default_rng(1), [3, 5, 4, 3]
+    x, y, flat = rnd.normal(size=(3, 50)), rnd.integers(0, 3, 50), rnd.normal(size=3 * 5 + 5 + 5 * 4 + 4 + 4 * 3 + 3)
+    room = [(np.empty((h, 64)), np.empty((h, 64))) for h in sizes[1:-1]]
+    loss = lambda w: perceptron.loss_and_gradient(w, sizes, x, y, room)[0]
+    steps = np.eye(len(flat)) * 1e-6
+    assert np.allclose([(loss(flat + s) - loss(flat - s)) / 2e-6 for s in steps], perceptron.loss_and_gradient(flat, sizes, x, y, room)[1], atol=1e-5)
+
+
+@pytest.mark.parametrize("features, label", [([1.0, float("nan"), 0.0], 0), ([1.0, 2.0, 0.0], 3), ([1.0, 2.0, 0.0], None)])
+def test_perceptron_refuses_rows_that_mllib_refuses(spark, monkeypatch, features, label):
+    df = one_split(spark).union(spark.createDataFrame([(-1, features, label)], "id long, features array<double>, label int"))
+    for limit in (10_000, 100):
+        monkeypatch.setattr(session, "ROWS_PER_TASK", limit)
+        with pytest.raises(Exception):
+            models.fit_model(df, "mlp_classifier", {"hidden_layers": "4", "epochs": 2}, "classification", n_classes=3)

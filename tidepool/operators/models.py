@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.columns import list_matrix
 from tidepool.operators.boosting import Boosted, BoostParams, feature_cuts, fit_boosted
+from tidepool.operators.perceptron import Perceptron
 from tidepool.operators.split import kfold
 from tidepool.session import learner_tasks
 
@@ -236,7 +237,8 @@ def fit_model(train: DataFrame, name: str, params: dict | None = None, task_type
     """Fit ``name`` on ``features array<double>`` → ``label`` (the task must match the model kind).
 
     Iterative learners run a job per iteration over every partition: ``partitions`` deals the training rows
-    anew to so many, by default many rows are dealt to all cores (``session.learner_tasks``), few stay.
+    anew to so many, by default many rows are dealt to all cores (``session.learner_tasks``), few stay. MLlib's
+    perceptron is then fitted by :class:`Perceptron`.
     """
     if name in BOOSTERS:
         if BOOSTERS[name][0] != task_type:
@@ -251,6 +253,8 @@ def fit_model(train: DataFrame, name: str, params: dict | None = None, task_type
         partitions = learner_tasks(train.sparkSession, n)
         if partitions and name == "gbt_classifier" and leaf < n / 2:
             return _fit_in_bins(data, est, label, n, leaf)
+        if partitions and name == "mlp_classifier":
+            est = Perceptron(est)
     return Pipeline(stages=[est]).fit(data.repartition(partitions) if partitions else data)
 
 
