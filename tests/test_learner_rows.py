@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool import session
-from tidepool.operators import models, perceptron
+from tidepool.operators import forest, models, perceptron
 
 
 def one_split(spark, n=600, seed=3):
@@ -119,3 +119,63 @@ def test_perceptron_refuses_rows_that_mllib_refuses(spark, monkeypatch, features
         monkeypatch.setattr(session, "ROWS_PER_TASK", limit)
         with pytest.raises(Exception):
             models.fit_model(df, "mlp_classifier", {"hidden_layers": "4", "epochs": 2}, "classification", n_classes=3)
+
+
+@pytest.mark.parametrize("name", ["random_forest_classifier"])
+def test_forests_on_many_rows_hand_mllib_no_row(spark, monkeypatch, tmp_path, name):
+    """MLlib stores a number for each row and tree, twice; here it only writes the model of a row for each class."""
+    df, task = one_split(spark, 1500, 11), models.REGISTRY[name].task
+    params = {"n_estimators": 30, "min_samples_leaf": 20}
+    few = models.fit_model(df, name, params, task, n_classes=3)
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    kind, seen = type(models.build_estimator(name, params, task, n_classes=3)), []
+    fit = kind._fit
+    monkeypatch.setattr(kind, "_fit", lambda self, data: seen.append(data.count()) or fit(self, data))
+    many, again = (models.fit_model(df, name, params, task, n_classes=3) for _ in range(2))
+    assert max(seen) <= 3 and type(many.stages[-1]) is type(few.stages[-1])
+    x, y = ({p.name: v for p, v in m.stages[-1].extractParamMap().items()} for m in (few, many))
+    assert x == y and x["numTrees"] == many.stages[-1].getNumTrees == 30
+    models.save_model(many, str(tmp_path / "forest"))
+    a, b, c, d = (models.predict(m, df).orderBy("id") for m in (few, many, models.load_model(str(tmp_path / "forest")), again))
+    assert a.schema == b.schema == c.schema
+    a, b, c, d = (np.array([[r.yhat, *(r.probability if "probability" in r else [])] for r in m.collect()]) for m in (a, b, c, d))
+    assert (b == c).all() and (b == d).all()
+    assert np.abs(a[:, 1:] - b[:, 1:]).mean() < 0.04 if a.shape[1] > 1 else np.abs(a - b).mean() < 0.06
+    x, y = (np.array([v for _, v in models.feature_importance(m, ["a", "b", "c"])]) for m in (few, many))
+    assert np.allclose(x, y, atol=0.2)
+
+
+@pytest.mark.parametrize("classes", [True, False])
+def test_trees_grown_from_sums_are_mllibs(spark, classes):
+    """All features tried and every row held once: the tree that MLlib grows, pruned alike."""
+    df = one_split(spark, 700, 13)
+    rows = df.orderBy("id").collect()
+    x, y = np.array([r.features for r in rows]).astype(int), np.array([r.label for r in rows])
+    name, sizes, cuts = "decision_tree_classifier" if classes else "decision_tree_regressor", [9] * 3, [[float(v) for v in range(8)]] * 3
+    sums = np.eye(3)[y] if classes else np.column_stack([np.ones(len(y)), y, y * y]).astype(float)
+    cells, where = np.unique(x, axis=0, return_inverse=True)
+    merged = np.zeros((len(cells), 3))
+    np.add.at(merged, where.ravel(), sums)
+    for depth, leaf in ((4, 1), (10, 12), (0, 1)):
+        own = forest.nodes_of(forest.grow(cells.astype(np.uint8), merged, sizes, classes, 3, depth, leaf, np.random.default_rng(1)), cuts, classes)
+        model = models.fit_model(df, name, {"max_depth": depth, "min_samples_leaf": leaf}, models.REGISTRY[name].task, n_classes=3)
+        path = f"{session.scratch_folder(spark)}/tree"
+        model.stages[-1].write().save(path)
+        theirs = [r.asDict(True) for r in spark.read.parquet(f"{path}/data").orderBy("id").collect()]
+        theirs = [r.get("nodeData", r) for r in theirs]
+        assert len(own) == len(theirs)
+        for a, b in zip(own, theirs):
+            for c in ("id", "prediction", "impurity", "impurityStats", "gain", "leftChild", "rightChild"):
+                assert np.allclose(a[c], b[c][:3] if c == "impurityStats" else b[c]), (c, a, b)
+            assert a["split"]["featureIndex"] == b["split"]["featureIndex"]
+            assert np.allclose(np.floor(b["split"]["leftCategoriesOrThreshold"]), a["split"]["leftCategoriesOrThreshold"])
+
+
+def test_trees_hold_rows_as_poisson_draws_say():
+    n = np.r_[np.ones(4000, dtype=np.int64), np.full(4000, 7)]
+    held = forest.held_rows(np.random.default_rng(2), n, 50)
+    for part, mean in ((held[:4000], 1.0), (held[4000:], 7.0)):
+        assert abs(part.mean() - mean) < 0.03 and abs(part.var() / mean - 1) < 0.02
+    assert np.allclose(np.bincount(held[:4000].astype(int).ravel(), minlength=4)[:4] / 200_000, forest._CHANCES[:4], atol=0.005)
+    rare = forest.held_rows(np.random.default_rng(3), np.ones(200_000, dtype=np.int64), 50)
+    assert abs((rare >= 8).mean() / 1.02e-5 - 1) < 0.4

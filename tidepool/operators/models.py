@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.columns import list_matrix
 from tidepool.operators.boosting import Boosted, BoostParams, feature_cuts, fit_boosted
+from tidepool.operators.forest import Forest
 from tidepool.operators.perceptron import Perceptron
 from tidepool.operators.split import kfold
 from tidepool.session import learner_tasks
@@ -238,7 +239,7 @@ def fit_model(train: DataFrame, name: str, params: dict | None = None, task_type
 
     Iterative learners run a job per iteration over every partition: ``partitions`` deals the training rows
     anew to so many, by default many rows are dealt to all cores (``session.learner_tasks``), few stay. MLlib's
-    perceptron is then fitted by :class:`Perceptron`.
+    perceptron is then fitted by :class:`Perceptron`, its forests by :class:`Forest`.
     """
     if name in BOOSTERS:
         if BOOSTERS[name][0] != task_type:
@@ -255,6 +256,8 @@ def fit_model(train: DataFrame, name: str, params: dict | None = None, task_type
             return _fit_in_bins(data, est, label, n, leaf)
         if partitions and name == "mlp_classifier":
             est = Perceptron(est)
+        if partitions and name == "random_forest_classifier":
+            est = Forest(est)
     return Pipeline(stages=[est]).fit(data.repartition(partitions) if partitions else data)
 
 
