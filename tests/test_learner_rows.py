@@ -121,7 +121,7 @@ def test_perceptron_refuses_rows_that_mllib_refuses(spark, monkeypatch, features
             models.fit_model(df, "mlp_classifier", {"hidden_layers": "4", "epochs": 2}, "classification", n_classes=3)
 
 
-@pytest.mark.parametrize("name", ["random_forest_classifier"])
+@pytest.mark.parametrize("name", ["random_forest_classifier", "random_forest_regressor"])
 def test_forests_on_many_rows_hand_mllib_no_row(spark, monkeypatch, tmp_path, name):
     """MLlib stores a number for each row and tree, twice; here it only writes the model of a row for each class."""
     df, task = one_split(spark, 1500, 11), models.REGISTRY[name].task
@@ -179,3 +179,34 @@ def test_trees_hold_rows_as_poisson_draws_say():
     assert np.allclose(np.bincount(held[:4000].astype(int).ravel(), minlength=4)[:4] / 200_000, forest._CHANCES[:4], atol=0.005)
     rare = forest.held_rows(np.random.default_rng(3), np.ones(200_000, dtype=np.int64), 50)
     assert abs((rare >= 8).mean() / 1.02e-5 - 1) < 0.4
+
+
+def test_a_combination_of_many_rows_is_drawn_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    sizes, drawn = [], forest._drawn
+    path = f"{session.scratch_folder(spark)}/sizes"
+
+    def counted(*args):
+        run = drawn(*args)
+
+        def count(batches):
+            import os
+            import uuid
+
+            held = list(batches)
+            os.makedirs(path.removeprefix("file:"), exist_ok=True)
+            with open(f"{path.removeprefix('file:')}/{uuid.uuid4().hex}", "w") as out:
+                out.write(str(sum(b.num_rows for b in held)))
+            yield from run(iter(held))
+
+        return count
+
+    monkeypatch.setattr(forest, "_drawn", counted)
+    rows = [(i, [float(i % 5 if i % 2 else 0), 1.0], float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, label double").coalesce(1)
+    model = models.fit_model(df, "random_forest_regressor", {"n_estimators": 3}, "regression")
+    from pathlib import Path
+
+    sizes = [int(p.read_text()) for p in Path(path.removeprefix("file:")).iterdir()]
+    assert sum(sizes) == 2000 and max(sizes) < 600
+    assert models.predict(model, df).where("yhat between 800 and 1200").count() == 2000

@@ -256,7 +256,7 @@ def fit_model(train: DataFrame, name: str, params: dict | None = None, task_type
             return _fit_in_bins(data, est, label, n, leaf)
         if partitions and name == "mlp_classifier":
             est = Perceptron(est)
-        if partitions and name == "random_forest_classifier":
+        if partitions and name.startswith("random_forest"):
             est = Forest(est)
     return Pipeline(stages=[est]).fit(data.repartition(partitions) if partitions else data)
 
