@@ -137,3 +137,28 @@ def test_many_rows_are_dealt_to_all_tasks_and_older_margins_dropped(spark, monke
     assert np.allclose(scores(fit_boosted(df, "regression", p), df), brute_boost(x, y, p))
     kept = list(Path(folders[0].removeprefix("file:")).iterdir())
     assert [f.name for f in kept if f.is_dir()] == ["rows-2"] and len(list(Path(folders[0].removeprefix("file:"), "rows-2").glob("part-*"))) > 1
+
+
+def test_many_rows_of_equal_bins_and_class_are_counted_once(spark, monkeypatch):
+    """The trees are those of all rows; batches of packed rows are small."""
+    from tidepool import session
+    from tidepool.operators import boosting
+
+    rnd = np.random.default_rng(9)
+    x = rnd.integers(0, 5, (900, 2)).astype(float)
+    x[::50, 1] = np.nan
+    y = (x[:, 0] + rnd.normal(size=900) > 2).astype(int) + (x[:, 0] > 3)
+    df, p = table(spark, x, y).coalesce(1), BoostParams(n_estimators=3, max_depth=3, learning_rate=0.5, min_samples_leaf=15)
+    few = fit_boosted(df, "classification", p, n_classes=3)
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    seen, grow = [], boosting._grow
+    monkeypatch.setattr(boosting, "_grow", lambda data, *a: seen.append(data) or grow(data, *a))
+    many = fit_boosted(df, "classification", p, n_classes=3)
+    rows = seen[-1].collect()
+    assert sum(len(r["y"]) // 8 for r in rows) == len({(*np.nan_to_num(a), b) for a, b in zip(x, y)}) < 100
+    assert sum(np.frombuffer(r["weight"]).sum() for r in rows) == 900
+    assert seen[-1].sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(session.PACKED_BATCH_BYTES)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(session.PACKED_BATCH_BYTES)
+    for a, b in zip(few.rounds, many.rounds):
+        for s, t in zip(a, b):
+            assert (s.feature, s.threshold, s.left) == (t.feature, t.threshold, t.left) and np.allclose(s.value, t.value)

@@ -5,7 +5,8 @@ gradient, Hessian and rows per (class, node, feature, bin) in each task; the sum
 (class, node, block of features), where the best split is found, so that only one row for each of those
 reaches the driver. All classes of a round grow their trees in the same passes. A split's gain is
 ``GL^2/(HL+lambda) + GR^2/(HR+lambda) - G^2/(H+lambda)``, a leaf's value ``-G/(H+lambda)`` times the
-learning rate. Margins are stored again after every round, so that a pass applies the growing trees only.
+learning rate. Margins are stored again after every round, so that a pass applies the growing trees only. Of many
+rows those that share bins and class are alike to every tree: they are counted once and weigh their number.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions.columns import list_matrix
-from tidepool.session import drop_folder, learner_tasks, scratch_folder
+from tidepool.session import PACKED_WRITES, drop_folder, learner_tasks, packed_session, scratch_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -180,38 +181,69 @@ def feature_cuts(rows: DataFrame, n_features: int, max_bins: int) -> list[list[f
     return cuts
 
 
-# Stored rows are packed, a batch each: bins (row, feature) of one byte, labels, and margins (row, class).
-_STORED_SQL = "bins binary, y binary, margins binary"
+# Stored rows are packed, a batch each: bins (row, feature) of one byte, labels, weights (none: all 1), and margins (row, class).
+_COLUMNS = ("bins", "y", "weight", "margins")
+_STORED_SQL = "bins binary, y binary, weight binary, margins binary"
 
 
-def _packed(bins: np.ndarray, y: np.ndarray, margins: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (bins, y, margins)], names=["bins", "y", "margins"])
+def _packed(bins: np.ndarray, y: np.ndarray, weight: np.ndarray | None, margins: np.ndarray) -> pa.RecordBatch:
+    parts = (b"" if x is None else np.ascontiguousarray(x).tobytes() for x in (bins, y, weight, margins))
+    return pa.record_batch([pa.array([x], pa.binary()) for x in parts], names=list(_COLUMNS))
+
+
+def _bins_of(batch: pa.RecordBatch, cuts: list[list[float]]) -> np.ndarray:
+    x = list_matrix(batch.column("x"))
+    return np.column_stack([np.where(np.isnan(v), 0, np.searchsorted(c, v)) for v, c in zip(x.T, cuts)]).astype(np.uint8)
 
 
 def _binned(cuts: list[list[float]], base: list[float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = list_matrix(batch.column("x"))
-                bins = np.column_stack([np.where(np.isnan(v), 0, np.searchsorted(c, v)) for v, c in zip(x.T, cuts)]).astype(np.uint8)
-                yield _packed(bins, batch.column("y").to_numpy(), np.tile(np.array(base), (len(x), 1)))
+                yield _packed(_bins_of(batch, cuts), batch.column("y").to_numpy(), None, np.tile(np.array(base), (batch.num_rows, 1)))
+
+    return run
+
+
+def _keyed(cuts: list[list[float]]):
+    """A value for each row's bins, and its label."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bins = np.ascontiguousarray(_bins_of(batch, cuts))
+                keys = pa.Array.from_buffers(pa.binary(len(cuts)), len(bins), [None, pa.py_buffer(bins)]).cast(pa.binary())
+                yield pa.record_batch([keys, batch.column("y")], names=["bins", "y"])
 
     return run
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], n_features: int, n_trees: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bins, labels, margins) of each packed row."""
+def _weighted(n_features: int, base: list[float]):
+    """Packed rows of counted ones (bins, y, n)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, n_features)
+                yield _packed(bins, batch.column("y").to_numpy(), batch.column("n").to_numpy().astype(np.float64), np.tile(np.array(base), (len(bins), 1)))
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], n_features: int, n_trees: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]]:
+    """(bins, labels, weights, margins) of each packed row, as views of its batch."""
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("bins", "y", "margins"))):
-            yield np.frombuffer(row[0], dtype=np.uint8).reshape(-1, n_features), np.frombuffer(row[1]), np.frombuffer(row[2]).reshape(-1, n_trees)
+        columns = [batch.column(c) for c in _COLUMNS]
+        for i in range(batch.num_rows):
+            bins, y, weight, margins = (c[i].as_buffer() for c in columns)
+            yield (np.frombuffer(bins, dtype=np.uint8).reshape(-1, n_features), np.frombuffer(y), np.frombuffer(weight) if weight.size else None,
+                   np.frombuffer(margins).reshape(-1, n_trees))
 
 
 def _advanced(n_features: int, n_trees: int, trees: list[Tree]):
     """The packed rows with the margins that a round's trees add."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaves = [(tree.on_bins(), np.array(tree.value)) for tree in trees]
-        for bins, y, margins in _unpacked(batches, n_features, n_trees):
-            yield _packed(bins, y, np.column_stack([margins[:, k] + value[walk(bins)] for k, (walk, value) in enumerate(leaves)]))
+        for bins, y, weight, margins in _unpacked(batches, n_features, n_trees):
+            yield _packed(bins, y, weight, np.column_stack([margins[:, k] + value[walk(bins)] for k, (walk, value) in enumerate(leaves)]))
 
     return run
 
@@ -227,8 +259,10 @@ def _histograms(task: str, n_features: int, n_trees: int, growing: list[Tree], o
         for tree, nodes in zip(growing, open_nodes):
             places.append(np.full(len(tree.feature), -1))
             places[-1][nodes] = np.arange(len(nodes))
-        for bins, y, margins in _unpacked(batches, n_features, n_trees):
+        for bins, y, weight, margins in _unpacked(batches, n_features, n_trees):
             g, h = derivatives(task, margins, y)
+            if weight is not None:
+                g, h = g * weight[:, None], h * weight[:, None]
             columns = bins.T.astype(np.int64)
             for k, nodes in enumerate(open_nodes):
                 if not nodes:
@@ -236,9 +270,9 @@ def _histograms(task: str, n_features: int, n_trees: int, growing: list[Tree], o
                 at = places[k][walks[k](bins)]
                 inside = at >= 0
                 every = bool(inside.all())
-                b, weights = columns, [g[:, k], h[:, k], None]
+                b, weights = columns, [g[:, k], h[:, k], weight]
                 if not every:
-                    at, b, weights = at[inside], columns[:, inside], [g[inside, k], h[inside, k], None]
+                    at, b, weights = at[inside], columns[:, inside], [g[inside, k], h[inside, k], None if weight is None else weight[inside]]
                 for f in range(n_features):
                     cell = at * MAX_BINS + b[f]
                     for i, w in enumerate(weights):
@@ -303,17 +337,22 @@ def fit_boosted(train: DataFrame, task: str, params: BoostParams = BoostParams()
     else:
         odds = np.log(np.clip(shares, 1e-9, 1))
         base = [float(odds[1] - odds[0])] if n_trees == 1 else odds.tolist()
-    folder, model = scratch_folder(spark), Boosted(task, max(2, n_classes) if task != "regression" else 1, base, [])
+    folder, packed, model = scratch_folder(spark), packed_session(spark), Boosted(task, max(2, n_classes) if task != "regression" else 1, base, [])
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+        df.write.options(**PACKED_WRITES).parquet(f"{folder}/{name}")
+        return packed.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     tasks = learner_tasks(spark, n)
     if tasks:
-        rows = stored(rows.repartition(tasks), "input")
+        rows.repartition(tasks).write.parquet(f"{folder}/input")
+        rows = spark.read.schema(rows.schema).parquet(f"{folder}/input")
     cuts = feature_cuts(rows, n_features, params.max_bins)
-    data = stored(rows.mapInArrow(_binned(cuts, base), _STORED_SQL), "rows-0")
+    if tasks and task != "regression":
+        counted = rows.mapInArrow(_keyed(cuts), "bins binary, y double").groupBy("bins", "y").agg(F.count("*").alias("n"))
+        data = stored(counted.mapInArrow(_weighted(n_features, base), _STORED_SQL), "rows-0")
+    else:
+        data = stored(rows.mapInArrow(_binned(cuts, base), _STORED_SQL), "rows-0")
     if tasks:
         drop_folder(spark, f"{folder}/input")
     for turn in range(params.n_estimators):

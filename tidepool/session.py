@@ -78,6 +78,19 @@ def learner_tasks(spark: SparkSession, rows: int) -> int | None:
     return None if rows <= ROWS_PER_TASK else cores * -(-rows // (ROWS_PER_TASK * cores))
 
 
+# Bytes of an Arrow batch of packed rows; as much is held several times over by a task and its Python worker.
+PACKED_BATCH_BYTES = 4 << 20
+# A packed row is a batch of rows: so few make a row group, which a reader holds whole.
+PACKED_WRITES = {"parquet.block.row.count.limit": "16"}
+
+
+def packed_session(spark: SparkSession) -> SparkSession:
+    """A copy of the session that reads packed rows (large binary values): its Arrow batches hold few of them."""
+    copy = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+    copy.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PACKED_BATCH_BYTES))
+    return copy
+
+
 def drop_folder(spark: SparkSession, folder: str) -> None:
     """Remove a scratch folder that nothing reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
