@@ -162,3 +162,23 @@ def test_many_rows_of_equal_bins_and_class_are_counted_once(spark, monkeypatch):
     for a, b in zip(few.rounds, many.rounds):
         for s, t in zip(a, b):
             assert (s.feature, s.threshold, s.left) == (t.feature, t.threshold, t.left) and np.allclose(s.value, t.value)
+
+
+def test_counted_rows_grow_the_trees_of_most_leaves_alike(spark, monkeypatch):
+    """As ``lightgbm_*`` grow: the splits of largest gain first, no bound on the depth."""
+    from tidepool import session
+    from tidepool.operators import boosting, models
+
+    rnd = np.random.default_rng(10)
+    x = rnd.integers(0, 6, (800, 3)).astype(float)
+    y = (x[:, 0] + rnd.normal(size=800) > 3).astype(int) + (x[:, 1] > 3)
+    df, params = table(spark, x, y).coalesce(1), {"n_estimators": 2, "min_samples_leaf": 5}
+    few = models.fit_model(df, "lightgbm_classifier", params, "classification", n_classes=3)
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    seen, grow = [], boosting._grow
+    monkeypatch.setattr(boosting, "_grow", lambda data, *a: seen.append(sum(len(r["y"]) // 8 for r in data.collect())) or grow(data, *a))
+    many = models.fit_model(df, "lightgbm_classifier", params, "classification", n_classes=3)
+    assert seen == [len({(*a, b) for a, b in zip(x, y)})] * 2
+    for a, b in zip(few.rounds, many.rounds):
+        for s, t in zip(a, b):
+            assert (s.feature, s.threshold, s.left) == (t.feature, t.threshold, t.left) and np.allclose(s.value, t.value)
