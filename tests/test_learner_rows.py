@@ -210,3 +210,30 @@ def test_a_combination_of_many_rows_is_drawn_by_several_tasks(spark, monkeypatch
     sizes = [int(p.read_text()) for p in Path(path.removeprefix("file:")).iterdir()]
     assert sum(sizes) == 2000 and max(sizes) < 600
     assert models.predict(model, df).where("yhat between 800 and 1200").count() == 2000
+
+
+def test_gbt_regressor_fits_one_weighted_row_for_each_combination_of_bins(spark, monkeypatch, tmp_path):
+    """A row's label is a number of its own: the mean of a combination's labels grows the trees of all its rows."""
+    df = one_split(spark, 900, 17).withColumn("label", F.col("label") * 10 + F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000 + 1000)
+    params = {"n_estimators": 4, "max_depth": 3, "min_samples_leaf": 20}
+    plain = models.fit_model(df, "gbt_regressor", params, "regression")
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    seen, fit = [], models.Pipeline.fit
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, data: seen.append(data.agg(F.count("*"), F.sum("weight")).first()) or fit(self, data))
+    model = models.fit_model(df, "gbt_regressor", params, "regression")
+    assert seen[0][0] == df.select("features").distinct().count() < 600 and seen[0][1] == 900
+    models.save_model(model, str(tmp_path / "gbt"))
+    a, b, c = (models.predict(m, df).orderBy("id") for m in (plain, model, models.load_model(str(tmp_path / "gbt"))))
+    assert a.columns == b.columns == c.columns
+    a, b, c = ([r.yhat for r in m.collect()] for m in (a, b, c))
+    assert np.allclose(a, b, rtol=1e-9) and b == c
+
+
+@pytest.mark.parametrize("features, label", [([1.0, float("nan"), 0.0], 0.0), ([1.0, 2.0, float("inf")], 0.0), ([1.0, 2.0, 0.0], None)])
+def test_gbt_regressor_refuses_rows_that_mllib_refuses(spark, monkeypatch, features, label):
+    rows = one_split(spark).withColumn("label", F.col("label").cast("double"))
+    df = rows.union(spark.createDataFrame([(-1, features, label)], "id long, features array<double>, label double"))
+    for limit in (10_000, 100):
+        monkeypatch.setattr(session, "ROWS_PER_TASK", limit)
+        with pytest.raises(Exception):
+            models.fit_model(df, "gbt_regressor", {"n_estimators": 1, "max_depth": 1}, "regression")

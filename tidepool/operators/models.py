@@ -215,15 +215,23 @@ def with_values(df: DataFrame, names: list[str]) -> DataFrame:
 
 def _fit_in_bins(data: DataFrame, est, label: str, n: int, leaf: int) -> PipelineModel:
     """Fit trees without random draws on weighted rows: one for each label and combination of bins, as rows that lie
-    in the same bins are alike to every tree. The bins (MLlib's own number a feature) are cut once over all rows, and
-    are the first stage of the model. ``leaf`` counts rows, so it becomes a share of the weight."""
+    in the same bins are alike to every tree. Of numbers the mean label of a combination stands for its rows: boosted
+    squared errors choose splits and leaves by sums of labels alone. The bins (MLlib's own number a feature) are cut once
+    over all rows, and are the first stage of the model. ``leaf`` counts rows, so it becomes a share of the weight."""
     width = data.select(F.size(vector_to_array("fvec")).alias("d")).first()["d"]
     cuts = feature_cuts(data.select(vector_to_array("fvec").alias("x")), width, TREE_BINS)
     values, bins = ([f"_tp_{kind}{i}" for i in range(width)] for kind in ("value", "bin"))
     # a bin ends with its cut, a Bucketizer's before it
     borders = [[-math.inf, *(float(np.nextafter(v, math.inf)) for v in c or [0.0]), math.inf] for c in cuts]
     buckets = Bucketizer(inputCols=values, outputCols=bins, splitsArray=borders, handleInvalid="keep")
-    rows = buckets.transform(with_values(data, values)).groupBy(*bins, label).agg(F.count("*").cast("double").alias("weight"))
+    rows, weight = buckets.transform(with_values(data, values)), F.count("*").cast("double").alias("weight")
+    if isinstance(est, GBTRegressor):
+        # MLlib refuses NaN labels, and so rows without a label or whose features are not numbers
+        odd = F.coalesce(F.exists(vector_to_array("fvec"), lambda v: F.isnan(v) | (F.abs(v) == math.inf)), F.lit(True))
+        # a Bucketizer's columns are marked as categories, which MLlib would split as sets: sums are not marked
+        rows = rows.groupBy(*[(F.col(b) + 0.0).alias(b) for b in bins]).agg(weight, F.avg(F.when(odd | F.col(label).isNull(), math.nan).otherwise(F.col(label))).alias(label))
+    else:
+        rows = rows.groupBy(*bins, label).agg(weight)
     trees = est.getClassifier() if isinstance(est, OneVsRest) else est
     trees.setMinInstancesPerNode(1)
     if leaf > 1:
@@ -252,7 +260,7 @@ def fit_model(train: DataFrame, name: str, params: dict | None = None, task_type
         data = data.select("fvec", label)
         n, leaf = data.count(), _leaf(coerce_params(params or {}, name))
         partitions = learner_tasks(train.sparkSession, n)
-        if partitions and name == "gbt_classifier" and leaf < n / 2:
+        if partitions and name.startswith("gbt") and leaf < n / 2:
             return _fit_in_bins(data, est, label, n, leaf)
         if partitions and name == "mlp_classifier":
             est = Perceptron(est)
