@@ -237,3 +237,19 @@ def test_gbt_regressor_refuses_rows_that_mllib_refuses(spark, monkeypatch, featu
         monkeypatch.setattr(session, "ROWS_PER_TASK", limit)
         with pytest.raises(Exception):
             models.fit_model(df, "gbt_regressor", {"n_estimators": 1, "max_depth": 1}, "regression")
+
+
+def test_perceptron_counts_equal_rows_once(spark, monkeypatch):
+    """Weights stand for copies: loss and gradient are those of all rows."""
+    df = one_split(spark, 500, 19)
+    df = df.union(df.where("id % 3 = 0")).union(df.where("id % 5 = 0")).coalesce(1)
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    passes, whole = [], perceptron.mean_loss
+    monkeypatch.setattr(perceptron, "mean_loss", lambda rows, flat, sizes: passes.append((rows.collect(), flat, *whole(rows, flat, sizes))) or passes[-1][2:])
+    models.fit_model(df, "mlp_classifier", {"hidden_layers": "4", "epochs": 2}, "classification", n_classes=3)
+    rows, flat, loss, gradient = passes[-1]
+    assert sum(len(r["y"]) // 8 for r in rows) == df.select("features", "label").distinct().count() < df.count()
+    every, sizes = df.collect(), [3, 4, 3]
+    x, y = np.array([r.features for r in every]).T, np.array([r.label for r in every])
+    own = perceptron.loss_and_gradient(flat, sizes, x, y, [(np.empty((4, len(y))), np.empty((4, len(y))))])
+    assert np.isclose(own[0] / len(y), loss) and np.allclose(own[1] / len(y), gradient)

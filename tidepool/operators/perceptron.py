@@ -1,8 +1,8 @@
 """The fit of MLlib's multilayer perceptron (#95) on many rows.
 
 Network (sigmoid layers, softmax on top), loss (mean log loss), first weights, optimiser (L-BFGS under the strong
-Wolfe conditions), its number of iterations and tolerance are MLlib's, and so is the fitted model. Rows are packed
-once; in a pass every task sums loss and gradient over its rows by matrix products on blocks of many rows. Weights
+Wolfe conditions), its number of iterations and tolerance are MLlib's, and so is the fitted model. Rows of equal features
+and class are counted once and weigh their number. Rows are packed once; in a pass every task sums loss and gradient over its rows by matrix products on blocks of many rows. Weights
 and gradients are all that reaches the driver, whatever the rows. MLlib means over blocks, here each row counts alike.
 """
 
@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.columns import list_matrix
 from tidepool.operators.epochs import ADD_WAYS
-from tidepool.session import drop_folder, scratch_folder
+from tidepool.session import PACKED_WRITES, drop_folder, learner_tasks, packed_session, scratch_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Rows whose layers are held at once, so that they stay in a core's cache.
 BLOCK_ROWS = 1024
-# A stored row is a batch of rows: features (feature, row) and classes.
-_PACKED = "x binary, y binary"
+# A stored row is a batch of rows: features (feature, row), classes and weights (none: all 1).
+_PACKED = "x binary, y binary, weight binary"
 _SUMS, _NAMES = "n bigint, loss double, gradient binary", ["n", "loss", "gradient"]
 
 
@@ -46,8 +46,10 @@ def _packed(n_features: int, n_classes: int):
                 raise ValueError(f"features must be {n_features} finite numbers")
             if not (np.isin(y, np.arange(n_classes))).all():
                 raise ValueError(f"classes must be whole numbers in 0..{n_classes - 1}")
-            yield pa.record_batch([pa.array([np.ascontiguousarray(x.T).tobytes()], pa.binary()), pa.array([y.astype(np.int64).tobytes()], pa.binary())],
-                                  names=["x", "y"])
+            n = batch.column("n").to_numpy()
+            weight = b"" if (n == 1).all() else n.astype(np.float64).tobytes()
+            yield pa.record_batch([pa.array([v], pa.binary()) for v in (np.ascontiguousarray(x.T).tobytes(), y.astype(np.int64).tobytes(), weight)],
+                                  names=["x", "y", "weight"])
 
     return run
 
@@ -61,8 +63,10 @@ def layers_of(flat: np.ndarray, sizes: list[int]) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def loss_and_gradient(flat: np.ndarray, sizes: list[int], x: np.ndarray, y: np.ndarray, room: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray]:
-    """Sums of the log loss and of its derivative by each weight over rows ``x`` (feature, row) of classes ``y``.
+def loss_and_gradient(flat: np.ndarray, sizes: list[int], x: np.ndarray, y: np.ndarray, room: list[tuple[np.ndarray, np.ndarray]],
+                      weight: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Sums of the log loss and of its derivative by each weight over rows ``x`` (feature, row) of classes ``y``, each as often
+    as its ``weight`` says.
     ``room`` holds two arrays (unit, row) for each hidden layer, so that no block asks for memory anew."""
     layers, values, n = layers_of(flat, sizes), [x], len(y)
     for (w, b), (held, _) in zip(layers, room):
@@ -75,12 +79,15 @@ def loss_and_gradient(flat: np.ndarray, sizes: list[int], x: np.ndarray, y: np.n
     delta = layers[-1][0] @ values[-1] + layers[-1][1]
     delta -= delta.max(axis=0)
     at = (y, np.arange(n))
-    loss = -delta[at].sum()
+    loss = -delta[at]
     np.exp(delta, out=delta)
     total = delta.sum(axis=0)
-    loss += np.log(total).sum()
+    loss += np.log(total)
     delta /= total
     delta[at] -= 1.0
+    if weight is not None:
+        loss *= weight
+        delta *= weight
     gradient = []
     for i in range(len(layers) - 1, -1, -1):
         below = values[i]
@@ -90,7 +97,7 @@ def loss_and_gradient(flat: np.ndarray, sizes: list[int], x: np.ndarray, y: np.n
             delta *= below
             np.subtract(1.0, below, out=below)
             delta *= below
-    return float(loss), np.concatenate(gradient)
+    return float(loss.sum()), np.concatenate(gradient)
 
 
 def _task_sums(flat: np.ndarray, sizes: list[int]):
@@ -98,13 +105,15 @@ def _task_sums(flat: np.ndarray, sizes: list[int]):
         n, loss, total = 0, 0.0, np.zeros(len(flat))
         room = [(np.empty((h, BLOCK_ROWS)), np.empty((h, BLOCK_ROWS))) for h in sizes[1:-1]]
         for batch in batches:
-            for packed in zip(*(batch.column(c).to_pylist() for c in ("x", "y"))):
+            for packed in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "weight"))):
                 x, y = np.frombuffer(packed[0]).reshape(sizes[0], -1), np.frombuffer(packed[1], dtype=np.int64)
+                weight = np.frombuffer(packed[2]) if packed[2] else None
                 for at in range(0, len(y), BLOCK_ROWS):
-                    more, gradient = loss_and_gradient(flat, sizes, x[:, at:at + BLOCK_ROWS], y[at:at + BLOCK_ROWS], room)
+                    some = slice(at, at + BLOCK_ROWS)
+                    more, gradient = loss_and_gradient(flat, sizes, x[:, some], y[some], room, None if weight is None else weight[some])
                     loss += more
                     total += gradient
-                n += len(y)
+                n += len(y) if weight is None else int(weight.sum())
         yield pa.record_batch([pa.array([n]), pa.array([loss]), pa.array([total.tobytes()], pa.binary())], names=_NAMES)
 
     return run
@@ -209,7 +218,7 @@ def minimise(function: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.n
 
 
 class Perceptron(Estimator):
-    """Fits what the MLlib classifier ``est`` describes, on the rows as they are dealt."""
+    """Fits what the MLlib classifier ``est`` describes: different rows are counted and dealt to all cores."""
 
     def __init__(self, est: MultilayerPerceptronClassifier):
         super().__init__()
@@ -219,9 +228,13 @@ class Perceptron(Estimator):
         est, spark = self.est, dataset.sparkSession
         features, label, sizes = est.getFeaturesCol(), est.getLabelCol(), list(est.getLayers())
         folder = scratch_folder(spark)
-        rows = dataset.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y")).mapInArrow(_packed(sizes[0], sizes[-1]), _PACKED)
-        rows.write.parquet(f"{folder}/rows")
-        rows = spark.read.schema(_PACKED).parquet(f"{folder}/rows")
+        rows = dataset.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y")).groupBy("x", "y").agg(F.count("*").alias("n"))
+        rows.write.parquet(f"{folder}/counted")
+        rows = spark.read.schema(rows.schema).parquet(f"{folder}/counted")
+        tasks = learner_tasks(spark, rows.count()) or spark.sparkContext.defaultParallelism
+        rows.repartition(tasks).mapInArrow(_packed(sizes[0], sizes[-1]), _PACKED).write.options(**PACKED_WRITES).parquet(f"{folder}/rows")
+        drop_folder(spark, f"{folder}/counted")
+        rows = packed_session(spark).read.schema(_PACKED).parquet(f"{folder}/rows")
         # no iterations on one row: MLlib's first weights, or its model of given ones
         one = spark.createDataFrame([(Vectors.dense([0.0] * sizes[0]), 0.0)], [features, label])
         start = est.copy({est.maxIter: 0}).fit(one).weights.toArray()
